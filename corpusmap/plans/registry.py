@@ -244,13 +244,14 @@ windows AS (
   SELECT * FROM repo_batch WHERE stars >= 4000
   UNION ALL SELECT * FROM repo_batch WHERE stars BETWEEN 2000 AND 3999
   UNION ALL SELECT * FROM repo_batch WHERE stars BETWEEN 0 AND 1999)""") + """
-SELECT CASE WHEN stars >= 4000 THEN '4000..*' WHEN stars >= 2000 THEN '2000..3999' ELSE '0..1999' END AS window,
+SELECT CASE WHEN stars >= 4000 THEN '4000..*' WHEN stars >= 2000 THEN '2000..3999' ELSE '0..1999' END AS star_window,
        count(*)::BIGINT AS rows, count(DISTINCT name)::BIGINT AS names FROM windows GROUP BY 1""")
 def q_union_windows(spark, sf_dir):
     from corpusmap.sources.manifests import star_windows_union
     b = ST.repo_batch(spark, sf_dir)
     u = star_windows_union(b, [(4000, None), (2000, 3999), (0, 1999)])
-    return u.groupBy("window").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("name").alias("names"))
+    return u.groupBy(F.col("window").alias("star_window")).agg(F.count(F.lit(1)).alias("rows"),
+                                                               F.countDistinct("name").alias("names"))
 
 
 PROJECT_UPSERT_SQL = """
@@ -427,3 +428,388 @@ def q_write_vectors(spark, sf_dir):
     new = vecs.join(pending, "id", "left_semi")
     out = U.write_vectors(pr, new)
     return out.select("id", F.col("vector").isNotNull().alias("has_vector"), F.size("vector").alias("dim"))
+
+
+# ------------------------------------------------------------------ text functions
+
+from corpusmap.functions import text as TX  # noqa: E402
+from corpusmap.sources import listings as L  # noqa: E402
+from corpusmap.sources import manifests as M  # noqa: E402
+from corpusmap.sources import pages as PG  # noqa: E402
+from corpusmap.sources import responses as R  # noqa: E402
+from corpusmap.sources import store as STORE  # noqa: E402
+
+
+def between_sql(x: str, open_m: str, close_m: str) -> str:
+    o = open_m.replace("'", "''")
+    c = close_m.replace("'", "''")
+    rest = f"substring({x}, strpos({x}, '{o}') + {len(open_m)})"
+    return (f"(CASE WHEN strpos({x}, '{o}') > 0 AND strpos({rest}, '{c}') > 0 "
+            f"THEN substring({rest}, 1, strpos({rest}, '{c}') - 1) END)")
+
+
+@register("html_to_text", f"SELECT page_id, {TX.html_to_text_sql('html')} AS text FROM pages")
+def q_html_to_text(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", TX.html_to_text("html").alias("text"))
+
+
+@register("decode_entities", """
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'),
+       '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS text FROM pages""")
+def q_decode_entities(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", TX.decode_entities("html").alias("text"))
+
+
+@register("text_between", f"SELECT page_id, {between_sql('html', '<title>', '</title>')} AS title, "
+                          f"{between_sql('html', '<h1', '</nav>')} AS odd FROM pages")
+def q_text_between(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", TX.text_between("html", "<title>", "</title>").alias("title"),
+                    TX.text_between("html", "<h1", "</nav>").alias("odd"))
+
+
+@register("parse_number", f"""
+SELECT page_id, coalesce(TRY_CAST(nullif(regexp_replace({between_sql('html', 'track(', ')')}, '[^0-9]', '', 'g'), '')
+       AS BIGINT), 0) AS num,
+       coalesce(TRY_CAST(nullif(regexp_replace({between_sql('html', '<title>', '</title>')}, '[^0-9]', '', 'g'), '')
+       AS BIGINT), 0) AS title_digits
+FROM pages""")
+def q_parse_number(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", TX.parse_number(TX.text_between("html", "track(", ")")).alias("num"),
+                    TX.parse_number(TX.text_between("html", "<title>", "</title>")).alias("title_digits"))
+
+
+@register("truncate_text", f"""
+SELECT doc_id, strlen(t)::BIGINT AS n_bytes, md5(t) AS digest FROM (
+  SELECT doc_id, {truncate_sql('text', 32768)} AS t FROM documents)""")
+def q_truncate_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    t = TX.truncate_bytes("text", 32768)
+    return d.select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.md5(t).alias("digest"))
+
+
+@register("raw_documents", """
+SELECT doc_id, strlen(text)::BIGINT AS n_bytes, md5(text) AS digest FROM documents""")
+def q_raw_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("digest"))
+
+
+# ------------------------------------------------------------------ listings
+
+DOC_PAGES_SQL = """
+doc_pages AS (
+  SELECT d.*, (row_number() OVER (ORDER BY doc_id) - 1) AS idx FROM documents d)"""
+
+
+@register("parse_repo_listing", with_sql(DOC_PAGES_SQL) + """
+SELECT (idx // 20 + 1)::BIGINT AS page, (idx % 20)::BIGINT AS pos, source || '/' || CAST(doc_id AS VARCHAR) AS name,
+       CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN NULL ELSE substring(text, 1, 80) END AS "desc",
+       CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END::BIGINT AS stars,
+       lang || ' ' || source AS topics
+FROM doc_pages WHERE NOT ((idx // 20 + 1) % 17 = 5 OR (idx // 20 + 1) % 19 = 7)""")
+def q_parse_repo_listing(spark, sf_dir):
+    rows, _ = L.parse_repo_listing(ST.repo_listing_pages(spark, sf_dir), keys=["page"])
+    return rows.select("page", "pos", "name", "desc", "stars", F.array_join("topics", " ").alias("topics"))
+
+
+@register("listing_rejects", with_sql(DOC_PAGES_SQL) + """
+SELECT DISTINCT (idx // 20 + 1)::BIGINT AS page,
+       CASE WHEN (idx // 20 + 1) % 17 = 5 THEN 'not JSON' ELSE 'no items array' END AS reject_reason
+FROM doc_pages WHERE (idx // 20 + 1) % 17 = 5 OR (idx // 20 + 1) % 19 = 7""")
+def q_listing_rejects(spark, sf_dir):
+    _, rej = L.parse_repo_listing(ST.repo_listing_pages(spark, sf_dir), keys=["page"])
+    return rej.select("page", "reject_reason")
+
+
+EVENTS_EXPECTED_SQL = """
+ev AS (
+  SELECT (idx // 40 + 1)::BIGINT AS page, (idx % 40)::BIGINT AS pos, doc_id, 'h' || CAST(doc_id AS VARCHAR) AS host,
+         CASE WHEN doc_id % 8 = 3 THEN '' ELSE substring(text, 1, 30) END AS title,
+         (CASE WHEN doc_id % 9 = 4 THEN 0 WHEN doc_id % 10 = 7 THEN 0 WHEN doc_id % 11 = 2 THEN 0
+               ELSE 2018 + doc_id % 7 END)::BIGINT AS year
+  FROM doc_pages WHERE doc_id % 6 <> 5)"""
+
+
+@register("parse_event_listing", with_sql(DOC_PAGES_SQL, EVENTS_EXPECTED_SQL) + """
+SELECT page, pos, host, title, year FROM ev""")
+def q_parse_event_listing(spark, sf_dir):
+    hosts, _, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
+    return hosts.select("page", "pos", "host", "title", "year")
+
+
+@register("listing_progress", with_sql(DOC_PAGES_SQL) + """
+SELECT DISTINCT (idx // 40 + 1)::BIGINT AS page, (SELECT count(*) FROM documents)::BIGINT AS total_count,
+       40::BIGINT AS per_page, ((idx // 40 + 1) * 40 >= (SELECT count(*) FROM documents)) AS is_last_page
+FROM doc_pages""")
+def q_listing_progress(spark, sf_dir):
+    _, pages, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
+    return pages.select("page", "total_count", "per_page",
+                        M.is_last_page(F.col("page"), F.col("per_page"), F.col("total_count")).alias("is_last_page"))
+
+
+@register("match_events", with_sql(DOC_PAGES_SQL, EVENTS_EXPECTED_SQL, """
+wanted AS (SELECT * FROM (VALUES ('the', 0), ('le', 2020), ('in', 2022), ('un', 0)) t(name, year))""") + """
+SELECT w.name, w.year::BIGINT AS year_filter, e.host, e.year
+FROM ev e JOIN wanted w ON starts_with(lower(e.title), lower(w.name)) AND (w.year <= 0 OR e.year = w.year)""")
+def q_match_events(spark, sf_dir):
+    hosts, _, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
+    wanted = spark.createDataFrame([("the", 0), ("le", 2020), ("in", 2022), ("un", 0)], "name string, year_filter long")
+    # fixed filter list (configuration), broadcast
+    j = hosts.join(F.broadcast(wanted), F.startswith(F.lower(F.col("title")), F.lower(F.col("name"))))
+    return S.match_events(j, name_col="name", year_col="year_filter").select("name", "year_filter", "host", "year")
+
+
+# ------------------------------------------------------------------ gallery and pages
+
+GALLERY_EXPECTED_SQL = """
+gdocs0 AS (
+  SELECT d.*, l.quality, (row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1) AS gi
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+gdocs AS (SELECT *, count(*) OVER (PARTITION BY source, gi // 20) AS n_items FROM gdocs0),
+gcards AS (
+  SELECT source AS hackathon, (gi // 20 + 1)::BIGINT AS page, (gi % 20 + 1)::BIGINT AS card, doc_id::BIGINT AS id,
+         'p-' || CAST(doc_id AS VARCHAR) AS slug, text, lang, n_chars, quality, n_items,
+         doc_id % 11 <> 3 AS has_link, doc_id
+  FROM gdocs)"""
+
+
+@register("parse_gallery", with_sql(GALLERY_EXPECTED_SQL) + f"""
+SELECT hackathon, page, card, id, slug, {TX.html_to_text_sql("' ' || substring(text, 1, 40) || ' &amp; co '")} AS name,
+       CASE WHEN doc_id % 13 = 4 THEN NULL ELSE lang END AS tagline,
+       (CASE WHEN doc_id % 17 = 2 THEN 0 ELSE (n_chars % 500) * 7 END)::BIGINT AS likes,
+       coalesce(quality = 1, false) AS winner,
+       'u' || CAST(doc_id % 50 AS VARCHAR) || ' u' || CAST(doc_id % 7 AS VARCHAR) AS members
+FROM gcards WHERE has_link""")
+def q_parse_gallery(spark, sf_dir):
+    rows, _ = PG.parse_gallery(ST.gallery_pages(spark, sf_dir), keys=["hackathon", "page"])
+    return rows.select("hackathon", "page", "card", "id", "slug", "name", "tagline", "likes", "winner",
+                       F.array_join("members", " ").alias("members"))
+
+
+@register("contiguous_pages", with_sql(GALLERY_EXPECTED_SQL, """
+gp AS (SELECT hackathon, page, any_value(n_items) AS n_items, count_if(has_link) AS cards FROM gcards GROUP BY ALL),
+gs AS (SELECT hackathon, page, cards, NOT ((page + n_items) % 7 = 0) AS ok FROM gp),
+stops AS (SELECT hackathon, min(CASE WHEN NOT ok OR cards <= 0 THEN page END) AS first_bad,
+                 max(CASE WHEN NOT ok THEN 1 END) AS any_failed FROM gs GROUP BY hackathon)""") + """
+SELECT g.hackathon, g.page, g.cards::BIGINT AS cards, g.ok,
+       g.page < coalesce(s.first_bad, 201) AS kept_prefix,
+       g.page < coalesce(s.first_bad, 201) AND s.any_failed IS NULL AS kept_whole
+FROM gs g JOIN stops s USING (hackathon)""")
+def q_contiguous_pages(spark, sf_dir):
+    gp = ST.gallery_pages(spark, sf_dir)
+    rows, counts = PG.parse_gallery(gp, keys=["hackathon", "page"])
+    pages = (gp.select("hackathon", "page", (F.col("status") == 200).alias("ok"))
+             .join(counts, ["hackathon", "page"], "left")
+             .withColumn("cards", F.coalesce(F.col("cards"), F.lit(0)).cast("long")))
+    a = M.contiguous_pages(pages, "hackathon", "keep_prefix").withColumnRenamed("kept", "kept_prefix")
+    b = M.contiguous_pages(pages, "hackathon", "all_or_nothing").select("hackathon", "page",
+                                                                         F.col("kept").alias("kept_whole"))
+    return a.join(b, ["hackathon", "page"]).select("hackathon", "page", "cards", "ok", "kept_prefix", "kept_whole")
+
+
+PROJECT_PAGE_SQL = """
+pp AS (
+  SELECT page_id,
+         CASE WHEN page_id % 10 = 9 THEN '<html>' || html || '</html>'
+              ELSE '<div id="app-details-left">' || html ||
+                   CASE WHEN page_id % 4 = 0 THEN '' ELSE '<div id="built-with"><p>Go</p></div>' END ||
+                   '</div>' || chr(10) || '<div id="app-details-right"></div>' END AS h
+  FROM pages)"""
+
+
+@register("page_writeup", with_sql(PROJECT_PAGE_SQL) + f"""
+SELECT page_id, {TX.html_to_text_sql("coalesce(" + between_sql("h", 'id="app-details-left">', 'id="built-with"') + ", "
+                                       + between_sql("h", 'id="app-details-left">', 'id="app-details-right"') + ")")}
+       AS writeup FROM pp""")
+def q_page_writeup(spark, sf_dir):
+    return PG.page_writeup(ST.project_pages(spark, sf_dir)).select("page_id", "writeup")
+
+
+@register("page_prizes", """
+SELECT page_id::BIGINT AS page_id,
+       CASE WHEN page_id % 10 = 9 OR page_id % 3 = 0 THEN ''
+            ELSE 'Prize ' || CAST(page_id AS VARCHAR) || ' & more' || chr(10) || 'Runner up' END AS prizes,
+       (CASE WHEN page_id % 10 = 9 OR page_id % 3 = 0 THEN 0 ELSE 2 END)::BIGINT AS n_prizes
+FROM pages""")
+def q_page_prizes(spark, sf_dir):
+    p = PG.page_prizes(ST.project_pages(spark, sf_dir))
+    return p.select(F.col("page_id").cast("long"), F.array_join("prizes", "\n").alias("prizes"),
+                    F.size("prizes").cast("long").alias("n_prizes"))
+
+
+# ------------------------------------------------------------------ responses
+
+RESPONSE_EXPECTED_SQL = """
+rl AS (
+  SELECT event_id, event_type, user_id, value, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         epoch(date_trunc('second', ts))::BIGINT AS now, event_id % 4 AS attempt,
+         CASE WHEN event_type IN ('view', 'click') THEN 200 WHEN event_type = 'purchase' THEN 403
+              WHEN event_type = 'error' THEN 429 WHEN value < 5 THEN 0 ELSE 404 END AS status,
+         event_id % 2 = 0 AS says_limit
+  FROM events),
+hf AS (
+  SELECT *, (CASE WHEN event_id % 4 = 0 THEN k + 2 WHEN event_id % 4 = 1 THEN k + 1 ELSE 1 END)::BIGINT AS page_count,
+         (CASE WHEN event_id % 3 = 0 THEN user_id % 5 ELSE -1 END)::BIGINT AS ratelimit_remaining,
+         (CASE WHEN event_id % 5 <> 0 THEN now + user_id % 90 ELSE -1 END)::BIGINT AS ratelimit_reset,
+         (CASE WHEN event_type = 'error' THEN floor(value) ELSE -1 END)::BIGINT AS retry_after
+  FROM rl)"""
+
+
+@register("header_fields", with_sql(RESPONSE_EXPECTED_SQL) + """
+SELECT event_id, status, page_count, ratelimit_remaining, ratelimit_reset, retry_after FROM hf""")
+def q_header_fields(spark, sf_dir):
+    f = R.header_fields(ST.response_log(spark, sf_dir))
+    return f.select("event_id", "status", "page_count", "ratelimit_remaining", "ratelimit_reset", "retry_after")
+
+
+@register("throttle_plan", with_sql(RESPONSE_EXPECTED_SQL, """
+lim AS (
+  SELECT *, (status = 429 OR (status = 403 AND (ratelimit_remaining = 0 OR retry_after >= 0 OR says_limit))) AS limited,
+         CASE WHEN retry_after >= 0 THEN retry_after ELSE 60 << attempt END AS base,
+         ratelimit_reset - now + 1 AS until FROM hf)""") + """
+SELECT event_id, limited, limited AND attempt >= 3 AS give_up,
+       CASE WHEN limited AND attempt < 3 THEN greatest(
+            CASE WHEN ratelimit_remaining = 0 AND ratelimit_reset > 0 AND (retry_after < 0 OR until > base)
+                 THEN until ELSE base END, 1) END::BIGINT AS delay_s
+FROM lim""")
+def q_throttle_plan(spark, sf_dir):
+    t = R.throttle_plan(ST.response_log(spark, sf_dir))
+    return t.select("event_id", "limited", "give_up", F.col("delay_s").cast("long"))
+
+
+@register("accept_responses", with_sql(RESPONSE_EXPECTED_SQL) + """
+SELECT event_id, status BETWEEN 200 AND 299 AS accepted,
+       CASE WHEN status = 0 THEN 'no response' WHEN status NOT BETWEEN 200 AND 299
+            THEN 'HTTP ' || CAST(status AS VARCHAR) END AS reject_reason
+FROM rl""")
+def q_accept_responses(spark, sf_dir):
+    good, bad = R.accept_responses(ST.response_log(spark, sf_dir))
+    return (good.select("event_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reject_reason"))
+            .unionByName(bad.select("event_id", F.lit(False).alias("accepted"), "reject_reason")))
+
+
+# ------------------------------------------------------------------ manifests
+
+@register("repo_manifest", with_sql(REPOS_SQL, REPO_BATCH_SQL, """
+wins AS (SELECT * FROM (VALUES (4000, NULL), (2000, 3999), (0, 1999)) t(lo, hi)),
+pc AS (SELECT w.lo, w.hi, CASE WHEN w.hi IS NULL THEN CAST(w.lo AS VARCHAR) || '..*'
+                              ELSE CAST(w.lo AS VARCHAR) || '..' || CAST(w.hi AS VARCHAR) END AS star_window,
+              (SELECT count(*) FROM repo_batch b WHERE b.ord = 1 AND b.stars >= w.lo
+                 AND (w.hi IS NULL OR b.stars <= w.hi)) AS n
+       FROM wins w)""") + """
+SELECT star_window, page::BIGINT AS page,
+       'https://api.github.com/search/repositories?q=stars:' || star_window || '&sort=stars&order=desc&per_page=100&page='
+       || CAST(page AS VARCHAR) AS url
+FROM (SELECT star_window, unnest(generate_series(1, greatest(least(CAST(ceil(n / 100) AS BIGINT), 10), 1))) AS page FROM pc)""")
+def q_repo_manifest(spark, sf_dir):
+    b = ST.repo_batch(spark, sf_dir).filter(F.col("ord") == 1)
+    wins = [(4000, None), (2000, 3999), (0, 1999)]
+    u = M.star_windows_union(b, wins)
+    counts = u.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
+    w = (M.windows_frame(spark, wins).withColumn("window", M.star_range(F.col("lo"), F.col("hi")))
+         .join(counts, "window", "left")
+         .withColumn("page_count", F.ceil(F.coalesce(F.col("n"), F.lit(0)) / 100).cast("int")).drop("window"))
+    return M.repo_manifest(w).select(F.col("window").alias("star_window"), F.col("page").cast("long"), "url")
+
+
+@register("event_manifest", with_sql(PROJECTS_SQL) + """
+SELECT host, page::BIGINT AS page, 'https://' || host || '.devpost.com/project-gallery?page=' || CAST(page AS VARCHAR) AS url
+FROM (SELECT hackathon AS host, unnest(generate_series(1, least(CAST(ceil(count(*) / 24) AS BIGINT) + 1, 200))) AS page
+      FROM projects GROUP BY hackathon)""")
+def q_event_manifest(spark, sf_dir):
+    hosts = ST.projects(spark, sf_dir).groupBy(F.col("hackathon").alias("host")).agg(F.count(F.lit(1)).alias("cards"))
+    return M.gallery_manifest(hosts).select("host", F.col("page").cast("long"), "url")
+
+
+@register("project_urls", with_sql(PROJECTS_SQL, REPOS_SQL) + """
+SELECT 'project' AS kind, slug AS key, 'https://devpost.com/software/' || slug AS url FROM projects
+UNION ALL SELECT 'readme', name, 'https://api.github.com/repos/' || name || '/readme' FROM repos""")
+def q_project_urls(spark, sf_dir):
+    p = M.project_urls(ST.projects(spark, sf_dir)).select(F.lit("project").alias("kind"), F.col("slug").alias("key"), "url")
+    r = M.readme_urls(ST.repos(spark, sf_dir)).select(F.lit("readme").alias("kind"), F.col("name").alias("key"), "url")
+    return p.unionByName(r)
+
+
+@register("query_form", "SELECT item_id, translate(lower(substring(text, 1, 60)), ' ', '+') AS search FROM benchmark")
+def q_query_form(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", TX.query_form(F.substring("text", 1, 60)).alias("search"))
+
+
+# ------------------------------------------------------------------ store
+
+@register("decode_vectors", """
+SELECT vec_id::BIGINT AS vec_id, (u.pos - 1)::BIGINT AS pos, u.val::DOUBLE AS value
+FROM embeddings e, unnest(e.embedding) WITH ORDINALITY AS u(val, pos)""")
+def q_decode_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    enc = STORE.encode_vectors(e, "embedding", "blob")
+    dec = STORE.decode_vectors(enc, "blob", dim=64, out="back")
+    return dec.select(F.col("vec_id").cast("long"), F.posexplode("back").alias("pos", "value")) \
+        .select("vec_id", F.col("pos").cast("long"), F.col("value").cast("double"))
+
+
+@register("encode_vectors")
+def q_encode_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    enc = STORE.encode_vectors(e, "embedding", "blob")
+    return enc.select("vec_id", F.octet_length("blob").alias("n_bytes"), F.sha2("blob", 256).alias("digest"))
+
+
+@register("ensure_columns", """
+SELECT doc_id::BIGINT AS id, NULL::VARCHAR AS slug, source AS hackathon, NULL::BIGINT AS year,
+       NULL::BOOLEAN AS winner, lang AS extra FROM documents""")
+def q_ensure_columns(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("hackathon"),
+                                                 F.col("lang").alias("extra"))
+    out = STORE.ensure_columns(d, STORE.PROJECTS_SCHEMA)
+    return out.select("id", "slug", "hackathon", F.col("year").cast("long"), "winner", "extra")
+
+
+# ------------------------------------------------------------------ request handling
+
+@register("parse_dataset_path", with_sql(REGISTRY_SQL, """
+req AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '/datasets/github' ELSE '/datasets/' || source ||
+        CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/' || CAST(2019 + doc_id % 7 AS VARCHAR) WHEN 2 THEN '/'
+                        WHEN 3 THEN '/x' || CAST(doc_id AS VARCHAR) ELSE '/0' END END ||
+        CASE WHEN doc_id % 3 = 0 THEN '/embed' ELSE '' END AS path FROM documents),
+parts AS (SELECT doc_id, path,
+        regexp_extract(path, '^/datasets/([^/]+)(/([^/]*))?(/embed)?$', 0) <> '' AS m,
+        regexp_extract(path, '^/datasets/([^/]+)(/([^/]*))?(/embed)?$', 1) AS hid,
+        regexp_extract(path, '^/datasets/([^/]+)(/([^/]*))?(/embed)?$', 3) AS y,
+        regexp_extract(path, '^/datasets/([^/]+)(/([^/]*))?(/embed)?$', 4) <> '' AS emb FROM req),
+cls AS (SELECT p.*, m AND hid = 'github' AND y = '' AS is_gh,
+        m AND r.hackathon IS NOT NULL AND (y = '' OR (regexp_full_match(y, '[0-9]+') AND TRY_CAST(y AS INTEGER) > 0)) AS is_hk
+        FROM parts p LEFT JOIN registry r ON p.hid = r.hackathon)""") + """
+SELECT doc_id, path,
+       CASE WHEN is_gh THEN 'github' WHEN is_hk AND y <> '' THEN hid || '/' || CAST(TRY_CAST(y AS INTEGER) AS VARCHAR)
+            WHEN is_hk THEN hid END AS dataset,
+       (CASE WHEN is_hk AND y <> '' THEN TRY_CAST(y AS INTEGER) END)::BIGINT AS year,
+       (is_gh OR is_hk) AS found, emb AND (is_gh OR is_hk) AS embed
+FROM cls""")
+def q_parse_dataset_path(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    suffix = (F.when(doc % 5 == 0, F.lit("")).when(doc % 5 == 1, F.concat(F.lit("/"), (F.lit(2019) + doc % 7).cast("string")))
+              .when(doc % 5 == 2, F.lit("/")).when(doc % 5 == 3, F.concat(F.lit("/x"), doc.cast("string")))
+              .otherwise(F.lit("/0")))
+    path = F.concat(F.when(doc % 9 == 0, F.lit("/datasets/github"))
+                    .otherwise(F.concat(F.lit("/datasets/"), F.col("source"), suffix)),
+                    F.when(doc % 3 == 0, F.lit("/embed")).otherwise(F.lit("")))
+    req = d.select("doc_id", path.alias("path"))
+    out = S.parse_dataset_path(req, ST.registry(spark))
+    return out.select("doc_id", "path", "dataset", F.col("year").cast("long"), "found", "embed")
+
+
+@register("validate_queries", """
+SELECT conv_id, turn, text IS NOT NULL AND strlen(text) BETWEEN 1 AND 32768 AS valid,
+       CASE WHEN text IS NULL THEN 'missing' WHEN strlen(text) < 1 THEN 'empty'
+            WHEN strlen(text) > 32768 THEN 'too long' END AS reason
+FROM conversations""")
+def q_validate_queries(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return S.validate_queries(c, "text").select("conv_id", "turn", "valid", "reason")

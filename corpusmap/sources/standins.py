@@ -211,3 +211,158 @@ cat_labels AS (
 
 def with_sql(*fragments: str) -> str:
     return "WITH " + ",\n".join(f.strip() for f in fragments)
+
+
+# ---------------------------------------------------------------- responses built from tables
+# Each document becomes one listing item / card; the modulo tests choose which
+# edge case a row exercises (a number where a string belongs, a missing link,
+# ...). Every document is used.
+
+LISTING_PAGE_ROWS = 20
+EVENT_PAGE_ROWS = 40
+CRLF = "\r\n"
+
+
+def _js(c):
+    from corpusmap.sources.listings import json_string
+    return json_string(c)
+
+
+def _pages_of(items, key: str, page_rows: int, group_cols=()):
+    """Concatenate item strings into pages of ``page_rows`` (by ``key`` order).
+    A page holds a fixed number of items, so each group is bounded."""
+    from corpusmap.session import dense_index
+    idx = dense_index(items, [key], list(group_cols), name="_i")
+    paged = idx.withColumn("page", (F.floor(F.col("_i") / page_rows) + 1).cast("long"))
+    return (paged.groupBy(*group_cols, "page")
+            .agg(F.sort_array(F.collect_list(F.struct(key, "item"))).alias("_items"),
+                 F.count(F.lit(1)).alias("n_items"))
+            .withColumn("items", F.transform("_items", lambda s: s["item"])).drop("_items"))
+
+
+def repo_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search-result pages ``(page, status, body)``: 20 documents per page as
+    repo items. Page bodies on pages 5 mod 17 are not JSON; pages 7 mod 19 lack
+    ``items``."""
+    d = table(spark, sf_dir, "documents")
+    desc = F.when(d.doc_id % 4 == 0, F.lit("null")).when(d.doc_id % 9 == 0, d.doc_id.cast("string")) \
+        .otherwise(_js(F.substring(d.text, 1, 80)))
+    stars = F.when(d.doc_id % 10 == 0, F.lit('"n/a"')).otherwise(d.n_chars.cast("string"))
+    topics = F.when(d.doc_id % 6 == 0, F.concat(F.lit("["), _js(d.lang), F.lit(",7,"), _js(d.source), F.lit("]"))) \
+        .otherwise(F.to_json(F.array(d.lang, d.source)))
+    item = F.concat(F.lit('{"full_name":'), _js(F.concat(d.source, F.lit("/"), d.doc_id.cast("string"))),
+                    F.lit(',"description":'), desc, F.lit(',"stargazers_count":'), stars,
+                    F.lit(',"topics":'), topics, F.lit("}"))
+    items = d.select(d.doc_id.alias("doc_id"), item.alias("item"))
+    total = d.count()
+    pages = _pages_of(items, "doc_id", LISTING_PAGE_ROWS)
+    body = (F.when(F.col("page") % 17 == 5, F.lit("not json {"))
+            .when(F.col("page") % 19 == 7, F.lit('{"total_count": ' + str(total) + "}"))
+            .otherwise(F.concat(F.lit('{"total_count": ' + str(total) + ', "items": ['),
+                                F.array_join("items", ","), F.lit("]}"))))
+    return pages.select("page", F.lit(200).alias("status"), body.alias("body"))
+
+
+def event_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hackathon-listing pages ``(page, body)``: one entry per document, 40 per
+    page. Entries 5 mod 6 sit on their own domain (no gallery host)."""
+    d = table(spark, sf_dir, "documents")
+    host = F.concat(F.lit("h"), d.doc_id.cast("string"))
+    url = F.when(d.doc_id % 6 == 5, F.concat(F.lit("https://"), host, F.lit(".example/"))) \
+        .otherwise(F.concat(F.lit("https://"), host, F.lit(".devpost.com/")))
+    title = F.when(d.doc_id % 8 == 3, F.lit("null")).otherwise(_js(F.substring(d.text, 1, 30)))
+    year_txt = (F.lit(2018) + d.doc_id % 7).cast("string")
+    dates = (F.when(d.doc_id % 9 == 4, F.lit('"TBA"'))
+             .when(d.doc_id % 10 == 7, F.lit("null"))
+             .when(d.doc_id % 11 == 2, F.lit("2024"))
+             .otherwise(F.concat(F.lit('"Jan 17 - 18, '), year_txt, F.lit('"'))))
+    item = F.concat(F.lit('{"url":'), _js(url), F.lit(',"title":'), title,
+                    F.lit(',"submission_period_dates":'), dates, F.lit("}"))
+    total = d.count()
+    pages = _pages_of(d.select(d.doc_id.alias("doc_id"), item.alias("item")), "doc_id", EVENT_PAGE_ROWS)
+    body = F.concat(F.lit('{"meta": {"total_count": ' + str(total) + ', "per_page": ' + str(EVENT_PAGE_ROWS)
+                          + '}, "hackathons": ['), F.array_join("items", ","), F.lit("]}"))
+    return pages.select("page", body.alias("body"))
+
+
+def gallery_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gallery pages ``(hackathon, page, status, html)``: the projects of each
+    source as cards, 20 per page. Cards 3 mod 11 have no project link; 4 mod 13
+    no tagline; 2 mod 17 no like counter. Pages whose number plus the doc count
+    is 0 mod 7 answer HTTP 500 (the walk stops there)."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    j = d.join(lab, d.doc_id == lab.doc_id, "left")
+    doc = d.doc_id
+    likes = F.format_number((d.n_chars % 500) * 7, 0)
+    link = F.when(doc % 11 == 3, F.lit("<p>no link</p>")).otherwise(
+        F.concat(F.lit('<a href="https://devpost.com/software/p-'), doc.cast("string"), F.lit('">')))
+    card = F.concat(
+        F.lit('<div data-software-id="'), doc.cast("string"), F.lit('">'), link,
+        F.lit("<h5> "), F.substring(d.text, 1, 40), F.lit(" &amp; co </h5>"),
+        F.when(doc % 13 == 4, F.lit("")).otherwise(
+            F.concat(F.lit('<p class="small tagline"> <b>'), d.lang, F.lit("</b> </p>"))),
+        F.when(lab.quality == 1, F.lit('<img class="winner">')).otherwise(F.lit("")),
+        F.lit('<span data-url="https://devpost.com/u'), (doc % 50).cast("string"), F.lit('"></span>'),
+        F.lit('<span data-url="https://devpost.com/u'), (doc % 7).cast("string"), F.lit('"></span>'),
+        F.when(doc % 17 == 2, F.lit("")).otherwise(
+            F.concat(F.lit('<span data-count="like"> '), likes, F.lit(" </span>"))),
+        F.lit("</a></div>\n"))
+    items = j.select(doc.alias("doc_id"), d.source.alias("hackathon"), card.alias("item"))
+    pages = _pages_of(items, "doc_id", LISTING_PAGE_ROWS, ["hackathon"])
+    html = F.concat(F.lit("<html><body><div class=\"gallery\">\n"), F.array_join("items", ""),
+                    F.lit("</div></body></html>"))
+    status = F.when((F.col("page") + F.col("n_items")) % 7 == 0, F.lit(500)).otherwise(F.lit(200))
+    return pages.select("hackathon", "page", status.alias("status"), html.alias("html"), "n_items")
+
+
+def project_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project pages ``(page_id, html)`` around ``pages.html`` as the write-up:
+    pages 0 mod 4 have no built-with block, 9 mod 10 no markers at all, 0 mod 3
+    no submissions section."""
+    p = table(spark, sf_dir, "pages")
+    pid = p.page_id
+    details = F.concat(F.lit('<div id="app-details-left">'), p.html,
+                       F.when(pid % 4 == 0, F.lit("")).otherwise(F.lit('<div id="built-with"><p>Go</p></div>')),
+                       F.lit('</div>\n<div id="app-details-right"></div>'))
+    subs = F.when(pid % 3 == 0, F.lit("")).otherwise(F.concat(
+        F.lit('<div id="submissions"><ul><li><span class="winner label radius">Winner</span> Prize '),
+        pid.cast("string"), F.lit(' &amp; more </li><li><span class="winner label radius">Winner</span>'
+                                  '&nbsp;<br> </li><li>plain</li>'
+                                  '<li><span class="winner label radius">Winner</span>\n<b>Runner</b> up</li></ul></div>')))
+    html = F.when(pid % 10 == 9, F.concat(F.lit("<html>"), p.html, F.lit("</html>"))).otherwise(F.concat(details, subs))
+    return p.select(pid.alias("page_id"), html.alias("html"))
+
+
+def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl log ``(event_id, status, headers, body, attempt, now)`` from
+    ``events``: status from ``event_type``, header values from ``value``,
+    ``user_id`` and ``props.k``."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object(e.props, "$.k").try_cast("long")
+    status = (F.when(e.event_type.isin("view", "click"), F.lit(200))
+              .when(e.event_type == "purchase", F.lit(403))
+              .when(e.event_type == "error", F.lit(429))
+              .when(e.value < 5, F.lit(0)).otherwise(F.lit(404)))
+    now = F.unix_timestamp(e.ts)
+    link = (F.when(e.event_id % 4 == 0, F.concat(
+        F.lit('Link: <https://api.github.com/search/repositories?q=x&per_page=100&page=2>; rel="next", '
+              '<https://api.github.com/search/repositories?q=x&per_page=100&page='),
+        (k + 2).cast("string"), F.lit('>; rel="last"' + CRLF)))
+        .when(e.event_id % 4 == 1, F.concat(
+            F.lit('link: <https://api.github.com/search/repositories?q=x&per_page=100&page='),
+            k.cast("string"), F.lit('>; rel="prev"' + CRLF)))
+        .otherwise(F.lit("")))
+    headers = F.concat(
+        F.lit("HTTP/2 "), status.cast("string"), F.lit(" " + CRLF), F.lit("content-type: application/json" + CRLF),
+        link,
+        F.when(e.event_id % 3 == 0, F.concat(F.lit("X-RateLimit-Remaining: "), (e.user_id % 5).cast("string"),
+                                             F.lit(CRLF))).otherwise(F.lit("")),
+        F.when(e.event_id % 5 != 0, F.concat(F.lit("x-ratelimit-reset: "), (now + (e.user_id % 90)).cast("string"),
+                                             F.lit(CRLF))).otherwise(F.lit("")),
+        F.when(e.event_type == "error", F.concat(F.lit("retry-after:\t"), F.floor(e.value).cast("string"),
+                                                 F.lit(CRLF))).otherwise(F.lit("")),
+        F.lit("x-note: link: not-a-header" + CRLF))
+    body = F.when(e.event_id % 2 == 0, F.lit("API rate limit exceeded")).otherwise(F.lit("{}"))
+    return e.select(e.event_id.alias("event_id"), status.alias("status"), headers.alias("headers"),
+                    body.alias("body"), (e.event_id % 4).alias("attempt"), now.alias("now"))
