@@ -47,9 +47,10 @@ def dense_from_counts(counts: DataFrame, key: str, dim: int, out: str = "vector"
 
 
 def word_buckets(df: DataFrame, key: str, text_col: str, dim: int = HASH_DIM) -> DataFrame:
-    """``(key, bucket, cnt)``: per-document bucket counts (partial-aggregated
-    map side, so at most dim cells per document leave a task)."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(truncate_bytes(text_col)),
+    """``(key, bucket, cnt)``: per-document bucket counts over the whole text
+    (partial-aggregated map side, so at most dim cells per document leave a
+    task)."""
+    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)),
                                                           F.lit(WORD_PATTERN), 0)).alias("w"))
     return (words.select(key, hash_bucket(F.col("w"), dim).alias("bucket"))
             .groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("cnt")))
@@ -88,12 +89,14 @@ class HashingEncoder:
 
 
 def encode_with(df: DataFrame, key: str, text_col: str, encoder_factory, dim: int,
-                out: str = "vector") -> DataFrame:
-    """EMB-2 with a pluggable encoder: truncate to 32,768 bytes, skip empty
-    text, encode Arrow batches, keep only valid vectors (VEC-1) -- rows whose
-    encoding failed or came back malformed get a NULL vector and are retried on
-    the next pass."""
-    src = (df.select(key, truncate_bytes(text_col).alias("_t"))
+                out: str = "vector", max_bytes: int | None = 32768) -> DataFrame:
+    """EMB-2 with a pluggable encoder: cut to the model's input window
+    (``max_bytes``, the original model's 32,768; ``None`` = whole text), skip
+    empty text, encode Arrow batches, keep only valid vectors (VEC-1) -- rows
+    whose encoding failed or came back malformed get a NULL vector and are
+    retried on the next pass."""
+    text = truncate_bytes(text_col, max_bytes) if max_bytes else F.col(text_col)
+    src = (df.select(key, text.alias("_t"))
            .filter(F.col("_t").isNotNull() & (F.length("_t") > 0)))
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField(out, T.ArrayType(T.FloatType()))])
@@ -119,18 +122,37 @@ def pool_token_vectors(doc_tokens: DataFrame, token_table: DataFrame, key: str,
     """AGG-8: mean over the (scaled) token vectors of each document.
 
     ``doc_tokens(key, ids array<int>)``, ``token_table(token_id, vector)``.
-    The token table is joined by id (shuffle or broadcast, the planner
-    decides from its size); the mean is a per-(doc, dim) partial aggregate.
+    Token occurrences are first counted per (document, token) -- a partial
+    aggregate, so a very common token does not multiply the join -- then joined
+    to the token table by id (the planner picks broadcast or shuffle from the
+    table's size; AQE splits skewed partitions) and averaged with the counts as
+    weights, per (document, dimension).
     """
-    toks = doc_tokens.select(key, F.explode("ids").alias("token_id"))
+    toks = (doc_tokens.select(key, F.explode("ids").alias("token_id"))
+            .groupBy(key, "token_id").agg(F.count(F.lit(1)).alias("cnt")))
     j = toks.join(token_table.select("token_id", "vector"), "token_id")
     factor = math.sqrt(hidden) if scale else 1.0
-    cells = (j.select(key, F.posexplode("vector").alias("pos", "val"))
-             .groupBy(key, "pos").agg(F.avg(F.col("val").cast("double") * factor).alias("m")))
+    cells = (j.select(key, "cnt", F.posexplode("vector").alias("pos", "val"))
+             .groupBy(key, "pos")
+             .agg((F.sum(F.col("cnt") * F.col("val").cast("double") * factor) / F.sum("cnt")).alias("m")))
     return (cells.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_c"))
             .select(key, F.transform("_c", lambda s: s["m"]).alias("pooled")))
 
 
+def rule_weights(rows: int, cols: int) -> list[list[float]]:
+    """A fixed dense layer for the stand-in encoder: ``((7r + 3c) mod 11 - 5) / 10``."""
+    return [[((7 * r + 3 * c) % 11 - 5) / 10.0 for c in range(cols)] for r in range(rows)]
+
+
+def bag_of_tokens(doc_tokens: DataFrame, token_table: DataFrame, key: str, hidden: int,
+                  weights: list[list[float]], bias: list[float] | None = None) -> DataFrame:
+    """EMB-3: lookup + sqrt(hidden) scale -> mean pool (AGG-8) -> dense (VEC-5)
+    -> L2 normalise (VEC-2). ``(key, vector array<float>)``."""
+    pooled = pool_token_vectors(doc_tokens, token_table, key, hidden)
+    dense = project_dense(pooled, "pooled", weights, bias, out="_d")
+    return dense.select(key, F.transform(l2_normalize("_d"), lambda x: x.cast("float")).alias("vector"))
+
+
 def dense_matrix_literal(weights: list[list[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights])
 

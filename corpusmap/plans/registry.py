@@ -62,7 +62,7 @@ HASH_SQL = """
 
 def hash_sql(name: str, src: str, key: str, text: str, dim: int = E.HASH_DIM) -> str:
     """Sparse hashing-encoder cells ``{name}_vec(k, bucket, val)`` of a table."""
-    return HASH_SQL.format(name=name, src=src, key=key, text=truncate_sql(text), dim=dim)
+    return HASH_SQL.format(name=name, src=src, key=key, text=text, dim=dim)
 
 
 def truncate_sql(x: str, n: int = 32768) -> str:
@@ -813,3 +813,211 @@ FROM conversations""")
 def q_validate_queries(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return S.validate_queries(c, "text").select("conv_id", "turn", "valid", "reason")
+
+
+# ------------------------------------------------------------------ embedding jobs
+
+from corpusmap.operators import tokenizer as TOK  # noqa: E402
+from corpusmap.plans import maps as MAPS  # noqa: E402
+
+TOKEN_VOCAB = 500   # stand-in token table = embeddings.vec_id 0..499
+HIDDEN = 64
+DENSE_OUT = 16
+
+TOKENS_SQL = """
+toks AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER % 500 AS token_id
+         FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)),
+tc AS (SELECT doc_id, token_id, count(*) AS cnt FROM toks GROUP BY ALL),
+pooled AS (SELECT t.doc_id, u.pos - 1 AS pos, sum(t.cnt * u.val::DOUBLE * 8.0) / sum(t.cnt) AS m
+           FROM tc t JOIN embeddings e ON e.vec_id = t.token_id, unnest(e.embedding) WITH ORDINALITY AS u(val, pos)
+           GROUP BY ALL)"""
+
+DENSE_SQL = """
+w AS (SELECT r.r, c.c, (((7 * r.r + 3 * c.c) % 11) - 5) / 10.0 AS w FROM range(16) r(r), range(64) c(c)),
+proj AS (SELECT p.doc_id, w.r AS pos, sum(w.w * p.m) AS v FROM pooled p JOIN w ON w.c = p.pos GROUP BY ALL),
+pn AS (SELECT doc_id, greatest(sqrt(sum(v * v)), 1e-12) AS nrm FROM proj GROUP BY doc_id)"""
+
+
+def _token_table(spark, sf_dir):
+    return E.token_table_from_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@register("pool_token_vectors", with_sql(TOKENS_SQL) + """
+SELECT doc_id::BIGINT AS doc_id, pos::BIGINT AS pos, round(m, 6) AS value FROM pooled""")
+def q_pool_token_vectors(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    pooled = E.pool_token_vectors(TOK.word_tokens(d, "doc_id", "text", TOKEN_VOCAB), _token_table(spark, sf_dir),
+                                  "doc_id", HIDDEN)
+    return pooled.select(F.col("doc_id").cast("long"), F.posexplode("pooled").alias("pos", "value")) \
+        .select("doc_id", F.col("pos").cast("long"), F.round("value", 6).alias("value"))
+
+
+@register("embed_bag_of_tokens", with_sql(TOKENS_SQL, DENSE_SQL) + """
+SELECT p.doc_id::BIGINT AS doc_id, p.pos::BIGINT AS pos, round((p.v / n.nrm)::FLOAT::DOUBLE, 6) AS value
+FROM proj p JOIN pn n USING (doc_id)""")
+def q_embed_bag_of_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    v = E.bag_of_tokens(TOK.word_tokens(d, "doc_id", "text", TOKEN_VOCAB), _token_table(spark, sf_dir),
+                        "doc_id", HIDDEN, E.rule_weights(DENSE_OUT, HIDDEN))
+    return v.select(F.col("doc_id").cast("long"), F.posexplode("vector").alias("pos", "value")) \
+        .select("doc_id", F.col("pos").cast("long"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@register("project_dense", """
+WITH w AS (SELECT r.r, c.c, (((7 * r.r + 3 * c.c) % 11) - 5) / 10.0 AS w FROM range(16) r(r), range(64) c(c))
+SELECT e.vec_id::BIGINT AS vec_id, w.r::BIGINT AS pos, round(sum(w.w * u.val::DOUBLE) + w.r / 100.0, 6) AS value
+FROM embeddings e, unnest(e.embedding) WITH ORDINALITY AS u(val, pos) JOIN w ON w.c = u.pos - 1
+GROUP BY e.vec_id, w.r""")
+def q_project_dense(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    out = E.project_dense(e, "embedding", E.rule_weights(DENSE_OUT, HIDDEN), [r / 100.0 for r in range(DENSE_OUT)])
+    return out.select(F.col("vec_id").cast("long"), F.posexplode("projected").alias("pos", "value")) \
+        .select("vec_id", F.col("pos").cast("long"), F.round("value", 6).alias("value"))
+
+
+@register("label_vectors", with_sql(CATEGORY_LABELS_SQL) + """
+SELECT idx::BIGINT AS idx, (u.pos - 1)::BIGINT AS pos, round(u.val, 6) AS value
+FROM cat_labels, unnest(vector) WITH ORDINALITY AS u(val, pos)""")
+def q_label_vectors(spark, sf_dir):
+    lab = ST.category_labels(spark, sf_dir)
+    return lab.select(F.col("idx").cast("long"), F.posexplode("vector").alias("pos", "value")) \
+        .select("idx", F.col("pos").cast("long"), F.round("value", 6).alias("value"))
+
+
+@register("tokenize_corpus")
+def q_tokenize_corpus(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    toks = TOK.tokenize_corpus(d, "doc_id", "text", TOK.demo_model())
+    return toks.select("doc_id", "n_tokens", F.slice("ids", 1, 8).alias("head"))
+
+
+@register("embed_pending")
+def q_embed_pending(spark, sf_dir):
+    """EMB-4: pending projects of registered hackathons and pending top repos
+    (after the upsert) are embedded and written back; the rest is untouched."""
+    pr = _projects_after(spark, sf_dir)
+    rp = _repos_after(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    p_pending = S.pending_projects(pr, ST.registry(spark)).select("id")
+    r_pending = S.pending_repos(rp).select("id")
+    p_vec = E.hashing_vectors(d.join(p_pending, "id", "left_semi"), "id", "text")
+    r_vec = E.hashing_vectors(d.join(r_pending, "id", "left_semi"), "id", "text")
+    p_out = U.write_vectors(pr, p_vec).select(F.lit("project").alias("kind"), "id",
+                                               F.col("vector").isNotNull().alias("has_vector"))
+    r_out = U.write_vectors(rp, r_vec).select(F.lit("repo").alias("kind"), "id",
+                                               F.col("vector").isNotNull().alias("has_vector"))
+    return p_out.unionByName(r_out)
+
+
+# ------------------------------------------------------------------ maps and answers
+
+def _maps(spark, sf_dir):
+    members = _members(spark, sf_dir)
+    labels = ST.category_labels(spark, sf_dir)
+    points, proj, _ = MAPS.build_maps(members, labels, dim=64)
+    return points, proj, labels
+
+
+@register("build_map")
+def q_build_map(spark, sf_dir):
+    points, _, _ = _maps(spark, sf_dir)
+    return points.select("dataset", "idx", "id", "x", "y", "z", "category", "similarity")
+
+
+@register("dataset_document")
+def q_dataset_document(spark, sf_dir):
+    points, _, _ = _maps(spark, sf_dir)
+    ds = points.select("dataset", "hackathon", "year").distinct() \
+        .groupBy("dataset").agg(F.max("hackathon").alias("hackathon"), F.max("year").alias("year"))
+    cats = [f"label {i}" for i in range(10)]
+    return STORE.dataset_lines(points.drop("unit"), ds, cats)
+
+
+@register("refresh_datasets")
+def q_refresh_datasets(spark, sf_dir):
+    """STR-3: after the project upsert, only the datasets holding inserted or
+    changed rows are rebuilt and get a new generation."""
+    pr = _projects_after(spark, sf_dir)
+    members = S.dataset_members(ST.repos(spark, sf_dir), pr, ST.registry(spark))
+    gens = members.select("dataset").distinct().withColumn("generation", F.lit(1).cast("long"))
+    labels = ST.category_labels(spark, sf_dir)
+    points, gen = MAPS.refresh_datasets(members, labels, 64, pr, gens)
+    counts = points.groupBy("dataset").agg(F.count(F.lit(1)).alias("points"))
+    return gen.join(counts, "dataset", "left").select("dataset", "generation", "rebuilt",
+                                                      F.coalesce("points", F.lit(0)).alias("points"))
+
+
+def _bench_queries(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    ds = (F.when(F.col("item_id") % 3 == 0, F.lit("github")).when(F.col("item_id") % 3 == 1, F.lit("src1"))
+          .otherwise(F.lit("src2")))
+    vecs = E.hashing_vectors(b, "item_id", "text")
+    return (b.select(F.col("item_id").alias("query_id"), ds.alias("dataset"), F.col("text").alias("description"))
+            .join(vecs.withColumnRenamed("item_id", "query_id"), "query_id"))
+
+
+@register("answer_queries")
+def q_answer_queries(spark, sf_dir):
+    points, proj, labels = _maps(spark, sf_dir)
+    q = _bench_queries(spark, sf_dir)
+    ans = MAPS.answer_queries(q.select("query_id", "dataset", "vector"), points, proj, labels)
+    return ans.select("query_id", "dataset", "x", "y", "z", "category", "similarity", "rank",
+                      "nearest_idx", "nearest_id", "nearest_similarity")
+
+
+@register("answer_documents")
+def q_answer_documents(spark, sf_dir):
+    points, proj, labels = _maps(spark, sf_dir)
+    q = _bench_queries(spark, sf_dir)
+    ans = MAPS.answer_queries(q.select("query_id", "dataset", "vector"), points, proj, labels)
+    return MAPS.answer_documents(ans, q.select("query_id", "description"))
+
+
+@register("answer_text_queries")
+def q_answer_text_queries(spark, sf_dir):
+    points, proj, labels = _maps(spark, sf_dir)
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    cid = F.col("conv_id") * 1000 + F.col("turn")
+    path = (F.when(F.col("conv_id") % 4 == 0, F.lit("/datasets/github/embed"))
+            .when(F.col("conv_id") % 4 == 1, F.lit("/datasets/src1/embed"))
+            .when(F.col("conv_id") % 4 == 2, F.lit("/datasets/src3/2023/embed"))
+            .otherwise(F.lit("/datasets/nowhere/embed")))
+    req = c.select(cid.alias("query_id"), path.alias("path"), F.col("text").alias("description"))
+    ans, rej = MAPS.answer_text_queries(req, points, proj, labels, ST.registry(spark), dim=64)
+    return (ans.select("query_id", "dataset", "rank", "nearest_id", "category", F.lit(None).cast("string").alias("reason"))
+            .unionByName(rej.select("query_id", F.lit(None).cast("string").alias("dataset"),
+                                    F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("nearest_id"),
+                                    F.lit(None).cast("long").alias("category"), "reason")))
+
+
+# ------------------------------------------------------------------ streaming
+
+@register("stream_upsert")
+def q_stream_upsert(spark, sf_dir):
+    """STR-1: gallery responses land as files; the stream drains them into
+    store snapshots (upsert per micro-batch)."""
+    from corpusmap.streaming.ingest import scratch_root, stream_upsert
+    root = scratch_root(spark, "stream-upsert")
+    gp = ST.gallery_pages(spark, sf_dir).select("hackathon", "page", "status", "html")
+    src = f"{root}/incoming"
+    gp.repartition(4, "hackathon").write.mode("overwrite").parquet(src)
+    res = stream_upsert(spark, src, gp.schema, ST.projects(spark, sf_dir), root, max_files_per_trigger=1)
+    store = spark.read.parquet(res["path"])
+    return store.select("id", "slug", "name", "likes", "winner", F.col("vector").isNotNull().alias("has_vector"))
+
+
+@register("stream_embed")
+def q_stream_embed(spark, sf_dir):
+    """STR-2: pending project ids arrive as files; each micro-batch embeds and
+    writes back, publishing progress."""
+    from corpusmap.streaming.ingest import scratch_root, stream_embed
+    root = scratch_root(spark, "stream-embed")
+    pr = ST.projects(spark, sf_dir)
+    store_path = f"{root}/store0"
+    pr.write.mode("overwrite").parquet(store_path)
+    pend = f"{root}/pending"
+    pr.filter(F.col("vector").isNull()).select("id").repartition(3).write.mode("overwrite").parquet(pend)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    res = stream_embed(spark, pend, texts, store_path, root, dim=64)
+    out = spark.read.parquet(res["path"])
+    return out.select("id", F.col("vector").isNotNull().alias("has_vector"))
