@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from corpusmap.functions.text import truncate_bytes
 from corpusmap.functions.vectors import is_valid, l2_normalize
-from corpusmap.session import bounded_rows
+from corpusmap.session import bounded_rows, spread_small_input
 
 HASH_DIM = 64
 WORD_PATTERN = "[a-z]+"
@@ -50,8 +50,9 @@ def word_buckets(df: DataFrame, key: str, text_col: str, dim: int = HASH_DIM) ->
     """``(key, bucket, cnt)``: per-document bucket counts over the whole text
     (partial-aggregated map side, so at most dim cells per document leave a
     task)."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)),
-                                                          F.lit(WORD_PATTERN), 0)).alias("w"))
+    src = spread_small_input(df.select(key, text_col))
+    words = src.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)),
+                                                           F.lit(WORD_PATTERN), 0)).alias("w"))
     return (words.select(key, hash_bucket(F.col("w"), dim).alias("bucket"))
             .groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -96,7 +97,7 @@ def encode_with(df: DataFrame, key: str, text_col: str, encoder_factory, dim: in
     whose encoding failed or came back malformed get a NULL vector and are
     retried on the next pass."""
     text = truncate_bytes(text_col, max_bytes) if max_bytes else F.col(text_col)
-    src = (df.select(key, text.alias("_t"))
+    src = (spread_small_input(df.select(key, text_col)).select(key, text.alias("_t"))
            .filter(F.col("_t").isNotNull() & (F.length("_t") > 0)))
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField(out, T.ArrayType(T.FloatType()))])
@@ -117,21 +118,39 @@ def encode_with(df: DataFrame, key: str, text_col: str, encoder_factory, dim: in
 
 # ------------------------------------------------------------ bag of tokens
 
+# A token table is part of the model: its size is fixed (vocabulary x hidden),
+# known before the job starts. Up to this many cells it is broadcast once and
+# looked up per document in Arrow batches; beyond it the native join is used.
+MAX_BROADCAST_TOKEN_CELLS = 256 * 1024 * 1024   # 1 GiB of float32
+MAX_BROADCAST_TOKEN_ROWS = 1 << 20
+
+
 def pool_token_vectors(doc_tokens: DataFrame, token_table: DataFrame, key: str, hidden: int,
-                       scale: bool = True) -> DataFrame:
+                       scale: bool = True, method: str = "auto") -> DataFrame:
     """AGG-8: mean over the (scaled) token vectors of each document.
 
-    ``doc_tokens(key, ids array<int>)``, ``token_table(token_id, vector)``.
-    Token occurrences are first counted per (document, token) -- a partial
-    aggregate, so a very common token does not multiply the join -- then joined
-    to the token table by id (the planner picks broadcast or shuffle from the
-    table's size; AQE splits skewed partitions) and averaged with the counts as
-    weights, per (document, dimension).
+    ``doc_tokens(key, ids array<int>)``, ``token_table(token_id, vector)``;
+    token ids missing from the table are skipped. Two plans:
+
+    * ``broadcast`` (default while the table is within the size bound): the
+      table goes to every worker once; each Arrow batch of documents gathers
+      ``T[ids]`` and averages in numpy. No shuffle at all -- a document's ids
+      never leave its task.
+    * ``join``: occurrences are counted per (document, token) (partial
+      aggregate, so a very common token does not multiply the join), joined to
+      the table by id (AQE splits skewed partitions), and averaged with the
+      counts as weights per (document, dimension).
     """
+    factor = math.sqrt(hidden) if scale else 1.0
+    if method == "auto":
+        n = token_table.limit(MAX_BROADCAST_TOKEN_ROWS + 1).count()
+        method = "broadcast" if n <= MAX_BROADCAST_TOKEN_ROWS and n * hidden <= MAX_BROADCAST_TOKEN_CELLS \
+            else "join"
+    if method == "broadcast":
+        return _pool_broadcast(doc_tokens, token_table, key, factor)
     toks = (doc_tokens.select(key, F.explode("ids").alias("token_id"))
             .groupBy(key, "token_id").agg(F.count(F.lit(1)).alias("cnt")))
     j = toks.join(token_table.select("token_id", "vector"), "token_id")
-    factor = math.sqrt(hidden) if scale else 1.0
     cells = (j.select(key, "cnt", F.posexplode("vector").alias("pos", "val"))
              .groupBy(key, "pos")
              .agg((F.sum(F.col("cnt") * F.col("val").cast("double") * factor) / F.sum("cnt")).alias("m")))
@@ -139,6 +158,38 @@ def pool_token_vectors(doc_tokens: DataFrame, token_table: DataFrame, key: str,
             .select(key, F.transform("_c", lambda s: s["m"]).alias("pooled")))
 
 
+def _pool_broadcast(doc_tokens: DataFrame, token_table: DataFrame, key: str, factor: float) -> DataFrame:
+    rows = bounded_rows(token_table.select("token_id", "vector"), MAX_BROADCAST_TOKEN_ROWS, "token table")
+    size = max(r["token_id"] for r in rows) + 1 if rows else 0
+    dim = len(rows[0]["vector"]) if rows else 0
+    table = np.zeros((size, dim), dtype=np.float64)
+    present = np.zeros(size, dtype=bool)
+    for r in rows:
+        table[r["token_id"]] = r["vector"]
+        present[r["token_id"]] = True
+    bc = doc_tokens.sparkSession.sparkContext.broadcast((table, present))
+    schema = T.StructType([doc_tokens.schema[key], T.StructField("pooled", T.ArrayType(T.DoubleType(), False))])
+
+    def run(batches):
+        tab, ok = bc.value
+        for pdf in batches:
+            keys, out = [], []
+            for k, ids in zip(pdf[key].to_numpy(), pdf["ids"]):
+                if ids is None:
+                    continue
+                ids = np.asarray(ids, dtype=np.int64)
+                ids = ids[(ids >= 0) & (ids < len(ok))]
+                ids = ids[ok[ids]]
+                if len(ids) == 0:
+                    continue
+                keys.append(k)
+                out.append(tab[ids].mean(axis=0) * factor)
+            if keys:
+                yield pd.DataFrame({key: keys, "pooled": out})
+
+    return doc_tokens.select(key, "ids").mapInPandas(run, schema=schema)
+
+
 def rule_weights(rows: int, cols: int) -> list[list[float]]:
     """A fixed dense layer for the stand-in encoder: ``((7r + 3c) mod 11 - 5) / 10``."""
     return [[((7 * r + 3 * c) % 11 - 5) / 10.0 for c in range(cols)] for r in range(rows)]

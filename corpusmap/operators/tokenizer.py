@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmap.functions.text import MAX_TOKENS, truncate_bytes
+from corpusmap.functions.text import truncate_bytes
+from corpusmap.session import spread_small_input
 
 SPACE = "▁"
 
@@ -133,7 +134,7 @@ def tokenize_corpus(df: DataFrame, key: str, text_col: str, model: BpeModel,
     ``max_tokens=2048`` after tokenising, so ``<eos>`` is lost on long texts)."""
     bc = df.sparkSession.sparkContext.broadcast(model)
     text = truncate_bytes(text_col, max_bytes) if max_bytes else F.col(text_col)
-    src = df.select(key, text.alias("_t"))
+    src = spread_small_input(df.select(key, text_col)).select(key, text.alias("_t"))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType),
                            T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
                            T.StructField("n_tokens", T.IntegerType())])
@@ -157,4 +158,4 @@ def word_tokens(df: DataFrame, key: str, text_col: str, vocab_size: int) -> Data
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_PATTERN), 0)
     ids = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("long"),
                                               F.lit(vocab_size)).cast("int"))
-    return df.select(key, ids.alias("ids"))
+    return spread_small_input(df.select(key, text_col)).select(key, ids.alias("ids"))

@@ -450,7 +450,8 @@ def between_sql(x: str, open_m: str, close_m: str) -> str:
 
 @register("html_to_text", f"SELECT page_id, {TX.html_to_text_sql('html')} AS text FROM pages")
 def q_html_to_text(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    from corpusmap.session import spread_small_input
+    p = spread_small_input(table(spark, sf_dir, "pages").select("page_id", "html"))
     return p.select("page_id", TX.html_to_text("html").alias("text"))
 
 

@@ -116,3 +116,33 @@ def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
                     on=["_pid", *group_cols], how="inner")
     return (joined.withColumn(name, (F.col("_off") + F.col("_mono") - F.col("_first") + F.lit(start)).cast("long"))
             .drop("_pid", "_mono", "_off", "_first"))
+
+
+def spread_small_input(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
+    """Rebalance a scan that cannot use the cluster: when a Parquet input has
+    fewer row groups than the session's parallelism (a row group is the unit a
+    scan task reads), CPU-heavy text work would run in a handful of tasks, so
+    the rows are spread round-robin first. Inputs with enough row groups (any
+    real corpus) are returned untouched -- no shuffle is added. Only file
+    footers are read, and only when there are fewer files than task slots."""
+    try:
+        files = df.inputFiles()
+    except Exception:
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if not files or len(files) >= par:
+        return df
+    try:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+        groups, size = 0, 0
+        for uri in files:
+            fs, path = pafs.FileSystem.from_uri(uri)
+            md = pq.ParquetFile(fs.open_input_file(path)).metadata
+            groups += md.num_row_groups
+            size += sum(md.row_group(i).total_byte_size for i in range(md.num_row_groups))
+    except Exception:
+        return df
+    if groups >= par or size < min_bytes:
+        return df
+    return df.repartition(par)
