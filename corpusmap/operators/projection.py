@@ -69,18 +69,19 @@ def _partial_gram(batches):
                             "row": list(g), "s": s, "n": np.full(d, n, dtype=np.int64)})
 
 
-def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = np.stack(pdf["row"].to_numpy())
-    return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "i": [int(pdf["i"].iloc[0])],
-                         "row": [rows.sum(axis=0)], "s": [float(pdf["s"].sum())],
-                         "n": [int(pdf["n"].sum())]})
-
-
 def gram_rows(points: DataFrame, vec_col: str = "vector") -> DataFrame:
-    """Per (dataset, i): row i of X^T X, sum of coordinate i, n (AGG-2 input)."""
+    """Per (dataset, i): row i of X^T X, sum of coordinate i, n (AGG-2 input).
+
+    The per-task partials are added natively: a ``(dataset, i)`` group holds
+    one row per input partition that saw the dataset, so its size is bounded
+    by the partition count, not by the data."""
     pv = points.select(F.col("dataset").cast("string"), F.col(vec_col).alias("vector"))
     partial = pv.mapInPandas(_partial_gram, schema=_GRAM_SCHEMA)
-    return partial.groupBy("dataset", "i").applyInPandas(_sum_rows, schema=_GRAM_SCHEMA)
+    rows = F.collect_list("row")
+    total = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.element_at(rows, 1),
+                        lambda acc, r: F.zip_with(acc, r, lambda a, b: a + b))
+    return partial.groupBy("dataset", "i").agg(total.alias("row"), F.sum("s").alias("s"),
+                                               F.sum("n").cast("long").alias("n"))
 
 
 def scatter_matrix(points: DataFrame, vec_col: str = "vector") -> DataFrame:

@@ -21,15 +21,23 @@ from corpusmap.operators.encoders import hashing_vectors
 from corpusmap.operators.projection import fit_projection, project
 from corpusmap.operators.selection import parse_dataset_path, point_index, validate_queries
 from corpusmap.operators.similarity import NEAREST_K, categorize, nearest
+from corpusmap.session import cut_lineage
 
 
-def build_maps(members: DataFrame, labels: DataFrame, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_maps(members: DataFrame, labels: DataFrame, dim: int,
+               materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns ``(points, projection, quarantine)``.
 
     points: ``(dataset, idx, id, x, y, z, category, similarity, unit)`` plus the
     membership's other columns; projection: ``(dataset, n, mean, basis,
     eigenvalues)``; quarantine: member rows with an invalid vector.
+
+    The membership is read three times (Gram pass, index, positions), so by
+    default it is written once to the shared checkpoint folder, which also
+    cuts the lineage of the joins that produced it.
     """
+    if materialize:
+        members = cut_lineage(members)
     ok = is_valid("vector", dim)
     good = members.filter(ok)
     quarantine = members.filter(~ok).withColumn("reason", F.lit("invalid vector"))
@@ -55,6 +63,7 @@ def refresh_datasets(members: DataFrame, labels: DataFrame, dim: int, state: Dat
     Returns ``(points of rebuilt datasets, new generations)``; a reader takes the
     highest generation of each dataset.
     """
+    members = cut_lineage(members)
     touched = touched_datasets(state, members)
     all_ds = members.select("dataset").distinct()
     gen = (all_ds.join(generations, "dataset", "left")
@@ -64,7 +73,7 @@ def refresh_datasets(members: DataFrame, labels: DataFrame, dim: int, state: Dat
                    F.coalesce(F.col("_t"), F.lit(False)).alias("rebuilt")))
     # one row per dataset: AQE broadcasts these from their runtime size
     sub = members.join(touched, "dataset", "left_semi")
-    points, _, _ = build_maps(sub, labels, dim)
+    points, _, _ = build_maps(sub, labels, dim, materialize=False)
     points = points.join(gen.filter("rebuilt").select("dataset", "generation"), "dataset")
     return points, gen
 

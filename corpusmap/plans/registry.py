@@ -558,9 +558,11 @@ SELECT w.name, w.year::BIGINT AS year_filter, e.host, e.year
 FROM ev e JOIN wanted w ON starts_with(lower(e.title), lower(w.name)) AND (w.year <= 0 OR e.year = w.year)""")
 def q_match_events(spark, sf_dir):
     hosts, _, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
-    wanted = spark.createDataFrame([("the", 0), ("le", 2020), ("in", 2022), ("un", 0)], "name string, year_filter long")
-    # fixed filter list (configuration), broadcast
-    j = hosts.join(F.broadcast(wanted), F.startswith(F.lower(F.col("title")), F.lower(F.col("name"))))
+    # a fixed list of (name, year) filters: each event is tested against every
+    # entry of the list (an explode of a literal array, no join)
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(y).cast("long").alias("year_filter"))
+                       for n, y in [("the", 0), ("le", 2020), ("in", 2022), ("un", 0)]])
+    j = hosts.select("*", F.inline(wanted))
     return S.match_events(j, name_col="name", year_col="year_filter").select("name", "year_filter", "host", "year")
 
 
@@ -601,11 +603,12 @@ SELECT g.hackathon, g.page, g.cards::BIGINT AS cards, g.ok,
        g.page < coalesce(s.first_bad, 201) AND s.any_failed IS NULL AS kept_whole
 FROM gs g JOIN stops s USING (hackathon)""")
 def q_contiguous_pages(spark, sf_dir):
-    gp = ST.gallery_pages(spark, sf_dir)
+    from corpusmap.session import cut_lineage
+    gp = cut_lineage(ST.gallery_pages(spark, sf_dir))  # the stored bronze pages
     rows, counts = PG.parse_gallery(gp, keys=["hackathon", "page"])
-    pages = (gp.select("hackathon", "page", (F.col("status") == 200).alias("ok"))
-             .join(counts, ["hackathon", "page"], "left")
-             .withColumn("cards", F.coalesce(F.col("cards"), F.lit(0)).cast("long")))
+    pages = cut_lineage(gp.select("hackathon", "page", (F.col("status") == 200).alias("ok"))
+                        .join(counts, ["hackathon", "page"], "left")
+                        .withColumn("cards", F.coalesce(F.col("cards"), F.lit(0)).cast("long")))
     a = M.contiguous_pages(pages, "hackathon", "keep_prefix").withColumnRenamed("kept", "kept_prefix")
     b = M.contiguous_pages(pages, "hackathon", "all_or_nothing").select("hackathon", "page",
                                                                          F.col("kept").alias("kept_whole"))
@@ -896,8 +899,9 @@ def q_tokenize_corpus(spark, sf_dir):
 def q_embed_pending(spark, sf_dir):
     """EMB-4: pending projects of registered hackathons and pending top repos
     (after the upsert) are embedded and written back; the rest is untouched."""
-    pr = _projects_after(spark, sf_dir)
-    rp = _repos_after(spark, sf_dir)
+    from corpusmap.session import cut_lineage
+    pr = cut_lineage(_projects_after(spark, sf_dir))   # the store snapshots after the upserts
+    rp = cut_lineage(_repos_after(spark, sf_dir))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     p_pending = S.pending_projects(pr, ST.registry(spark)).select("id")
     r_pending = S.pending_repos(rp).select("id")
@@ -938,7 +942,8 @@ def q_dataset_document(spark, sf_dir):
 def q_refresh_datasets(spark, sf_dir):
     """STR-3: after the project upsert, only the datasets holding inserted or
     changed rows are rebuilt and get a new generation."""
-    pr = _projects_after(spark, sf_dir)
+    from corpusmap.session import cut_lineage
+    pr = cut_lineage(_projects_after(spark, sf_dir))   # the store snapshot after the upsert
     members = S.dataset_members(ST.repos(spark, sf_dir), pr, ST.registry(spark))
     gens = members.select("dataset").distinct().withColumn("generation", F.lit(1).cast("long"))
     labels = ST.category_labels(spark, sf_dir)
