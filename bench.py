@@ -3,7 +3,8 @@
 
 Each query is executed in full with the ``noop`` sink (every row computed,
 nothing brought to the driver). The first pass of a query also pays for Python
-worker start-up, so each is run twice and the faster run is reported.
+worker start-up and JIT warm-up, so each is run three times and the fastest
+run is reported.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def main() -> None:
     times = {}
     for name in names:
         best = None
-        for _ in range(2):
+        for _ in range(3):
             t0 = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             dt = time.perf_counter() - t0

@@ -39,11 +39,13 @@ def label_matrix(labels: DataFrame, vec_col: str = "vector") -> list[list[float]
     return [[float(x) for x in r[vec_col]] for r in rows]
 
 
-def categorize(points: DataFrame, labels: DataFrame, vec_col: str = "vector",
+def categorize(points: DataFrame, labels, vec_col: str = "vector",
                unit_col: str | None = None, places: int = 4) -> DataFrame:
     """Adds ``category`` (index of the most similar label, lowest index on ties)
-    and ``similarity`` (that cosine, rounded). Labels must be unit vectors."""
-    mat = label_matrix(labels)
+    and ``similarity`` (that cosine, rounded). Labels must be unit vectors;
+    ``labels`` is the label table or a matrix already taken from it with
+    ``label_matrix`` (so one job can categorise several frames)."""
+    mat = labels if isinstance(labels, list) else label_matrix(labels)
     lit = F.array(*[F.array(*[F.lit(v) for v in row]) for row in mat])
     u = F.col(unit_col) if unit_col else l2_normalize(vec_col)
     out = points.withColumn("_u", u).withColumn("_sims", F.transform(lit, lambda l: dot("_u", l)))
@@ -109,9 +111,7 @@ def _make_topk(qblock: dict, k: int, key_col: str, group_col: str | None, extra:
     return run
 
 
-def _query_block(queries: DataFrame, qvec: str, group_col: str | None):
-    cols = ["query_id", qvec] + ([group_col] if group_col else [])
-    rows = bounded_rows(queries.select(*cols), QUERY_BLOCK, "query block")
+def _block_from_rows(rows, qvec: str, group_col: str | None):
     block: dict = {}
     for r in rows:
         g = r[group_col] if group_col else None
@@ -130,12 +130,15 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = NEAREST_K, key_col:
     only compared with points of its own group (e.g. dataset).
     """
     extra = list(extra or [])
-    nq = queries.count()
-    if nq <= QUERY_BLOCK:
-        blocks = [queries]
-    else:
-        indexed = dense_index(queries, ["query_id"], name="_qpos")
-        blocks = [indexed.filter((F.col("_qpos") / QUERY_BLOCK).cast("long") == b).drop("_qpos")
+    cols = ["query_id", qvec] + ([group_col] if group_col else [])
+    first = queries.select(*cols).limit(QUERY_BLOCK + 1).collect()
+    if len(first) <= QUERY_BLOCK:          # the usual case: one block, one job
+        blocks = [first]
+    else:                                  # block by block, each block checked
+        indexed = dense_index(queries.select(*cols), ["query_id"], name="_qpos")
+        nq = indexed.count()
+        blocks = [bounded_rows(indexed.filter((F.col("_qpos") / QUERY_BLOCK).cast("long") == b).drop("_qpos"),
+                               QUERY_BLOCK, "query block")
                   for b in range((nq + QUERY_BLOCK - 1) // QUERY_BLOCK)]
     pts = points.select(key_col, *extra, *([group_col] if group_col else []), F.col(vec_col).alias("_vec"))
     key_type = points.schema[key_col].dataType
@@ -147,10 +150,15 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = NEAREST_K, key_col:
         fields.append(points.schema[group_col])
     schema = T.StructType(fields)
     cands = None
-    for qb in blocks:
-        block = _query_block(qb, qvec, group_col)
+    for rows in blocks:
+        if not rows:
+            continue
+        block = _block_from_rows(rows, qvec, group_col)
         part = pts.mapInPandas(_make_topk(block, k, key_col, group_col, extra), schema=schema)
         cands = part if cands is None else cands.unionByName(part)
+    if cands is None:
+        return points.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0)) \
+            .withColumn("similarity", F.col("cosine"))
     parts = ["query_id"] + ([group_col] if group_col else [])
     w = Window.partitionBy(*parts).orderBy(F.desc("cosine"), F.asc(key_col))
     ranked = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -24,7 +24,7 @@ from corpusmap.operators.similarity import NEAREST_K, categorize, nearest
 from corpusmap.session import cut_lineage
 
 
-def build_maps(members: DataFrame, labels: DataFrame, dim: int,
+def build_maps(members: DataFrame, labels, dim: int,
                materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns ``(points, projection, quarantine)``.
 
@@ -34,7 +34,9 @@ def build_maps(members: DataFrame, labels: DataFrame, dim: int,
 
     The membership is read three times (Gram pass, index, positions), so by
     default it is written once to the shared checkpoint folder, which also
-    cuts the lineage of the joins that produced it.
+    cuts the lineage of the joins that produced it; the projection (one small
+    row per dataset) is written right after the fit, so every later reader --
+    positions now, query answers later -- reuses it instead of refitting.
     """
     if materialize:
         members = cut_lineage(members)
@@ -42,6 +44,8 @@ def build_maps(members: DataFrame, labels: DataFrame, dim: int,
     good = members.filter(ok)
     quarantine = members.filter(~ok).withColumn("reason", F.lit("invalid vector"))
     proj = fit_projection(good)
+    if materialize:
+        proj = cut_lineage(proj)
     indexed = point_index(good)
     placed = project(indexed, proj)
     unit = placed.withColumn("unit", F.transform(l2_normalize("vector"), lambda x: x.cast("float")))
@@ -55,7 +59,7 @@ def touched_datasets(state: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(changed, "id", "left_semi").select("dataset").distinct()
 
 
-def refresh_datasets(members: DataFrame, labels: DataFrame, dim: int, state: DataFrame,
+def refresh_datasets(members: DataFrame, labels, dim: int, state: DataFrame,
                      generations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """STR-3: rebuild only the maps whose rows changed; bump their generation.
 
@@ -78,7 +82,7 @@ def refresh_datasets(members: DataFrame, labels: DataFrame, dim: int, state: Dat
     return points, gen
 
 
-def answer_queries(queries: DataFrame, points: DataFrame, projection: DataFrame, labels: DataFrame,
+def answer_queries(queries: DataFrame, points: DataFrame, projection: DataFrame, labels,
                    k: int = NEAREST_K) -> DataFrame:
     """VEC-8: ``queries(query_id, dataset, vector)`` -> one row per (query,
     rank): ``x, y, z, rank, nearest_idx, nearest_id, category, similarity``
@@ -105,7 +109,7 @@ def answer_documents(answers: DataFrame, descriptions: DataFrame) -> DataFrame:
         F.array("x", "y", "z").alias("position"), F.col("similarity"))).alias("document"))
 
 
-def answer_text_queries(requests: DataFrame, points: DataFrame, projection: DataFrame, labels: DataFrame,
+def answer_text_queries(requests: DataFrame, points: DataFrame, projection: DataFrame, labels,
                         registry: DataFrame, dim: int, k: int = NEAREST_K) -> tuple[DataFrame, DataFrame]:
     """STR-5: ``requests(query_id, path, description)`` -> answers + rejects.
 

@@ -916,10 +916,15 @@ def q_embed_pending(spark, sf_dir):
 
 # ------------------------------------------------------------------ maps and answers
 
-def _maps(spark, sf_dir):
+def _maps(spark, sf_dir, stored: bool = False):
+    """The dataset maps; with ``stored`` they are written once to the shared
+    checkpoint folder first -- the snapshot that query answering reads."""
     members = _members(spark, sf_dir)
-    labels = ST.category_labels(spark, sf_dir)
+    labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))  # fixed-size label matrix, taken once
     points, proj, _ = MAPS.build_maps(members, labels, dim=64)
+    if stored:
+        from corpusmap.session import cut_lineage
+        points = cut_lineage(points)
     return points, proj, labels
 
 
@@ -946,7 +951,7 @@ def q_refresh_datasets(spark, sf_dir):
     pr = cut_lineage(_projects_after(spark, sf_dir))   # the store snapshot after the upsert
     members = S.dataset_members(ST.repos(spark, sf_dir), pr, ST.registry(spark))
     gens = members.select("dataset").distinct().withColumn("generation", F.lit(1).cast("long"))
-    labels = ST.category_labels(spark, sf_dir)
+    labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))
     points, gen = MAPS.refresh_datasets(members, labels, 64, pr, gens)
     counts = points.groupBy("dataset").agg(F.count(F.lit(1)).alias("points"))
     return gen.join(counts, "dataset", "left").select("dataset", "generation", "rebuilt",
@@ -1027,3 +1032,21 @@ def q_stream_embed(spark, sf_dir):
     res = stream_embed(spark, pend, texts, store_path, root, dim=64)
     out = spark.read.parquet(res["path"])
     return out.select("id", F.col("vector").isNotNull().alias("has_vector"))
+
+
+@register("split_lines", """
+SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: x <> ''))::BIGINT AS n_lines,
+       list_filter(string_split(text, chr(10)), lambda x: x <> '')[1] AS first_line
+FROM documents""")
+def q_split_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    lines = TX.split_lines("text")
+    return d.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.get(lines, 0).alias("first_line"))
+
+
+@register("catalog_document")
+def q_catalog_document(spark, sf_dir):
+    """AGG-5 as the single JSON document the catalog request returns (one
+    entry per registered hackathon plus github: a configuration-sized list)."""
+    c = S.catalog(ST.projects(spark, sf_dir), ST.registry(spark))
+    return S.catalog_document(c)

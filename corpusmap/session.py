@@ -99,10 +99,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "snapshot") -> DataFrame:
+    """Write ``df`` once as a Parquet table under the session's shared
+    checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` (a lost executor re-reads the
+    files instead of recomputing the plan), and unlike an RDD checkpoint the
+    table is columnar: later readers prune columns and push filters into the
+    scan, and the planner sees its real size.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/corpusmap-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_rows(df: DataFrame, max_rows: int, what: str):
