@@ -53,21 +53,23 @@ def dataset_rows(repos: DataFrame | None, projects: DataFrame | None, hackathon:
 
 def dataset_members(repos: DataFrame, projects: DataFrame, registry: DataFrame,
                     n: int = TOP_REPOS) -> DataFrame:
-    """SET-2: every selection at once -> ``(dataset, id, vector, hackathon, year, ...)``.
+    """SET-2: every selection at once -> ``(dataset, kind, id, vector, hackathon, year)``
+    (``kind`` is ``repo`` or ``project``: the two tables have separate ids).
 
     Repos feed ``github`` (filter, then top n); each embedded project of a
     registered hackathon feeds ``<hackathon>`` and ``<hackathon>/<year>`` --
     one scan of the projects and an ``explode`` (a hand-written grouping set).
     """
     gh = (top_repos(repos.filter(F.col("vector").isNotNull()), n)
-          .select(F.lit(GITHUB).alias("dataset"), "id", "vector",
+          .select(F.lit(GITHUB).alias("dataset"), F.lit("repo").alias("kind"), "id", "vector",
                   F.lit(None).cast("string").alias("hackathon"), F.lit(None).cast("int").alias("year")))
     reg = F.broadcast(registry.select("hackathon"))
     pj = projects.filter(F.col("vector").isNotNull()).join(reg, "hackathon", "left_semi")
     names = F.filter(F.array(F.col("hackathon"),
                              F.concat(F.col("hackathon"), F.lit("/"), F.col("year").cast("string"))),
                      lambda x: x.isNotNull())
-    pm = pj.select(F.explode(names).alias("dataset"), "id", "vector", "hackathon", "year")
+    pm = pj.select(F.explode(names).alias("dataset"), F.lit("project").alias("kind"), "id", "vector",
+                   "hackathon", "year")
     return gh.unionByName(pm)
 
 

@@ -69,10 +69,12 @@ def _topk_keep_ties(sims: np.ndarray, keys: np.ndarray, k: int):
     return [np.nonzero(sims[:, j] >= part[j])[0] for j in range(sims.shape[1])]
 
 
-def _make_topk(qblock: dict, k: int, key_col: str, group_col: str | None, extra: list[str]):
-    """Build the per-partition function; ``qblock`` maps group -> (ids, unit matrix)."""
+def _make_topk(qblock_bc, k: int, key_col: str, group_col: str | None, extra: list[str]):
+    """Build the per-partition function; the broadcast ``qblock_bc`` maps
+    group -> (query ids, unit query matrix)."""
 
     def run(batches):
+        qblock = qblock_bc.value
         state: dict = {}  # group -> (sims[m, q], rows DataFrame)
         for pdf in batches:
             if pdf.empty:
@@ -153,7 +155,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = NEAREST_K, key_col:
     for rows in blocks:
         if not rows:
             continue
-        block = _block_from_rows(rows, qvec, group_col)
+        block = points.sparkSession.sparkContext.broadcast(_block_from_rows(rows, qvec, group_col))
         part = pts.mapInPandas(_make_topk(block, k, key_col, group_col, extra), schema=schema)
         cands = part if cands is None else cands.unionByName(part)
     if cands is None:

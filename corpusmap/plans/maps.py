@@ -48,19 +48,23 @@ def build_maps(members: DataFrame, labels, dim: int,
         proj = cut_lineage(proj)
     indexed = point_index(good)
     placed = project(indexed, proj)
-    unit = placed.withColumn("unit", F.transform(l2_normalize("vector"), lambda x: x.cast("float")))
-    points = categorize(unit, labels, unit_col="unit").drop("vector")
+    # category from the unit vector in double; the stored unit vector is float32
+    points = (categorize(placed, labels)
+              .withColumn("unit", F.transform(l2_normalize("vector"), lambda x: x.cast("float")))
+              .drop("vector"))
     return points, proj, quarantine
 
 
-def touched_datasets(state: DataFrame, members: DataFrame) -> DataFrame:
-    """STR-3: datasets holding a row the last upsert inserted or changed."""
+def touched_datasets(state: DataFrame, members: DataFrame, kind: str) -> DataFrame:
+    """STR-3: datasets holding a row of ``kind`` that the last upsert of that
+    table inserted or changed."""
     changed = state.filter(F.col("action").isin("insert", "update")).select("id")
-    return members.join(changed, "id", "left_semi").select("dataset").distinct()
+    return (members.filter(F.col("kind") == kind).join(changed, "id", "left_semi")
+            .select("dataset").distinct())
 
 
 def refresh_datasets(members: DataFrame, labels, dim: int, state: DataFrame,
-                     generations: DataFrame) -> tuple[DataFrame, DataFrame]:
+                     generations: DataFrame, kind: str = "project") -> tuple[DataFrame, DataFrame]:
     """STR-3: rebuild only the maps whose rows changed; bump their generation.
 
     ``generations(dataset, generation)`` is the stored counter (missing = 0).
@@ -68,7 +72,7 @@ def refresh_datasets(members: DataFrame, labels, dim: int, state: DataFrame,
     highest generation of each dataset.
     """
     members = cut_lineage(members)
-    touched = touched_datasets(state, members)
+    touched = touched_datasets(state, members, kind)
     all_ds = members.select("dataset").distinct()
     gen = (all_ds.join(generations, "dataset", "left")
            .join(touched.withColumn("_t", F.lit(True)), "dataset", "left")

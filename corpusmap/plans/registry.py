@@ -419,15 +419,23 @@ def q_write_prizes(spark, sf_dir):
     return out.select("id", F.array_join("prizes", "\n").alias("prizes"))
 
 
-@register("write_vectors")
+WORDY_SQL = """
+wordy AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) AS name FROM documents
+          WHERE len(regexp_extract_all(lower(text), '[a-z]+')) > 0)"""
+
+
+@register("write_vectors", with_sql(PROJECTS_SQL, WORDY_SQL) + """
+SELECT p.id, (p.vector IS NOT NULL OR w.doc_id IS NOT NULL) AS has_vector,
+       (CASE WHEN p.vector IS NOT NULL OR w.doc_id IS NOT NULL THEN 64 END)::BIGINT AS dim
+FROM projects p LEFT JOIN wordy w ON w.doc_id = p.id""")
 def q_write_vectors(spark, sf_dir):
     pr = ST.projects(spark, sf_dir)
     d = table(spark, sf_dir, "documents")
-    vecs = E.hashing_vectors(d, "doc_id", "text").withColumnRenamed("doc_id", "id")
     pending = pr.filter(F.col("vector").isNull()).select("id")
-    new = vecs.join(pending, "id", "left_semi")
+    new = E.hashing_vectors(d.withColumnRenamed("doc_id", "id").join(pending, "id", "left_semi"), "id", "text")
     out = U.write_vectors(pr, new)
-    return out.select("id", F.col("vector").isNotNull().alias("has_vector"), F.size("vector").alias("dim"))
+    has = F.col("vector").isNotNull()
+    return out.select("id", has.alias("has_vector"), F.when(has, F.size("vector")).cast("long").alias("dim"))
 
 
 # ------------------------------------------------------------------ text functions
@@ -895,22 +903,34 @@ def q_tokenize_corpus(spark, sf_dir):
     return toks.select("doc_id", "n_tokens", F.slice("ids", 1, 8).alias("head"))
 
 
-@register("embed_pending")
+@register("embed_pending", with_sql(PROJECT_STATE_SQL[len("WITH "):], REPOS_SQL, REPO_BATCH_SQL, REPO_UPSERT_SQL,
+                                    REGISTRY_SQL, WORDY_SQL, """
+rtop AS (SELECT * FROM repos_after ORDER BY stars DESC NULLS LAST, id LIMIT 1000)""") + """
+SELECT 'project' AS kind, p.id,
+       (p.vector IS NOT NULL OR (p.hackathon IN (SELECT hackathon FROM registry) AND w.doc_id IS NOT NULL)) AS has_vector
+FROM projects_state p LEFT JOIN wordy w ON w.doc_id = p.id
+UNION ALL
+SELECT 'repo', r.id, (r.vector IS NOT NULL OR (r.id IN (SELECT id FROM rtop) AND w.name IS NOT NULL))
+FROM repos_after r LEFT JOIN wordy w ON w.name = r.name""")
 def q_embed_pending(spark, sf_dir):
-    """EMB-4: pending projects of registered hackathons and pending top repos
-    (after the upsert) are embedded and written back; the rest is untouched."""
+    """EMB-4: after the upserts, the pending projects of registered hackathons
+    and the pending repos among the top 1000 are embedded (hashing encoder)
+    and written back; everything else is untouched. Project texts are looked
+    up by id, repo texts (the read-me) by name."""
     from corpusmap.session import cut_lineage
     pr = cut_lineage(_projects_after(spark, sf_dir))   # the store snapshots after the upserts
     rp = cut_lineage(_repos_after(spark, sf_dir))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    d = table(spark, sf_dir, "documents")
+    p_text = d.select(F.col("doc_id").alias("id"), "text")
+    r_text = d.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("name"), "text")
     p_pending = S.pending_projects(pr, ST.registry(spark)).select("id")
-    r_pending = S.pending_repos(rp).select("id")
-    p_vec = E.hashing_vectors(d.join(p_pending, "id", "left_semi"), "id", "text")
-    r_vec = E.hashing_vectors(d.join(r_pending, "id", "left_semi"), "id", "text")
+    r_pending = S.pending_repos(rp).select("name")
+    p_vec = E.hashing_vectors(p_text.join(p_pending, "id", "left_semi"), "id", "text")
+    r_vec = E.hashing_vectors(r_text.join(r_pending, "name", "left_semi"), "name", "text")
     p_out = U.write_vectors(pr, p_vec).select(F.lit("project").alias("kind"), "id",
                                                F.col("vector").isNotNull().alias("has_vector"))
-    r_out = U.write_vectors(rp, r_vec).select(F.lit("repo").alias("kind"), "id",
-                                               F.col("vector").isNotNull().alias("has_vector"))
+    r_out = U.write_vectors(rp, r_vec, key="name").select(F.lit("repo").alias("kind"), "id",
+                                                          F.col("vector").isNotNull().alias("has_vector"))
     return p_out.unionByName(r_out)
 
 
@@ -952,10 +972,20 @@ def q_refresh_datasets(spark, sf_dir):
     members = S.dataset_members(ST.repos(spark, sf_dir), pr, ST.registry(spark))
     gens = members.select("dataset").distinct().withColumn("generation", F.lit(1).cast("long"))
     labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))
-    points, gen = MAPS.refresh_datasets(members, labels, 64, pr, gens)
+    points, gen = MAPS.refresh_datasets(members, labels, 64, pr, gens, kind="project")
     counts = points.groupBy("dataset").agg(F.count(F.lit(1)).alias("points"))
     return gen.join(counts, "dataset", "left").select("dataset", "generation", "rebuilt",
-                                                      F.coalesce("points", F.lit(0)).alias("points"))
+                                                      F.coalesce("points", F.lit(0)).cast("long").alias("points"))
+
+
+ORACLE_SQL["refresh_datasets"] = PROJECT_STATE_SQL + ",\n" + ",\n".join(f.strip() for f in (
+    REPOS_SQL, REGISTRY_SQL, MEMBERS_SQL.replace("FROM projects p", "FROM projects_state p"), """
+touched AS (SELECT DISTINCT m.dataset FROM members m JOIN projects_state s ON s.id = m.id
+            WHERE m.dataset <> 'github' AND s.action IN ('insert', 'update'))""")) + """
+SELECT m.dataset, (1 + CASE WHEN t.dataset IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS generation,
+       t.dataset IS NOT NULL AS rebuilt,
+       (CASE WHEN t.dataset IS NOT NULL THEN count(*) ELSE 0 END)::BIGINT AS points
+FROM members m LEFT JOIN touched t ON t.dataset = m.dataset GROUP BY m.dataset, t.dataset"""
 
 
 def _bench_queries(spark, sf_dir):
@@ -1017,6 +1047,19 @@ def q_stream_upsert(spark, sf_dir):
     return store.select("id", "slug", "name", "likes", "winner", F.col("vector").isNotNull().alias("has_vector"))
 
 
+ORACLE_SQL["stream_upsert"] = with_sql(PROJECTS_SQL, GALLERY_EXPECTED_SQL, f"""
+gstatus AS (SELECT hackathon, page, NOT ((page + any_value(n_items)) % 7 = 0) AS ok FROM gcards GROUP BY hackathon, page),
+project_batch AS (
+  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || substring(c.text, 1, 40) || ' &amp; co '")} AS name,
+         CASE WHEN c.doc_id % 13 = 4 THEN NULL ELSE c.lang END AS tagline,
+         (CASE WHEN c.doc_id % 17 = 2 THEN 0 ELSE (c.n_chars % 500) * 7 END)::BIGINT AS likes,
+         ['u' || CAST(c.doc_id % 50 AS VARCHAR), 'u' || CAST(c.doc_id % 7 AS VARCHAR)] AS members,
+         c.hackathon, NULL::INTEGER AS year, coalesce(c.quality = 1, false) AS winner,
+         (c.page * 1000 + c.card)::BIGINT AS ord
+  FROM gcards c JOIN gstatus s USING (hackathon, page) WHERE c.has_link AND s.ok)""", PROJECT_UPSERT_SQL) + """
+SELECT id, slug, name, likes, winner, vector IS NOT NULL AS has_vector FROM projects_state"""
+
+
 @register("stream_embed")
 def q_stream_embed(spark, sf_dir):
     """STR-2: pending project ids arrive as files; each micro-batch embeds and
@@ -1034,6 +1077,11 @@ def q_stream_embed(spark, sf_dir):
     return out.select("id", F.col("vector").isNotNull().alias("has_vector"))
 
 
+ORACLE_SQL["stream_embed"] = with_sql(PROJECTS_SQL, WORDY_SQL) + """
+SELECT p.id, (p.vector IS NOT NULL OR w.doc_id IS NOT NULL) AS has_vector
+FROM projects p LEFT JOIN wordy w ON w.doc_id = p.id"""
+
+
 @register("split_lines", """
 SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: x <> ''))::BIGINT AS n_lines,
        list_filter(string_split(text, chr(10)), lambda x: x <> '')[1] AS first_line
@@ -1050,3 +1098,60 @@ def q_catalog_document(spark, sf_dir):
     entry per registered hackathon plus github: a configuration-sized list)."""
     c = S.catalog(ST.projects(spark, sf_dir), ST.registry(spark))
     return S.catalog_document(c)
+
+
+# ------------------------------------------------------------------ value checks of composed jobs
+
+MEMBER_INDEX_SQL = """
+mi AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY id) - 1 AS idx FROM members)"""
+
+
+@register("map_categories", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, MEMBER_INDEX_SQL,
+                                     CATEGORY_LABELS_SQL, """
+sims AS (SELECT m.dataset, m.id, m.idx, c.idx AS cat, list_cosine_similarity(m.vector::DOUBLE[], c.vector) AS sim
+         FROM mi m, cat_labels c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset, id ORDER BY sim DESC, cat) AS rn FROM sims)""") + """
+SELECT dataset, idx::BIGINT AS idx, id::BIGINT AS id, cat::BIGINT AS category, round(sim, 4) AS similarity
+FROM ranked WHERE rn = 1""")
+def q_map_categories(spark, sf_dir):
+    """STR-4's non-PCA columns: every point's index and category in its map."""
+    points, _, _ = _maps(spark, sf_dir)
+    return points.select("dataset", "idx", F.col("id").cast("long"), "category", "similarity")
+
+
+QUERY_NEIGHBOURS_SQL = """
+qd AS (SELECT DISTINCT k AS query_id,
+              CASE k % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'src1' ELSE 'src2' END AS dataset FROM q_vec),
+pc AS (SELECT m.dataset, m.id, m.idx, u.pos - 1 AS bucket, u.val::DOUBLE AS v
+       FROM mi m, unnest(m.vector) WITH ORDINALITY AS u(val, pos)),
+pcn AS (SELECT dataset, id, greatest(sqrt(sum(v * v)), 1e-12) AS nrm FROM pc GROUP BY ALL),
+qn AS (SELECT k, greatest(sqrt(sum(val::DOUBLE * val::DOUBLE)), 1e-12) AS nrm FROM q_vec GROUP BY k),
+nsims AS (
+  SELECT d.query_id, d.dataset, p.id, any_value(p.idx) AS idx,
+         sum(q.val::DOUBLE * p.v) / (any_value(qn.nrm) * any_value(pcn.nrm)) AS cosine
+  FROM qd d JOIN q_vec q ON q.k = d.query_id JOIN pc p ON p.dataset = d.dataset AND p.bucket = q.bucket
+       JOIN qn ON qn.k = d.query_id JOIN pcn ON pcn.dataset = p.dataset AND pcn.id = p.id
+  GROUP BY d.query_id, d.dataset, p.id),
+nranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM nsims),
+qvec AS (SELECT k, list(val::DOUBLE ORDER BY bucket) AS v, list(bucket ORDER BY bucket) AS b FROM q_vec GROUP BY k),
+qdense AS (SELECT k, [coalesce(v[list_position(b, i)], 0.0) FOR i IN range(64)] AS vec FROM qvec),
+qcat AS (SELECT q.k AS query_id, c.idx AS cat, list_cosine_similarity(q.vec, c.vector) AS sim,
+                row_number() OVER (PARTITION BY q.k ORDER BY list_cosine_similarity(q.vec, c.vector) DESC, c.idx) AS rn
+         FROM qdense q, cat_labels c)"""
+
+
+@register("answer_neighbours", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, MEMBER_INDEX_SQL,
+                                        CATEGORY_LABELS_SQL, hash_sql("q", "benchmark", "item_id", "text"),
+                                        QUERY_NEIGHBOURS_SQL) + """
+SELECT n.query_id::BIGINT AS query_id, n.dataset, n.rank::BIGINT AS rank, n.idx::BIGINT AS nearest_idx,
+       n.id::BIGINT AS nearest_id, c.cat::BIGINT AS category, round(c.sim, 4) AS similarity
+FROM nranked n JOIN qcat c ON c.query_id = n.query_id AND c.rn = 1
+WHERE n.rank <= 8""")
+def q_answer_neighbours(spark, sf_dir):
+    """VEC-8's non-PCA part: each query's 8 nearest points of its dataset
+    (index and id) and its category."""
+    points, proj, labels = _maps(spark, sf_dir)
+    q = _bench_queries(spark, sf_dir)
+    ans = MAPS.answer_queries(q.select("query_id", "dataset", "vector"), points, proj, labels)
+    return ans.select(F.col("query_id").cast("long"), "dataset", F.col("rank").cast("long"),
+                      F.col("nearest_idx").cast("long"), F.col("nearest_id").cast("long"), "category", "similarity")

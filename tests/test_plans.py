@@ -49,8 +49,8 @@ def test_limit_events(spark):
 def test_refresh_rebuilds_only_touched(spark):
     rng = np.random.default_rng(8)
     rows = [(ds, i, [float(x) for x in rng.normal(size=4)]) for ds, n in (("a", 12), ("b", 9)) for i in range(n)]
-    members = spark.createDataFrame([(ds, i + (100 if ds == "b" else 0), v) for ds, i, v in rows],
-                                    "dataset string, id long, vector array<float>")
+    members = spark.createDataFrame([(ds, "project", i + (100 if ds == "b" else 0), v) for ds, i, v in rows],
+                                    "dataset string, kind string, id long, vector array<float>")
     state = spark.createDataFrame([(3, "update"), (4, "unchanged"), (105, "unchanged")], "id long, action string")
     gens = spark.createDataFrame([("a", 5), ("b", 2)], "dataset string, generation long")
     labels = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]]
