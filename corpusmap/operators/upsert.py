@@ -155,3 +155,25 @@ def write_prizes(projects: DataFrame, fetched: DataFrame, only_winners: bool = T
     if only_winners:
         ok = ok & F.coalesce(F.col("winner"), F.lit(False))
     return j.withColumn("prizes", F.when(ok, F.col("_new")).otherwise(F.col("prizes"))).drop("_new")
+
+
+def upsert_into_store(store_path: str, batch: DataFrame, partition_col: str = "hackathon",
+                      key: str = "id") -> dict:
+    """JOIN-2 applied to a Parquet store partitioned by ``partition_col``,
+    rewriting only the partitions the batch touches: those holding a stored
+    row whose key is in the batch, plus those the batch's rows name (see
+    ``rewrite_partitions``). The upsert is idempotent, so a retried
+    micro-batch leaves the same store. Returns touched-partition and per-action
+    counts."""
+    from corpusmap.sources.store import rewrite_partitions
+    return rewrite_partitions(store_path, batch, lambda current: upsert_projects(current, batch),
+                              partition_col, key, extra_partitions=batch)
+
+
+def write_vectors_into_store(store_path: str, vectors: DataFrame, partition_col: str = "hackathon",
+                             key: str = "id") -> dict:
+    """JOIN-3 on a partitioned store: only partitions holding a written id are
+    rewritten."""
+    from corpusmap.sources.store import rewrite_partitions
+    return rewrite_partitions(store_path, vectors, lambda current: write_vectors(current, vectors, key),
+                              partition_col, key)

@@ -1067,8 +1067,8 @@ def q_stream_embed(spark, sf_dir):
     from corpusmap.streaming.ingest import scratch_root, stream_embed
     root = scratch_root(spark, "stream-embed")
     pr = ST.projects(spark, sf_dir)
-    store_path = f"{root}/store0"
-    pr.write.mode("overwrite").parquet(store_path)
+    store_path = f"{root}/store"
+    pr.write.mode("overwrite").partitionBy("hackathon").parquet(store_path)
     pend = f"{root}/pending"
     pr.filter(F.col("vector").isNull()).select("id").repartition(3).write.mode("overwrite").parquet(pend)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")

@@ -101,3 +101,31 @@ def test_slug_conflicts(spark):
     import pytest
     with pytest.raises(ValueError):
         U.assert_no_conflicts(df)
+
+
+def test_upsert_into_store_touches_only_its_partitions(spark):
+    import glob
+    import os
+
+    from corpusmap.operators.upsert import upsert_into_store
+    from corpusmap.streaming.ingest import scratch_root
+    root = scratch_root(spark, "test-store")
+    path = f"{root}/store"
+    rows = [(i, f"s{i}", "n", "t", 1, ["u"], None, h, 2020, False, None)
+            for i, h in enumerate(["a"] * 3 + ["b"] * 3 + ["c"] * 1)]
+    spark.createDataFrame(rows, PSCHEMA).write.partitionBy("hackathon").parquet(path)
+    files_b = sorted(glob.glob(f"{path}/hackathon=b/*.parquet"))
+    mtimes_b = [os.path.getmtime(f) for f in files_b]
+    # id 0 (partition a) gets more likes; id 6 (only row of c) moves to a
+    batch = spark.createDataFrame([(0, "s0", "n", "t", 5, ["u"], None, None, False, 1),
+                                   (6, "s6", "n", "t", 1, ["u"], "a", None, False, 1),
+                                   (9, "s9", "n", "t", 1, ["u"], "a", 2021, True, 1)], BSCHEMA)
+    res = upsert_into_store(path, batch)
+    assert res["emptied"] == 1 and res["actions"] == {"update": 2, "unchanged": 2, "insert": 1}
+    assert sorted(glob.glob(f"{path}/hackathon=b/*.parquet")) == files_b
+    assert [os.path.getmtime(f) for f in files_b] == mtimes_b      # b was not rewritten
+    assert not os.path.exists(f"{path}/hackathon=c")
+    got = {r.id: (r.hackathon, r.likes) for r in spark.read.parquet(path).collect()}
+    assert got[0] == ("a", 5) and got[6] == ("a", 1) and got[9] == ("a", 1) and len(got) == 8
+    again = upsert_into_store(path, batch)                          # a retried batch changes nothing
+    assert again["actions"] == {"unchanged": 5}                      # ids 0, 1, 2, 6, 9 in partition a
