@@ -51,6 +51,13 @@ def dataset_rows(repos: DataFrame | None, projects: DataFrame | None, hackathon:
     return p.orderBy("id")
 
 
+def dataset_rows_all(projects: DataFrame, registry: DataFrame) -> DataFrame:
+    """FIL-6 for every registered hackathon selection in one scan: embedded
+    projects of registered hackathons (order by id where served)."""
+    reg = F.broadcast(registry.select("hackathon"))  # fixed configuration table
+    return projects.filter(F.col("vector").isNotNull()).join(reg, "hackathon", "left_semi")
+
+
 def dataset_members(repos: DataFrame, projects: DataFrame, registry: DataFrame,
                     n: int = TOP_REPOS) -> DataFrame:
     """SET-2: every selection at once -> ``(dataset, kind, id, vector, hackathon, year)``

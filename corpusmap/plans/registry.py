@@ -352,11 +352,7 @@ SELECT p.hackathon, p.year::BIGINT AS year, count(*)::BIGINT AS points, min(p.id
 FROM projects p JOIN registry r ON p.hackathon = r.hackathon
 WHERE p.vector IS NOT NULL GROUP BY ALL""")
 def q_dataset_rows(spark, sf_dir):
-    pr = ST.projects(spark, sf_dir)
-    out = None
-    for hid, _ in ST.REGISTRY:
-        rows = S.dataset_rows(None, pr, hackathon=hid)
-        out = rows if out is None else out.unionByName(rows)
+    out = S.dataset_rows_all(ST.projects(spark, sf_dir), ST.registry(spark))
     return out.groupBy("hackathon", F.col("year").cast("long").alias("year")).agg(
         F.count(F.lit(1)).alias("points"), F.min("id").cast("long").alias("first_id"))
 

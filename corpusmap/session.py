@@ -143,7 +143,12 @@ def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
     """
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
-    s = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # An explicit partition count: AQE never coalesces such a shuffle, so both
+    # consumers below (row positions, per-partition counts) see the same
+    # partition layout and the same partition ids.
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mono", F.monotonically_increasing_id()))
     counts = (s.groupBy("_pid", *group_cols)

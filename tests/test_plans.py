@@ -78,3 +78,17 @@ def test_cut_lineage_reads_back(spark):
     out = cut_lineage(df)
     assert sorted(r.v for r in out.collect()) == [2 * i for i in range(10)]
     assert "corpusmap-snapshot" in out.inputFiles()[0]
+
+
+def test_dense_index_stable_under_aqe_coalescing(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")     # tiny data, many partitions: AQE coalesces
+    try:
+        rows = [("hot" if i % 3 else f"g{i % 11}", i) for i in range(2000)]
+        df = spark.createDataFrame(rows, "grp string, id long").repartition(5)
+        got = dense_index(df, ["id"], ["grp"], name="idx")
+        want = df.withColumn("want", F.row_number().over(Window.partitionBy("grp").orderBy("id")) - 1)
+        assert got.join(want, ["grp", "id"]).filter(F.col("idx") != F.col("want")).count() == 0
+        assert got.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
