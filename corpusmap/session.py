@@ -136,32 +136,34 @@ def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
     """``row_number() - 1 + start`` within ``group_cols`` ordered by ``order_cols``,
     computed without gathering a group into one task.
 
-    The frame is range-partitioned by ``group_cols + order_cols`` (so a hot
-    group spans many tasks), each row gets its position inside its partition,
-    and a per-(partition, group) count table -- at most partitions x groups
-    rows -- supplies the offsets. ``order_cols`` must make the order unique.
+    Only the key columns are numbered: they are range-partitioned by
+    ``group_cols + order_cols`` (a hot group spans many tasks), sorted, and
+    each key gets its partition id and position in one pass that is written to
+    the shared checkpoint folder -- so positions and the per-(partition, group)
+    count table (at most partitions x groups rows) come from the same pass.
+    The offsets are summed over that small table and the index is joined back
+    to the rows on the keys. ``group_cols + order_cols`` must be unique.
     """
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
-    # An explicit partition count: AQE never coalesces such a shuffle, so both
-    # consumers below (row positions, per-partition counts) see the same
-    # partition layout and the same partition ids.
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mono", F.monotonically_increasing_id()))
-    counts = (s.groupBy("_pid", *group_cols)
+    numbered = (df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_mono", F.monotonically_increasing_id()))
+    numbered = cut_lineage(numbered, "index")
+    counts = (numbered.groupBy("_pid", *group_cols)
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first")))
-    # The count table is tiny; AQE sees its exact size once materialised and
-    # turns the join below into a broadcast on its own.
     base = Window.partitionBy(*group_cols) if group_cols else Window
     w = base.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    joined = s.join(counts.select("_pid", *group_cols, "_off", "_first"),
-                    on=["_pid", *group_cols], how="inner")
-    return (joined.withColumn(name, (F.col("_off") + F.col("_mono") - F.col("_first") + F.lit(start)).cast("long"))
-            .drop("_pid", "_mono", "_off", "_first"))
+    cj = counts.select("_pid", *[F.col(g).alias(f"_c_{g}") for g in group_cols], "_off", "_first")
+    cond = [numbered["_pid"] == cj["_pid"]] + [numbered[g].eqNullSafe(cj[f"_c_{g}"]) for g in group_cols]
+    idx = (numbered.join(cj, cond)
+           .select(*[numbered[k].alias(f"_k_{k}") for k in keys],
+                   (F.col("_off") + F.col("_mono") - F.col("_first") + F.lit(start)).cast("long").alias(name)))
+    cond = [df[k].eqNullSafe(idx[f"_k_{k}"]) for k in keys]      # NULL group values keep their rows
+    return df.join(idx, cond, "inner").drop(*[f"_k_{k}" for k in keys])
 
 
 def spread_small_input(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:

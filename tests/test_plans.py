@@ -92,3 +92,9 @@ def test_dense_index_stable_under_aqe_coalescing(spark):
         assert got.count() == 2000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_dense_index_null_group(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "grp string, id long")
+    got = {(r.grp, r.id): r.idx for r in dense_index(df, ["id"], ["grp"]).collect()}
+    assert got == {(None, 1): 0, (None, 3): 1, ("a", 2): 0}
