@@ -80,9 +80,10 @@ def dataset_members(repos: DataFrame, projects: DataFrame, registry: DataFrame,
     return gh.unionByName(pm)
 
 
-def point_index(members: DataFrame) -> DataFrame:
-    """AGG-7: position of each point inside its dataset, ordered by id."""
-    return dense_index(members, ["id"], ["dataset"], name="idx")
+def point_index(members: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """AGG-7: position of each point inside its dataset, ordered by id
+    (``whole_rows``: the indexed rows are written once, see ``dense_index``)."""
+    return dense_index(members, ["id"], ["dataset"], name="idx", whole_rows=whole_rows)
 
 
 def parse_dataset_path(requests: DataFrame, registry: DataFrame, path_col: str = "path") -> DataFrame:

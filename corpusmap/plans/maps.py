@@ -32,21 +32,20 @@ def build_maps(members: DataFrame, labels, dim: int,
     membership's other columns; projection: ``(dataset, n, mean, basis,
     eigenvalues)``; quarantine: member rows with an invalid vector.
 
-    The membership is read three times (Gram pass, index, positions), so by
-    default it is written once to the shared checkpoint folder, which also
-    cuts the lineage of the joins that produced it; the projection (one small
-    row per dataset) is written right after the fit, so every later reader --
+    The valid members are read three times (Gram pass, positions, categories),
+    so by default they are written once -- range-partitioned and numbered in
+    the same pass (AGG-7) -- to the shared checkpoint folder, which also cuts
+    the lineage of the joins that produced them; the projection (one small row
+    per dataset) is written right after the fit, so every later reader --
     positions now, query answers later -- reuses it instead of refitting.
     """
-    if materialize:
-        members = cut_lineage(members)
     ok = is_valid("vector", dim)
     good = members.filter(ok)
     quarantine = members.filter(~ok).withColumn("reason", F.lit("invalid vector"))
-    proj = fit_projection(good)
+    indexed = point_index(good, whole_rows=materialize)
+    proj = fit_projection(indexed.drop("idx"))
     if materialize:
         proj = cut_lineage(proj)
-    indexed = point_index(good)
     placed = project(indexed, proj)
     # category from the unit vector in double; the stored unit vector is float32
     points = (categorize(placed, labels)

@@ -132,7 +132,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
-                name: str = "idx", start: int = 0) -> DataFrame:
+                name: str = "idx", start: int = 0, whole_rows: bool = False) -> DataFrame:
     """``row_number() - 1 + start`` within ``group_cols`` ordered by ``order_cols``,
     computed without gathering a group into one task.
 
@@ -143,12 +143,16 @@ def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
     count table (at most partitions x groups rows) come from the same pass.
     The offsets are summed over that small table and the index is joined back
     to the rows on the keys. ``group_cols + order_cols`` must be unique.
+
+    With ``whole_rows`` the full rows are numbered and written instead (for a
+    caller that would materialise them anyway): the result reads that table
+    and only the tiny count table is joined, no join on the keys.
     """
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    numbered = (df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    numbered = ((df if whole_rows else df.select(*keys)).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mono", F.monotonically_increasing_id()))
     numbered = cut_lineage(numbered, "index")
@@ -157,8 +161,13 @@ def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
     base = Window.partitionBy(*group_cols) if group_cols else Window
     w = base.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    cj = counts.select("_pid", *[F.col(g).alias(f"_c_{g}") for g in group_cols], "_off", "_first")
-    cond = [numbered["_pid"] == cj["_pid"]] + [numbered[g].eqNullSafe(cj[f"_c_{g}"]) for g in group_cols]
+    cj = counts.select(F.col("_pid").alias("_c_pid"), *[F.col(g).alias(f"_c_{g}") for g in group_cols],
+                       "_off", "_first")
+    cond = [numbered["_pid"] == cj["_c_pid"]] + [numbered[g].eqNullSafe(cj[f"_c_{g}"]) for g in group_cols]
+    pos = (F.col("_off") + F.col("_mono") - F.col("_first") + F.lit(start)).cast("long")
+    if whole_rows:
+        return (numbered.join(cj, cond).withColumn(name, pos)
+                .drop("_pid", "_mono", "_c_pid", *[f"_c_{g}" for g in group_cols], "_off", "_first"))
     idx = (numbered.join(cj, cond)
            .select(*[numbered[k].alias(f"_k_{k}") for k in keys],
                    (F.col("_off") + F.col("_mono") - F.col("_first") + F.lit(start)).cast("long").alias(name)))
