@@ -129,3 +129,19 @@ def test_upsert_into_store_touches_only_its_partitions(spark):
     assert got[0] == ("a", 5) and got[6] == ("a", 1) and got[9] == ("a", 1) and len(got) == 8
     again = upsert_into_store(path, batch)                          # a retried batch changes nothing
     assert again["actions"] == {"unchanged": 5}                      # ids 0, 1, 2, 6, 9 in partition a
+
+
+def test_upsert_a_then_b_equals_union(spark):
+    stored, batch = _rand_rows(7)
+    sdf = spark.createDataFrame([(k, *[v[c] for c in ("slug", "name", "tagline", "likes", "members", "vector",
+                                                      "hackathon", "year", "winner", "prizes")])
+                                 for k, v in stored.items()], PSCHEMA)
+    rows = [tuple(r[c] for c in ("id", "slug", "name", "tagline", "likes", "members", "hackathon", "year",
+                                 "winner", "ord")) for r in batch]
+    a = spark.createDataFrame(rows[:100], BSCHEMA)
+    b = spark.createDataFrame(rows[100:], BSCHEMA)
+    both = spark.createDataFrame(rows, BSCHEMA)
+    step = U.upsert_projects(U.upsert_projects(sdf, a).drop("action"), b).drop("action")
+    once = U.upsert_projects(sdf, both).drop("action")
+    cols = ["id", "slug", "name", "tagline", "likes", "members", "hackathon", "year", "winner", "prizes"]
+    assert sorted(map(tuple, step.select(*cols).collect())) == sorted(map(tuple, once.select(*cols).collect()))

@@ -46,6 +46,8 @@ def test_pca_matches_numpy(spark):
             assert abs(abs(got[k] @ ref) - 1) < 1e-8
             assert got[k][np.argmax(np.abs(got[k]))] > 0
         assert np.allclose(proj[name].eigenvalues, w[::-1][:3])
+        assert np.allclose(got @ got.T, np.eye(3), atol=1e-10)           # orthonormal basis
+        assert sum(proj[name].eigenvalues) <= np.trace(c.T @ c) + 1e-9
         assert np.allclose(proj[name].mean, x.mean(0))
     pts = P.project(df, P.fit_projection(df), places=None).filter("dataset = 'a'").toPandas()
     assert abs(pts[["x", "y", "z"]].mean()).max() < 1e-9  # centred positions
