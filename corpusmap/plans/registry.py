@@ -682,11 +682,13 @@ lim AS (
 SELECT event_id, limited, limited AND attempt >= 3 AS give_up,
        CASE WHEN limited AND attempt < 3 THEN greatest(
             CASE WHEN ratelimit_remaining = 0 AND ratelimit_reset > 0 AND (retry_after < 0 OR until > base)
-                 THEN until ELSE base END, 1) END::BIGINT AS delay_s
+                 THEN until ELSE base END, 1) END::BIGINT AS delay_s,
+       (CASE WHEN status BETWEEN 200 AND 299 AND ratelimit_remaining = 0 AND ratelimit_reset > 0 AND until > 0
+             THEN until ELSE 0 END)::BIGINT AS wait_s
 FROM lim""")
 def q_throttle_plan(spark, sf_dir):
     t = R.throttle_plan(ST.response_log(spark, sf_dir))
-    return t.select("event_id", "limited", "give_up", F.col("delay_s").cast("long"))
+    return t.select("event_id", "limited", "give_up", F.col("delay_s").cast("long"), "wait_s")
 
 
 @register("accept_responses", with_sql(RESPONSE_EXPECTED_SQL) + """
@@ -733,6 +735,25 @@ def q_event_manifest(spark, sf_dir):
     return M.gallery_manifest(hosts).select("host", F.col("page").cast("long"), "url")
 
 
+@register("listing_manifest", with_sql(REGISTRY_SQL) + """
+SELECT 'listing' AS kind, NULL AS name, page::BIGINT AS page,
+       'https://devpost.com/api/hackathons?page=' || CAST(page AS VARCHAR) || '&per_page=40' AS url
+FROM (SELECT unnest(generate_series(1, greatest(CAST(ceil((SELECT count(*) FROM documents) / 40) AS BIGINT), 1))) AS page)
+UNION ALL
+SELECT 'search', label, 1, 'https://devpost.com/api/hackathons?page=1&per_page=40&search=' || replace(lower(label), ' ', '+')
+FROM registry""")
+def q_listing_manifest(spark, sf_dir):
+    """SRC-11: the listing pages implied by what listing page 1 reported, and
+    the first search page per registered hackathon name."""
+    _, pages, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
+    first = pages.filter(F.col("page") == 1)
+    listing = M.listing_manifest(first).select(F.lit("listing").alias("kind"), F.lit(None).cast("string").alias("name"),
+                                               F.col("page").cast("long"), "url")
+    search = M.search_manifest(ST.registry(spark)).select(F.lit("search").alias("kind"), "name",
+                                                          F.col("page").cast("long"), "url")
+    return listing.unionByName(search)
+
+
 @register("project_urls", with_sql(PROJECTS_SQL, REPOS_SQL) + """
 SELECT 'project' AS kind, slug AS key, 'https://devpost.com/software/' || slug AS url FROM projects
 UNION ALL SELECT 'readme', name, 'https://api.github.com/repos/' || name || '/readme' FROM repos""")

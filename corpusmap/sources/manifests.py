@@ -75,10 +75,22 @@ def gallery_manifest(hosts: DataFrame, cap: int = GALLERY_PAGE_CAP) -> DataFrame
             .withColumn("url", F.format_string(GALLERY_URL, F.col("host"), F.col("page"))))
 
 
-def listing_manifest(total: Column, per_page: int = EVENT_PAGE_SIZE, search: Column | None = None) -> Column:
-    """SRC-11: listing pages ``1 .. ceil(total/per_page)`` (at least 1)."""
-    n = F.greatest(F.ceil(total / F.lit(per_page)).cast("int"), F.lit(1))
-    return F.sequence(F.lit(1), n)
+def listing_manifest(listings: DataFrame, per_page_col: str = "per_page", total_col: str = "total_count") -> DataFrame:
+    """SRC-11: every page of the event listing, from what page 1 reported:
+    ``1 .. ceil(total / per_page)`` (the page size *served*, at least 1 page)."""
+    per = F.greatest(F.col(per_page_col), F.lit(1))
+    n = F.greatest(F.ceil(F.col(total_col) / per).cast("int"), F.lit(1))
+    return (listings.select(F.explode(F.sequence(F.lit(1), n)).alias("page"))
+            .withColumn("url", F.format_string(EVENT_LISTING_URL, F.col("page"), F.lit(EVENT_PAGE_SIZE))))
+
+
+def search_manifest(names: DataFrame, name_col: str = "label") -> DataFrame:
+    """SRC-11: first search page per hackathon name (search term = SCA-9 form;
+    later pages follow from the total that page reports, like the listing)."""
+    from corpusmap.functions.text import query_form
+    term = query_form(F.col(name_col))
+    return names.select(F.col(name_col).alias("name"), F.lit(1).alias("page"),
+                        F.format_string(EVENT_SEARCH_URL, F.lit(1), F.lit(EVENT_PAGE_SIZE), term).alias("url"))
 
 
 def is_last_page(page: Column, per_page: Column, total: Column) -> Column:

@@ -88,13 +88,15 @@ def throttle_plan(responses: DataFrame, now_col: str = "now", attempt_col: str =
     give_up = limited & (att >= MAX_RETRIES)
     return (f.withColumn("limited", F.coalesce(limited, F.lit(False)))
             .withColumn("give_up", F.coalesce(give_up, F.lit(False)))
-            .withColumn("delay_s", F.when(F.col("limited") & ~F.col("give_up"), delay)))
+            .withColumn("delay_s", F.when(F.col("limited") & ~F.col("give_up"), delay))
+            .withColumn("wait_s", wait_after_success(now_col)))
 
 
-def wait_after_success(responses: DataFrame, now_col: str = "now") -> Column:
-    """Plain wait after a good page when the window is spent: ``reset-now+1``
-    seconds when remaining = 0 and reset > 0 (else 0)."""
-    rem = header_number("headers", "x-ratelimit-remaining")
-    reset = header_number("headers", "x-ratelimit-reset")
+def wait_after_success(now_col: str = "now") -> Column:
+    """Plain wait after a good (2xx) page when the window is spent:
+    ``reset - now + 1`` seconds when remaining = 0 and reset > 0 (else 0).
+    Reads the columns ``header_fields`` adds."""
+    rem, reset = F.col("ratelimit_remaining"), F.col("ratelimit_reset")
     w = reset - F.col(now_col).cast("long") + 1
-    return F.when((rem == 0) & (reset > 0) & (w > 0), w).otherwise(F.lit(0).cast("long"))
+    good = F.col("status").between(200, 299)
+    return F.when(good & (rem == 0) & (reset > 0) & (w > 0), w).otherwise(F.lit(0).cast("long"))

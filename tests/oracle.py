@@ -32,9 +32,9 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return repr(round(v, 9))
+        return repr(v)          # exact, like a value hash
     if isinstance(v, decimal.Decimal):
-        return repr(round(float(v), 9))
+        return repr(float(v))
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dict):

@@ -98,3 +98,12 @@ def test_dense_index_null_group(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "grp string, id long")
     got = {(r.grp, r.id): r.idx for r in dense_index(df, ["id"], ["grp"]).collect()}
     assert got == {(None, 1): 0, (None, 3): 1, ("a", 2): 0}
+
+
+def test_latest_generation_and_prizes_import(spark):
+    from corpusmap.operators.selection import prizes_from_text
+    pts = spark.createDataFrame([("a", 1, 10), ("a", 2, 11), ("b", 1, 12)], "dataset string, generation long, id long")
+    got = sorted((r.dataset, r.generation) for r in MAPS.latest_generation(pts).collect())
+    assert got == [("a", 2), ("b", 1)]
+    df = spark.createDataFrame([(None,), ("",), ("x\n\ny",)], "p string")
+    assert [r.q for r in df.select(prizes_from_text("p").alias("q")).collect()] == [None, [], ["x", "y"]]
