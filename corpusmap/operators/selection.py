@@ -87,30 +87,41 @@ def point_index(members: DataFrame, whole_rows: bool = False) -> DataFrame:
 
 
 def parse_dataset_path(requests: DataFrame, registry: DataFrame, path_col: str = "path") -> DataFrame:
-    """FIL-1: ``/datasets/github``, ``/datasets/<id>``, ``/datasets/<id>/<year>``
-    each with an optional ``/embed``; the id must be registered, the year a
-    positive integer; an empty year (``<id>/``) means all years."""
+    """FIL-1: request path -> selection. The path must start with
+    ``/datasets/``; one trailing ``/embed`` marks a query and is removed; the
+    rest is ``github`` exactly, or ``<id>`` / ``<id>/<year>`` where ``<id>`` (the
+    text before the first ``/``) is a registered hackathon and ``<year>`` (all
+    the text after it) is empty -- every year -- or a positive integer with
+    nothing else. Anything else is not found. Native string functions only."""
     p = F.col(path_col)
-    m = F.regexp_extract(p, r"^/datasets/([^/]+)(/([^/]*))?(/embed)?$", 0)
-    hid = F.regexp_extract(p, r"^/datasets/([^/]+)(/([^/]*))?(/embed)?$", 1)
-    ytxt = F.regexp_extract(p, r"^/datasets/([^/]+)(/([^/]*))?(/embed)?$", 3)
-    emb = F.regexp_extract(p, r"^/datasets/([^/]+)(/([^/]*))?(/embed)?$", 4) != ""
-    req = requests.select("*", hid.alias("_id"), ytxt.alias("_y"), emb.alias("embed"), (m != "").alias("_m"))
+    prefix = "/datasets/"
+    has_prefix = F.coalesce(F.startswith(p, F.lit(prefix)), F.lit(False))
+    rest0 = F.substring(p, len(prefix) + 1, 1 << 30)
+    embed = F.coalesce(F.endswith(rest0, F.lit("/embed")), F.lit(False))
+    rest = F.when(embed, F.expr(f"substring({path_col}, {len(prefix) + 1}, "
+                                f"char_length({path_col}) - {len(prefix)} - 6)")).otherwise(rest0)
+    slash = F.instr(rest, "/")
+    req = requests.select("*", has_prefix.alias("_ok"), embed.alias("_embed"), rest.alias("_rest"))
+    req = (req.withColumn("_id", F.when(F.instr("_rest", "/") > 0, F.substring_index("_rest", "/", 1))
+                          .otherwise(F.col("_rest")))
+              .withColumn("_y", F.when(F.instr("_rest", "/") > 0,
+                                       F.expr("substring(_rest, instr(_rest, '/') + 1)")).otherwise(F.lit(""))))
     reg = F.broadcast(registry.select(F.col("hackathon").alias("_rid")))  # fixed configuration table
     j = req.join(reg, F.col("_id") == F.col("_rid"), "left")
-    year_ok = (F.col("_y") == "") | (F.col("_y").rlike("^[0-9]+$") & (F.col("_y").try_cast("int") > 0))
-    is_gh = F.col("_m") & (F.col("_id") == GITHUB) & (F.col("_y") == "")
-    is_hk = F.col("_m") & F.col("_rid").isNotNull() & year_ok
-    year = F.when(is_hk & (F.col("_y") != ""), F.col("_y").try_cast("int"))
+    year_num = F.when(F.col("_y").rlike("^[0-9]+$"), F.col("_y").try_cast("int"))
+    year_ok = (F.col("_y") == "") | F.coalesce(year_num > 0, F.lit(False))
+    is_gh = F.col("_ok") & (F.col("_rest") == F.lit(GITHUB))
+    is_hk = F.col("_ok") & ~is_gh & F.col("_rid").isNotNull() & year_ok
+    year = F.when(is_hk & (F.col("_y") != ""), year_num)
     dataset = (F.when(is_gh, F.lit(GITHUB))
                .when(is_hk & year.isNotNull(), F.concat(F.col("_id"), F.lit("/"), year.cast("string")))
                .when(is_hk, F.col("_id")))
     return (j.withColumn("dataset", dataset)
             .withColumn("hackathon", F.when(is_hk, F.col("_id")))
             .withColumn("year", year)
-            .withColumn("found", dataset.isNotNull())
-            .withColumn("embed", F.col("embed") & F.col("found"))
-            .drop("_id", "_y", "_m", "_rid"))
+            .withColumn("found", F.coalesce(dataset.isNotNull(), F.lit(False)))
+            .withColumn("embed", F.col("_embed") & F.col("found"))
+            .drop("_ok", "_embed", "_rest", "_id", "_y", "_rid"))
 
 
 def validate_queries(queries: DataFrame, col: str = "description") -> DataFrame:

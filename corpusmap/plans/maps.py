@@ -127,8 +127,11 @@ def answer_text_queries(requests: DataFrame, points: DataFrame, projection: Data
     rejects = tagged.filter(F.col("reason").isNotNull()).select("query_id", "path", "reason")
     good = tagged.filter(F.col("reason").isNull())
     vecs = hashing_vectors(good, "query_id", "description", dim)
-    q = good.select("query_id", "dataset").join(vecs, "query_id")
-    return answer_queries(q, points, projection, labels, k), rejects
+    q = good.select("query_id", "path", "dataset").join(vecs, "query_id", "left")
+    empty = (q.filter(F.col("vector").isNull())        # the encoder found nothing to embed
+             .select("query_id", "path", F.lit("nothing to embed").alias("reason")))
+    q = q.filter(F.col("vector").isNotNull()).drop("path")
+    return answer_queries(q, points, projection, labels, k), rejects.unionByName(empty)
 
 
 def latest_generation(points: DataFrame) -> DataFrame:

@@ -801,24 +801,35 @@ def q_ensure_columns(spark, sf_dir):
 
 # ------------------------------------------------------------------ request handling
 
-@register("parse_dataset_path", with_sql(REGISTRY_SQL, """
-req AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '/datasets/github' ELSE '/datasets/' || source ||
+PATHS_SQL = """
+req AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN
+          CASE WHEN doc_id % 2 = 1 THEN '/datasets/github/' ELSE '/datasets/github' END
+        ELSE '/datasets/' || source ||
         CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/' || CAST(2019 + doc_id % 7 AS VARCHAR) WHEN 2 THEN '/'
                         WHEN 3 THEN '/x' || CAST(doc_id AS VARCHAR) ELSE '/0' END END ||
-        CASE WHEN doc_id % 3 = 0 THEN '/embed' ELSE '' END AS path FROM documents),
-parts AS (SELECT doc_id, path,
-        regexp_extract(path, '^/datasets/([^/]+)(/([^/]*))?(/embed)?$', 0) <> '' AS m,
-        regexp_extract(path, '^/datasets/([^/]+)(/([^/]*))?(/embed)?$', 1) AS hid,
-        regexp_extract(path, '^/datasets/([^/]+)(/([^/]*))?(/embed)?$', 3) AS y,
-        regexp_extract(path, '^/datasets/([^/]+)(/([^/]*))?(/embed)?$', 4) <> '' AS emb FROM req),
-cls AS (SELECT p.*, m AND hid = 'github' AND y = '' AS is_gh,
-        m AND r.hackathon IS NOT NULL AND (y = '' OR (regexp_full_match(y, '[0-9]+') AND TRY_CAST(y AS INTEGER) > 0)) AS is_hk
-        FROM parts p LEFT JOIN registry r ON p.hid = r.hackathon)""") + """
+        CASE WHEN doc_id % 3 = 0 THEN '/embed' ELSE '' END AS path FROM documents)"""
+
+
+@register("parse_dataset_path", with_sql(REGISTRY_SQL, PATHS_SQL, """
+steps AS (
+  SELECT doc_id, path, starts_with(path, '/datasets/') AS ok,
+         ends_with(path[11:], '/embed') AS q,
+         CASE WHEN ends_with(path[11:], '/embed') THEN path[11:length(path) - 6] ELSE path[11:] END AS rest
+  FROM req),
+split AS (
+  SELECT *, CASE WHEN strpos(rest, '/') > 0 THEN rest[1:strpos(rest, '/') - 1] ELSE rest END AS hid,
+         CASE WHEN strpos(rest, '/') > 0 THEN rest[strpos(rest, '/') + 1:] ELSE '' END AS y
+  FROM steps),
+cls AS (
+  SELECT s.*, ok AND rest = 'github' AS is_gh,
+         ok AND rest <> 'github' AND r.hackathon IS NOT NULL
+            AND (y = '' OR coalesce(regexp_full_match(y, '[0-9]+') AND TRY_CAST(y AS INTEGER) > 0, false)) AS is_hk
+  FROM split s LEFT JOIN registry r ON s.hid = r.hackathon)""") + """
 SELECT doc_id, path,
        CASE WHEN is_gh THEN 'github' WHEN is_hk AND y <> '' THEN hid || '/' || CAST(TRY_CAST(y AS INTEGER) AS VARCHAR)
             WHEN is_hk THEN hid END AS dataset,
        (CASE WHEN is_hk AND y <> '' THEN TRY_CAST(y AS INTEGER) END)::BIGINT AS year,
-       (is_gh OR is_hk) AS found, emb AND (is_gh OR is_hk) AS embed
+       (is_gh OR is_hk) AS found, q AND (is_gh OR is_hk) AS embed
 FROM cls""")
 def q_parse_dataset_path(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -826,8 +837,8 @@ def q_parse_dataset_path(spark, sf_dir):
     suffix = (F.when(doc % 5 == 0, F.lit("")).when(doc % 5 == 1, F.concat(F.lit("/"), (F.lit(2019) + doc % 7).cast("string")))
               .when(doc % 5 == 2, F.lit("/")).when(doc % 5 == 3, F.concat(F.lit("/x"), doc.cast("string")))
               .otherwise(F.lit("/0")))
-    path = F.concat(F.when(doc % 9 == 0, F.lit("/datasets/github"))
-                    .otherwise(F.concat(F.lit("/datasets/"), F.col("source"), suffix)),
+    gh = F.when(doc % 2 == 1, F.lit("/datasets/github/")).otherwise(F.lit("/datasets/github"))
+    path = F.concat(F.when(doc % 9 == 0, gh).otherwise(F.concat(F.lit("/datasets/"), F.col("source"), suffix)),
                     F.when(doc % 3 == 0, F.lit("/embed")).otherwise(F.lit("")))
     req = d.select("doc_id", path.alias("path"))
     out = S.parse_dataset_path(req, ST.registry(spark))
@@ -1136,9 +1147,11 @@ def q_map_categories(spark, sf_dir):
     return points.select("dataset", "idx", F.col("id").cast("long"), "category", "similarity")
 
 
-QUERY_NEIGHBOURS_SQL = """
+BENCH_QD_SQL = """
 qd AS (SELECT DISTINCT k AS query_id,
-              CASE k % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'src1' ELSE 'src2' END AS dataset FROM q_vec),
+              CASE k % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'src1' ELSE 'src2' END AS dataset FROM q_vec)"""
+
+QUERY_NEIGHBOURS_SQL = """
 pc AS (SELECT m.dataset, m.id, m.idx, u.pos - 1 AS bucket, u.val::DOUBLE AS v
        FROM mi m, unnest(m.vector) WITH ORDINALITY AS u(val, pos)),
 pcn AS (SELECT dataset, id, greatest(sqrt(sum(v * v)), 1e-12) AS nrm FROM pc GROUP BY ALL),
@@ -1159,7 +1172,7 @@ qcat AS (SELECT q.k AS query_id, c.idx AS cat, list_cosine_similarity(q.vec, c.v
 
 @register("answer_neighbours", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, MEMBER_INDEX_SQL,
                                         CATEGORY_LABELS_SQL, hash_sql("q", "benchmark", "item_id", "text"),
-                                        QUERY_NEIGHBOURS_SQL) + """
+                                        BENCH_QD_SQL, QUERY_NEIGHBOURS_SQL) + """
 SELECT n.query_id::BIGINT AS query_id, n.dataset, n.rank::BIGINT AS rank, n.idx::BIGINT AS nearest_idx,
        n.id::BIGINT AS nearest_id, c.cat::BIGINT AS category, round(c.sim, 4) AS similarity
 FROM nranked n JOIN qcat c ON c.query_id = n.query_id AND c.rn = 1
@@ -1172,3 +1185,29 @@ def q_answer_neighbours(spark, sf_dir):
     ans = MAPS.answer_queries(q.select("query_id", "dataset", "vector"), points, proj, labels)
     return ans.select(F.col("query_id").cast("long"), "dataset", F.col("rank").cast("long"),
                       F.col("nearest_idx").cast("long"), F.col("nearest_id").cast("long"), "category", "similarity")
+
+
+# text-query answers (STR-5) read the neighbour SQL defined above
+TEXT_REQ_SQL = """
+treq AS (SELECT conv_id * 1000 + turn AS query_id, text,
+                CASE conv_id % 4 WHEN 0 THEN 'github' WHEN 1 THEN 'src1' WHEN 2 THEN 'src3/2023' END AS dataset
+         FROM conversations WHERE role = 'user'),
+tcheck AS (SELECT *, CASE WHEN dataset IS NULL THEN 'not found' WHEN text IS NULL THEN 'missing'
+                          WHEN strlen(text) < 1 THEN 'empty' WHEN strlen(text) > 32768 THEN 'too long' END AS reason
+           FROM treq),
+tvalid AS (SELECT * FROM tcheck WHERE reason IS NULL)"""
+
+
+ORACLE_SQL["answer_text_queries"] = with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, MEMBER_INDEX_SQL,
+                                          CATEGORY_LABELS_SQL, TEXT_REQ_SQL,
+                                          hash_sql("q", "tvalid", "query_id", "text"), """
+qd AS (SELECT DISTINCT q.k AS query_id, t.dataset FROM q_vec q JOIN tvalid t ON t.query_id = q.k)""",
+                                          QUERY_NEIGHBOURS_SQL) + """
+SELECT n.query_id::BIGINT AS query_id, n.dataset, n.rank::INTEGER AS rank, n.id::BIGINT AS nearest_id,
+       c.cat::BIGINT AS category, NULL::VARCHAR AS reason
+FROM nranked n JOIN qcat c ON c.query_id = n.query_id AND c.rn = 1 WHERE n.rank <= 8
+UNION ALL
+SELECT query_id::BIGINT, NULL, NULL, NULL, NULL, reason FROM tcheck WHERE reason IS NOT NULL
+UNION ALL
+SELECT t.query_id::BIGINT, NULL, NULL, NULL, NULL, 'nothing to embed' FROM tvalid t
+WHERE t.query_id NOT IN (SELECT k FROM q_vec)"""

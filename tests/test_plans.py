@@ -107,3 +107,20 @@ def test_latest_generation_and_prizes_import(spark):
     assert got == [("a", 2), ("b", 1)]
     df = spark.createDataFrame([(None,), ("",), ("x\n\ny",)], "p string")
     assert [r.q for r in df.select(prizes_from_text("p").alias("q")).collect()] == [None, [], ["x", "y"]]
+
+
+def test_dataset_paths(spark):
+    from corpusmap.operators.selection import parse_dataset_path
+    from corpusmap.sources.standins import registry
+    cases = {
+        "/datasets/github": ("github", None, True, False), "/datasets/github/embed": ("github", None, True, True),
+        "/datasets/github/": (None, None, False, False), "/datasets/src1": ("src1", None, True, False),
+        "/datasets/src1/": ("src1", None, True, False), "/datasets/src1/2021/embed": ("src1/2021", 2021, True, True),
+        "/datasets/src1/embed": ("src1", None, True, True), "/datasets/src1//embed": ("src1", None, True, True),
+        "/datasets/src1/0": (None, None, False, False), "/datasets/src1/-5": (None, None, False, False),
+        "/datasets/src1/2021/x": (None, None, False, False), "/datasets/nope": (None, None, False, False),
+        "/other/github": (None, None, False, False), "/datasets/src1/embed/embed": (None, None, False, False),
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    got = {r.path: (r.dataset, r.year, r.found, r.embed) for r in parse_dataset_path(df, registry(spark)).collect()}
+    assert got == cases
