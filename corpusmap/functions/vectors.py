@@ -68,6 +68,3 @@ def invalid_reason(v, dim) -> Column:
                   F.lit("not finite")))
 
 
-def round_half_away(c, places: int = 4) -> Column:
-    """SCA-5: round to ``places`` decimals, half away from zero."""
-    return F.round(_c(c), places)

@@ -223,6 +223,3 @@ def token_table_from_embeddings(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("vector"))
 
 
-def collect_weights(df: DataFrame, max_rows: int = 4096) -> list[list[float]]:
-    rows = bounded_rows(df.orderBy("row"), max_rows, "dense weights")
-    return [[float(x) for x in r["w"]] for r in rows]

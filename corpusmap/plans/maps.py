@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmap.functions.vectors import is_valid, l2_normalize
+from corpusmap.functions.vectors import invalid_reason, is_valid, l2_normalize
 from corpusmap.operators.encoders import hashing_vectors
 from corpusmap.operators.projection import fit_projection, project
 from corpusmap.operators.selection import parse_dataset_path, point_index, validate_queries
@@ -41,7 +41,7 @@ def build_maps(members: DataFrame, labels, dim: int,
     """
     ok = is_valid("vector", dim)
     good = members.filter(ok)
-    quarantine = members.filter(~ok).withColumn("reason", F.lit("invalid vector"))
+    quarantine = members.filter(~ok).withColumn("reason", invalid_reason("vector", dim))
     indexed = point_index(good, whole_rows=materialize)
     proj = fit_projection(indexed.drop("idx"))
     if materialize:

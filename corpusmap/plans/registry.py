@@ -78,11 +78,16 @@ def _members(spark, sf_dir):
 
 @register("validate_vectors", """
 SELECT vec_id::BIGINT AS vec_id,
-       coalesce(len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))), false) AS valid
+       coalesce(len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))), false) AS valid,
+       CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'dimension'
+            WHEN NOT list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL)) THEN 'null value'
+            WHEN NOT list_bool_and(list_transform(embedding, lambda x: NOT isnan(x) AND NOT isinf(x))) THEN 'not finite'
+       END AS reason
 FROM embeddings""")
 def q_validate_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").cast("long"), V.is_valid("embedding", 64).alias("valid"))
+    return e.select(F.col("vec_id").cast("long"), V.is_valid("embedding", 64).alias("valid"),
+                    V.invalid_reason("embedding", 64).alias("reason"))
 
 
 @register("l2_normalize", """

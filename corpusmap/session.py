@@ -14,10 +14,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows below this count are broadcast; above it the plain shuffle join is used.
-DEFAULT_BROADCAST_ROWS = 100_000
-
-
 def get_session(master: str | None = None, app: str = "corpusmap",
                 shuffle_partitions: int | None = None,
                 extra: dict[str, str] | None = None) -> SparkSession:
@@ -124,13 +120,6 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str):
     return rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the row count; otherwise leave the
-    join to the planner (sort-merge with AQE skew splitting)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
                 name: str = "idx", start: int = 0, whole_rows: bool = False) -> DataFrame:
     """``row_number() - 1 + start`` within ``group_cols`` ordered by ``order_cols``,
