@@ -1,15 +1,20 @@
 """Mean vector, scatter matrix, principal basis and 3-D positions per dataset
 (AGG-1, AGG-2, AGG-3, VEC-3, VEC-4).
 
-Plan shape for ``fit_projection`` (all datasets in one pass):
-
-1. one scan of ``(dataset, vector)``; each partition folds its rows into a
-   partial Gram ``X^T X``, a partial sum and a count per dataset (Arrow,
-   numpy) -- d rows of d doubles per (partition, dataset);
-2. shuffle by ``(dataset, i)`` and add the partials (group size = number of
-   input partitions, independent of the row count), so the reduce runs on
-   ``datasets x d`` tasks;
-3. shuffle by ``dataset``: one ``eigh`` of a d x d matrix per dataset.
+``fit_projection`` fits every dataset in one job, choosing per dataset by its
+size (a count per dataset decides; no dataset is ever gathered beyond a fixed
+number of rows):
+
+* small datasets (at most ``SMALL_DATASET_ROWS`` points): their rows are
+  grouped (a bounded group) and the centred n x d matrix gets an SVD -- the
+  right singular vectors are the eigenvectors of the scatter matrix and the
+  squared singular values its eigenvalues. Shipping n rows is far cheaper than
+  shipping a d x d Gram for a dataset of a few dozen points.
+* large datasets: each task folds its rows into a partial Gram ``X^T X``, a
+  partial sum and a count per dataset (at most ``MAX_OPEN_GRAMS`` open at a
+  time, the rest flushed as extra partials); the partials are added per
+  ``(dataset, i)`` (group size bounded by the number of partials, not by the
+  rows) and one ``eigh`` of a d x d matrix runs per dataset.
 
 The result is one row per dataset (mean, basis), small enough to join back to
 the points (AQE turns that join into a broadcast from runtime statistics).
@@ -26,6 +31,8 @@ from pyspark.sql import types as T
 from corpusmap.functions.vectors import dot, subtract
 
 COMPONENTS = 3
+SMALL_DATASET_ROWS = 2048   # rows gathered per small dataset (bounded group)
+MAX_OPEN_GRAMS = 32         # d x d accumulators a task keeps before flushing
 
 
 def mean_vectors(df: DataFrame, group_cols: list[str], vec_col: str = "vector",
@@ -48,7 +55,13 @@ _GRAM_SCHEMA = T.StructType([
 ])
 
 
-def _partial_gram(batches):
+def _gram_frame(ds, g, s, n) -> pd.DataFrame:
+    d = g.shape[0]
+    return pd.DataFrame({"dataset": [ds] * d, "i": np.arange(d, dtype=np.int32),
+                         "row": list(g), "s": s, "n": np.full(d, n, dtype=np.int64)})
+
+
+def _partial_gram(batches, max_open: int = MAX_OPEN_GRAMS):
     acc: dict[str, list] = {}
     for pdf in batches:
         if pdf.empty:
@@ -62,21 +75,22 @@ def _partial_gram(batches):
                 acc[ds][1] += s
                 acc[ds][2] += len(x)
             else:
+                if len(acc) >= max_open:              # bound memory: flush the oldest partial
+                    old = next(iter(acc))
+                    yield _gram_frame(old, *acc.pop(old))
                 acc[ds] = [g, s, len(x)]
     for ds, (g, s, n) in acc.items():
-        d = g.shape[0]
-        yield pd.DataFrame({"dataset": [ds] * d, "i": np.arange(d, dtype=np.int32),
-                            "row": list(g), "s": s, "n": np.full(d, n, dtype=np.int64)})
+        yield _gram_frame(ds, g, s, n)
 
 
-def gram_rows(points: DataFrame, vec_col: str = "vector") -> DataFrame:
+def gram_rows(points: DataFrame, vec_col: str = "vector", max_open: int = MAX_OPEN_GRAMS) -> DataFrame:
     """Per (dataset, i): row i of X^T X, sum of coordinate i, n (AGG-2 input).
 
     The per-task partials are added natively: a ``(dataset, i)`` group holds
     one row per input partition that saw the dataset, so its size is bounded
     by the partition count, not by the data."""
     pv = points.select(F.col("dataset").cast("string"), F.col(vec_col).alias("vector"))
-    partial = pv.mapInPandas(_partial_gram, schema=_GRAM_SCHEMA)
+    partial = pv.mapInPandas(lambda it: _partial_gram(it, max_open), schema=_GRAM_SCHEMA)
     rows = F.collect_list("row")
     total = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.element_at(rows, 1),
                         lambda acc, r: F.zip_with(acc, r, lambda a, b: a + b))
@@ -142,9 +156,47 @@ def _fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
                          "basis": [list(basis)], "eigenvalues": [values]})
 
 
-def fit_projection(points: DataFrame, vec_col: str = "vector") -> DataFrame:
-    """AGG-3: one row per dataset ``(dataset, n, mean, basis[3][d], eigenvalues)``."""
-    return gram_rows(points, vec_col).groupBy("dataset").applyInPandas(_fit_one, schema=_BASIS_SCHEMA)
+def basis_from_rows(x: np.ndarray, components: int = COMPONENTS):
+    """Same result as ``basis_from_scatter`` from the n x d rows themselves:
+    SVD of the centred rows (right singular vectors, squared singular values)."""
+    n, d = x.shape
+    mean = x.mean(axis=0) if n > 0 else np.zeros(d)
+    basis = np.zeros((components, d))
+    values = np.zeros(components)
+    if n > 1:
+        _, sv, vt = np.linalg.svd(x - mean, full_matrices=False)
+        c = min(components, n - 1, len(sv))
+        for k in range(c):
+            vec = vt[k]
+            if vec[np.argmax(np.abs(vec))] < 0:
+                vec = -vec
+            basis[k] = vec
+            values[k] = sv[k] ** 2
+    return mean, basis, values
+
+
+def _fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+    mean, basis, values = basis_from_rows(x)
+    return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "n": [len(x)], "mean": [mean],
+                         "basis": [list(basis)], "eigenvalues": [values]})
+
+
+def fit_projection(points: DataFrame, vec_col: str = "vector",
+                   small_rows: int = SMALL_DATASET_ROWS, max_open: int = MAX_OPEN_GRAMS) -> DataFrame:
+    """AGG-3: one row per dataset ``(dataset, n, mean, basis[3][d], eigenvalues)``.
+
+    A count per dataset splits the work: datasets of at most ``small_rows``
+    points are fitted from their rows (grouped, SVD), larger ones through
+    partial Gram matrices (``eigh``)."""
+    pv = points.select(F.col("dataset").cast("string"), F.col(vec_col).alias("vector"))
+    sizes = pv.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))   # one row per dataset
+    tagged = pv.join(sizes, "dataset")
+    small = (tagged.filter(F.col("_n") <= small_rows).drop("_n")
+             .groupBy("dataset").applyInPandas(_fit_rows, schema=_BASIS_SCHEMA))
+    large = (gram_rows(tagged.filter(F.col("_n") > small_rows).drop("_n"), max_open=max_open)
+             .groupBy("dataset").applyInPandas(_fit_one, schema=_BASIS_SCHEMA))
+    return small.unionByName(large)
 
 
 def project(points: DataFrame, projection: DataFrame, vec_col: str = "vector",

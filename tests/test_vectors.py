@@ -123,3 +123,32 @@ def test_build_maps_and_answers(spark):
     assert ans[0].nearest_id == 11 and ans[0].nearest_idx == 11
     assert (ans[0].x, ans[0].y, ans[0].z) == (p[11].x, p[11].y, p[11].z)
     assert ans[0].category == p[11].category
+
+
+def test_small_and_large_fits_agree(spark):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(50, 7)).astype(np.float32) * np.arange(1, 8, dtype=np.float32)
+    df = _points(spark, {"d": m}).repartition(4)
+    small = P.fit_projection(df, small_rows=100).first()      # rows + SVD
+    large = P.fit_projection(df, small_rows=10).first()       # partial Gram + eigh
+    assert np.allclose(small.mean, large.mean)
+    assert np.allclose(small.eigenvalues, large.eigenvalues)
+    assert np.allclose(np.array(small.basis), np.array(large.basis), atol=1e-8)
+
+
+def test_gram_flush_bound(spark):
+    rng = np.random.default_rng(12)
+    mats = {f"d{i}": rng.normal(size=(6, 5)).astype(np.float32) for i in range(9)}
+    rows = [(ds, i, [float(x) for x in v]) for i in range(6) for ds, m in mats.items() for v in [m[i]]]
+    df = spark.createDataFrame(rows, "dataset string, id long, vector array<float>").coalesce(1)  # interleaved
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")   # many batches in the one task
+    try:
+        flushed = {r.dataset: r for r in P.fit_projection(df, small_rows=0, max_open=2).collect()}
+        partial = df.select("dataset", "vector").mapInPandas(lambda it: P._partial_gram(it, 2), schema=P._GRAM_SCHEMA)
+        assert partial.filter("i = 0").groupBy("dataset").count().agg(F.max("count")).first()[0] > 1  # re-opened
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    plain = {r.dataset: r for r in P.fit_projection(df, small_rows=0).collect()}
+    for k in mats:
+        assert np.allclose(flushed[k].eigenvalues, plain[k].eigenvalues)
