@@ -139,8 +139,9 @@ def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
     """
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # As many range partitions as the input has (scan splits follow the data
+    # size), never fewer than the task slots.
+    n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
     numbered = ((df if whole_rows else df.select(*keys)).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mono", F.monotonically_increasing_id()))
@@ -157,9 +158,7 @@ def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
     if whole_rows:
         return (numbered.join(cj, cond).withColumn(name, pos)
                 .drop("_pid", "_mono", "_c_pid", *[f"_c_{g}" for g in group_cols], "_off", "_first"))
-    idx = (numbered.join(cj, cond)
-           .select(*[numbered[k].alias(f"_k_{k}") for k in keys],
-                   (F.col("_off") + F.col("_mono") - F.col("_first") + F.lit(start)).cast("long").alias(name)))
+    idx = numbered.join(cj, cond).select(*[numbered[k].alias(f"_k_{k}") for k in keys], pos.alias(name))
     cond = [df[k].eqNullSafe(idx[f"_k_{k}"]) for k in keys]      # NULL group values keep their rows
     return df.join(idx, cond, "inner").drop(*[f"_k_{k}" for k in keys])
 
