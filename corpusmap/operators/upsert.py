@@ -47,9 +47,11 @@ def _all_equal_to(col: str, stored: Column, only_non_null: bool = False) -> Colu
     return ((n_nn == 0) & stored.isNull()) | ((n_nn == n_in) & same_val)
 
 
-def upsert_repos(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def upsert_repos(stored: DataFrame, batch: DataFrame,
+                 refresh_on_change: bool = False) -> tuple[DataFrame, DataFrame]:
     """JOIN-1. Returns ``(state, rejects)``; ``state`` has every stored and new
-    repo with ``action``. Rows with a NULL name are rejected."""
+    repo with ``action``. Rows with a NULL name are rejected. An edited repo
+    keeps its vector unless ``refresh_on_change`` (then it is embedded again)."""
     rejects = batch.filter(F.col("name").isNull()).withColumn("reason", F.lit("null name"))
     s = stored.select("name", "id", *REPO_FIELDS, "vector", F.lit(0).cast("long").alias("ord"))
     b = (batch.filter(F.col("name").isNotNull())
@@ -67,8 +69,11 @@ def upsert_repos(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
         changed = changed | _differs(F.col("old")[f], F.col("last")[f])
     action = (F.when(F.col("n_old") == 0, "insert")
               .when((F.col("n_new") > 0) & changed, "update").otherwise("unchanged"))
+    vector = F.col("old")["vector"]
+    if refresh_on_change:
+        vector = F.when(action != "update", vector)
     state = g.select("name", F.col("old")["id"].alias("id"), *[c.alias(f) for f, c in fields.items()],
-                     F.col("old")["vector"].alias("vector"), action.alias("action"))
+                     vector.alias("vector"), action.alias("action"))
     max_id = stored.agg(F.max("id")).first()[0] or 0
     inserts = dense_index(state.filter(F.col("action") == "insert").drop("id"), ["name"],
                           name="id", start=int(max_id) + 1)
@@ -77,9 +82,10 @@ def upsert_repos(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
     return kept.select(*cols).unionByName(inserts.select(*cols)), rejects
 
 
-def upsert_projects(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_projects(stored: DataFrame, batch: DataFrame, refresh_on_change: bool = False) -> DataFrame:
     """JOIN-2 final state with ``action`` (stored rows untouched by the batch
-    come out ``unchanged``)."""
+    come out ``unchanged``). An edited project keeps its vector unless
+    ``refresh_on_change`` (then its vector is cleared and it is pending again)."""
     vec_t = stored.schema["vector"].dataType
     prize_t = stored.schema["prizes"].dataType
     s = stored.select("id", *PROJECT_SCALARS, "hackathon", "year", "vector", "prizes",
@@ -121,7 +127,10 @@ def upsert_projects(stored: DataFrame, batch: DataFrame) -> DataFrame:
     for c in PROJECT_SCALARS + ["hackathon", "year", "prizes"]:
         changed = changed | _differs(F.col(c), F.col("old")[c])
     action = F.when(F.col("n_old") == 0, "insert").when(changed, "update").otherwise("unchanged")
-    return sel.withColumn("action", action).drop("n_old", "n_new", "old")
+    out_df = sel.withColumn("action", action).drop("n_old", "n_new", "old")
+    if refresh_on_change:
+        out_df = out_df.withColumn("vector", F.when(F.col("action") != "update", F.col("vector")))
+    return out_df
 
 
 def slug_conflicts(projects: DataFrame) -> DataFrame:

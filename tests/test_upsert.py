@@ -145,3 +145,13 @@ def test_upsert_a_then_b_equals_union(spark):
     once = U.upsert_projects(sdf, both).drop("action")
     cols = ["id", "slug", "name", "tagline", "likes", "members", "hackathon", "year", "winner", "prizes"]
     assert sorted(map(tuple, step.select(*cols).collect())) == sorted(map(tuple, once.select(*cols).collect()))
+
+
+def test_refresh_on_change(spark):
+    stored = spark.createDataFrame([(1, "a/x", "d", 5, ["t"], [0.1]), (2, "b/y", "e", 7, [], [0.2])],
+                                   "id long, name string, desc string, stars long, topics array<string>, vector array<float>")
+    batch = spark.createDataFrame([("a/x", "changed", 5, ["t"], 1), ("b/y", "e", 7, [], 1)],
+                                  "name string, desc string, stars long, topics array<string>, ord long")
+    keep = {r.name: r.vector for r in U.upsert_repos(stored, batch)[0].collect()}
+    redo = {r.name: r.vector for r in U.upsert_repos(stored, batch, refresh_on_change=True)[0].collect()}
+    assert keep["a/x"] is not None and redo["a/x"] is None and redo["b/y"] is not None
