@@ -160,30 +160,27 @@ def pool_token_vectors(doc_tokens: DataFrame, token_table: DataFrame, key: str,
 
 def _pool_broadcast(doc_tokens: DataFrame, token_table: DataFrame, key: str, factor: float) -> DataFrame:
     rows = bounded_rows(token_table.select("token_id", "vector"), MAX_BROADCAST_TOKEN_ROWS, "token table")
-    size = max(r["token_id"] for r in rows) + 1 if rows else 0
-    dim = len(rows[0]["vector"]) if rows else 0
-    table = np.zeros((size, dim), dtype=np.float64)
-    present = np.zeros(size, dtype=bool)
-    for r in rows:
-        table[r["token_id"]] = r["vector"]
-        present[r["token_id"]] = True
-    bc = doc_tokens.sparkSession.sparkContext.broadcast((table, present))
+    rows = sorted(rows, key=lambda r: r["token_id"])
+    ids = np.asarray([r["token_id"] for r in rows], dtype=np.int64)        # sorted token ids
+    table = np.asarray([r["vector"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    bc = doc_tokens.sparkSession.sparkContext.broadcast((ids, table))
     schema = T.StructType([doc_tokens.schema[key], T.StructField("pooled", T.ArrayType(T.DoubleType(), False))])
 
     def run(batches):
-        tab, ok = bc.value
+        known, tab = bc.value
         for pdf in batches:
             keys, out = [], []
-            for k, ids in zip(pdf[key].to_numpy(), pdf["ids"]):
-                if ids is None:
+            for k, doc_ids in zip(pdf[key].to_numpy(), pdf["ids"]):
+                if doc_ids is None or len(known) == 0:
                     continue
-                ids = np.asarray(ids, dtype=np.int64)
-                ids = ids[(ids >= 0) & (ids < len(ok))]
-                ids = ids[ok[ids]]
-                if len(ids) == 0:
+                doc_ids = np.asarray(doc_ids, dtype=np.int64)
+                pos = np.searchsorted(known, doc_ids)
+                pos = np.minimum(pos, len(known) - 1)
+                pos = pos[known[pos] == doc_ids]                                # ids missing from the table are skipped
+                if len(pos) == 0:
                     continue
                 keys.append(k)
-                out.append(tab[ids].mean(axis=0) * factor)
+                out.append(tab[pos].mean(axis=0) * factor)
             if keys:
                 yield pd.DataFrame({key: keys, "pooled": out})
 
