@@ -3,7 +3,9 @@ value-checkable ones, ``ORACLE_SQL[name]`` -- independent DuckDB SQL over the
 same parquet tables (views named after the tables).
 
 Outputs are flat: ids as bigint, doubles rounded, lists joined into strings or
-exploded to ``(key, pos, value)`` rows, so both sides hash alike.
+exploded to ``(key, pos, value)`` rows, so both sides hash alike. DuckDB's
+``round`` keeps a negative zero that Spark's decimal rounding does not, so
+every rounded value in the SQL gets ``+ 0.0``.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def q_validate_vectors(spark, sf_dir):
 @register("l2_normalize", """
 WITH n AS (SELECT vec_id, greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12) AS nrm,
                   embedding FROM embeddings)
-SELECT vec_id::BIGINT AS vec_id, (u.pos - 1)::BIGINT AS pos, round(u.val::DOUBLE / nrm, 6) AS value
+SELECT vec_id::BIGINT AS vec_id, (u.pos - 1)::BIGINT AS pos, (round(u.val::DOUBLE / nrm, 6) + 0.0) AS value
 FROM n, unnest(n.embedding) WITH ORDINALITY AS u(val, pos)""")
 def q_l2_normalize(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -106,7 +108,7 @@ def q_l2_normalize(spark, sf_dir):
 sims AS (SELECT p.vec_id, c.idx, list_cosine_similarity(p.embedding::DOUBLE[], c.vector) AS sim
          FROM embeddings p, cat_labels c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, idx) AS rn FROM sims)""") + """
-SELECT vec_id::BIGINT AS vec_id, idx::BIGINT AS category, round(sim, 4) AS similarity FROM ranked WHERE rn = 1""")
+SELECT vec_id::BIGINT AS vec_id, idx::BIGINT AS category, (round(sim, 4) + 0.0) AS similarity FROM ranked WHERE rn = 1""")
 def q_categorize(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     labels = ST.category_labels(spark, sf_dir)
@@ -115,7 +117,7 @@ def q_categorize(spark, sf_dir):
 
 
 @register("mean_vector", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL) + """
-SELECT m.dataset, (u.pos - 1)::BIGINT AS pos, round(avg(u.val::DOUBLE), 6) AS value
+SELECT m.dataset, (u.pos - 1)::BIGINT AS pos, (round(avg(u.val::DOUBLE), 6) + 0.0) AS value
 FROM members m, unnest(m.vector) WITH ORDINALITY AS u(val, pos) GROUP BY ALL""")
 def q_mean_vector(spark, sf_dir):
     means = P.mean_vectors(_members(spark, sf_dir), ["dataset"], "vector")
@@ -128,7 +130,7 @@ cells AS (SELECT m.dataset, m.id, u.pos - 1 AS i, u.val::DOUBLE AS v
           FROM members m, unnest(m.vector) WITH ORDINALITY AS u(val, pos)),
 mu AS (SELECT dataset, i, avg(v) AS mu FROM cells GROUP BY ALL),
 c AS (SELECT cells.dataset, cells.id, cells.i, cells.v - mu.mu AS cv FROM cells JOIN mu USING (dataset, i))""") + """
-SELECT a.dataset, a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.cv * b.cv), 6) AS value
+SELECT a.dataset, a.i::BIGINT AS i, b.i::BIGINT AS j, (round(sum(a.cv * b.cv), 6) + 0.0) AS value
 FROM c a JOIN c b ON a.dataset = b.dataset AND a.id = b.id GROUP BY ALL""")
 def q_scatter_matrix(spark, sf_dir):
     sm = P.scatter_matrix(_members(spark, sf_dir))
@@ -159,7 +161,7 @@ sims AS (SELECT q.k AS query_id, p.vec_id, sum(q.val::DOUBLE * p.v) / (any_value
          FROM q_vec q JOIN pts p ON q.bucket = p.bucket JOIN qn ON qn.k = q.k JOIN pn ON pn.vec_id = p.vec_id
          GROUP BY q.k, p.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM sims)""") + """
-SELECT query_id::BIGINT AS query_id, rank::BIGINT AS rank, vec_id::BIGINT AS vec_id, round(cosine, 4) AS similarity
+SELECT query_id::BIGINT AS query_id, rank::BIGINT AS rank, vec_id::BIGINT AS vec_id, (round(cosine, 4) + 0.0) AS similarity
 FROM ranked WHERE rank <= 8""")
 def q_nearest_points(spark, sf_dir):
     bench = table(spark, sf_dir, "benchmark")
@@ -170,7 +172,7 @@ def q_nearest_points(spark, sf_dir):
 
 
 @register("embed_corpus", with_sql(hash_sql("d", "documents", "doc_id", "text")) + """
-SELECT k::BIGINT AS doc_id, bucket::BIGINT AS pos, round(val::DOUBLE, 6) AS value FROM d_vec""")
+SELECT k::BIGINT AS doc_id, bucket::BIGINT AS pos, (round(val::DOUBLE, 6) + 0.0) AS value FROM d_vec""")
 def q_embed_corpus(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     v = E.hashing_vectors(d, "doc_id", "text")
@@ -888,7 +890,7 @@ def _token_table(spark, sf_dir):
 
 
 @register("pool_token_vectors", with_sql(TOKENS_SQL) + """
-SELECT doc_id::BIGINT AS doc_id, pos::BIGINT AS pos, round(m, 6) AS value FROM pooled""")
+SELECT doc_id::BIGINT AS doc_id, pos::BIGINT AS pos, (round(m, 6) + 0.0) AS value FROM pooled""")
 def q_pool_token_vectors(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     pooled = E.pool_token_vectors(TOK.word_tokens(d, "doc_id", "text", TOKEN_VOCAB), _token_table(spark, sf_dir),
@@ -898,7 +900,7 @@ def q_pool_token_vectors(spark, sf_dir):
 
 
 @register("embed_bag_of_tokens", with_sql(TOKENS_SQL, DENSE_SQL) + """
-SELECT p.doc_id::BIGINT AS doc_id, p.pos::BIGINT AS pos, round((p.v / n.nrm)::FLOAT::DOUBLE, 6) AS value
+SELECT p.doc_id::BIGINT AS doc_id, p.pos::BIGINT AS pos, (round((p.v / n.nrm)::FLOAT::DOUBLE, 6) + 0.0) AS value
 FROM proj p JOIN pn n USING (doc_id)""")
 def q_embed_bag_of_tokens(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -910,7 +912,7 @@ def q_embed_bag_of_tokens(spark, sf_dir):
 
 @register("project_dense", """
 WITH w AS (SELECT r.r, c.c, (((7 * r.r + 3 * c.c) % 11) - 5) / 10.0 AS w FROM range(16) r(r), range(64) c(c))
-SELECT e.vec_id::BIGINT AS vec_id, w.r::BIGINT AS pos, round(sum(w.w * u.val::DOUBLE) + w.r / 100.0, 6) AS value
+SELECT e.vec_id::BIGINT AS vec_id, w.r::BIGINT AS pos, (round(sum(w.w * u.val::DOUBLE) + w.r / 100.0, 6) + 0.0) AS value
 FROM embeddings e, unnest(e.embedding) WITH ORDINALITY AS u(val, pos) JOIN w ON w.c = u.pos - 1
 GROUP BY e.vec_id, w.r""")
 def q_project_dense(spark, sf_dir):
@@ -921,7 +923,7 @@ def q_project_dense(spark, sf_dir):
 
 
 @register("label_vectors", with_sql(CATEGORY_LABELS_SQL) + """
-SELECT idx::BIGINT AS idx, (u.pos - 1)::BIGINT AS pos, round(u.val, 6) AS value
+SELECT idx::BIGINT AS idx, (u.pos - 1)::BIGINT AS pos, (round(u.val, 6) + 0.0) AS value
 FROM cat_labels, unnest(vector) WITH ORDINALITY AS u(val, pos)""")
 def q_label_vectors(spark, sf_dir):
     lab = ST.category_labels(spark, sf_dir)
@@ -1144,7 +1146,7 @@ mi AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY id) - 1 AS idx
 sims AS (SELECT m.dataset, m.id, m.idx, c.idx AS cat, list_cosine_similarity(m.vector::DOUBLE[], c.vector) AS sim
          FROM mi m, cat_labels c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset, id ORDER BY sim DESC, cat) AS rn FROM sims)""") + """
-SELECT dataset, idx::BIGINT AS idx, id::BIGINT AS id, cat::BIGINT AS category, round(sim, 4) AS similarity
+SELECT dataset, idx::BIGINT AS idx, id::BIGINT AS id, cat::BIGINT AS category, (round(sim, 4) + 0.0) AS similarity
 FROM ranked WHERE rn = 1""")
 def q_map_categories(spark, sf_dir):
     """STR-4's non-PCA columns: every point's index and category in its map."""
@@ -1179,7 +1181,7 @@ qcat AS (SELECT q.k AS query_id, c.idx AS cat, list_cosine_similarity(q.vec, c.v
                                         CATEGORY_LABELS_SQL, hash_sql("q", "benchmark", "item_id", "text"),
                                         BENCH_QD_SQL, QUERY_NEIGHBOURS_SQL) + """
 SELECT n.query_id::BIGINT AS query_id, n.dataset, n.rank::BIGINT AS rank, n.idx::BIGINT AS nearest_idx,
-       n.id::BIGINT AS nearest_id, c.cat::BIGINT AS category, round(c.sim, 4) AS similarity
+       n.id::BIGINT AS nearest_id, c.cat::BIGINT AS category, (round(c.sim, 4) + 0.0) AS similarity
 FROM nranked n JOIN qcat c ON c.query_id = n.query_id AND c.rn = 1
 WHERE n.rank <= 8""")
 def q_answer_neighbours(spark, sf_dir):
