@@ -29,7 +29,7 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _quote(s: str) -> str:
+def regex_literal(s: str) -> str:
     """Escape a literal for a regex understood by both Java and RE2."""
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", s)
 
@@ -62,7 +62,7 @@ def decode_entities(c) -> Column:
     gives ``&lt;``); unknown entities are kept."""
     out = _c(c)
     for ent, txt in ENTITIES:
-        out = F.regexp_replace(out, _quote(ent), txt.replace("\\", "\\\\").replace("$", "\\$"))
+        out = F.regexp_replace(out, regex_literal(ent), txt.replace("\\", "\\\\").replace("$", "\\$"))
     return out
 
 
@@ -85,7 +85,7 @@ def html_to_text(c) -> Column:
     s = F.regexp_replace(s, OPEN + "[^" + CLOSE + "]*" + CLOSE, GONE)
     for ent, txt in ENTITIES:
         rep = NBSP if ent == "&nbsp;" else txt
-        s = F.regexp_replace(s, _quote(ent), rep.replace("\\", "\\\\").replace("$", "\\$"))
+        s = F.regexp_replace(s, regex_literal(ent), rep.replace("\\", "\\\\").replace("$", "\\$"))
     s = F.regexp_replace(s, GONE, "")
     s = F.regexp_replace(s, "[ \t\n\r]*" + BREAK + "[ \t\n\r" + BREAK + "]*", BREAK)
     s = F.regexp_replace(s, "[ \t\n\r]+", " ")
@@ -108,7 +108,7 @@ def html_to_text_sql(x: str) -> str:
     s = rr(s, OPEN + "[^" + CLOSE + "]*" + CLOSE, GONE)
     for ent, txt in ENTITIES:
         rep = NBSP if ent == "&nbsp;" else txt
-        s = rr(s, _quote(ent), rep.replace("\\", "\\\\"))
+        s = rr(s, regex_literal(ent), rep.replace("\\", "\\\\"))
     s = rr(s, GONE, "")
     s = rr(s, "[ \t\n\r]*" + BREAK + "[ \t\n\r" + BREAK + "]*", BREAK)
     s = rr(s, "[ \t\n\r]+", " ")

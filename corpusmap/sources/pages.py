@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.functions.text import html_to_text, parse_number, text_between, trim_spaces_newlines
+from corpusmap.functions.text import regex_literal
 
 # The literal markers the site's markup carries.
 CARD = 'data-software-id="'
@@ -25,11 +26,6 @@ BUILT_WITH = 'id="built-with"'
 DETAILS_END = 'id="app-details-right"'
 
 
-def _q(s: str) -> str:
-    import re
-    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", s)
-
-
 def parse_gallery(pages: DataFrame, html_col: str = "html", keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """SRC-3. Returns ``(projects, page_counts)``.
 
@@ -38,13 +34,13 @@ def parse_gallery(pages: DataFrame, html_col: str = "html", keys: list[str] | No
     -- the number of cards found, which is what ends a gallery walk.
     """
     keys = list(keys or [])
-    parts = pages.select(*keys, F.posexplode(F.split(F.col(html_col), _q(CARD))).alias("card", "_t"))
+    parts = pages.select(*keys, F.posexplode(F.split(F.col(html_col), regex_literal(CARD))).alias("card", "_t"))
     cards = parts.filter(F.col("card") > 0)
     t = F.col("_t")
     slug = text_between(t, SLUG, '"')
     name = text_between(t, "<h5>", "</h5>")
     tagline = text_between(t, 'class="small tagline">', "</p>")
-    members = F.regexp_extract_all(t, F.lit(_q(MEMBER) + '([^"]*)"'), 1)
+    members = F.regexp_extract_all(t, F.lit(regex_literal(MEMBER) + '([^"]*)"'), 1)
     rows = cards.select(
         *keys, F.col("card").cast("long"),
         parse_number(F.when(F.locate('"', t) > 0, F.substring_index(t, '"', 1))).alias("id"),
@@ -74,6 +70,6 @@ def page_prizes(pages: DataFrame, html_col: str = "html") -> DataFrame:
     h = F.col(html_col)
     at = F.locate(SUBMISSIONS, h)
     section = F.when(at > 0, F.substring(h, at, F.lit(1 << 30))).otherwise(F.lit(""))
-    spans = F.regexp_extract_all(section, F.lit(_q(PRIZE) + r"[\s\S]*?</span>([\s\S]*?)</li>"), 1)
+    spans = F.regexp_extract_all(section, F.lit(regex_literal(PRIZE) + r"[\s\S]*?</span>([\s\S]*?)</li>"), 1)
     texts = F.transform(spans, lambda s: trim_spaces_newlines(html_to_text(s)))
     return pages.withColumn("prizes", F.filter(texts, lambda s: F.length(s) > 0))
