@@ -204,3 +204,26 @@ def sync_report(state: DataFrame, key_cols: list[str]) -> DataFrame:
         F.count_if(F.col("action") == "update").alias("updated"),
         F.count_if(F.col("vector").isNotNull()).alias("with_vector"),
         F.count_if(F.col("vector").isNull()).alias("pending"))
+
+
+def pass_report(walk: DataFrame, before: DataFrame, after: DataFrame, group_col: str = "hackathon") -> DataFrame:
+    """AGG-9: counters of one sync pass per hackathon.
+
+    ``walk(group, page, cards, kept)`` is the gallery walk (SRC-13 decides
+    ``kept``); ``before`` / ``after`` are the store around the embedding step.
+    Reports pages walked, cards found on them, vectors written in the pass and
+    rows still pending -- aggregates only, one shuffle per input.
+    """
+    w = walk.groupBy(group_col).agg(
+        F.count_if("kept").cast("long").alias("pages_walked"),
+        F.coalesce(F.sum(F.when(F.col("kept"), F.col("cards"))), F.lit(0)).cast("long").alias("cards_found"))
+    b = before.select("id", F.col("vector").isNull().alias("_was_pending"))
+    e = (after.join(b, "id", "left")
+         .groupBy(group_col).agg(
+             F.count_if(F.coalesce(F.col("_was_pending"), F.lit(True)) & F.col("vector").isNotNull())
+             .cast("long").alias("vectors_written"),
+             F.count_if(F.col("vector").isNull()).cast("long").alias("pending_left")))
+    out = w.join(e, w[group_col].eqNullSafe(e[group_col]), "full")
+    return out.select(F.coalesce(w[group_col], e[group_col]).alias(group_col),
+                      *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+                        for c in ("pages_walked", "cards_found", "vectors_written", "pending_left")])

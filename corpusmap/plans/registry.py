@@ -1218,3 +1218,39 @@ SELECT query_id::BIGINT, NULL, NULL, NULL, NULL, reason FROM tcheck WHERE reason
 UNION ALL
 SELECT t.query_id::BIGINT, NULL, NULL, NULL, NULL, 'nothing to embed' FROM tvalid t
 WHERE t.query_id NOT IN (SELECT k FROM q_vec)"""
+
+
+@register("pass_report", with_sql(PROJECTS_SQL, REGISTRY_SQL, WORDY_SQL, GALLERY_EXPECTED_SQL, """
+gp AS (SELECT hackathon, page, count_if(has_link) AS cards, NOT ((page + any_value(n_items)) % 7 = 0) AS ok
+       FROM gcards GROUP BY hackathon, page),
+gstop AS (SELECT hackathon, min(CASE WHEN NOT ok OR cards <= 0 THEN page END) AS first_bad FROM gp GROUP BY hackathon),
+walk AS (SELECT g.hackathon, count_if(g.page < coalesce(s.first_bad, 201))::BIGINT AS pages_walked,
+                coalesce(sum(CASE WHEN g.page < coalesce(s.first_bad, 201) THEN g.cards END), 0)::BIGINT AS cards_found
+         FROM gp g JOIN gstop s USING (hackathon) GROUP BY g.hackathon),
+emb AS (SELECT p.hackathon,
+               count_if(p.vector IS NULL AND p.hackathon IN (SELECT hackathon FROM registry)
+                        AND w.doc_id IS NOT NULL)::BIGINT AS vectors_written,
+               count_if(p.vector IS NULL AND NOT (p.hackathon IN (SELECT hackathon FROM registry)
+                        AND w.doc_id IS NOT NULL))::BIGINT AS pending_left
+        FROM projects p LEFT JOIN wordy w ON w.doc_id = p.id GROUP BY p.hackathon)""") + """
+SELECT coalesce(w.hackathon, e.hackathon) AS hackathon, coalesce(w.pages_walked, 0)::BIGINT AS pages_walked,
+       coalesce(w.cards_found, 0)::BIGINT AS cards_found, coalesce(e.vectors_written, 0)::BIGINT AS vectors_written,
+       coalesce(e.pending_left, 0)::BIGINT AS pending_left
+FROM walk w FULL OUTER JOIN emb e ON w.hackathon IS NOT DISTINCT FROM e.hackathon""")
+def q_pass_report(spark, sf_dir):
+    """AGG-9: one pass over every hackathon -- the gallery walk (pages kept by
+    SRC-13, cards found on them), then the embedding of pending projects of
+    registered hackathons (vectors written, rows still pending)."""
+    from corpusmap.session import cut_lineage
+    gp = cut_lineage(ST.gallery_pages(spark, sf_dir))          # the stored bronze pages
+    _, counts = PG.parse_gallery(gp, keys=["hackathon", "page"])
+    pages = (gp.select("hackathon", "page", (F.col("status") == 200).alias("ok"))
+             .join(counts, ["hackathon", "page"], "left")
+             .withColumn("cards", F.coalesce(F.col("cards"), F.lit(0)).cast("long")))
+    walk = M.contiguous_pages(pages, "hackathon", "keep_prefix")
+    before = ST.projects(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    pending = S.pending_projects(before, ST.registry(spark)).select("id")
+    vecs = E.hashing_vectors(d.join(pending, "id", "left_semi"), "id", "text")
+    after = U.write_vectors(before, vecs)
+    return S.pass_report(walk, before, after)

@@ -23,3 +23,5 @@ def test_stream_upsert_equals_batch(spark):
     a = sorted(tuple(r) for r in streamed.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
     assert res["generation"] >= 2 and a == b
+    assert sum(b["seen"] for b in res["batches"]) == gp.count()
+    assert sum(b["accepted"] for b in res["batches"]) == gp.filter("status = 200").count()
