@@ -770,10 +770,10 @@ def q_project_urls(spark, sf_dir):
     return p.unionByName(r)
 
 
-@register("query_form", "SELECT item_id, translate(lower(substring(text, 1, 60)), ' ', '+') AS search FROM benchmark")
+@register("query_form", "SELECT item_id, translate(lower(text), ' ', '+') AS search FROM benchmark")
 def q_query_form(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", TX.query_form(F.substring("text", 1, 60)).alias("search"))
+    return b.select("item_id", TX.query_form("text").alias("search"))
 
 
 # ------------------------------------------------------------------ store
@@ -935,7 +935,8 @@ def q_label_vectors(spark, sf_dir):
 def q_tokenize_corpus(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     toks = TOK.tokenize_corpus(d, "doc_id", "text", TOK.demo_model())
-    return toks.select("doc_id", "n_tokens", F.slice("ids", 1, 8).alias("head"))
+    # whole texts are tokenised; the digest covers every id of the sequence
+    return toks.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_digest"))
 
 
 @register("embed_pending", with_sql(PROJECT_STATE_SQL[len("WITH "):], REPOS_SQL, REPO_BATCH_SQL, REPO_UPSERT_SQL,
