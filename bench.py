@@ -22,6 +22,7 @@ HEADLINE = [
     "upsert_projects",     # 10,000 documents: one-shuffle upsert
     "embed_corpus",        # hashing encoder over 10,000 documents
     "embed_bag_of_tokens", # lookup + pool + dense + normalise
+    "tokenize_corpus",     # ranked-merge BPE over whole texts (Arrow batches)
     "categorize",          # zero-shot category per vector
     "nearest_points",      # exact top-8 per query
     "scatter_matrix",      # partial Gram per partition
