@@ -1255,3 +1255,27 @@ def q_pass_report(spark, sf_dir):
     vecs = E.hashing_vectors(d.join(pending, "id", "left_semi"), "id", "text")
     after = U.write_vectors(before, vecs)
     return S.pass_report(walk, before, after)
+
+
+@register("sync_pass")
+def q_sync_pass(spark, sf_dir):
+    """STR-1..4 composed: two passes of the service loop over a store folder
+    (the gallery pages split in two halves by page number, as two fetch
+    rounds); returns the newest generation of every dataset's points."""
+    from corpusmap.plans import sync as SYNC
+    from corpusmap.streaming.ingest import scratch_root
+    root = scratch_root(spark, "sync")
+    SYNC.init_store(ST.projects(spark, sf_dir), root)
+    gp = cut_lineage_bronze(ST.gallery_pages(spark, sf_dir).select("hackathon", "page", "status", "html"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))
+    repos = ST.repos(spark, sf_dir)
+    for half in (F.col("page") % 2 == 1, F.col("page") % 2 == 0):   # two rounds of fetched pages
+        SYNC.sync_pass(spark, root, gp.filter(half), texts, repos, ST.registry(spark), labels, dim=64)
+    points, _, _ = SYNC.read_maps(spark, root)
+    return points.select("dataset", "generation", "idx", F.col("id").cast("long"), "category", "similarity")
+
+
+def cut_lineage_bronze(df):
+    from corpusmap.session import cut_lineage
+    return cut_lineage(df, "bronze")
