@@ -1,1281 +1,3 @@
-"""Registered queries: ``QUERIES[name](spark, sf_dir) -> DataFrame`` and, for the
-value-checkable ones, ``ORACLE_SQL[name]`` -- independent DuckDB SQL over the
-same parquet tables (views named after the tables).
+"""The query registry (kept for imports): see ``corpusmap.plans.queries``."""
 
-Outputs are flat: ids as bigint, doubles rounded, lists joined into strings or
-exploded to ``(key, pos, value)`` rows, so both sides hash alike. DuckDB's
-``round`` keeps a negative zero that Spark's decimal rounding does not, so
-every rounded value in the SQL gets ``+ 0.0``.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corpusmap.functions import vectors as V
-from corpusmap.operators import encoders as E
-from corpusmap.operators import projection as P
-from corpusmap.operators import selection as S
-from corpusmap.operators import similarity as SIM
-from corpusmap.operators import upsert as U
-from corpusmap.sources import standins as ST
-from corpusmap.sources.standins import (CATEGORY_LABELS_SQL, PROJECT_BATCH_SQL, PROJECTS_SQL, REGISTRY_SQL,
-                                        REPO_BATCH_SQL, REPOS_SQL, table, with_sql)
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return fn
-    return deco
-
-
-# ------------------------------------------------------------------ shared SQL
-
-MEMBERS_SQL = """
-members AS (
-  SELECT 'github' AS dataset, id, vector, NULL::VARCHAR AS hackathon, NULL::INTEGER AS year FROM (
-    SELECT id, vector FROM repos WHERE vector IS NOT NULL ORDER BY stars DESC NULLS LAST, id LIMIT 1000) g
-  UNION ALL
-  SELECT x.dataset, x.id, x.vector, x.hackathon, x.year FROM (
-    SELECT p.id, p.vector, p.hackathon, p.year,
-           unnest([p.hackathon, p.hackathon || '/' || CAST(p.year AS VARCHAR)]) AS dataset
-    FROM projects p WHERE p.vector IS NOT NULL AND p.hackathon IN (SELECT hackathon FROM registry)) x
-  WHERE x.dataset IS NOT NULL)"""
-
-HASH_SQL = """
-{name}_words AS (
-  SELECT {key} AS k, unnest(regexp_extract_all(lower({text}), '[a-z]+')) AS w FROM {src}),
-{name}_cells AS (
-  SELECT k, (('0x' || substr(md5(w), 1, 4))::INTEGER % {dim}) AS bucket, count(*)::DOUBLE AS cnt
-  FROM {name}_words GROUP BY ALL),
-{name}_norm AS (SELECT k, greatest(sqrt(sum(cnt * cnt)), 1e-12) AS nrm FROM {name}_cells GROUP BY k),
-{name}_vec AS (
-  SELECT c.k, c.bucket, (c.cnt / n.nrm)::FLOAT AS val FROM {name}_cells c JOIN {name}_norm n USING (k))"""
-
-
-def hash_sql(name: str, src: str, key: str, text: str, dim: int = E.HASH_DIM) -> str:
-    """Sparse hashing-encoder cells ``{name}_vec(k, bucket, val)`` of a table."""
-    return HASH_SQL.format(name=name, src=src, key=key, text=text, dim=dim)
-
-
-def truncate_sql(x: str, n: int = 32768) -> str:
-    cuts = ", ".join(f"try(decode(encode({x})[1:{n - i}]))" for i in range(4))
-    return f"(CASE WHEN strlen({x}) <= {n} THEN {x} ELSE coalesce({cuts}) END)"
-
-
-def _members(spark, sf_dir):
-    return S.dataset_members(ST.repos(spark, sf_dir), ST.projects(spark, sf_dir), ST.registry(spark))
-
-
-# ------------------------------------------------------------------ vectors
-
-@register("validate_vectors", """
-SELECT vec_id::BIGINT AS vec_id,
-       coalesce(len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))), false) AS valid,
-       CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'dimension'
-            WHEN NOT list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL)) THEN 'null value'
-            WHEN NOT list_bool_and(list_transform(embedding, lambda x: NOT isnan(x) AND NOT isinf(x))) THEN 'not finite'
-       END AS reason
-FROM embeddings""")
-def q_validate_vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").cast("long"), V.is_valid("embedding", 64).alias("valid"),
-                    V.invalid_reason("embedding", 64).alias("reason"))
-
-
-@register("l2_normalize", """
-WITH n AS (SELECT vec_id, greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12) AS nrm,
-                  embedding FROM embeddings)
-SELECT vec_id::BIGINT AS vec_id, (u.pos - 1)::BIGINT AS pos, (round(u.val::DOUBLE / nrm, 6) + 0.0) AS value
-FROM n, unnest(n.embedding) WITH ORDINALITY AS u(val, pos)""")
-def q_l2_normalize(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    u = e.select("vec_id", V.l2_normalize("embedding").alias("u"))
-    return u.select(F.col("vec_id").cast("long"), F.posexplode("u").alias("pos", "value")) \
-        .select("vec_id", F.col("pos").cast("long"), F.round("value", 6).alias("value"))
-
-
-@register("categorize", with_sql(CATEGORY_LABELS_SQL, """
-sims AS (SELECT p.vec_id, c.idx, list_cosine_similarity(p.embedding::DOUBLE[], c.vector) AS sim
-         FROM embeddings p, cat_labels c),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, idx) AS rn FROM sims)""") + """
-SELECT vec_id::BIGINT AS vec_id, idx::BIGINT AS category, (round(sim, 4) + 0.0) AS similarity FROM ranked WHERE rn = 1""")
-def q_categorize(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    labels = ST.category_labels(spark, sf_dir)
-    out = SIM.categorize(e.select(F.col("vec_id").cast("long"), F.col("embedding").alias("vector")), labels)
-    return out.select("vec_id", "category", "similarity")
-
-
-@register("mean_vector", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL) + """
-SELECT m.dataset, (u.pos - 1)::BIGINT AS pos, (round(avg(u.val::DOUBLE), 6) + 0.0) AS value
-FROM members m, unnest(m.vector) WITH ORDINALITY AS u(val, pos) GROUP BY ALL""")
-def q_mean_vector(spark, sf_dir):
-    means = P.mean_vectors(_members(spark, sf_dir), ["dataset"], "vector")
-    return means.select("dataset", F.posexplode("mean").alias("pos", "value")) \
-        .select("dataset", F.col("pos").cast("long"), F.round("value", 6).alias("value"))
-
-
-@register("scatter_matrix", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, """
-cells AS (SELECT m.dataset, m.id, u.pos - 1 AS i, u.val::DOUBLE AS v
-          FROM members m, unnest(m.vector) WITH ORDINALITY AS u(val, pos)),
-mu AS (SELECT dataset, i, avg(v) AS mu FROM cells GROUP BY ALL),
-c AS (SELECT cells.dataset, cells.id, cells.i, cells.v - mu.mu AS cv FROM cells JOIN mu USING (dataset, i))""") + """
-SELECT a.dataset, a.i::BIGINT AS i, b.i::BIGINT AS j, (round(sum(a.cv * b.cv), 6) + 0.0) AS value
-FROM c a JOIN c b ON a.dataset = b.dataset AND a.id = b.id GROUP BY ALL""")
-def q_scatter_matrix(spark, sf_dir):
-    sm = P.scatter_matrix(_members(spark, sf_dir))
-    return sm.select("dataset", F.col("i").cast("long"), F.col("j").cast("long"),
-                     F.round("value", 6).alias("value"))
-
-
-@register("pca_basis")
-def q_pca_basis(spark, sf_dir):
-    proj = P.fit_projection(_members(spark, sf_dir))
-    return proj.select("dataset", "n", F.posexplode("eigenvalues").alias("component", "eigenvalue")) \
-        .select("dataset", "n", F.col("component").cast("long"), F.round("eigenvalue", 4).alias("eigenvalue"))
-
-
-@register("project_points")
-def q_project_points(spark, sf_dir):
-    m = _members(spark, sf_dir)
-    proj = P.fit_projection(m)
-    return P.project(m.select("dataset", "id", "vector"), proj).select("dataset", "id", "x", "y", "z")
-
-
-@register("nearest_points", with_sql(hash_sql("q", "benchmark", "item_id", "text"), """
-pts AS (SELECT e.vec_id, (u.pos - 1) AS bucket, u.val::DOUBLE AS v FROM embeddings e,
-        unnest(e.embedding) WITH ORDINALITY AS u(val, pos)),
-pn AS (SELECT vec_id, greatest(sqrt(sum(v * v)), 1e-12) AS nrm FROM pts GROUP BY vec_id),
-qn AS (SELECT k, greatest(sqrt(sum(val::DOUBLE * val::DOUBLE)), 1e-12) AS nrm FROM q_vec GROUP BY k),
-sims AS (SELECT q.k AS query_id, p.vec_id, sum(q.val::DOUBLE * p.v) / (any_value(qn.nrm) * any_value(pn.nrm)) AS cosine
-         FROM q_vec q JOIN pts p ON q.bucket = p.bucket JOIN qn ON qn.k = q.k JOIN pn ON pn.vec_id = p.vec_id
-         GROUP BY q.k, p.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM sims)""") + """
-SELECT query_id::BIGINT AS query_id, rank::BIGINT AS rank, vec_id::BIGINT AS vec_id, (round(cosine, 4) + 0.0) AS similarity
-FROM ranked WHERE rank <= 8""")
-def q_nearest_points(spark, sf_dir):
-    bench = table(spark, sf_dir, "benchmark")
-    qv = E.hashing_vectors(bench, "item_id", "text").withColumnRenamed("item_id", "query_id")
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), F.col("embedding").alias("vector"))
-    nn = SIM.nearest(e, qv, k=8, key_col="vec_id")
-    return nn.select(F.col("query_id").cast("long"), F.col("rank").cast("long"), "vec_id", "similarity")
-
-
-@register("embed_corpus", with_sql(hash_sql("d", "documents", "doc_id", "text")) + """
-SELECT k::BIGINT AS doc_id, bucket::BIGINT AS pos, (round(val::DOUBLE, 6) + 0.0) AS value FROM d_vec""")
-def q_embed_corpus(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    v = E.hashing_vectors(d, "doc_id", "text")
-    return (v.select(F.col("doc_id").cast("long"), F.posexplode("vector").alias("pos", "value"))
-            .filter(F.col("value") != 0)
-            .select("doc_id", F.col("pos").cast("long"), F.round(F.col("value").cast("double"), 6).alias("value")))
-
-
-@register("point_index", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL) + """
-SELECT dataset, id::BIGINT AS id, (row_number() OVER (PARTITION BY dataset ORDER BY id) - 1)::BIGINT AS idx
-FROM members""")
-def q_point_index(spark, sf_dir):
-    return S.point_index(_members(spark, sf_dir)).select("dataset", F.col("id").cast("long"), "idx")
-
-
-@register("dataset_membership", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL) + """
-SELECT dataset, count(*)::BIGINT AS points, min(id)::BIGINT AS min_id, max(id)::BIGINT AS max_id
-FROM members GROUP BY dataset""")
-def q_dataset_membership(spark, sf_dir):
-    m = _members(spark, sf_dir)
-    return m.groupBy("dataset").agg(F.count(F.lit(1)).alias("points"), F.min("id").cast("long").alias("min_id"),
-                                    F.max("id").cast("long").alias("max_id"))
-
-
-# ------------------------------------------------------------------ top-k, filters
-
-@register("top_repos", with_sql(REPOS_SQL) + """
-SELECT id, name, stars FROM repos ORDER BY stars DESC NULLS LAST, id LIMIT 1000""")
-def q_top_repos(spark, sf_dir):
-    return S.top_repos(ST.repos(spark, sf_dir)).select("id", "name", "stars")
-
-
-REPO_UPSERT_SQL = """
-rb_last AS (SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord DESC) AS rn FROM repo_batch WHERE name IS NOT NULL)
-  WHERE rn = 1),
-repo_ids AS (
-  SELECT name, coalesce((SELECT max(id) FROM repos), 0) + row_number() OVER (ORDER BY name) AS id
-  FROM rb_last WHERE name NOT IN (SELECT name FROM repos)),
-repos_after AS (
-  SELECT coalesce(r.id, n.id)::BIGINT AS id, coalesce(r.name, b.name) AS name,
-         CASE WHEN b.name IS NULL THEN r."desc" ELSE b."desc" END AS "desc",
-         CASE WHEN b.name IS NULL THEN r.stars ELSE b.stars END AS stars,
-         CASE WHEN b.name IS NULL THEN r.topics ELSE b.topics END AS topics,
-         r.vector,
-         CASE WHEN r.name IS NULL THEN 'insert'
-              WHEN b.name IS NOT NULL AND (r."desc" IS DISTINCT FROM b."desc" OR r.stars IS DISTINCT FROM b.stars
-                   OR r.topics IS DISTINCT FROM b.topics) THEN 'update'
-              ELSE 'unchanged' END AS action
-  FROM repos r FULL OUTER JOIN rb_last b ON r.name = b.name LEFT JOIN repo_ids n ON b.name = n.name)"""
-
-
-def _repos_after(spark, sf_dir):
-    state, _ = U.upsert_repos(ST.repos(spark, sf_dir), ST.repo_batch(spark, sf_dir))
-    return state
-
-
-@register("upsert_repos", with_sql(REPOS_SQL, REPO_BATCH_SQL, REPO_UPSERT_SQL) + """
-SELECT id, name, "desc", stars, array_to_string(topics, ' ') AS topics, vector IS NOT NULL AS has_vector, action
-FROM repos_after""")
-def q_upsert_repos(spark, sf_dir):
-    st = _repos_after(spark, sf_dir)
-    return st.select("id", "name", "desc", "stars", F.array_join("topics", " ").alias("topics"),
-                     F.col("vector").isNotNull().alias("has_vector"), "action")
-
-
-@register("pending_repos", with_sql(REPOS_SQL, REPO_BATCH_SQL, REPO_UPSERT_SQL) + """
-SELECT id, name, stars FROM (SELECT * FROM repos_after ORDER BY stars DESC NULLS LAST, id LIMIT 1000) t
-WHERE vector IS NULL""")
-def q_pending_repos(spark, sf_dir):
-    return S.pending_repos(_repos_after(spark, sf_dir)).select("id", "name", "stars")
-
-
-@register("union_windows", with_sql(REPOS_SQL, REPO_BATCH_SQL, """
-windows AS (
-  SELECT * FROM repo_batch WHERE stars >= 4000
-  UNION ALL SELECT * FROM repo_batch WHERE stars BETWEEN 2000 AND 3999
-  UNION ALL SELECT * FROM repo_batch WHERE stars BETWEEN 0 AND 1999)""") + """
-SELECT CASE WHEN stars >= 4000 THEN '4000..*' WHEN stars >= 2000 THEN '2000..3999' ELSE '0..1999' END AS star_window,
-       count(*)::BIGINT AS rows, count(DISTINCT name)::BIGINT AS names FROM windows GROUP BY 1""")
-def q_union_windows(spark, sf_dir):
-    from corpusmap.sources.manifests import star_windows_union
-    b = ST.repo_batch(spark, sf_dir)
-    u = star_windows_union(b, [(4000, None), (2000, 3999), (0, 1999)])
-    return u.groupBy(F.col("window").alias("star_window")).agg(F.count(F.lit(1)).alias("rows"),
-                                                               F.countDistinct("name").alias("names"))
-
-
-PROJECT_UPSERT_SQL = """
-pb AS (SELECT id, slug, name, tagline, likes, members, hackathon,
-              CASE WHEN year > 0 THEN year END AS year, winner, ord FROM project_batch),
-per_row AS (
-  SELECT b.*, (p.id IS NOT NULL AND (b.slug IS DISTINCT FROM p.slug OR b.name IS DISTINCT FROM p.name
-         OR b.tagline IS DISTINCT FROM p.tagline OR b.likes IS DISTINCT FROM p.likes
-         OR b.members IS DISTINCT FROM p.members OR b.winner IS DISTINCT FROM p.winner
-         OR (b.hackathon IS NOT NULL AND b.hackathon IS DISTINCT FROM p.hackathon)
-         OR (b.year IS NOT NULL AND b.year IS DISTINCT FROM p.year))) AS diff
-  FROM pb b LEFT JOIN projects p ON b.id = p.id),
-last_row AS (SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS rn FROM per_row) WHERE rn = 1),
-fold AS (
-  SELECT id, arg_max(hackathon, ord) FILTER (WHERE hackathon IS NOT NULL) AS last_h,
-         arg_max(year, ord) FILTER (WHERE year IS NOT NULL) AS last_y,
-         bool_and(coalesce(winner, false)) AS all_win, NOT bool_or(diff) AS no_diff
-  FROM per_row GROUP BY id),
-projects_after AS (
-  SELECT coalesce(p.id, l.id)::BIGINT AS id,
-         CASE WHEN l.id IS NULL THEN p.slug ELSE l.slug END AS slug,
-         CASE WHEN l.id IS NULL THEN p.name ELSE l.name END AS name,
-         CASE WHEN l.id IS NULL THEN p.tagline ELSE l.tagline END AS tagline,
-         CASE WHEN l.id IS NULL THEN p.likes ELSE l.likes END AS likes,
-         CASE WHEN l.id IS NULL THEN p.members ELSE l.members END AS members,
-         CASE WHEN l.id IS NULL THEN p.winner ELSE l.winner END AS winner,
-         coalesce(f.last_h, p.hackathon) AS hackathon, coalesce(f.last_y, p.year) AS year, p.vector,
-         CASE WHEN p.id IS NOT NULL AND (l.id IS NULL OR f.all_win OR f.no_diff) THEN p.prizes END AS prizes,
-         p.id IS NULL AS is_new, p.slug AS o_slug, p.name AS o_name, p.tagline AS o_tagline, p.likes AS o_likes,
-         p.members AS o_members, p.winner AS o_winner, p.hackathon AS o_hackathon, p.year AS o_year,
-         p.prizes AS o_prizes
-  FROM projects p FULL OUTER JOIN last_row l ON p.id = l.id LEFT JOIN fold f ON f.id = l.id),
-projects_state AS (
-  SELECT id, slug, name, tagline, likes, members, winner, hackathon, year, vector, prizes,
-         CASE WHEN is_new THEN 'insert'
-              WHEN slug IS DISTINCT FROM o_slug OR name IS DISTINCT FROM o_name OR tagline IS DISTINCT FROM o_tagline
-                OR likes IS DISTINCT FROM o_likes OR members IS DISTINCT FROM o_members
-                OR winner IS DISTINCT FROM o_winner OR hackathon IS DISTINCT FROM o_hackathon
-                OR year IS DISTINCT FROM o_year OR prizes IS DISTINCT FROM o_prizes THEN 'update'
-              ELSE 'unchanged' END AS action
-  FROM projects_after)"""
-
-
-def _projects_after(spark, sf_dir):
-    return U.upsert_projects(ST.projects(spark, sf_dir), ST.project_batch(spark, sf_dir))
-
-
-PROJECT_STATE_SQL = with_sql(PROJECTS_SQL, PROJECT_BATCH_SQL, PROJECT_UPSERT_SQL)
-
-
-@register("upsert_projects", PROJECT_STATE_SQL + """
-SELECT id, slug, name, tagline, likes, array_to_string(members, ' ') AS members, hackathon, year::BIGINT AS year,
-       winner, array_to_string(prizes, chr(10)) AS prizes, vector IS NOT NULL AS has_vector, action
-FROM projects_state""")
-def q_upsert_projects(spark, sf_dir):
-    st = _projects_after(spark, sf_dir)
-    return st.select("id", "slug", "name", "tagline", "likes", F.array_join("members", " ").alias("members"),
-                     "hackathon", F.col("year").cast("long"), "winner",
-                     F.array_join("prizes", "\n").alias("prizes"),
-                     F.col("vector").isNotNull().alias("has_vector"), "action")
-
-
-@register("slug_conflicts", PROJECT_STATE_SQL + """
-SELECT slug, count(DISTINCT id)::BIGINT AS n_ids, min(id)::BIGINT AS min_id, max(id)::BIGINT AS max_id
-FROM projects_state GROUP BY slug HAVING count(DISTINCT id) > 1""")
-def q_slug_conflicts(spark, sf_dir):
-    return U.slug_conflicts(_projects_after(spark, sf_dir)).select(
-        "slug", F.col("n_ids").cast("long"), F.col("min_id").cast("long"), F.col("max_id").cast("long"))
-
-
-@register("sync_report", PROJECT_STATE_SQL + """
-SELECT hackathon, count(*)::BIGINT AS rows, count_if(action = 'insert')::BIGINT AS inserted,
-       count_if(action = 'update')::BIGINT AS updated, count_if(vector IS NOT NULL)::BIGINT AS with_vector,
-       count_if(vector IS NULL)::BIGINT AS pending
-FROM projects_state GROUP BY hackathon""")
-def q_sync_report(spark, sf_dir):
-    r = S.sync_report(_projects_after(spark, sf_dir), ["hackathon"])
-    return r.select("hackathon", *[F.col(c).cast("long") for c in ("rows", "inserted", "updated",
-                                                                   "with_vector", "pending")])
-
-
-@register("pending_projects", with_sql(PROJECTS_SQL, REGISTRY_SQL) + """
-SELECT id, hackathon FROM projects WHERE vector IS NULL AND hackathon IN (SELECT hackathon FROM registry)""")
-def q_pending_projects(spark, sf_dir):
-    return S.pending_projects(ST.projects(spark, sf_dir), ST.registry(spark)).select("id", "hackathon")
-
-
-@register("pending_prizes", with_sql(PROJECTS_SQL, REGISTRY_SQL) + """
-SELECT id, hackathon FROM projects
-WHERE coalesce(winner, false) AND prizes IS NULL AND hackathon IN (SELECT hackathon FROM registry)""")
-def q_pending_prizes(spark, sf_dir):
-    return S.pending_prizes(ST.projects(spark, sf_dir), ST.registry(spark)).select("id", "hackathon")
-
-
-@register("dataset_rows", with_sql(PROJECTS_SQL, REGISTRY_SQL) + """
-SELECT p.hackathon, p.year::BIGINT AS year, count(*)::BIGINT AS points, min(p.id)::BIGINT AS first_id
-FROM projects p JOIN registry r ON p.hackathon = r.hackathon
-WHERE p.vector IS NOT NULL GROUP BY ALL""")
-def q_dataset_rows(spark, sf_dir):
-    out = S.dataset_rows_all(ST.projects(spark, sf_dir), ST.registry(spark))
-    return out.groupBy("hackathon", F.col("year").cast("long").alias("year")).agg(
-        F.count(F.lit(1)).alias("points"), F.min("id").cast("long").alias("first_id"))
-
-
-@register("point_columns", with_sql(PROJECTS_SQL) + """
-SELECT id, slug, coalesce(winner, false) AS winner,
-       array_to_string(coalesce(list_filter(prizes, lambda x: x <> ''), []), chr(10)) AS prizes,
-       len(coalesce(list_filter(prizes, lambda x: x <> ''), []))::BIGINT AS n_prizes
-FROM projects""")
-def q_point_columns(spark, sf_dir):
-    pc = S.point_columns(ST.projects(spark, sf_dir))
-    return pc.select("id", "slug", "winner", F.array_join("prizes", "\n").alias("prizes"),
-                     F.size("prizes").cast("long").alias("n_prizes"))
-
-
-@register("hackathon_years", with_sql(PROJECTS_SQL) + """
-SELECT hackathon, array_to_string(list_sort(list(DISTINCT year), 'DESC'), ' ') AS years
-FROM projects WHERE vector IS NOT NULL AND year IS NOT NULL AND hackathon IS NOT NULL GROUP BY hackathon""")
-def q_hackathon_years(spark, sf_dir):
-    y = S.hackathon_years(ST.projects(spark, sf_dir))
-    return y.select("hackathon", F.array_join("years", " ").alias("years"))
-
-
-@register("catalog", with_sql(PROJECTS_SQL, REGISTRY_SQL, """
-yrs AS (SELECT hackathon, list_sort(list(DISTINCT year), 'DESC') AS years FROM projects
-        WHERE vector IS NOT NULL AND year IS NOT NULL GROUP BY hackathon)""") + """
-SELECT 0::BIGINT AS pos, 'github' AS id, 'GitHub' AS label, '' AS years
-UNION ALL
-SELECT (r.pos + 1)::BIGINT, r.hackathon, r.label, coalesce(array_to_string(y.years, ' '), '')
-FROM registry r LEFT JOIN yrs y ON r.hackathon = y.hackathon""")
-def q_catalog(spark, sf_dir):
-    c = S.catalog(ST.projects(spark, sf_dir), ST.registry(spark))
-    return c.select(F.col("pos").cast("long"), "id", "label", F.array_join("years", " ").alias("years"))
-
-
-@register("join_lists", with_sql(PROJECTS_SQL) + """
-SELECT id, CASE WHEN len(members) > 0 THEN array_to_string(members, ' ') END AS members,
-       CASE WHEN len([x FOR x IN members IF x = 'u0']) > 0 THEN array_to_string([x FOR x IN members IF x = 'u0'], ' ') END AS u0
-FROM projects""")
-def q_join_lists(spark, sf_dir):
-    p = ST.projects(spark, sf_dir).select("id", "members",
-                                          F.filter("members", lambda x: x == F.lit("u0")).alias("u0"))
-    return S.join_lists(p, ["members", "u0"]).select("id", "members", "u0")
-
-
-@register("write_prizes", with_sql(PROJECTS_SQL, """
-fetched AS (SELECT doc_id::BIGINT AS id,
-                   CASE WHEN toxic = 1 THEN NULL ELSE ['Prize ' || CAST(quality AS VARCHAR)] END AS prizes
-            FROM labels)""") + """
-SELECT p.id, array_to_string(CASE WHEN f.prizes IS NOT NULL AND coalesce(p.winner, false) THEN f.prizes
-                                  ELSE p.prizes END, chr(10)) AS prizes
-FROM projects p LEFT JOIN fetched f ON p.id = f.id""")
-def q_write_prizes(spark, sf_dir):
-    lab = table(spark, sf_dir, "labels")
-    fetched = lab.select(F.col("doc_id").cast("long").alias("id"),
-                         F.when(F.col("toxic") == 1, F.lit(None).cast("array<string>"))
-                         .otherwise(F.array(F.concat(F.lit("Prize "), F.col("quality").cast("string"))))
-                         .alias("prizes"))
-    out = U.write_prizes(ST.projects(spark, sf_dir), fetched, only_winners=True)
-    return out.select("id", F.array_join("prizes", "\n").alias("prizes"))
-
-
-WORDY_SQL = """
-wordy AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) AS name FROM documents
-          WHERE len(regexp_extract_all(lower(text), '[a-z]+')) > 0)"""
-
-
-@register("write_vectors", with_sql(PROJECTS_SQL, WORDY_SQL) + """
-SELECT p.id, (p.vector IS NOT NULL OR w.doc_id IS NOT NULL) AS has_vector,
-       (CASE WHEN p.vector IS NOT NULL OR w.doc_id IS NOT NULL THEN 64 END)::BIGINT AS dim
-FROM projects p LEFT JOIN wordy w ON w.doc_id = p.id""")
-def q_write_vectors(spark, sf_dir):
-    pr = ST.projects(spark, sf_dir)
-    d = table(spark, sf_dir, "documents")
-    pending = pr.filter(F.col("vector").isNull()).select("id")
-    new = E.hashing_vectors(d.withColumnRenamed("doc_id", "id").join(pending, "id", "left_semi"), "id", "text")
-    out = U.write_vectors(pr, new)
-    has = F.col("vector").isNotNull()
-    return out.select("id", has.alias("has_vector"), F.when(has, F.size("vector")).cast("long").alias("dim"))
-
-
-# ------------------------------------------------------------------ text functions
-
-from corpusmap.functions import text as TX  # noqa: E402
-from corpusmap.sources import listings as L  # noqa: E402
-from corpusmap.sources import manifests as M  # noqa: E402
-from corpusmap.sources import pages as PG  # noqa: E402
-from corpusmap.sources import responses as R  # noqa: E402
-from corpusmap.sources import store as STORE  # noqa: E402
-
-
-def between_sql(x: str, open_m: str, close_m: str) -> str:
-    o = open_m.replace("'", "''")
-    c = close_m.replace("'", "''")
-    rest = f"substring({x}, strpos({x}, '{o}') + {len(open_m)})"
-    return (f"(CASE WHEN strpos({x}, '{o}') > 0 AND strpos({rest}, '{c}') > 0 "
-            f"THEN substring({rest}, 1, strpos({rest}, '{c}') - 1) END)")
-
-
-@register("html_to_text", f"SELECT page_id, {TX.html_to_text_sql('html')} AS text FROM pages")
-def q_html_to_text(spark, sf_dir):
-    from corpusmap.session import spread_small_input
-    p = spread_small_input(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return p.select("page_id", TX.html_to_text("html").alias("text"))
-
-
-@register("decode_entities", """
-SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'),
-       '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS text FROM pages""")
-def q_decode_entities(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", TX.decode_entities("html").alias("text"))
-
-
-@register("text_between", f"SELECT page_id, {between_sql('html', '<title>', '</title>')} AS title, "
-                          f"{between_sql('html', '<h1', '</nav>')} AS odd FROM pages")
-def q_text_between(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", TX.text_between("html", "<title>", "</title>").alias("title"),
-                    TX.text_between("html", "<h1", "</nav>").alias("odd"))
-
-
-@register("parse_number", f"""
-SELECT page_id, coalesce(TRY_CAST(nullif(regexp_replace({between_sql('html', 'track(', ')')}, '[^0-9]', '', 'g'), '')
-       AS BIGINT), 0) AS num,
-       coalesce(TRY_CAST(nullif(regexp_replace({between_sql('html', '<title>', '</title>')}, '[^0-9]', '', 'g'), '')
-       AS BIGINT), 0) AS title_digits
-FROM pages""")
-def q_parse_number(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", TX.parse_number(TX.text_between("html", "track(", ")")).alias("num"),
-                    TX.parse_number(TX.text_between("html", "<title>", "</title>")).alias("title_digits"))
-
-
-@register("truncate_text", f"""
-SELECT doc_id, strlen(t)::BIGINT AS n_bytes, md5(t) AS digest FROM (
-  SELECT doc_id, {truncate_sql('text', 32768)} AS t FROM documents)""")
-def q_truncate_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    t = TX.truncate_bytes("text", 32768)
-    return d.select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.md5(t).alias("digest"))
-
-
-@register("raw_documents", """
-SELECT doc_id, strlen(text)::BIGINT AS n_bytes, md5(text) AS digest FROM documents""")
-def q_raw_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("digest"))
-
-
-# ------------------------------------------------------------------ listings
-
-DOC_PAGES_SQL = """
-doc_pages AS (
-  SELECT d.*, (row_number() OVER (ORDER BY doc_id) - 1) AS idx FROM documents d)"""
-
-
-@register("parse_repo_listing", with_sql(DOC_PAGES_SQL) + """
-SELECT (idx // 20 + 1)::BIGINT AS page, (idx % 20)::BIGINT AS pos, source || '/' || CAST(doc_id AS VARCHAR) AS name,
-       CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN NULL ELSE substring(text, 1, 80) END AS "desc",
-       CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END::BIGINT AS stars,
-       lang || ' ' || source AS topics
-FROM doc_pages WHERE NOT ((idx // 20 + 1) % 17 = 5 OR (idx // 20 + 1) % 19 = 7)""")
-def q_parse_repo_listing(spark, sf_dir):
-    rows, _ = L.parse_repo_listing(ST.repo_listing_pages(spark, sf_dir), keys=["page"])
-    return rows.select("page", "pos", "name", "desc", "stars", F.array_join("topics", " ").alias("topics"))
-
-
-@register("listing_rejects", with_sql(DOC_PAGES_SQL) + """
-SELECT DISTINCT (idx // 20 + 1)::BIGINT AS page,
-       CASE WHEN (idx // 20 + 1) % 17 = 5 THEN 'not JSON' ELSE 'no items array' END AS reject_reason
-FROM doc_pages WHERE (idx // 20 + 1) % 17 = 5 OR (idx // 20 + 1) % 19 = 7""")
-def q_listing_rejects(spark, sf_dir):
-    _, rej = L.parse_repo_listing(ST.repo_listing_pages(spark, sf_dir), keys=["page"])
-    return rej.select("page", "reject_reason")
-
-
-EVENTS_EXPECTED_SQL = """
-ev AS (
-  SELECT (idx // 40 + 1)::BIGINT AS page, (idx % 40)::BIGINT AS pos, doc_id, 'h' || CAST(doc_id AS VARCHAR) AS host,
-         CASE WHEN doc_id % 8 = 3 THEN '' ELSE substring(text, 1, 30) END AS title,
-         (CASE WHEN doc_id % 9 = 4 THEN 0 WHEN doc_id % 10 = 7 THEN 0 WHEN doc_id % 11 = 2 THEN 0
-               ELSE 2018 + doc_id % 7 END)::BIGINT AS year
-  FROM doc_pages WHERE doc_id % 6 <> 5)"""
-
-
-@register("parse_event_listing", with_sql(DOC_PAGES_SQL, EVENTS_EXPECTED_SQL) + """
-SELECT page, pos, host, title, year FROM ev""")
-def q_parse_event_listing(spark, sf_dir):
-    hosts, _, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
-    return hosts.select("page", "pos", "host", "title", "year")
-
-
-@register("listing_progress", with_sql(DOC_PAGES_SQL) + """
-SELECT DISTINCT (idx // 40 + 1)::BIGINT AS page, (SELECT count(*) FROM documents)::BIGINT AS total_count,
-       40::BIGINT AS per_page, ((idx // 40 + 1) * 40 >= (SELECT count(*) FROM documents)) AS is_last_page
-FROM doc_pages""")
-def q_listing_progress(spark, sf_dir):
-    _, pages, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
-    return pages.select("page", "total_count", "per_page",
-                        M.is_last_page(F.col("page"), F.col("per_page"), F.col("total_count")).alias("is_last_page"))
-
-
-@register("match_events", with_sql(DOC_PAGES_SQL, EVENTS_EXPECTED_SQL, """
-wanted AS (SELECT * FROM (VALUES ('the', 0), ('le', 2020), ('in', 2022), ('un', 0)) t(name, year))""") + """
-SELECT w.name, w.year::BIGINT AS year_filter, e.host, e.year
-FROM ev e JOIN wanted w ON starts_with(lower(e.title), lower(w.name)) AND (w.year <= 0 OR e.year = w.year)""")
-def q_match_events(spark, sf_dir):
-    hosts, _, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
-    # a fixed list of (name, year) filters: each event is tested against every
-    # entry of the list (an explode of a literal array, no join)
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(y).cast("long").alias("year_filter"))
-                       for n, y in [("the", 0), ("le", 2020), ("in", 2022), ("un", 0)]])
-    j = hosts.select("*", F.inline(wanted))
-    return S.match_events(j, name_col="name", year_col="year_filter").select("name", "year_filter", "host", "year")
-
-
-# ------------------------------------------------------------------ gallery and pages
-
-GALLERY_EXPECTED_SQL = """
-gdocs0 AS (
-  SELECT d.*, l.quality, (row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1) AS gi
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-gdocs AS (SELECT *, count(*) OVER (PARTITION BY source, gi // 20) AS n_items FROM gdocs0),
-gcards AS (
-  SELECT source AS hackathon, (gi // 20 + 1)::BIGINT AS page, (gi % 20 + 1)::BIGINT AS card, doc_id::BIGINT AS id,
-         'p-' || CAST(doc_id AS VARCHAR) AS slug, text, lang, n_chars, quality, n_items,
-         doc_id % 11 <> 3 AS has_link, doc_id
-  FROM gdocs)"""
-
-
-@register("parse_gallery", with_sql(GALLERY_EXPECTED_SQL) + f"""
-SELECT hackathon, page, card, id, slug, {TX.html_to_text_sql("' ' || substring(text, 1, 40) || ' &amp; co '")} AS name,
-       CASE WHEN doc_id % 13 = 4 THEN NULL ELSE lang END AS tagline,
-       (CASE WHEN doc_id % 17 = 2 THEN 0 ELSE (n_chars % 500) * 7 END)::BIGINT AS likes,
-       coalesce(quality = 1, false) AS winner,
-       'u' || CAST(doc_id % 50 AS VARCHAR) || ' u' || CAST(doc_id % 7 AS VARCHAR) AS members
-FROM gcards WHERE has_link""")
-def q_parse_gallery(spark, sf_dir):
-    rows, _ = PG.parse_gallery(ST.gallery_pages(spark, sf_dir), keys=["hackathon", "page"])
-    return rows.select("hackathon", "page", "card", "id", "slug", "name", "tagline", "likes", "winner",
-                       F.array_join("members", " ").alias("members"))
-
-
-@register("contiguous_pages", with_sql(GALLERY_EXPECTED_SQL, """
-gp AS (SELECT hackathon, page, any_value(n_items) AS n_items, count_if(has_link) AS cards FROM gcards GROUP BY ALL),
-gs AS (SELECT hackathon, page, cards, NOT ((page + n_items) % 7 = 0) AS ok FROM gp),
-stops AS (SELECT hackathon, min(CASE WHEN NOT ok OR cards <= 0 THEN page END) AS first_bad,
-                 max(CASE WHEN NOT ok THEN 1 END) AS any_failed FROM gs GROUP BY hackathon)""") + """
-SELECT g.hackathon, g.page, g.cards::BIGINT AS cards, g.ok,
-       g.page < coalesce(s.first_bad, 201) AS kept_prefix,
-       g.page < coalesce(s.first_bad, 201) AND s.any_failed IS NULL AS kept_whole
-FROM gs g JOIN stops s USING (hackathon)""")
-def q_contiguous_pages(spark, sf_dir):
-    from corpusmap.session import cut_lineage
-    gp = cut_lineage(ST.gallery_pages(spark, sf_dir))  # the stored bronze pages
-    rows, counts = PG.parse_gallery(gp, keys=["hackathon", "page"])
-    pages = cut_lineage(gp.select("hackathon", "page", (F.col("status") == 200).alias("ok"))
-                        .join(counts, ["hackathon", "page"], "left")
-                        .withColumn("cards", F.coalesce(F.col("cards"), F.lit(0)).cast("long")))
-    a = M.contiguous_pages(pages, "hackathon", "keep_prefix").withColumnRenamed("kept", "kept_prefix")
-    b = M.contiguous_pages(pages, "hackathon", "all_or_nothing").select("hackathon", "page",
-                                                                         F.col("kept").alias("kept_whole"))
-    return a.join(b, ["hackathon", "page"]).select("hackathon", "page", "cards", "ok", "kept_prefix", "kept_whole")
-
-
-PROJECT_PAGE_SQL = """
-pp AS (
-  SELECT page_id,
-         CASE WHEN page_id % 10 = 9 THEN '<html>' || html || '</html>'
-              ELSE '<div id="app-details-left">' || html ||
-                   CASE WHEN page_id % 4 = 0 THEN '' ELSE '<div id="built-with"><p>Go</p></div>' END ||
-                   '</div>' || chr(10) || '<div id="app-details-right"></div>' END AS h
-  FROM pages)"""
-
-
-@register("page_writeup", with_sql(PROJECT_PAGE_SQL) + f"""
-SELECT page_id, {TX.html_to_text_sql("coalesce(" + between_sql("h", 'id="app-details-left">', 'id="built-with"') + ", "
-                                       + between_sql("h", 'id="app-details-left">', 'id="app-details-right"') + ")")}
-       AS writeup FROM pp""")
-def q_page_writeup(spark, sf_dir):
-    return PG.page_writeup(ST.project_pages(spark, sf_dir)).select("page_id", "writeup")
-
-
-@register("page_prizes", """
-SELECT page_id::BIGINT AS page_id,
-       CASE WHEN page_id % 10 = 9 OR page_id % 3 = 0 THEN ''
-            ELSE 'Prize ' || CAST(page_id AS VARCHAR) || ' & more' || chr(10) || 'Runner up' END AS prizes,
-       (CASE WHEN page_id % 10 = 9 OR page_id % 3 = 0 THEN 0 ELSE 2 END)::BIGINT AS n_prizes
-FROM pages""")
-def q_page_prizes(spark, sf_dir):
-    p = PG.page_prizes(ST.project_pages(spark, sf_dir))
-    return p.select(F.col("page_id").cast("long"), F.array_join("prizes", "\n").alias("prizes"),
-                    F.size("prizes").cast("long").alias("n_prizes"))
-
-
-# ------------------------------------------------------------------ responses
-
-RESPONSE_EXPECTED_SQL = """
-rl AS (
-  SELECT event_id, event_type, user_id, value, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-         epoch(date_trunc('second', ts))::BIGINT AS now, event_id % 4 AS attempt,
-         CASE WHEN event_type IN ('view', 'click') THEN 200 WHEN event_type = 'purchase' THEN 403
-              WHEN event_type = 'error' THEN 429 WHEN value < 5 THEN 0 ELSE 404 END AS status,
-         event_id % 2 = 0 AS says_limit
-  FROM events),
-hf AS (
-  SELECT *, (CASE WHEN event_id % 4 = 0 THEN k + 2 WHEN event_id % 4 = 1 THEN k + 1 ELSE 1 END)::BIGINT AS page_count,
-         (CASE WHEN event_id % 3 = 0 THEN user_id % 5 ELSE -1 END)::BIGINT AS ratelimit_remaining,
-         (CASE WHEN event_id % 5 <> 0 THEN now + user_id % 90 ELSE -1 END)::BIGINT AS ratelimit_reset,
-         (CASE WHEN event_type = 'error' THEN floor(value) ELSE -1 END)::BIGINT AS retry_after
-  FROM rl)"""
-
-
-@register("header_fields", with_sql(RESPONSE_EXPECTED_SQL) + """
-SELECT event_id, status, page_count, ratelimit_remaining, ratelimit_reset, retry_after FROM hf""")
-def q_header_fields(spark, sf_dir):
-    f = R.header_fields(ST.response_log(spark, sf_dir))
-    return f.select("event_id", "status", "page_count", "ratelimit_remaining", "ratelimit_reset", "retry_after")
-
-
-@register("throttle_plan", with_sql(RESPONSE_EXPECTED_SQL, """
-lim AS (
-  SELECT *, (status = 429 OR (status = 403 AND (ratelimit_remaining = 0 OR retry_after >= 0 OR says_limit))) AS limited,
-         CASE WHEN retry_after >= 0 THEN retry_after ELSE 60 << attempt END AS base,
-         ratelimit_reset - now + 1 AS until FROM hf)""") + """
-SELECT event_id, limited, limited AND attempt >= 3 AS give_up,
-       CASE WHEN limited AND attempt < 3 THEN greatest(
-            CASE WHEN ratelimit_remaining = 0 AND ratelimit_reset > 0 AND (retry_after < 0 OR until > base)
-                 THEN until ELSE base END, 1) END::BIGINT AS delay_s,
-       (CASE WHEN status BETWEEN 200 AND 299 AND ratelimit_remaining = 0 AND ratelimit_reset > 0 AND until > 0
-             THEN until ELSE 0 END)::BIGINT AS wait_s
-FROM lim""")
-def q_throttle_plan(spark, sf_dir):
-    t = R.throttle_plan(ST.response_log(spark, sf_dir))
-    return t.select("event_id", "limited", "give_up", F.col("delay_s").cast("long"), "wait_s")
-
-
-@register("accept_responses", with_sql(RESPONSE_EXPECTED_SQL) + """
-SELECT event_id, status BETWEEN 200 AND 299 AS accepted,
-       CASE WHEN status = 0 THEN 'no response' WHEN status NOT BETWEEN 200 AND 299
-            THEN 'HTTP ' || CAST(status AS VARCHAR) END AS reject_reason
-FROM rl""")
-def q_accept_responses(spark, sf_dir):
-    good, bad = R.accept_responses(ST.response_log(spark, sf_dir))
-    return (good.select("event_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reject_reason"))
-            .unionByName(bad.select("event_id", F.lit(False).alias("accepted"), "reject_reason")))
-
-
-# ------------------------------------------------------------------ manifests
-
-@register("repo_manifest", with_sql(REPOS_SQL, REPO_BATCH_SQL, """
-wins AS (SELECT * FROM (VALUES (4000, NULL), (2000, 3999), (0, 1999)) t(lo, hi)),
-pc AS (SELECT w.lo, w.hi, CASE WHEN w.hi IS NULL THEN CAST(w.lo AS VARCHAR) || '..*'
-                              ELSE CAST(w.lo AS VARCHAR) || '..' || CAST(w.hi AS VARCHAR) END AS star_window,
-              (SELECT count(*) FROM repo_batch b WHERE b.ord = 1 AND b.stars >= w.lo
-                 AND (w.hi IS NULL OR b.stars <= w.hi)) AS n
-       FROM wins w)""") + """
-SELECT star_window, page::BIGINT AS page,
-       'https://api.github.com/search/repositories?q=stars:' || star_window || '&sort=stars&order=desc&per_page=100&page='
-       || CAST(page AS VARCHAR) AS url
-FROM (SELECT star_window, unnest(generate_series(1, greatest(least(CAST(ceil(n / 100) AS BIGINT), 10), 1))) AS page FROM pc)""")
-def q_repo_manifest(spark, sf_dir):
-    b = ST.repo_batch(spark, sf_dir).filter(F.col("ord") == 1)
-    wins = [(4000, None), (2000, 3999), (0, 1999)]
-    u = M.star_windows_union(b, wins)
-    counts = u.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
-    w = (M.windows_frame(spark, wins).withColumn("window", M.star_range(F.col("lo"), F.col("hi")))
-         .join(counts, "window", "left")
-         .withColumn("page_count", F.ceil(F.coalesce(F.col("n"), F.lit(0)) / 100).cast("int")).drop("window"))
-    return M.repo_manifest(w).select(F.col("window").alias("star_window"), F.col("page").cast("long"), "url")
-
-
-@register("event_manifest", with_sql(PROJECTS_SQL) + """
-SELECT host, page::BIGINT AS page, 'https://' || host || '.devpost.com/project-gallery?page=' || CAST(page AS VARCHAR) AS url
-FROM (SELECT hackathon AS host, unnest(generate_series(1, least(CAST(ceil(count(*) / 24) AS BIGINT) + 1, 200))) AS page
-      FROM projects GROUP BY hackathon)""")
-def q_event_manifest(spark, sf_dir):
-    hosts = ST.projects(spark, sf_dir).groupBy(F.col("hackathon").alias("host")).agg(F.count(F.lit(1)).alias("cards"))
-    return M.gallery_manifest(hosts).select("host", F.col("page").cast("long"), "url")
-
-
-@register("listing_manifest", with_sql(REGISTRY_SQL) + """
-SELECT 'listing' AS kind, NULL AS name, page::BIGINT AS page,
-       'https://devpost.com/api/hackathons?page=' || CAST(page AS VARCHAR) || '&per_page=40' AS url
-FROM (SELECT unnest(generate_series(1, greatest(CAST(ceil((SELECT count(*) FROM documents) / 40) AS BIGINT), 1))) AS page)
-UNION ALL
-SELECT 'search', label, 1, 'https://devpost.com/api/hackathons?page=1&per_page=40&search=' || replace(lower(label), ' ', '+')
-FROM registry""")
-def q_listing_manifest(spark, sf_dir):
-    """SRC-11: the listing pages implied by what listing page 1 reported, and
-    the first search page per registered hackathon name."""
-    _, pages, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
-    first = pages.filter(F.col("page") == 1)
-    listing = M.listing_manifest(first).select(F.lit("listing").alias("kind"), F.lit(None).cast("string").alias("name"),
-                                               F.col("page").cast("long"), "url")
-    search = M.search_manifest(ST.registry(spark)).select(F.lit("search").alias("kind"), "name",
-                                                          F.col("page").cast("long"), "url")
-    return listing.unionByName(search)
-
-
-@register("project_urls", with_sql(PROJECTS_SQL, REPOS_SQL) + """
-SELECT 'project' AS kind, slug AS key, 'https://devpost.com/software/' || slug AS url FROM projects
-UNION ALL SELECT 'readme', name, 'https://api.github.com/repos/' || name || '/readme' FROM repos""")
-def q_project_urls(spark, sf_dir):
-    p = M.project_urls(ST.projects(spark, sf_dir)).select(F.lit("project").alias("kind"), F.col("slug").alias("key"), "url")
-    r = M.readme_urls(ST.repos(spark, sf_dir)).select(F.lit("readme").alias("kind"), F.col("name").alias("key"), "url")
-    return p.unionByName(r)
-
-
-@register("query_form", "SELECT item_id, translate(lower(text), ' ', '+') AS search FROM benchmark")
-def q_query_form(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", TX.query_form("text").alias("search"))
-
-
-# ------------------------------------------------------------------ store
-
-@register("decode_vectors", """
-SELECT vec_id::BIGINT AS vec_id, (u.pos - 1)::BIGINT AS pos, u.val::DOUBLE AS value
-FROM embeddings e, unnest(e.embedding) WITH ORDINALITY AS u(val, pos)""")
-def q_decode_vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    enc = STORE.encode_vectors(e, "embedding", "blob")
-    dec = STORE.decode_vectors(enc, "blob", dim=64, out="back")
-    return dec.select(F.col("vec_id").cast("long"), F.posexplode("back").alias("pos", "value")) \
-        .select("vec_id", F.col("pos").cast("long"), F.col("value").cast("double"))
-
-
-@register("encode_vectors")
-def q_encode_vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    enc = STORE.encode_vectors(e, "embedding", "blob")
-    return enc.select("vec_id", F.octet_length("blob").alias("n_bytes"), F.sha2("blob", 256).alias("digest"))
-
-
-@register("ensure_columns", """
-SELECT doc_id::BIGINT AS id, NULL::VARCHAR AS slug, source AS hackathon, NULL::BIGINT AS year,
-       NULL::BOOLEAN AS winner, lang AS extra FROM documents""")
-def q_ensure_columns(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("hackathon"),
-                                                 F.col("lang").alias("extra"))
-    out = STORE.ensure_columns(d, STORE.PROJECTS_SCHEMA)
-    return out.select("id", "slug", "hackathon", F.col("year").cast("long"), "winner", "extra")
-
-
-# ------------------------------------------------------------------ request handling
-
-PATHS_SQL = """
-req AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN
-          CASE WHEN doc_id % 2 = 1 THEN '/datasets/github/' ELSE '/datasets/github' END
-        ELSE '/datasets/' || source ||
-        CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/' || CAST(2019 + doc_id % 7 AS VARCHAR) WHEN 2 THEN '/'
-                        WHEN 3 THEN '/x' || CAST(doc_id AS VARCHAR) ELSE '/0' END END ||
-        CASE WHEN doc_id % 3 = 0 THEN '/embed' ELSE '' END AS path FROM documents)"""
-
-
-@register("parse_dataset_path", with_sql(REGISTRY_SQL, PATHS_SQL, """
-steps AS (
-  SELECT doc_id, path, starts_with(path, '/datasets/') AS ok,
-         ends_with(path[11:], '/embed') AS q,
-         CASE WHEN ends_with(path[11:], '/embed') THEN path[11:length(path) - 6] ELSE path[11:] END AS rest
-  FROM req),
-split AS (
-  SELECT *, CASE WHEN strpos(rest, '/') > 0 THEN rest[1:strpos(rest, '/') - 1] ELSE rest END AS hid,
-         CASE WHEN strpos(rest, '/') > 0 THEN rest[strpos(rest, '/') + 1:] ELSE '' END AS y
-  FROM steps),
-cls AS (
-  SELECT s.*, ok AND rest = 'github' AS is_gh,
-         ok AND rest <> 'github' AND r.hackathon IS NOT NULL
-            AND (y = '' OR coalesce(regexp_full_match(y, '[0-9]+') AND TRY_CAST(y AS INTEGER) > 0, false)) AS is_hk
-  FROM split s LEFT JOIN registry r ON s.hid = r.hackathon)""") + """
-SELECT doc_id, path,
-       CASE WHEN is_gh THEN 'github' WHEN is_hk AND y <> '' THEN hid || '/' || CAST(TRY_CAST(y AS INTEGER) AS VARCHAR)
-            WHEN is_hk THEN hid END AS dataset,
-       (CASE WHEN is_hk AND y <> '' THEN TRY_CAST(y AS INTEGER) END)::BIGINT AS year,
-       (is_gh OR is_hk) AS found, q AND (is_gh OR is_hk) AS embed
-FROM cls""")
-def q_parse_dataset_path(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    doc = F.col("doc_id")
-    suffix = (F.when(doc % 5 == 0, F.lit("")).when(doc % 5 == 1, F.concat(F.lit("/"), (F.lit(2019) + doc % 7).cast("string")))
-              .when(doc % 5 == 2, F.lit("/")).when(doc % 5 == 3, F.concat(F.lit("/x"), doc.cast("string")))
-              .otherwise(F.lit("/0")))
-    gh = F.when(doc % 2 == 1, F.lit("/datasets/github/")).otherwise(F.lit("/datasets/github"))
-    path = F.concat(F.when(doc % 9 == 0, gh).otherwise(F.concat(F.lit("/datasets/"), F.col("source"), suffix)),
-                    F.when(doc % 3 == 0, F.lit("/embed")).otherwise(F.lit("")))
-    req = d.select("doc_id", path.alias("path"))
-    out = S.parse_dataset_path(req, ST.registry(spark))
-    return out.select("doc_id", "path", "dataset", F.col("year").cast("long"), "found", "embed")
-
-
-@register("validate_queries", """
-SELECT conv_id, turn, text IS NOT NULL AND strlen(text) BETWEEN 1 AND 32768 AS valid,
-       CASE WHEN text IS NULL THEN 'missing' WHEN strlen(text) < 1 THEN 'empty'
-            WHEN strlen(text) > 32768 THEN 'too long' END AS reason
-FROM conversations""")
-def q_validate_queries(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return S.validate_queries(c, "text").select("conv_id", "turn", "valid", "reason")
-
-
-# ------------------------------------------------------------------ embedding jobs
-
-from corpusmap.operators import tokenizer as TOK  # noqa: E402
-from corpusmap.plans import maps as MAPS  # noqa: E402
-
-TOKEN_VOCAB = 500   # stand-in token table = embeddings.vec_id 0..499
-HIDDEN = 64
-DENSE_OUT = 16
-
-TOKENS_SQL = """
-toks AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER % 500 AS token_id
-         FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)),
-tc AS (SELECT doc_id, token_id, count(*) AS cnt FROM toks GROUP BY ALL),
-pooled AS (SELECT t.doc_id, u.pos - 1 AS pos, sum(t.cnt * u.val::DOUBLE * 8.0) / sum(t.cnt) AS m
-           FROM tc t JOIN embeddings e ON e.vec_id = t.token_id, unnest(e.embedding) WITH ORDINALITY AS u(val, pos)
-           GROUP BY ALL)"""
-
-DENSE_SQL = """
-w AS (SELECT r.r, c.c, (((7 * r.r + 3 * c.c) % 11) - 5) / 10.0 AS w FROM range(16) r(r), range(64) c(c)),
-proj AS (SELECT p.doc_id, w.r AS pos, sum(w.w * p.m) AS v FROM pooled p JOIN w ON w.c = p.pos GROUP BY ALL),
-pn AS (SELECT doc_id, greatest(sqrt(sum(v * v)), 1e-12) AS nrm FROM proj GROUP BY doc_id)"""
-
-
-def _token_table(spark, sf_dir):
-    return E.token_table_from_embeddings(table(spark, sf_dir, "embeddings"))
-
-
-@register("pool_token_vectors", with_sql(TOKENS_SQL) + """
-SELECT doc_id::BIGINT AS doc_id, pos::BIGINT AS pos, (round(m, 6) + 0.0) AS value FROM pooled""")
-def q_pool_token_vectors(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    pooled = E.pool_token_vectors(TOK.word_tokens(d, "doc_id", "text", TOKEN_VOCAB), _token_table(spark, sf_dir),
-                                  "doc_id", HIDDEN)
-    return pooled.select(F.col("doc_id").cast("long"), F.posexplode("pooled").alias("pos", "value")) \
-        .select("doc_id", F.col("pos").cast("long"), F.round("value", 6).alias("value"))
-
-
-@register("embed_bag_of_tokens", with_sql(TOKENS_SQL, DENSE_SQL) + """
-SELECT p.doc_id::BIGINT AS doc_id, p.pos::BIGINT AS pos, (round((p.v / n.nrm)::FLOAT::DOUBLE, 6) + 0.0) AS value
-FROM proj p JOIN pn n USING (doc_id)""")
-def q_embed_bag_of_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    v = E.bag_of_tokens(TOK.word_tokens(d, "doc_id", "text", TOKEN_VOCAB), _token_table(spark, sf_dir),
-                        "doc_id", HIDDEN, E.rule_weights(DENSE_OUT, HIDDEN))
-    return v.select(F.col("doc_id").cast("long"), F.posexplode("vector").alias("pos", "value")) \
-        .select("doc_id", F.col("pos").cast("long"), F.round(F.col("value").cast("double"), 6).alias("value"))
-
-
-@register("project_dense", """
-WITH w AS (SELECT r.r, c.c, (((7 * r.r + 3 * c.c) % 11) - 5) / 10.0 AS w FROM range(16) r(r), range(64) c(c))
-SELECT e.vec_id::BIGINT AS vec_id, w.r::BIGINT AS pos, (round(sum(w.w * u.val::DOUBLE) + w.r / 100.0, 6) + 0.0) AS value
-FROM embeddings e, unnest(e.embedding) WITH ORDINALITY AS u(val, pos) JOIN w ON w.c = u.pos - 1
-GROUP BY e.vec_id, w.r""")
-def q_project_dense(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    out = E.project_dense(e, "embedding", E.rule_weights(DENSE_OUT, HIDDEN), [r / 100.0 for r in range(DENSE_OUT)])
-    return out.select(F.col("vec_id").cast("long"), F.posexplode("projected").alias("pos", "value")) \
-        .select("vec_id", F.col("pos").cast("long"), F.round("value", 6).alias("value"))
-
-
-@register("label_vectors", with_sql(CATEGORY_LABELS_SQL) + """
-SELECT idx::BIGINT AS idx, (u.pos - 1)::BIGINT AS pos, (round(u.val, 6) + 0.0) AS value
-FROM cat_labels, unnest(vector) WITH ORDINALITY AS u(val, pos)""")
-def q_label_vectors(spark, sf_dir):
-    lab = ST.category_labels(spark, sf_dir)
-    return lab.select(F.col("idx").cast("long"), F.posexplode("vector").alias("pos", "value")) \
-        .select("idx", F.col("pos").cast("long"), F.round("value", 6).alias("value"))
-
-
-@register("tokenize_corpus")
-def q_tokenize_corpus(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    toks = TOK.tokenize_corpus(d, "doc_id", "text", TOK.demo_model())
-    # whole texts are tokenised; the digest covers every id of the sequence
-    return toks.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_digest"))
-
-
-@register("embed_pending", with_sql(PROJECT_STATE_SQL[len("WITH "):], REPOS_SQL, REPO_BATCH_SQL, REPO_UPSERT_SQL,
-                                    REGISTRY_SQL, WORDY_SQL, """
-rtop AS (SELECT * FROM repos_after ORDER BY stars DESC NULLS LAST, id LIMIT 1000)""") + """
-SELECT 'project' AS kind, p.id,
-       (p.vector IS NOT NULL OR (p.hackathon IN (SELECT hackathon FROM registry) AND w.doc_id IS NOT NULL)) AS has_vector
-FROM projects_state p LEFT JOIN wordy w ON w.doc_id = p.id
-UNION ALL
-SELECT 'repo', r.id, (r.vector IS NOT NULL OR (r.id IN (SELECT id FROM rtop) AND w.name IS NOT NULL))
-FROM repos_after r LEFT JOIN wordy w ON w.name = r.name""")
-def q_embed_pending(spark, sf_dir):
-    """EMB-4: after the upserts, the pending projects of registered hackathons
-    and the pending repos among the top 1000 are embedded (hashing encoder)
-    and written back; everything else is untouched. Project texts are looked
-    up by id, repo texts (the read-me) by name."""
-    from corpusmap.session import cut_lineage
-    pr = cut_lineage(_projects_after(spark, sf_dir))   # the store snapshots after the upserts
-    rp = cut_lineage(_repos_after(spark, sf_dir))
-    d = table(spark, sf_dir, "documents")
-    p_text = d.select(F.col("doc_id").alias("id"), "text")
-    r_text = d.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("name"), "text")
-    p_pending = S.pending_projects(pr, ST.registry(spark)).select("id")
-    r_pending = S.pending_repos(rp).select("name")
-    p_vec = E.hashing_vectors(p_text.join(p_pending, "id", "left_semi"), "id", "text")
-    r_vec = E.hashing_vectors(r_text.join(r_pending, "name", "left_semi"), "name", "text")
-    p_out = U.write_vectors(pr, p_vec).select(F.lit("project").alias("kind"), "id",
-                                               F.col("vector").isNotNull().alias("has_vector"))
-    r_out = U.write_vectors(rp, r_vec, key="name").select(F.lit("repo").alias("kind"), "id",
-                                                          F.col("vector").isNotNull().alias("has_vector"))
-    return p_out.unionByName(r_out)
-
-
-# ------------------------------------------------------------------ maps and answers
-
-def _maps(spark, sf_dir, stored: bool = False):
-    """The dataset maps; with ``stored`` they are written once to the shared
-    checkpoint folder first -- the snapshot that query answering reads."""
-    members = _members(spark, sf_dir)
-    labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))  # fixed-size label matrix, taken once
-    points, proj, _ = MAPS.build_maps(members, labels, dim=64)
-    if stored:
-        from corpusmap.session import cut_lineage
-        points = cut_lineage(points)
-    return points, proj, labels
-
-
-@register("build_map")
-def q_build_map(spark, sf_dir):
-    points, _, _ = _maps(spark, sf_dir)
-    return points.select("dataset", "idx", "id", "x", "y", "z", "category", "similarity")
-
-
-@register("dataset_document")
-def q_dataset_document(spark, sf_dir):
-    points, _, _ = _maps(spark, sf_dir)
-    ds = points.select("dataset", "hackathon", "year").distinct() \
-        .groupBy("dataset").agg(F.max("hackathon").alias("hackathon"), F.max("year").alias("year"))
-    cats = [f"label {i}" for i in range(10)]
-    return STORE.dataset_lines(points.drop("unit"), ds, cats)
-
-
-@register("refresh_datasets")
-def q_refresh_datasets(spark, sf_dir):
-    """STR-3: after the project upsert, only the datasets holding inserted or
-    changed rows are rebuilt and get a new generation."""
-    from corpusmap.session import cut_lineage
-    pr = cut_lineage(_projects_after(spark, sf_dir))   # the store snapshot after the upsert
-    members = S.dataset_members(ST.repos(spark, sf_dir), pr, ST.registry(spark))
-    gens = members.select("dataset").distinct().withColumn("generation", F.lit(1).cast("long"))
-    labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))
-    points, gen = MAPS.refresh_datasets(members, labels, 64, pr, gens, kind="project")
-    counts = points.groupBy("dataset").agg(F.count(F.lit(1)).alias("points"))
-    return gen.join(counts, "dataset", "left").select("dataset", "generation", "rebuilt",
-                                                      F.coalesce("points", F.lit(0)).cast("long").alias("points"))
-
-
-ORACLE_SQL["refresh_datasets"] = PROJECT_STATE_SQL + ",\n" + ",\n".join(f.strip() for f in (
-    REPOS_SQL, REGISTRY_SQL, MEMBERS_SQL.replace("FROM projects p", "FROM projects_state p"), """
-touched AS (SELECT DISTINCT m.dataset FROM members m JOIN projects_state s ON s.id = m.id
-            WHERE m.dataset <> 'github' AND s.action IN ('insert', 'update'))""")) + """
-SELECT m.dataset, (1 + CASE WHEN t.dataset IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS generation,
-       t.dataset IS NOT NULL AS rebuilt,
-       (CASE WHEN t.dataset IS NOT NULL THEN count(*) ELSE 0 END)::BIGINT AS points
-FROM members m LEFT JOIN touched t ON t.dataset = m.dataset GROUP BY m.dataset, t.dataset"""
-
-
-def _bench_queries(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    ds = (F.when(F.col("item_id") % 3 == 0, F.lit("github")).when(F.col("item_id") % 3 == 1, F.lit("src1"))
-          .otherwise(F.lit("src2")))
-    vecs = E.hashing_vectors(b, "item_id", "text")
-    return (b.select(F.col("item_id").alias("query_id"), ds.alias("dataset"), F.col("text").alias("description"))
-            .join(vecs.withColumnRenamed("item_id", "query_id"), "query_id"))
-
-
-@register("answer_queries")
-def q_answer_queries(spark, sf_dir):
-    points, proj, labels = _maps(spark, sf_dir)
-    q = _bench_queries(spark, sf_dir)
-    ans = MAPS.answer_queries(q.select("query_id", "dataset", "vector"), points, proj, labels)
-    return ans.select("query_id", "dataset", "x", "y", "z", "category", "similarity", "rank",
-                      "nearest_idx", "nearest_id", "nearest_similarity")
-
-
-@register("answer_documents")
-def q_answer_documents(spark, sf_dir):
-    points, proj, labels = _maps(spark, sf_dir)
-    q = _bench_queries(spark, sf_dir)
-    ans = MAPS.answer_queries(q.select("query_id", "dataset", "vector"), points, proj, labels)
-    return MAPS.answer_documents(ans, q.select("query_id", "description"))
-
-
-@register("answer_text_queries")
-def q_answer_text_queries(spark, sf_dir):
-    points, proj, labels = _maps(spark, sf_dir)
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    cid = F.col("conv_id") * 1000 + F.col("turn")
-    path = (F.when(F.col("conv_id") % 4 == 0, F.lit("/datasets/github/embed"))
-            .when(F.col("conv_id") % 4 == 1, F.lit("/datasets/src1/embed"))
-            .when(F.col("conv_id") % 4 == 2, F.lit("/datasets/src3/2023/embed"))
-            .otherwise(F.lit("/datasets/nowhere/embed")))
-    req = c.select(cid.alias("query_id"), path.alias("path"), F.col("text").alias("description"))
-    ans, rej = MAPS.answer_text_queries(req, points, proj, labels, ST.registry(spark), dim=64)
-    return (ans.select("query_id", "dataset", "rank", "nearest_id", "category", F.lit(None).cast("string").alias("reason"))
-            .unionByName(rej.select("query_id", F.lit(None).cast("string").alias("dataset"),
-                                    F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("nearest_id"),
-                                    F.lit(None).cast("long").alias("category"), "reason")))
-
-
-# ------------------------------------------------------------------ streaming
-
-@register("stream_upsert")
-def q_stream_upsert(spark, sf_dir):
-    """STR-1: gallery responses land as files; the stream drains them into
-    store snapshots (upsert per micro-batch)."""
-    from corpusmap.streaming.ingest import scratch_root, stream_upsert
-    root = scratch_root(spark, "stream-upsert")
-    gp = ST.gallery_pages(spark, sf_dir).select("hackathon", "page", "status", "html")
-    src = f"{root}/incoming"
-    gp.repartition(4, "hackathon").write.mode("overwrite").parquet(src)
-    res = stream_upsert(spark, src, gp.schema, ST.projects(spark, sf_dir), root, max_files_per_trigger=1)
-    store = spark.read.parquet(res["path"])
-    return store.select("id", "slug", "name", "likes", "winner", F.col("vector").isNotNull().alias("has_vector"))
-
-
-ORACLE_SQL["stream_upsert"] = with_sql(PROJECTS_SQL, GALLERY_EXPECTED_SQL, f"""
-gstatus AS (SELECT hackathon, page, NOT ((page + any_value(n_items)) % 7 = 0) AS ok FROM gcards GROUP BY hackathon, page),
-project_batch AS (
-  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || substring(c.text, 1, 40) || ' &amp; co '")} AS name,
-         CASE WHEN c.doc_id % 13 = 4 THEN NULL ELSE c.lang END AS tagline,
-         (CASE WHEN c.doc_id % 17 = 2 THEN 0 ELSE (c.n_chars % 500) * 7 END)::BIGINT AS likes,
-         ['u' || CAST(c.doc_id % 50 AS VARCHAR), 'u' || CAST(c.doc_id % 7 AS VARCHAR)] AS members,
-         c.hackathon, NULL::INTEGER AS year, coalesce(c.quality = 1, false) AS winner,
-         (c.page * 1000 + c.card)::BIGINT AS ord
-  FROM gcards c JOIN gstatus s USING (hackathon, page) WHERE c.has_link AND s.ok)""", PROJECT_UPSERT_SQL) + """
-SELECT id, slug, name, likes, winner, vector IS NOT NULL AS has_vector FROM projects_state"""
-
-
-@register("stream_embed")
-def q_stream_embed(spark, sf_dir):
-    """STR-2: pending project ids arrive as files; each micro-batch embeds and
-    writes back, publishing progress."""
-    from corpusmap.streaming.ingest import scratch_root, stream_embed
-    root = scratch_root(spark, "stream-embed")
-    pr = ST.projects(spark, sf_dir)
-    store_path = f"{root}/store"
-    pr.write.mode("overwrite").partitionBy("hackathon").parquet(store_path)
-    pend = f"{root}/pending"
-    pr.filter(F.col("vector").isNull()).select("id").repartition(3).write.mode("overwrite").parquet(pend)
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    res = stream_embed(spark, pend, texts, store_path, root, dim=64)
-    out = spark.read.parquet(res["path"])
-    return out.select("id", F.col("vector").isNotNull().alias("has_vector"))
-
-
-ORACLE_SQL["stream_embed"] = with_sql(PROJECTS_SQL, WORDY_SQL) + """
-SELECT p.id, (p.vector IS NOT NULL OR w.doc_id IS NOT NULL) AS has_vector
-FROM projects p LEFT JOIN wordy w ON w.doc_id = p.id"""
-
-
-@register("split_lines", """
-SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: x <> ''))::BIGINT AS n_lines,
-       list_filter(string_split(text, chr(10)), lambda x: x <> '')[1] AS first_line
-FROM documents""")
-def q_split_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    lines = TX.split_lines("text")
-    return d.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.get(lines, 0).alias("first_line"))
-
-
-@register("catalog_document")
-def q_catalog_document(spark, sf_dir):
-    """AGG-5 as the single JSON document the catalog request returns (one
-    entry per registered hackathon plus github: a configuration-sized list)."""
-    c = S.catalog(ST.projects(spark, sf_dir), ST.registry(spark))
-    return S.catalog_document(c)
-
-
-# ------------------------------------------------------------------ value checks of composed jobs
-
-MEMBER_INDEX_SQL = """
-mi AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY id) - 1 AS idx FROM members)"""
-
-
-@register("map_categories", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, MEMBER_INDEX_SQL,
-                                     CATEGORY_LABELS_SQL, """
-sims AS (SELECT m.dataset, m.id, m.idx, c.idx AS cat, list_cosine_similarity(m.vector::DOUBLE[], c.vector) AS sim
-         FROM mi m, cat_labels c),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset, id ORDER BY sim DESC, cat) AS rn FROM sims)""") + """
-SELECT dataset, idx::BIGINT AS idx, id::BIGINT AS id, cat::BIGINT AS category, (round(sim, 4) + 0.0) AS similarity
-FROM ranked WHERE rn = 1""")
-def q_map_categories(spark, sf_dir):
-    """STR-4's non-PCA columns: every point's index and category in its map."""
-    points, _, _ = _maps(spark, sf_dir)
-    return points.select("dataset", "idx", F.col("id").cast("long"), "category", "similarity")
-
-
-BENCH_QD_SQL = """
-qd AS (SELECT DISTINCT k AS query_id,
-              CASE k % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'src1' ELSE 'src2' END AS dataset FROM q_vec)"""
-
-QUERY_NEIGHBOURS_SQL = """
-pc AS (SELECT m.dataset, m.id, m.idx, u.pos - 1 AS bucket, u.val::DOUBLE AS v
-       FROM mi m, unnest(m.vector) WITH ORDINALITY AS u(val, pos)),
-pcn AS (SELECT dataset, id, greatest(sqrt(sum(v * v)), 1e-12) AS nrm FROM pc GROUP BY ALL),
-qn AS (SELECT k, greatest(sqrt(sum(val::DOUBLE * val::DOUBLE)), 1e-12) AS nrm FROM q_vec GROUP BY k),
-nsims AS (
-  SELECT d.query_id, d.dataset, p.id, any_value(p.idx) AS idx,
-         sum(q.val::DOUBLE * p.v) / (any_value(qn.nrm) * any_value(pcn.nrm)) AS cosine
-  FROM qd d JOIN q_vec q ON q.k = d.query_id JOIN pc p ON p.dataset = d.dataset AND p.bucket = q.bucket
-       JOIN qn ON qn.k = d.query_id JOIN pcn ON pcn.dataset = p.dataset AND pcn.id = p.id
-  GROUP BY d.query_id, d.dataset, p.id),
-nranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM nsims),
-qvec AS (SELECT k, list(val::DOUBLE ORDER BY bucket) AS v, list(bucket ORDER BY bucket) AS b FROM q_vec GROUP BY k),
-qdense AS (SELECT k, [coalesce(v[list_position(b, i)], 0.0) FOR i IN range(64)] AS vec FROM qvec),
-qcat AS (SELECT q.k AS query_id, c.idx AS cat, list_cosine_similarity(q.vec, c.vector) AS sim,
-                row_number() OVER (PARTITION BY q.k ORDER BY list_cosine_similarity(q.vec, c.vector) DESC, c.idx) AS rn
-         FROM qdense q, cat_labels c)"""
-
-
-@register("answer_neighbours", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, MEMBER_INDEX_SQL,
-                                        CATEGORY_LABELS_SQL, hash_sql("q", "benchmark", "item_id", "text"),
-                                        BENCH_QD_SQL, QUERY_NEIGHBOURS_SQL) + """
-SELECT n.query_id::BIGINT AS query_id, n.dataset, n.rank::BIGINT AS rank, n.idx::BIGINT AS nearest_idx,
-       n.id::BIGINT AS nearest_id, c.cat::BIGINT AS category, (round(c.sim, 4) + 0.0) AS similarity
-FROM nranked n JOIN qcat c ON c.query_id = n.query_id AND c.rn = 1
-WHERE n.rank <= 8""")
-def q_answer_neighbours(spark, sf_dir):
-    """VEC-8's non-PCA part: each query's 8 nearest points of its dataset
-    (index and id) and its category."""
-    points, proj, labels = _maps(spark, sf_dir)
-    q = _bench_queries(spark, sf_dir)
-    ans = MAPS.answer_queries(q.select("query_id", "dataset", "vector"), points, proj, labels)
-    return ans.select(F.col("query_id").cast("long"), "dataset", F.col("rank").cast("long"),
-                      F.col("nearest_idx").cast("long"), F.col("nearest_id").cast("long"), "category", "similarity")
-
-
-# text-query answers (STR-5) read the neighbour SQL defined above
-TEXT_REQ_SQL = """
-treq AS (SELECT conv_id * 1000 + turn AS query_id, text,
-                CASE conv_id % 4 WHEN 0 THEN 'github' WHEN 1 THEN 'src1' WHEN 2 THEN 'src3/2023' END AS dataset
-         FROM conversations WHERE role = 'user'),
-tcheck AS (SELECT *, CASE WHEN dataset IS NULL THEN 'not found' WHEN text IS NULL THEN 'missing'
-                          WHEN strlen(text) < 1 THEN 'empty' WHEN strlen(text) > 32768 THEN 'too long' END AS reason
-           FROM treq),
-tvalid AS (SELECT * FROM tcheck WHERE reason IS NULL)"""
-
-
-ORACLE_SQL["answer_text_queries"] = with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, MEMBER_INDEX_SQL,
-                                          CATEGORY_LABELS_SQL, TEXT_REQ_SQL,
-                                          hash_sql("q", "tvalid", "query_id", "text"), """
-qd AS (SELECT DISTINCT q.k AS query_id, t.dataset FROM q_vec q JOIN tvalid t ON t.query_id = q.k)""",
-                                          QUERY_NEIGHBOURS_SQL) + """
-SELECT n.query_id::BIGINT AS query_id, n.dataset, n.rank::INTEGER AS rank, n.id::BIGINT AS nearest_id,
-       c.cat::BIGINT AS category, NULL::VARCHAR AS reason
-FROM nranked n JOIN qcat c ON c.query_id = n.query_id AND c.rn = 1 WHERE n.rank <= 8
-UNION ALL
-SELECT query_id::BIGINT, NULL, NULL, NULL, NULL, reason FROM tcheck WHERE reason IS NOT NULL
-UNION ALL
-SELECT t.query_id::BIGINT, NULL, NULL, NULL, NULL, 'nothing to embed' FROM tvalid t
-WHERE t.query_id NOT IN (SELECT k FROM q_vec)"""
-
-
-@register("pass_report", with_sql(PROJECTS_SQL, REGISTRY_SQL, WORDY_SQL, GALLERY_EXPECTED_SQL, """
-gp AS (SELECT hackathon, page, count_if(has_link) AS cards, NOT ((page + any_value(n_items)) % 7 = 0) AS ok
-       FROM gcards GROUP BY hackathon, page),
-gstop AS (SELECT hackathon, min(CASE WHEN NOT ok OR cards <= 0 THEN page END) AS first_bad FROM gp GROUP BY hackathon),
-walk AS (SELECT g.hackathon, count_if(g.page < coalesce(s.first_bad, 201))::BIGINT AS pages_walked,
-                coalesce(sum(CASE WHEN g.page < coalesce(s.first_bad, 201) THEN g.cards END), 0)::BIGINT AS cards_found
-         FROM gp g JOIN gstop s USING (hackathon) GROUP BY g.hackathon),
-emb AS (SELECT p.hackathon,
-               count_if(p.vector IS NULL AND p.hackathon IN (SELECT hackathon FROM registry)
-                        AND w.doc_id IS NOT NULL)::BIGINT AS vectors_written,
-               count_if(p.vector IS NULL AND NOT (p.hackathon IN (SELECT hackathon FROM registry)
-                        AND w.doc_id IS NOT NULL))::BIGINT AS pending_left
-        FROM projects p LEFT JOIN wordy w ON w.doc_id = p.id GROUP BY p.hackathon)""") + """
-SELECT coalesce(w.hackathon, e.hackathon) AS hackathon, coalesce(w.pages_walked, 0)::BIGINT AS pages_walked,
-       coalesce(w.cards_found, 0)::BIGINT AS cards_found, coalesce(e.vectors_written, 0)::BIGINT AS vectors_written,
-       coalesce(e.pending_left, 0)::BIGINT AS pending_left
-FROM walk w FULL OUTER JOIN emb e ON w.hackathon IS NOT DISTINCT FROM e.hackathon""")
-def q_pass_report(spark, sf_dir):
-    """AGG-9: one pass over every hackathon -- the gallery walk (pages kept by
-    SRC-13, cards found on them), then the embedding of pending projects of
-    registered hackathons (vectors written, rows still pending)."""
-    from corpusmap.session import cut_lineage
-    gp = cut_lineage(ST.gallery_pages(spark, sf_dir))          # the stored bronze pages
-    _, counts = PG.parse_gallery(gp, keys=["hackathon", "page"])
-    pages = (gp.select("hackathon", "page", (F.col("status") == 200).alias("ok"))
-             .join(counts, ["hackathon", "page"], "left")
-             .withColumn("cards", F.coalesce(F.col("cards"), F.lit(0)).cast("long")))
-    walk = M.contiguous_pages(pages, "hackathon", "keep_prefix")
-    before = ST.projects(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    pending = S.pending_projects(before, ST.registry(spark)).select("id")
-    vecs = E.hashing_vectors(d.join(pending, "id", "left_semi"), "id", "text")
-    after = U.write_vectors(before, vecs)
-    return S.pass_report(walk, before, after)
-
-
-@register("sync_pass")
-def q_sync_pass(spark, sf_dir):
-    """STR-1..4 composed: two passes of the service loop over a store folder
-    (the gallery pages split in two halves by page number, as two fetch
-    rounds); returns the newest generation of every dataset's points."""
-    from corpusmap.plans import sync as SYNC
-    from corpusmap.streaming.ingest import scratch_root
-    root = scratch_root(spark, "sync")
-    SYNC.init_store(ST.projects(spark, sf_dir), root)
-    gp = cut_lineage_bronze(ST.gallery_pages(spark, sf_dir).select("hackathon", "page", "status", "html"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))
-    repos = ST.repos(spark, sf_dir)
-    for half in (F.col("page") % 2 == 1, F.col("page") % 2 == 0):   # two rounds of fetched pages
-        SYNC.sync_pass(spark, root, gp.filter(half), texts, repos, ST.registry(spark), labels, dim=64)
-    points, _, _ = SYNC.read_maps(spark, root)
-    return points.select("dataset", "generation", "idx", F.col("id").cast("long"), "category", "similarity")
-
-
-def cut_lineage_bronze(df):
-    from corpusmap.session import cut_lineage
-    return cut_lineage(df, "bronze")
+from corpusmap.plans.queries import ORACLE_SQL, QUERIES, register  # noqa: F401
