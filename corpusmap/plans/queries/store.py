@@ -201,7 +201,16 @@ def q_ensure_columns(spark, sf_dir):
     return out.select("id", "slug", "hackathon", F.col("year").cast("long"), "winner", "extra")
 
 
-@register("catalog_document")
+@register("catalog_document", with_sql(PROJECTS_SQL, REGISTRY_SQL, """
+yrs AS (SELECT hackathon, list_sort(list(DISTINCT year), 'DESC') AS years FROM projects
+        WHERE vector IS NOT NULL AND year IS NOT NULL AND hackathon IS NOT NULL GROUP BY hackathon),
+entries AS (
+  SELECT 0 AS pos, 'github' AS id, 'GitHub' AS label, []::INTEGER[] AS years
+  UNION ALL
+  SELECT r.pos + 1, r.hackathon, r.label, coalesce(y.years, []::INTEGER[])
+  FROM registry r LEFT JOIN yrs y ON r.hackathon = y.hackathon)""") + """
+SELECT CAST(to_json(list({'id': id, 'label': label, 'years': years} ORDER BY pos)) AS VARCHAR) AS document
+FROM entries""")
 def q_catalog_document(spark, sf_dir):
     """AGG-5 as the single JSON document the catalog request returns (one
     entry per registered hackathon plus github: a configuration-sized list)."""
