@@ -197,3 +197,34 @@ def q_sync_pass(spark, sf_dir):
         SYNC.sync_pass(spark, root, gp.filter(half), texts, repos, ST.registry(spark), labels, dim=64)
     points, _, _ = SYNC.read_maps(spark, root)
     return points.select("dataset", "generation", "idx", F.col("id").cast("long"), "category", "similarity")
+
+
+ORACLE_SQL["sync_pass"] = with_sql(PROJECTS_SQL, REGISTRY_SQL, REPOS_SQL, GALLERY_EXPECTED_SQL, CATEGORY_LABELS_SQL,
+                                   hash_sql("d", "documents", "doc_id", "text"), f"""
+gstatus AS (SELECT hackathon, page, NOT ((page + any_value(n_items)) % 7 = 0) AS ok FROM gcards
+            GROUP BY hackathon, page),
+gbatch AS (
+  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || substring(c.text, 1, 40) || ' &amp; co '")} AS name,
+         CASE WHEN c.doc_id % 13 = 4 THEN NULL ELSE c.lang END AS tagline,
+         (CASE WHEN c.doc_id % 17 = 2 THEN 0 ELSE (c.n_chars % 500) * 7 END)::BIGINT AS likes,
+         ['u' || CAST(c.doc_id % 50 AS VARCHAR), 'u' || CAST(c.doc_id % 7 AS VARCHAR)] AS members,
+         c.hackathon, NULL::INTEGER AS year, coalesce(c.quality = 1, false) AS winner,
+         (c.page * 1000 + c.card)::BIGINT AS ord, c.page
+  FROM gcards c JOIN gstatus s USING (hackathon, page) WHERE c.has_link AND s.ok),
+project_batch AS (SELECT * EXCLUDE (page) FROM gbatch)""", PROJECT_UPSERT_SQL, """
+dvec AS (SELECT k AS id, list(val ORDER BY bucket) AS v, list(bucket ORDER BY bucket) AS b FROM d_vec GROUP BY k),
+ddense AS (SELECT id, [coalesce(v[list_position(b, i)], 0.0::FLOAT) FOR i IN range(64)] AS vec FROM dvec),
+embedded AS (
+  SELECT s.id, s.hackathon, s.year,
+         CASE WHEN s.vector IS NOT NULL THEN s.vector
+              WHEN s.hackathon IN (SELECT hackathon FROM registry) THEN d.vec END AS vector
+  FROM projects_state s LEFT JOIN ddense d ON d.id = s.id)""",
+                                   MEMBERS_SQL.replace("FROM projects p", "FROM embedded p"), MEMBER_INDEX_SQL, """
+sims AS (SELECT m.dataset, m.id, m.idx, c.idx AS cat, list_cosine_similarity(m.vector::DOUBLE[], c.vector) AS sim
+         FROM mi m, cat_labels c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset, id ORDER BY sim DESC, cat) AS rn FROM sims),
+second AS (SELECT DISTINCT m.dataset FROM members m JOIN gbatch g ON g.id = m.id
+           WHERE m.dataset <> 'github' AND g.page % 2 = 0)""") + """
+SELECT r.dataset, (CASE WHEN s.dataset IS NOT NULL THEN 2 ELSE 1 END)::BIGINT AS generation, r.idx::BIGINT AS idx,
+       r.id::BIGINT AS id, r.cat::BIGINT AS category, (round(r.sim, 4) + 0.0) AS similarity
+FROM ranked r LEFT JOIN second s ON s.dataset = r.dataset WHERE r.rn = 1"""
