@@ -9,23 +9,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.functions import text as TX
-from corpusmap.functions import vectors as V
+# Modules and SQL fragments below are also re-exported to the topic modules.
+from corpusmap.functions import text as TX  # noqa: F401
+from corpusmap.functions import vectors as V  # noqa: F401
 from corpusmap.operators import encoders as E
-from corpusmap.operators import projection as P
+from corpusmap.operators import projection as P  # noqa: F401
 from corpusmap.operators import selection as S
 from corpusmap.operators import similarity as SIM
-from corpusmap.operators import tokenizer as TOK
+from corpusmap.operators import tokenizer as TOK  # noqa: F401
 from corpusmap.operators import upsert as U
 from corpusmap.plans import maps as MAPS
-from corpusmap.sources import listings as L
-from corpusmap.sources import manifests as M
-from corpusmap.sources import pages as PG
-from corpusmap.sources import responses as R
+from corpusmap.sources import listings as L  # noqa: F401
+from corpusmap.sources import manifests as M  # noqa: F401
+from corpusmap.sources import pages as PG  # noqa: F401
+from corpusmap.sources import responses as R  # noqa: F401
 from corpusmap.sources import standins as ST
-from corpusmap.sources import store as STORE
-from corpusmap.sources.standins import (CATEGORY_LABELS_SQL, PROJECT_BATCH_SQL, PROJECTS_SQL, REGISTRY_SQL,
-                                        REPO_BATCH_SQL, REPOS_SQL, table, with_sql)
+from corpusmap.sources import store as STORE  # noqa: F401
+from corpusmap.sources.standins import (CATEGORY_LABELS_SQL, PROJECT_BATCH_SQL, PROJECTS_SQL,  # noqa: F401
+                                        REGISTRY_SQL, REPO_BATCH_SQL, REPOS_SQL, table, with_sql)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
