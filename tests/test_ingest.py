@@ -106,3 +106,37 @@ def test_contiguous_pages(spark):
     assert [keep[("c", p)] for p in (1, 3)] == [True, False]
     whole = {(r.host, r.page): r.kept for r in contiguous_pages(df, policy="all_or_nothing").collect()}
     assert not whole[("a", 1)] and whole[("b", 1)]
+
+
+def test_listing_and_search_manifests(spark):
+    from corpusmap.sources.manifests import listing_manifest, search_manifest
+    first = spark.createDataFrame([(1, 41, 40), ], "page int, total_count long, per_page long")
+    pages = [r.page for r in listing_manifest(first).orderBy("page").collect()]
+    assert pages == [1, 2]
+    served_small = spark.createDataFrame([(1, 41, 20)], "page int, total_count long, per_page long")
+    assert listing_manifest(served_small).count() == 3          # the page size served, not the one asked
+    names = spark.createDataFrame([("Hack The North",)], "label string")
+    url = search_manifest(names).first().url
+    assert url.endswith("&search=hack+the+north") and "per_page=40" in url
+
+
+def test_wait_after_spent_window(spark):
+    df = spark.createDataFrame([(1, 200, "HTTP/2 200\r\nx-ratelimit-remaining: 0\r\nx-ratelimit-reset: 150\r\n", "", 0, 100),
+                                (2, 200, "HTTP/2 200\r\nx-ratelimit-remaining: 3\r\nx-ratelimit-reset: 150\r\n", "", 0, 100),
+                                (3, 404, "HTTP/2 404\r\nx-ratelimit-remaining: 0\r\nx-ratelimit-reset: 150\r\n", "", 0, 100)],
+                               "i int, status int, headers string, body string, attempt int, now long")
+    got = {r.i: r.wait_s for r in R.throttle_plan(df).collect()}
+    assert got == {1: 51, 2: 0, 3: 0}
+
+
+def test_pass_report(spark):
+    from corpusmap.operators.selection import pass_report
+    walk = spark.createDataFrame([("a", 1, 24, True), ("a", 2, 0, False), ("b", 1, 5, True)],
+                                 "hackathon string, page int, cards long, kept boolean")
+    before = spark.createDataFrame([(1, "a", None), (2, "a", [0.1]), (3, "c", None)],
+                                   "id long, hackathon string, vector array<float>")
+    after = spark.createDataFrame([(1, "a", [0.2]), (2, "a", [0.1]), (3, "c", None)],
+                                  "id long, hackathon string, vector array<float>")
+    got = {r.hackathon: (r.pages_walked, r.cards_found, r.vectors_written, r.pending_left)
+           for r in pass_report(walk, before, after).collect()}
+    assert got == {"a": (1, 24, 1, 0), "b": (1, 5, 0, 0), "c": (0, 0, 0, 1)}
