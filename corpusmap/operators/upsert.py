@@ -10,7 +10,8 @@ Folding a batch in ``ord`` order reproduces the row-at-a-time rules:
 
 * repos (key ``name``): ``desc, stars, topics`` take the last row's values;
   ``id`` and ``vector`` are never touched; new names get ids after the current
-  maximum, in name order.
+  maximum in arrival order (their first ``ord``; name breaks ties), as an
+  auto-increment key would.
 * projects (key ``id``): scalars take the last row's values; ``hackathon`` and
   ``year`` take the last non-null incoming value, else the stored one (a
   ``year <= 0`` counts as null); ``prizes`` survive only when every incoming
@@ -47,11 +48,13 @@ def _all_equal_to(col: str, stored: Column, only_non_null: bool = False) -> Colu
     return ((n_nn == 0) & stored.isNull()) | ((n_nn == n_in) & same_val)
 
 
-def upsert_repos(stored: DataFrame, batch: DataFrame,
-                 refresh_on_change: bool = False) -> tuple[DataFrame, DataFrame]:
+def upsert_repos(stored: DataFrame, batch: DataFrame, refresh_on_change: bool = False,
+                 max_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """JOIN-1. Returns ``(state, rejects)``; ``state`` has every stored and new
     repo with ``action``. Rows with a NULL name are rejected. An edited repo
-    keeps its vector unless ``refresh_on_change`` (then it is embedded again)."""
+    keeps its vector unless ``refresh_on_change`` (then it is embedded again).
+    New ids follow ``max_id`` (default: the largest id in ``stored``; pass the
+    whole store's maximum when ``stored`` is only part of it)."""
     rejects = batch.filter(F.col("name").isNull()).withColumn("reason", F.lit("null name"))
     s = stored.select("name", "id", *REPO_FIELDS, "vector", F.lit(0).cast("long").alias("ord"))
     b = (batch.filter(F.col("name").isNotNull())
@@ -62,6 +65,7 @@ def upsert_repos(stored: DataFrame, batch: DataFrame,
     old = F.max_by(F.struct("id", *REPO_FIELDS, "vector"), F.when(~F.col("_inc"), F.lit(1)))
     last = F.max_by(F.struct(*REPO_FIELDS), F.when(F.col("_inc"), F.col("ord")))
     g = u.groupBy("name").agg(old.alias("old"), last.alias("last"),
+                              F.min(F.when(F.col("_inc"), F.col("ord"))).alias("_first_ord"),
                               F.count_if(~F.col("_inc")).alias("n_old"), F.count_if("_inc").alias("n_new"))
     fields = {f: F.when(F.col("n_new") > 0, F.col("last")[f]).otherwise(F.col("old")[f]) for f in REPO_FIELDS}
     changed = F.lit(False)
@@ -73,9 +77,10 @@ def upsert_repos(stored: DataFrame, batch: DataFrame,
     if refresh_on_change:
         vector = F.when(action != "update", vector)
     state = g.select("name", F.col("old")["id"].alias("id"), *[c.alias(f) for f, c in fields.items()],
-                     vector.alias("vector"), action.alias("action"))
-    max_id = stored.agg(F.max("id")).first()[0] or 0
-    inserts = dense_index(state.filter(F.col("action") == "insert").drop("id"), ["name"],
+                     vector.alias("vector"), action.alias("action"), "_first_ord")
+    if max_id is None:
+        max_id = stored.agg(F.max("id")).first()[0] or 0
+    inserts = dense_index(state.filter(F.col("action") == "insert").drop("id"), ["_first_ord", "name"],
                           name="id", start=int(max_id) + 1)
     kept = state.filter(F.col("action") != "insert")
     cols = ["id", "name", *REPO_FIELDS, "vector", "action"]
@@ -179,6 +184,33 @@ def upsert_into_store(store_path: str, batch: DataFrame, partition_col: str = "h
                               partition_col, key, extra_partitions=batch)
 
 
+REPO_BUCKETS = 64
+
+
+def repo_bucket(name_col: str = "name", buckets: int = REPO_BUCKETS):
+    """Storage bucket of a repo: a hash of its name (the repo table has no
+    natural partition key)."""
+    return F.pmod(F.xxhash64(F.col(name_col)), F.lit(buckets)).cast("int")
+
+
+def upsert_repos_into_store(store_path: str, batch: DataFrame, buckets: int = REPO_BUCKETS) -> dict:
+    """JOIN-1 on a repo store partitioned by ``bucket`` (hash of the name):
+    only the buckets holding the batch's names are rewritten. New ids come
+    after the largest id of the whole store (read from the ``id`` column
+    only)."""
+    from corpusmap.sources.store import rewrite_partitions
+    spark = batch.sparkSession
+    max_id = spark.read.parquet(store_path).agg(F.max("id")).first()[0] or 0
+    keyed = batch.filter(F.col("name").isNotNull()).withColumn("bucket", repo_bucket("name", buckets))
+
+    def change(current):
+        state, _ = upsert_repos(current.drop("bucket"), keyed.drop("bucket"), max_id=int(max_id))
+        return state.withColumn("bucket", repo_bucket("name", buckets))
+
+    return rewrite_partitions(store_path, keyed, change, partition_col="bucket", key="name",
+                              extra_partitions=keyed)
+
+
 def write_vectors_into_store(store_path: str, vectors: DataFrame, partition_col: str = "hackathon",
                              key: str = "id") -> dict:
     """JOIN-3 on a partitioned store: only partitions holding a written id are

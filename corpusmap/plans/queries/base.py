@@ -83,9 +83,10 @@ REPO_UPSERT_SQL = """
 rb_last AS (SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord DESC) AS rn FROM repo_batch WHERE name IS NOT NULL)
   WHERE rn = 1),
+repo_first AS (SELECT name, min(ord) AS first_ord FROM repo_batch WHERE name IS NOT NULL GROUP BY name),
 repo_ids AS (
-  SELECT name, coalesce((SELECT max(id) FROM repos), 0) + row_number() OVER (ORDER BY name) AS id
-  FROM rb_last WHERE name NOT IN (SELECT name FROM repos)),
+  SELECT name, coalesce((SELECT max(id) FROM repos), 0) + row_number() OVER (ORDER BY first_ord, name) AS id
+  FROM repo_first WHERE name NOT IN (SELECT name FROM repos)),
 repos_after AS (
   SELECT coalesce(r.id, n.id)::BIGINT AS id, coalesce(r.name, b.name) AS name,
          CASE WHEN b.name IS NULL THEN r."desc" ELSE b."desc" END AS "desc",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmap.plans.queries.base import (BENCH_QD_SQL, CATEGORY_LABELS_SQL, GALLERY_EXPECTED_SQL, MAPS,
-                                          MEMBERS_SQL, MEMBER_INDEX_SQL, ORACLE_SQL, PROJECTS_SQL,
-                                          PROJECT_STATE_SQL, PROJECT_UPSERT_SQL, QUERY_NEIGHBOURS_SQL,
-                                          REGISTRY_SQL, REPOS_SQL, S, SIM, ST, STORE, TEXT_REQ_SQL, TX,
-                                          WORDY_SQL, _bench_queries, _maps, _projects_after,
-                                          cut_lineage_bronze, hash_sql, register, table, with_sql)  # noqa: F401
+from corpusmap.plans.queries.base import (BENCH_QD_SQL, CATEGORY_LABELS_SQL, DOC_PAGES_SQL,
+                                          GALLERY_EXPECTED_SQL, MAPS, MEMBERS_SQL, MEMBER_INDEX_SQL,
+                                          ORACLE_SQL, PROJECTS_SQL, PROJECT_STATE_SQL, PROJECT_UPSERT_SQL,
+                                          QUERY_NEIGHBOURS_SQL, REGISTRY_SQL, REPOS_SQL, REPO_UPSERT_SQL, S,
+                                          SIM, ST, STORE, TEXT_REQ_SQL, TX, WORDY_SQL, _bench_queries, _maps,
+                                          _projects_after, cut_lineage_bronze, hash_sql, register, table,
+                                          with_sql)  # noqa: F401
 
 
 @register("build_map")
@@ -228,3 +229,36 @@ second AS (SELECT DISTINCT m.dataset FROM members m JOIN gbatch g ON g.id = m.id
 SELECT r.dataset, (CASE WHEN s.dataset IS NOT NULL THEN 2 ELSE 1 END)::BIGINT AS generation, r.idx::BIGINT AS idx,
        r.id::BIGINT AS id, r.cat::BIGINT AS category, (round(r.sim, 4) + 0.0) AS similarity
 FROM ranked r LEFT JOIN second s ON s.dataset = r.dataset WHERE r.rn = 1"""
+
+
+@register("stream_upsert_repos", with_sql(REPOS_SQL, DOC_PAGES_SQL, """
+repo_batch AS (
+  SELECT source || '/' || CAST(doc_id AS VARCHAR) AS name,
+         CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN NULL ELSE substring(text, 1, 80) END AS "desc",
+         (CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END)::BIGINT AS stars, [lang, source] AS topics,
+         ((idx // 20 + 1) * 1000 + idx % 20)::BIGINT AS ord
+  FROM doc_pages WHERE NOT ((idx // 20 + 1) % 17 = 5 OR (idx // 20 + 1) % 19 = 7))""", REPO_UPSERT_SQL) + """
+SELECT id, name, "desc", stars, array_to_string(topics, ' ') AS topics, vector IS NOT NULL AS has_vector, action
+FROM repos_after""")
+def q_stream_upsert_repos(spark, sf_dir):
+    """STR-1 for the repo source: search-result pages arrive as files (three
+    fetch rounds, in page order); each micro-batch is parsed and upserted into
+    the bucketed repo store. Returns the final store."""
+    from corpusmap.streaming.ingest import scratch_root, stream_upsert_repos
+    root = scratch_root(spark, "stream-repos")
+    pages = cut_lineage_bronze(ST.repo_listing_pages(spark, sf_dir))
+    src = f"{root}/incoming"
+    n = pages.agg(F.max("page")).first()[0] or 0
+    for lo in range(0, n, max(1, -(-n // 3))):             # three files, written one after another
+        hi = lo + max(1, -(-n // 3))
+        pages.filter((F.col("page") > lo) & (F.col("page") <= hi)).coalesce(1).write.mode("append").parquet(src)
+    res = stream_upsert_repos(spark, src, pages.schema, ST.repos(spark, sf_dir), root, max_files_per_trigger=1)
+    store = spark.read.parquet(res["path"])
+    before = ST.repos(spark, sf_dir).select("name", F.col("desc").alias("_d0"), F.col("stars").alias("_s0"),
+                                            F.col("topics").alias("_t0"), F.lit(True).alias("_was"))
+    out = store.join(before, "name", "left")
+    changed = (~F.col("desc").eqNullSafe(F.col("_d0")) | ~F.col("stars").eqNullSafe(F.col("_s0"))
+               | ~F.col("topics").eqNullSafe(F.col("_t0")))
+    action = F.when(F.col("_was").isNull(), "insert").when(changed, "update").otherwise("unchanged")
+    return out.select("id", "name", "desc", "stars", F.array_join("topics", " ").alias("topics"),
+                      F.col("vector").isNotNull().alias("has_vector"), action.alias("action"))

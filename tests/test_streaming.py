@@ -25,3 +25,19 @@ def test_stream_upsert_equals_batch(spark):
     assert res["generation"] >= 2 and a == b
     assert sum(b["seen"] for b in res["batches"]) == gp.count()
     assert sum(b["accepted"] for b in res["batches"]) == gp.filter("status = 200").count()
+
+
+def test_stream_upsert_repos_buckets(spark):
+    from corpusmap.streaming.ingest import stream_upsert_repos
+    root = scratch_root(spark, "test-repos")
+    pages = ST.repo_listing_pages(spark, SF_SMALL)
+    src = f"{root}/incoming"
+    pages.filter("page <= 5").coalesce(1).write.parquet(src)
+    pages.filter("page > 5").coalesce(1).write.mode("append").parquet(src)
+    res = stream_upsert_repos(spark, src, pages.schema, ST.repos(spark, SF_SMALL), root, buckets=8)
+    store = spark.read.parquet(res["path"])
+    assert len(res["batches"]) == 2
+    assert store.select("name").distinct().count() == store.count()            # one row per name
+    ids = [r.id for r in store.select("id").collect()]
+    assert len(set(ids)) == len(ids)                                            # ids stay unique across batches
+    assert store.select("bucket").distinct().count() <= 8
