@@ -124,3 +124,28 @@ def test_dataset_paths(spark):
     df = spark.createDataFrame([(p,) for p in cases], "path string")
     got = {r.path: (r.dataset, r.year, r.found, r.embed) for r in parse_dataset_path(df, registry(spark)).collect()}
     assert got == cases
+
+
+def _read_document(path: str, dataset: str) -> list[str]:
+    """A dataset's document: its part files in name order (local test files)."""
+    import glob
+    import os
+    out = []
+    for f in sorted(glob.glob(os.path.join(path.replace("file:", ""), f"dataset={dataset}", "part-*"))):
+        with open(f, encoding="utf-8") as fh:
+            out.extend(line.rstrip("\n") for line in fh if line.strip())
+    return out
+
+
+def test_dataset_document_sink(spark):
+    from corpusmap.sources.store import write_dataset_documents
+    from corpusmap.streaming.ingest import scratch_root
+    lines = QUERIES["dataset_document"](spark, SF_SMALL)
+    path = f"{scratch_root(spark, 'docs')}/documents"
+    write_dataset_documents(lines, path)
+    doc = _read_document(path, "github")
+    head, pts = json.loads(doc[0]), [json.loads(x) for x in doc[1:]]
+    assert head["dataset"] == "github" and "categories" in head
+    assert len(pts) == lines.filter("dataset = 'github' AND idx >= 0").count()
+    ids = [p["id"] for p in pts]
+    assert ids == sorted(ids)                                   # served order: by index (= by id)
