@@ -252,15 +252,12 @@ def _token_table(spark, sf_dir):
     return E.token_table_from_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-def _maps(spark, sf_dir, stored: bool = False):
-    """The dataset maps; with ``stored`` they are written once to the shared
-    checkpoint folder first -- the snapshot that query answering reads."""
+def _maps(spark, sf_dir):
+    """The dataset maps of the stand-in store (members and projection are
+    materialised inside ``build_maps``)."""
     members = _members(spark, sf_dir)
     labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))  # fixed-size label matrix, taken once
     points, proj, _ = MAPS.build_maps(members, labels, dim=64)
-    if stored:
-        from corpusmap.session import cut_lineage
-        points = cut_lineage(points)
     return points, proj, labels
 
 
