@@ -47,10 +47,12 @@ def build_maps(members: DataFrame, labels, dim: int,
     if materialize:
         proj = cut_lineage(proj)
     placed = project(indexed, proj)
-    # category from the unit vector in double; the stored unit vector is float32
-    points = (categorize(placed, labels)
-              .withColumn("unit", F.transform(l2_normalize("vector"), lambda x: x.cast("float")))
-              .drop("vector"))
+    # one normalisation: the category uses the unit vector in double, the
+    # stored unit vector is its float32 copy
+    unit = placed.withColumn("_unit", l2_normalize("vector"))
+    points = (categorize(unit, labels, unit_col="_unit")
+              .withColumn("unit", F.transform("_unit", lambda x: x.cast("float")))
+              .drop("vector", "_unit"))
     return points, proj, quarantine
 
 
