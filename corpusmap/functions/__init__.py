@@ -1,0 +1 @@
+"""Native Column expressions: text (SCA-*) and vectors (VEC-1/2, dot products)."""

@@ -1,0 +1 @@
+"""DataFrame operators: upserts, selections, projection (PCA), similarity, encoders, tokenizer."""

@@ -1,0 +1 @@
+"""Structured Streaming jobs: file-source ingest and embedding with foreachBatch."""
