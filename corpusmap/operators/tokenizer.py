@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import string
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,13 @@ from corpusmap.session import spread_small_input
 SPACE = "▁"
 
 
+class Tokenizer(Protocol):
+    """What ``tokenize_corpus`` needs from a tokenizer (the extension point a
+    user plugs a real model's tokenizer into); ``BpeModel`` is one."""
+
+    def encode(self, text: str) -> list[int]: ...
+
+
 class BpeModel:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], bos: str = "<bos>",
                  eos: str = "<eos>", unk: str = "<unk>", add_bos: bool = True, add_eos: bool = True):
@@ -126,7 +134,7 @@ def demo_model() -> BpeModel:
     return BpeModel(vocab, merges + second)
 
 
-def tokenize_corpus(df: DataFrame, key: str, text_col: str, model: BpeModel,
+def tokenize_corpus(df: DataFrame, key: str, text_col: str, model: Tokenizer,
                     max_tokens: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """``(key, ids array<int>, n_tokens)`` tokenised per Arrow batch. By default
     the whole text is tokenised; a model with a context window passes its
