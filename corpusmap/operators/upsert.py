@@ -172,16 +172,27 @@ def write_prizes(projects: DataFrame, fetched: DataFrame, only_winners: bool = T
 
 
 def upsert_into_store(store_path: str, batch: DataFrame, partition_col: str = "hackathon",
-                      key: str = "id") -> dict:
+                      key: str = "id", strict: bool = False) -> dict:
     """JOIN-2 applied to a Parquet store partitioned by ``partition_col``,
     rewriting only the partitions the batch touches: those holding a stored
     row whose key is in the batch, plus those the batch's rows name (see
     ``rewrite_partitions``). The upsert is idempotent, so a retried
-    micro-batch leaves the same store. Returns touched-partition and per-action
-    counts."""
+    micro-batch leaves the same store. With ``strict`` a batch that would
+    leave two ids claiming one slug (JOIN-7) is refused before anything is
+    written. Returns touched-partition and per-action counts."""
     from corpusmap.sources.store import rewrite_partitions
+
+    def check(new_state: DataFrame, stored: DataFrame, touched: DataFrame) -> None:
+        # the batch's final slugs against every other row of the store: the
+        # rewritten partitions from the new state, the rest as stored
+        # (only the slug and id columns are read)
+        slugs = new_state.join(batch.select(key).distinct(), key, "left_semi").select("slug").distinct()
+        untouched = stored.join(touched, stored[partition_col].eqNullSafe(touched[partition_col]), "left_anti")
+        rows = new_state.select("slug", key).unionByName(untouched.select("slug", key))
+        assert_no_conflicts(rows.join(slugs, "slug", "left_semi"))
+
     return rewrite_partitions(store_path, batch, lambda current: upsert_projects(current, batch),
-                              partition_col, key, extra_partitions=batch)
+                              partition_col, key, extra_partitions=batch, check=check if strict else None)
 
 
 REPO_BUCKETS = 64

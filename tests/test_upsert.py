@@ -155,3 +155,20 @@ def test_refresh_on_change(spark):
     keep = {r.name: r.vector for r in U.upsert_repos(stored, batch)[0].collect()}
     redo = {r.name: r.vector for r in U.upsert_repos(stored, batch, refresh_on_change=True)[0].collect()}
     assert keep["a/x"] is not None and redo["a/x"] is None and redo["b/y"] is not None
+
+
+def test_strict_store_upsert_refuses_slug_conflicts(spark):
+    import pytest
+
+    from corpusmap.operators.upsert import upsert_into_store
+    from corpusmap.streaming.ingest import scratch_root
+    path = f"{scratch_root(spark, 'test-strict')}/store"
+    rows = [(1, "s1", "n", "t", 1, ["u"], None, "a", 2020, False, None),
+            (2, "s2", "n", "t", 1, ["u"], None, "b", 2020, False, None)]
+    spark.createDataFrame(rows, PSCHEMA).write.partitionBy("hackathon").parquet(path)
+    clash = spark.createDataFrame([(1, "s2", "n", "t", 1, ["u"], "a", None, False, 1)], BSCHEMA)  # takes id 2's slug
+    with pytest.raises(ValueError):
+        upsert_into_store(path, clash, strict=True)
+    assert {r.slug for r in spark.read.parquet(path).collect()} == {"s1", "s2"}   # nothing written
+    fine = spark.createDataFrame([(1, "s9", "n", "t", 1, ["u"], "a", None, False, 1)], BSCHEMA)
+    assert upsert_into_store(path, fine, strict=True)["actions"]["update"] == 1
