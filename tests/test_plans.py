@@ -149,3 +149,14 @@ def test_dataset_document_sink(spark):
     assert len(pts) == lines.filter("dataset = 'github' AND idx >= 0").count()
     ids = [p["id"] for p in pts]
     assert ids == sorted(ids)                                   # served order: by index (= by id)
+
+
+def test_spread_small_input(spark):
+    from corpusmap.session import spread_small_input
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")      # one 25 MB row group
+    spread = spread_small_input(big.select("doc_id", "text"))
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    small = spark.read.parquet(f"{SF_SMALL}/documents.parquet")              # below the size floor
+    assert spread_small_input(small) is small
+    made = spark.range(10)                                                    # no input files at all
+    assert spread_small_input(made) is made
