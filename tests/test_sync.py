@@ -35,3 +35,8 @@ def test_two_passes(spark):
     after = spark.read.parquet(f"{root}/projects")
     assert after.filter("hackathon = 'src1' AND vector IS NULL").count() == 0          # all embedded
     assert first["vectors_written"] == store.filter("hackathon = 'src1'").count()
+
+
+def test_read_maps_before_first_pass(spark):
+    root = scratch_root(spark, "test-empty-maps")
+    assert SYNC.read_maps(spark, root) == (None, None, None)
