@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.llm.common import id_text, prepare, table
+from corpusmap.llm.common import id_text, prepare, remainder, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -46,3 +46,18 @@ def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return ids.select("doc_id", token_count("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
+@register("op1_license_scan")
+def license_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.license_scan import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+@register("op10_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.toxicity import score_toxicity
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                            remainder("doc_id", 5) != 0)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted",
+                         F.size("sentences").alias("n_offending"))
