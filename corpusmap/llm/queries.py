@@ -61,3 +61,10 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                             remainder("doc_id", 5) != 0)
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted",
                          F.size("sentences").alias("n_offending"))
+
+
+@register("op4_language_id")
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.langid import identify
+    found = identify(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 0)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
