@@ -68,3 +68,9 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmap.llm.langid import identify
     found = identify(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 0)
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("op9_decontaminate")
+def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.decontaminate import contamination
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
