@@ -74,3 +74,9 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmap.llm.decontaminate import contamination
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+@register("op7_jaccard_join")
+def jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.jaccard_join import join_similar
+    return join_similar(table(spark, sf_dir, "documents")).drop("text_key")
