@@ -11,11 +11,12 @@ signature, and similar sets share one.
 
 Equal sets form one class and are joined once. Classes that share a signature
 are candidates; they are compared exactly (set intersection), but not all with
-all: in each bucket the class with most candidates is compared with the others,
-links are merged into components, and only buckets that still span several
-components go on, ``PIVOTS`` classes at a time and only across components,
-until every such pair has been compared or merged. So the components are those
-of all links, and no group is expanded into its pairs.
+all. In each bucket the class with most candidates is compared with the others,
+and links are merged into components. Of buckets that still span several
+components, those of at most ``SMALL_BUCKET`` classes are finished by pairs
+across components, and larger ones by comparing blocks of classes inside a task
+that returns a spanning forest. So the components are those of all links, and
+no group is expanded into its pairs.
 
 Words are split at ASCII white space after lower-casing A-Z. A text with fewer
 words than a shingle has its whole sequence as one element; null, empty and
@@ -43,8 +44,10 @@ SHINGLE = 3
 PERCENT = 90
 #: Cells of each group; one of them may have changed.
 CELLS = 3
-#: Classes of a bucket compared with the others in each later round.
-PIVOTS = 32
+#: Buckets of at most so many classes are finished by pairs, others by blocks.
+SMALL_BUCKET = 16
+#: Elements in one block of classes.
+BLOCK_ELEMENTS = 200_000
 
 
 def element_hashes(text: str, words: WordHash, n: int) -> np.ndarray:
@@ -187,44 +190,111 @@ def _buckets(classes: DataFrame) -> DataFrame:
                        .select("sig", "node", "size", "rank"), "ranked")
 
 
+def _forest(sides: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of (node, comp, elements) rows: a
+    spanning forest of all links between rows of different components."""
+    elements = np.concatenate([e for _, _, e in sides])
+    owner = np.repeat(np.arange(len(sides)), [len(e) for _, _, e in sides])
+    code, uniques = pd.factorize(elements)
+    shared = np.bincount(code) > 1
+    code, owner = (np.cumsum(shared) - 1)[code][shared[code]], owner[shared[code]]
+    common = np.zeros((len(sides), len(sides)), dtype=np.float32)
+    width = 1 << 14                                          # columns of the incidence matrix at a time
+    for lo in range(0, int(shared.sum()), width):
+        part = (code >= lo) & (code < lo + width)
+        has = np.zeros((len(sides), width), dtype=np.float32)
+        has[owner[part], code[part] - lo] = 1
+        common += has @ has.T
+    size = np.array([len(e) for _, _, e in sides])
+    common = common.astype(np.int64)
+    similar = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    top = {c: c for _, c, _ in sides}
+
+    def root(x):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(similar, 1))):
+        x, y = root(sides[i][1]), root(sides[j][1])
+        if x != y:
+            top[x] = y
+            out.append((sides[i][0], sides[j][0]))
+    return out
+
+
+def _block_links(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components inside large buckets. Buckets that overlap form
+    a cluster; its classes, by size, are dealt into blocks of at most
+    ``BLOCK_ELEMENTS`` elements, and every two blocks of compatible sizes are
+    compared in one task, which returns a spanning forest only."""
+    first = Window.partitionBy("sig")
+    cluster = connected(open_rows.select("node", F.min("node").over(first).alias("lead"))
+                        .select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    by_size = Window.partitionBy("cluster").orderBy("size", "node")
+    nodes = (open_rows.select("node", "size", "comp").distinct()
+             .join(cluster.select("node", F.col("comp").alias("cluster")), "node")
+             .withColumn("block", F.floor(F.sum("size").over(by_size) / BLOCK_ELEMENTS)))
+    nodes = cut_lineage(nodes, "blocks")
+    blocks = nodes.groupBy("cluster", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    other = blocks.select("cluster", F.col("block").alias("other"), F.col("least").alias("o_least"))
+    meets = (blocks.join(other, "cluster")
+             .filter((F.col("block") <= F.col("other")) & (100 * F.col("most") >= percent * F.col("o_least")))
+             .select("cluster", F.col("block").alias("i"), F.col("other").alias("j")))
+    sides = meets.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [(n, c, np.asarray(e)) for n, c, e in zip(group["node"], group["comp"], group["elements"])]
+        return pd.DataFrame(_forest(rows, percent), columns=["a", "b"])
+
+    return (nodes.join(sides, ["cluster", "block"]).join(sets, "node")
+            .select("cluster", "i", "j", "node", "comp", "elements")
+            .groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long"))
+
+
 def similar_classes(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, comp) of all classes with a link. ``classes``: node, n_shingles,
     sigs, doc_id, text_key (of one row); ``texts``: doc_id, text_key, text."""
-    spark = classes.sparkSession
     buckets = _buckets(classes)
     involved = (buckets.select("node").distinct().join(classes.select("node", "doc_id", "text_key"), "node")
                 .withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"}))
     found = texts.join(involved, texts["doc_id"].eqNullSafe(F.col("_doc")) & (texts["text_key"] == F.col("_key")))
     sets = cut_lineage(_sets(found.select("node", "text"), n).dropDuplicates(["node"]), "sets")
-
-    links = spark.createDataFrame([], "a long, b long")
-    done = links
-    labels = spark.createDataFrame([], "node long, comp long")
-    lo, hi = 0, 1
-    while True:
-        open_rows = (buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        span = Window.partitionBy("sig")
-        open_rows = (open_rows.withColumn("first", F.min("comp").over(span)).withColumn("last", F.max("comp").over(span))
-                     .withColumn("most", F.max("rank").over(span))
-                     .filter((F.col("first") != F.col("last")) & (F.col("most") > lo)))
-        pivots = (open_rows.filter((F.col("rank") > lo) & (F.col("rank") <= hi))
-                  .select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"),
-                          F.col("rank").alias("ra")))
-        pairs = (open_rows.filter(F.col("rank") > lo).join(pivots, "sig")
-                 .filter((F.col("rank") > F.col("ra")) & (F.col("comp") != F.col("ca"))
-                         & (100 * F.least("size", "sa") >= percent * F.greatest("size", "sa")))
-                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-                 .join(done, ["a", "b"], "left_anti"))
-        pairs = cut_lineage(pairs, "pairs")
-        if not pairs.isEmpty():
-            links = links.union(cut_lineage(_links(pairs, sets, percent), "links"))
-            done = done.union(pairs)
-            labels = connected(links)
-        if buckets.filter(F.col("rank") > hi + 1).isEmpty():
-            return labels
-        if lo and pairs.isEmpty() and open_rows.filter(F.col("most") > hi).isEmpty():
-            return labels
-        lo, hi = hi, hi + PIVOTS
+    bucket = Window.partitionBy("sig")
+
+    def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows of the buckets that span several components."""
+        return (rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+                .withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket))
+                .filter("low <> high").drop("low", "high"))
+
+    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of different components that their sizes allow."""
+        r = right.select("sig", F.col("node").alias("o"), F.col("comp").alias("o_comp"), F.col("size").alias("o_size"),
+                         F.col("rank").alias("o_rank"))
+        return (left.join(r, "sig")
+                .filter((F.col("rank") < F.col("o_rank")) & (F.col("comp") != F.col("o_comp"))
+                        & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size")))
+                .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
+
+    # First the class with most candidates of each bucket against the others.
+    alone = buckets.withColumn("comp", F.col("node"))
+    pairs = cut_lineage(pairs_of(alone.filter("rank = 1"), alone), "pairs")
+    links = cut_lineage(_links(pairs, sets, percent), "links")
+    labels = connected(links)
+    # Then, where a bucket still spans several components, the other pairs of
+    # small buckets, and the large buckets in blocks.
+    rows = cut_lineage(still_open(buckets, labels).withColumn("m", F.count(F.lit(1)).over(bucket)), "open")
+    small = rows.filter(F.col("m") <= SMALL_BUCKET)
+    more = pairs_of(small, small).join(pairs, ["a", "b"], "left_anti")
+    links = links.union(cut_lineage(_links(more, sets, percent), "links"))
+    labels = connected(links)
+    large = cut_lineage(still_open(rows.filter(F.col("m") > SMALL_BUCKET).drop("comp"), labels), "open")
+    if large.isEmpty():
+        return labels
+    return connected(links.union(cut_lineage(_block_links(large, sets, percent), "links")))
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
