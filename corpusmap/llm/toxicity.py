@@ -17,6 +17,7 @@ training row every score is the prior of the bias.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -29,7 +30,7 @@ from pyspark.sql.functions import pandas_udf
 from corpusmap.llm.common import id_text, prepare
 
 #: Bounds of the training sample (documents, characters of one document).
-MAX_DOCS = 10_000
+MAX_DOCS = 6000
 MAX_CHARS = 40_000
 #: Size of the hashed feature space, and lengths of word beginnings used as features.
 BUCKETS = 1 << 18
@@ -106,38 +107,41 @@ class WordScores(dict):
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights by bucket and bias, from whole texts and their labels."""
     memo: dict[str, int] = {}
-    feats, word_of, sent_of, doc_of = [], [], [], []
-    n_sent = 0
+    flat, n_feats, word_of, sent_of, doc_of = (array("i") for _ in range(5))
     for d, text in enumerate(texts):
         for _, _, ws in sentences(lowered(text)) or [(0, 0, [])]:
             for w in ws:
                 if w not in memo:
-                    memo[w] = len(feats)
-                    feats.append(features(w))
+                    memo[w] = len(memo)
+                    f = features(w)
+                    flat.extend(f)
+                    n_feats.append(len(f))
                 word_of.append(memo[w])
-                sent_of.append(n_sent)
+            sent_of.extend([len(doc_of)] * len(ws))
             doc_of.append(d)
-            n_sent += 1
+    n_words, n_sent = len(memo), len(doc_of)
+    del memo
     weights = np.zeros(BUCKETS)
     bias = FIRST_BIAS
     y = np.asarray(labels, dtype=bool)
-    if not len(texts) or not feats:
+    if not n_words:
         return weights, bias
-    word_of, sent_of, doc_of = (np.asarray(x, dtype=np.int64) for x in (word_of, sent_of, doc_of))
-    flat = np.concatenate([np.asarray(f, dtype=np.int64) for f in feats])
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    pairs = np.unique(doc_of[sent_of] * len(feats) + word_of)
-    docs_with = np.bincount(flat, np.bincount(pairs % len(feats), minlength=len(feats))[owner], BUCKETS)
+    flat, n_feats, word_of, sent_of, doc_of = (np.frombuffer(x, dtype=np.intc)
+                                               for x in (flat, n_feats, word_of, sent_of, doc_of))
+    owner = np.repeat(np.arange(n_words, dtype=np.intc), n_feats)
+    pairs = np.unique(doc_of[sent_of].astype(np.int64) * n_words + word_of)
+    docs_with = np.bincount(flat, np.bincount(pairs % n_words, minlength=n_words)[owner], BUCKETS)
+    del pairs
     used = docs_with >= MIN_DOCS
     square, square_bias = np.full(BUCKETS, 1e-6), 1e-6
     for _ in range(epochs):
-        per_word = np.bincount(owner, weights[flat], len(feats))
+        per_word = np.bincount(owner, weights[flat], n_words)
         z = bias + np.bincount(sent_of, per_word[word_of], n_sent)
         p = probability(z)
         log_clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))
         up = p * (np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-12))[doc_of]
         grad_z = np.where(y[doc_of], up, -p)
-        grad_word = np.bincount(word_of, grad_z[sent_of], len(feats))
+        grad_word = np.bincount(word_of, grad_z[sent_of], n_words)
         grad = np.where(used, np.bincount(flat, grad_word[owner], BUCKETS) - DECAY * weights, 0)
         square += grad * grad
         weights += RATE * grad / np.sqrt(square)
