@@ -80,3 +80,15 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmap.llm.jaccard_join import join_similar
     return join_similar(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@register("op3_personal_data")
+def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.pii import BASE_KINDS, find_personal_data, listing
+    from corpusmap.session import cut_lineage
+    found = find_personal_data(table(spark, sf_dir, "documents"), keep=lambda df: cut_lineage(df, "proposed-spans"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}")
+             for k, name in enumerate(BASE_KINDS)]
+    return found.select("doc_id", *count, F.sha2(listing(base), 256).alias("base_sha256"),
+                        listing(F.col("spans")).alias("spans"))
