@@ -92,3 +92,11 @@ def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
              for k, name in enumerate(BASE_KINDS)]
     return found.select("doc_id", *count, F.sha2(listing(base), 256).alias("base_sha256"),
                         listing(F.col("spans")).alias("spans"))
+
+
+@register("op2_language_model")
+def language_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.lm_automaton import score_texts
+    scored = score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
