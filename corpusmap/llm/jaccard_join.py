@@ -299,8 +299,9 @@ def similar_classes(classes: DataFrame, texts: DataFrame, n: int, percent: int)
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                  percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id of every row; ``text_key`` is
-    xxhash64 of the text."""
+    """doc_id, text_key, n_shingles, component_id, component_key of every row;
+    ``text_key`` is xxhash64 of the text, ``component_key`` tells components
+    apart even if ids repeat (null for an empty set)."""
     prepare(docs.sparkSession)
     texts = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     rows = cut_lineage(_described(texts, shingle, percent), "shingle-sets")
@@ -312,7 +313,8 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comp = (classes.select("node", "least_id").join(labels, "node", "left")
             .withColumn("comp", F.coalesce("comp", "node")))
     least = comp.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of = comp.join(least, "comp").select("node", "component_id")
+    of = comp.join(least, "comp").select("node", "component_id", F.col("comp").alias("component_key"))
     return (rows.select("doc_id", "text_key", "n_shingles", "node").join(of, "node", "left")
             .select("doc_id", "text_key", "n_shingles",
-                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                    "component_key"))

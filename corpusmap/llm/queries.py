@@ -79,7 +79,7 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_jaccard_join")
 def jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmap.llm.jaccard_join import join_similar
-    return join_similar(table(spark, sf_dir, "documents")).drop("text_key")
+    return join_similar(table(spark, sf_dir, "documents")).drop("text_key", "component_key")
 
 
 @register("op3_personal_data")
@@ -100,3 +100,24 @@ def language_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
     return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
                          "train_tokens", "base_score", "score")
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WHERE rank <= 20"""
+
+
+@register("op6_top_k", TOP_K_SQL)
+def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.topk import top_k
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
