@@ -119,6 +119,8 @@ def item_windows(benchmark: DataFrame, width: int, id_col: str, text_col: str) -
                 if w == 0:
                     continue
                 start, h = t.windows(w)
+                if not len(start):
+                    continue
                 yield pd.DataFrame({"hash": h.astype(np.int64), "item_id": item, "item_pos": start.astype(np.int32),
                                     "item_slots": [t.slots(int(s), w) for s in start], "n_windows": len(start),
                                     "width": w})
@@ -150,6 +152,8 @@ def document_windows(rows: DataFrame, widths: list[int], bits) -> DataFrame:
                 at = h % np.uint64(MAP_BITS)
                 hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
                 start, h = start[hit], h[hit]
+                if not len(start):
+                    continue
                 doc = t.doc[start]
                 yield pd.DataFrame({"hash": h.astype(np.int64), "doc_id": pd.array(ids[doc], dtype="Int64"),
                                     "text_key": keys[doc], "pos": (start - t.first[doc]).astype(np.int32),
