@@ -13,18 +13,21 @@ from corpusmap.session import ensure_checkpoint_dir, ship_package
 MIX1 = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
-#: Rows in one Arrow batch handed to a Python worker; texts can be long, so a
-#: batch stays a few megabytes on ordinary corpora.
-BATCH_ROWS = 1024
+#: Bounds of one Arrow batch handed to a Python worker. Texts can be long, and
+#: a worker holds a few copies of its batch.
+BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Make the package importable on executors, and Arrow batches small."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int("".join(c for c in spark.conf.get(key, "0") if c.isdigit()))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
