@@ -90,30 +90,40 @@ class HashingEncoder:
 
 
 def encode_with(df: DataFrame, key: str, text_col: str, encoder_factory, dim: int,
-                out: str = "vector", max_bytes: int | None = 32768) -> DataFrame:
-    """EMB-2 with a pluggable encoder: cut to the model's input window
-    (``max_bytes``, the original model's 32,768; ``None`` = whole text), skip
-    empty text, encode Arrow batches, keep only valid vectors (VEC-1) -- rows
-    whose encoding failed or came back malformed get a NULL vector and are
-    retried on the next pass."""
+                out: str = "vector", max_bytes: int | None = None) -> DataFrame:
+    """EMB-2 with a pluggable encoder: whole texts (or the first ``max_bytes``
+    of a model with an input window), empty text skipped, encoded in Arrow
+    batches, only valid vectors kept (VEC-1). If a batch fails, its texts are
+    encoded one by one, so that one bad text leaves only itself pending: its
+    vector is NULL and ``error`` says why."""
     text = truncate_bytes(text_col, max_bytes) if max_bytes else F.col(text_col)
     src = (spread_small_input(df.select(key, text_col)).select(key, text.alias("_t"))
            .filter(F.col("_t").isNotNull() & (F.length("_t") > 0)))
     key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), T.StructField(out, T.ArrayType(T.FloatType()))])
+    schema = T.StructType([T.StructField(key, key_type), T.StructField(out, T.ArrayType(T.FloatType())),
+                           T.StructField("error", T.StringType())])
 
     def run(batches):
         enc = encoder_factory()
         for pdf in batches:
+            texts = pdf["_t"].tolist()
             try:
-                vecs = np.asarray(enc.encode(pdf["_t"].tolist()), dtype=np.float32)
-                col = list(vecs)
-            except Exception:  # a failed batch leaves its rows pending
-                col = [None] * len(pdf)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), out: col})
+                col, errors = list(np.asarray(enc.encode(texts), dtype=np.float32)), [None] * len(texts)
+            except Exception:  # some text of the batch: find out which
+                col, errors = [], []
+                for t in texts:
+                    try:
+                        col.append(np.asarray(enc.encode([t]), dtype=np.float32)[0])
+                        errors.append(None)
+                    except Exception as e:
+                        col.append(None)
+                        errors.append(f"{type(e).__name__}: {e}"[:500])
+            yield pd.DataFrame({key: pdf[key].to_numpy(), out: col, "error": errors})
 
     enc = src.mapInPandas(run, schema=schema)
-    return enc.withColumn(out, F.when(is_valid(out, dim), F.col(out)))
+    valid = is_valid(out, dim)
+    return (enc.withColumn("error", F.when(F.col("error").isNotNull(), F.col("error")).when(~valid, "invalid vector"))
+            .withColumn(out, F.when(valid, F.col(out))))
 
 
 # ------------------------------------------------------------ bag of tokens

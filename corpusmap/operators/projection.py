@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from corpusmap.functions.vectors import dot, subtract
 
 COMPONENTS = 3
-SMALL_DATASET_ROWS = 2048   # rows gathered per small dataset (bounded group)
+FAN_IN = 256                # partial matrix rows added in one group
 MAX_OPEN_GRAMS = 32         # d x d accumulators a task keeps before flushing
 
 
@@ -86,16 +86,17 @@ def _partial_gram(batches, max_open: int = MAX_OPEN_GRAMS):
 def gram_rows(points: DataFrame, vec_col: str = "vector", max_open: int = MAX_OPEN_GRAMS) -> DataFrame:
     """Per (dataset, i): row i of X^T X, sum of coordinate i, n (AGG-2 input).
 
-    The per-task partials are added natively: a ``(dataset, i)`` group holds
-    one row per input partition that saw the dataset, so its size is bounded
-    by the partition count, not by the data."""
+    The per-task partials are added natively in two levels: ``FAN_IN``
+    neighbouring tasks first, then their sums, so a group stays small however
+    many tasks saw the dataset."""
     pv = points.select(F.col("dataset").cast("string"), F.col(vec_col).alias("vector"))
     partial = pv.mapInPandas(lambda it: _partial_gram(it, max_open), schema=_GRAM_SCHEMA)
     rows = F.collect_list("row")
     total = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.element_at(rows, 1),
                         lambda acc, r: F.zip_with(acc, r, lambda a, b: a + b))
-    return partial.groupBy("dataset", "i").agg(total.alias("row"), F.sum("s").alias("s"),
-                                               F.sum("n").cast("long").alias("n"))
+    sums = [total.alias("row"), F.sum("s").alias("s"), F.sum("n").cast("long").alias("n")]
+    near = partial.withColumn("near", F.floor(F.spark_partition_id() / FAN_IN))
+    return near.groupBy("dataset", "i", "near").agg(*sums).groupBy("dataset", "i").agg(*sums)
 
 
 def scatter_matrix(points: DataFrame, vec_col: str = "vector") -> DataFrame:
@@ -156,57 +157,21 @@ def _fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
                          "basis": [list(basis)], "eigenvalues": [values]})
 
 
-def basis_from_rows(x: np.ndarray, components: int = COMPONENTS):
-    """Same result as ``basis_from_scatter`` from the n x d rows themselves:
-    SVD of the centred rows (right singular vectors, squared singular values)."""
-    n, d = x.shape
-    mean = x.mean(axis=0) if n > 0 else np.zeros(d)
-    basis = np.zeros((components, d))
-    values = np.zeros(components)
-    if n > 1:
-        _, sv, vt = np.linalg.svd(x - mean, full_matrices=False)
-        c = min(components, n - 1, len(sv))
-        for k in range(c):
-            vec = vt[k]
-            if vec[np.argmax(np.abs(vec))] < 0:
-                vec = -vec
-            basis[k] = vec
-            values[k] = sv[k] ** 2
-    return mean, basis, values
-
-
-def _fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-    mean, basis, values = basis_from_rows(x)
-    return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "n": [len(x)], "mean": [mean],
-                         "basis": [list(basis)], "eigenvalues": [values]})
-
-
-def fit_projection(points: DataFrame, vec_col: str = "vector",
-                   small_rows: int = SMALL_DATASET_ROWS, max_open: int = MAX_OPEN_GRAMS) -> DataFrame:
-    """AGG-3: one row per dataset ``(dataset, n, mean, basis[3][d], eigenvalues)``.
-
-    A count per dataset splits the work: datasets of at most ``small_rows``
-    points are fitted from their rows (grouped, SVD), larger ones through
-    partial Gram matrices (``eigh``)."""
-    pv = points.select(F.col("dataset").cast("string"), F.col(vec_col).alias("vector"))
-    sizes = pv.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))   # one row per dataset
-    tagged = pv.join(sizes, "dataset")
-    small = (tagged.filter(F.col("_n") <= small_rows).drop("_n")
-             .groupBy("dataset").applyInPandas(_fit_rows, schema=_BASIS_SCHEMA))
-    large = (gram_rows(tagged.filter(F.col("_n") > small_rows).drop("_n"), max_open=max_open)
-             .groupBy("dataset").applyInPandas(_fit_one, schema=_BASIS_SCHEMA))
-    return small.unionByName(large)
+def fit_projection(points: DataFrame, vec_col: str = "vector", max_open: int = MAX_OPEN_GRAMS) -> DataFrame:
+    """AGG-3: one row per dataset ``(dataset, n, mean, basis[3][d], eigenvalues)``,
+    from the partial Gram matrices (``eigh``) whatever the dataset's size."""
+    return gram_rows(points, vec_col, max_open).groupBy("dataset").applyInPandas(_fit_one, schema=_BASIS_SCHEMA)
 
 
 def project(points: DataFrame, projection: DataFrame, vec_col: str = "vector",
-            places: int | None = 4) -> DataFrame:
+            places: int | None = 4, how: str = "inner") -> DataFrame:
     """VEC-3/VEC-4: ``x, y, z = (v - mean) . basis_k`` with the dataset's own
-    (stored) mean and basis; rounded half away from zero when ``places``."""
-    j = points.join(projection.select("dataset", "mean", "basis"), "dataset")
+    (stored) mean and basis; rounded half away from zero when ``places``. With
+    ``how="left"`` a vector of a dataset without a map sits at the origin."""
+    j = points.join(projection.select("dataset", "mean", "basis"), "dataset", how)
     centred = subtract(vec_col, "mean")
     out = j.withColumn("_c", centred)
     for k, name in enumerate(("x", "y", "z")):
-        val = dot("_c", F.col("basis")[k])
+        val = F.when(F.col("basis").isNull(), 0.0).otherwise(dot("_c", F.col("basis")[k]))
         out = out.withColumn(name, F.round(val, places) if places is not None else val)
     return out.drop("_c", "mean", "basis")

@@ -28,15 +28,13 @@ def pending_repos(repos: DataFrame, n: int = TOP_REPOS) -> DataFrame:
 
 def pending_projects(projects: DataFrame, registry: DataFrame) -> DataFrame:
     """FIL-3 for every registered hackathon at once: ``vector IS NULL``."""
-    reg = F.broadcast(registry.select("hackathon"))  # fixed configuration table
-    return projects.filter(F.col("vector").isNull()).join(reg, "hackathon", "left_semi")
+    return projects.filter(F.col("vector").isNull()).join(registry.select("hackathon"), "hackathon", "left_semi")
 
 
 def pending_prizes(projects: DataFrame, registry: DataFrame) -> DataFrame:
     """FIL-5: registered hackathon, winner, prizes not fetched yet."""
-    reg = F.broadcast(registry.select("hackathon"))
     return (projects.filter(F.coalesce(F.col("winner"), F.lit(False)) & F.col("prizes").isNull())
-            .join(reg, "hackathon", "left_semi"))
+            .join(registry.select("hackathon"), "hackathon", "left_semi"))
 
 
 def dataset_rows(repos: DataFrame | None, projects: DataFrame | None, hackathon: str | None = None,
@@ -54,36 +52,39 @@ def dataset_rows(repos: DataFrame | None, projects: DataFrame | None, hackathon:
 def dataset_rows_all(projects: DataFrame, registry: DataFrame) -> DataFrame:
     """FIL-6 for every registered hackathon selection in one scan: embedded
     projects of registered hackathons (order by id where served)."""
-    reg = F.broadcast(registry.select("hackathon"))  # fixed configuration table
-    return projects.filter(F.col("vector").isNotNull()).join(reg, "hackathon", "left_semi")
+    return projects.filter(F.col("vector").isNotNull()).join(registry.select("hackathon"), "hackathon", "left_semi")
 
 
 def dataset_members(repos: DataFrame, projects: DataFrame, registry: DataFrame,
-                    n: int = TOP_REPOS) -> DataFrame:
-    """SET-2: every selection at once -> ``(dataset, kind, id, vector, hackathon, year)``
-    (``kind`` is ``repo`` or ``project``: the two tables have separate ids).
+                    n: int | None = None) -> DataFrame:
+    """SET-2: every selection at once -> ``(dataset, kind, id, vector, hackathon, year, served)``
+    (``kind`` is ``repo`` or ``project``: the two tables have separate ids;
+    ``served`` then ``id`` is the order in which a dataset is served: repos by
+    stars, most first and unknown last, projects by id).
 
-    Repos feed ``github`` (filter, then top n); each embedded project of a
+    Embedded repos feed ``github`` (all, or the top ``n``); each embedded project of a
     registered hackathon feeds ``<hackathon>`` and ``<hackathon>/<year>`` --
     one scan of the projects and an ``explode`` (a hand-written grouping set).
     """
-    gh = (top_repos(repos.filter(F.col("vector").isNotNull()), n)
+    embedded = repos.filter(F.col("vector").isNotNull())
+    gh = ((embedded if n is None else top_repos(embedded, n))
           .select(F.lit(GITHUB).alias("dataset"), F.lit("repo").alias("kind"), "id", "vector",
-                  F.lit(None).cast("string").alias("hackathon"), F.lit(None).cast("int").alias("year")))
-    reg = F.broadcast(registry.select("hackathon"))
-    pj = projects.filter(F.col("vector").isNotNull()).join(reg, "hackathon", "left_semi")
+                  F.lit(None).cast("string").alias("hackathon"), F.lit(None).cast("int").alias("year"),
+                  F.coalesce(-F.col("stars"), F.lit((1 << 63) - 1)).cast("long").alias("served")))
+    pj = projects.filter(F.col("vector").isNotNull()).join(registry.select("hackathon"), "hackathon", "left_semi")
     names = F.filter(F.array(F.col("hackathon"),
                              F.concat(F.col("hackathon"), F.lit("/"), F.col("year").cast("string"))),
                      lambda x: x.isNotNull())
     pm = pj.select(F.explode(names).alias("dataset"), F.lit("project").alias("kind"), "id", "vector",
-                   "hackathon", "year")
+                   "hackathon", "year", F.lit(0).cast("long").alias("served"))
     return gh.unionByName(pm)
 
 
 def point_index(members: DataFrame, whole_rows: bool = False) -> DataFrame:
-    """AGG-7: position of each point inside its dataset, ordered by id
+    """AGG-7: position of each point inside its dataset in the order served
     (``whole_rows``: the indexed rows are written once, see ``dense_index``)."""
-    return dense_index(members, ["id"], ["dataset"], name="idx", whole_rows=whole_rows)
+    order = [c for c in ("served", "id") if c in members.columns]
+    return dense_index(members, order, ["dataset"], name="idx", whole_rows=whole_rows).drop("served")
 
 
 def parse_dataset_path(requests: DataFrame, registry: DataFrame, path_col: str = "path") -> DataFrame:
@@ -106,7 +107,7 @@ def parse_dataset_path(requests: DataFrame, registry: DataFrame, path_col: str =
                           .otherwise(F.col("_rest")))
               .withColumn("_y", F.when(F.instr("_rest", "/") > 0,
                                        F.expr("substring(_rest, instr(_rest, '/') + 1)")).otherwise(F.lit(""))))
-    reg = F.broadcast(registry.select(F.col("hackathon").alias("_rid")))  # fixed configuration table
+    reg = registry.select(F.col("hackathon").alias("_rid"))
     j = req.join(reg, F.col("_id") == F.col("_rid"), "left")
     year_num = F.when(F.col("_y").rlike("^[0-9]+$"), F.col("_y").try_cast("int"))
     year_ok = (F.col("_y") == "") | F.coalesce(year_num > 0, F.lit(False))
@@ -181,11 +182,15 @@ def catalog(projects: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def catalog_document(entries: DataFrame) -> DataFrame:
-    """The catalog as one JSON document (entries in order). The catalog has
-    one row per registered hackathon -- a fixed configuration size."""
-    return entries.agg(F.to_json(F.transform(F.sort_array(F.collect_list(
-        F.struct("pos", "id", "label", "years"))), lambda s: F.struct(
-            s["id"].alias("id"), s["label"].alias("label"), s["years"].alias("years")))).alias("document"))
+    """The catalog as one JSON document: ``{"github": {"label": ..},
+    "hackathons": [{"id", "label", "years"}, ..]}`` in registry order. The
+    catalog has one row per registered hackathon -- configuration, not data."""
+    is_gh = F.col("id") == GITHUB
+    listed = F.sort_array(F.collect_list(F.when(~is_gh, F.struct("pos", "id", "label", "years"))))
+    return entries.agg(F.to_json(F.struct(
+        F.struct(F.max(F.when(is_gh, F.col("label"))).alias("label")).alias("github"),
+        F.transform(listed, lambda s: F.struct(s["id"].alias("id"), s["label"].alias("label"),
+                                               s["years"].alias("years"))).alias("hackathons"))).alias("document"))
 
 
 def join_lists(df: DataFrame, cols: list[str]) -> DataFrame:

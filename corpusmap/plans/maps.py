@@ -56,25 +56,33 @@ def build_maps(members: DataFrame, labels, dim: int,
     return points, proj, quarantine
 
 
-def touched_datasets(state: DataFrame, members: DataFrame, kind: str) -> DataFrame:
-    """STR-3: datasets holding a row of ``kind`` that the last upsert of that
-    table inserted or changed."""
-    changed = state.filter(F.col("action").isin("insert", "update")).select("id")
-    return (members.filter(F.col("kind") == kind).join(changed, "id", "left_semi")
-            .select("dataset").distinct())
-
-
-def refresh_datasets(members: DataFrame, labels, dim: int, state: DataFrame,
-                     generations: DataFrame, kind: str = "project") -> tuple[DataFrame, DataFrame]:
+def touched_datasets(changed: DataFrame, *memberships: DataFrame) -> DataFrame:
+    """STR-3: datasets that hold, or held before, one of the rows
+    ``changed(kind, id)``. Pass the membership before and after the upsert: a
+    project that moved to another hackathon touches both."""
+    found = [m.select("dataset", "kind", "id").join(changed, ["kind", "id"], "left_semi").select("dataset")
+             for m in memberships]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def refresh_datasets(members: DataFrame, labels, dim: int, state: DataFrame, generations: DataFrame,
+                     before: DataFrame, kind: str = "project") -> tuple[DataFrame, DataFrame]:
     """STR-3: rebuild only the maps whose rows changed; bump their generation.
 
+    ``before`` is the membership before the upsert that gave ``state``;
     ``generations(dataset, generation)`` is the stored counter (missing = 0).
     Returns ``(points of rebuilt datasets, new generations)``; a reader takes the
-    highest generation of each dataset.
+    highest generation of each dataset, which has no points if the dataset
+    became empty.
     """
     members = cut_lineage(members)
-    touched = touched_datasets(state, members, kind)
-    all_ds = members.select("dataset").distinct()
+    before = cut_lineage(before.select("dataset", "kind", "id"))
+    changed = state.filter(F.col("action").isin("insert", "update")).select(F.lit(kind).alias("kind"), "id")
+    touched = cut_lineage(touched_datasets(changed, before, members), "touched")
+    all_ds = members.select("dataset").union(before.select("dataset")).distinct()
     gen = (all_ds.join(generations, "dataset", "left")
            .join(touched.withColumn("_t", F.lit(True)), "dataset", "left")
            .select("dataset", (F.coalesce(F.col("generation"), F.lit(0))
@@ -91,8 +99,10 @@ def answer_queries(queries: DataFrame, points: DataFrame, projection: DataFrame,
                    k: int = NEAREST_K) -> DataFrame:
     """VEC-8: ``queries(query_id, dataset, vector)`` -> one row per (query,
     rank): ``x, y, z, rank, nearest_idx, nearest_id, category, similarity``
-    (``nearest_similarity`` is the cosine of that neighbour)."""
-    placed = project(queries.select("query_id", "dataset", "vector"), projection)
+    (``nearest_similarity`` is the cosine of that neighbour). A query on a
+    dataset without points is answered too: at the origin, with its category
+    and no neighbour."""
+    placed = project(queries.select("query_id", "dataset", "vector"), projection, how="left")
     cat = categorize(placed, labels)
     nn = nearest(points.select("dataset", "id", "idx", F.col("unit").alias("vector")),
                  queries.select("query_id", "dataset", "vector"), k=k, key_col="id",

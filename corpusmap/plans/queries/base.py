@@ -44,10 +44,10 @@ def register(name: str, sql: str | None = None):
 
 MEMBERS_SQL = """
 members AS (
-  SELECT 'github' AS dataset, id, vector, NULL::VARCHAR AS hackathon, NULL::INTEGER AS year FROM (
-    SELECT id, vector FROM repos WHERE vector IS NOT NULL ORDER BY stars DESC NULLS LAST, id LIMIT 1000) g
+  SELECT 'github' AS dataset, id, vector, NULL::VARCHAR AS hackathon, NULL::INTEGER AS year, stars FROM (
+    SELECT id, vector, stars FROM repos WHERE vector IS NOT NULL) g
   UNION ALL
-  SELECT x.dataset, x.id, x.vector, x.hackathon, x.year FROM (
+  SELECT x.dataset, x.id, x.vector, x.hackathon, x.year, NULL::BIGINT AS stars FROM (
     SELECT p.id, p.vector, p.hackathon, p.year,
            unnest([p.hackathon, p.hackathon || '/' || CAST(p.year AS VARCHAR)]) AS dataset
     FROM projects p WHERE p.vector IS NOT NULL AND p.hackathon IN (SELECT hackathon FROM registry)) x
@@ -76,7 +76,7 @@ def truncate_sql(x: str, n: int = 32768) -> str:
 
 
 def _members(spark, sf_dir):
-    return S.dataset_members(ST.repos(spark, sf_dir), ST.projects(spark, sf_dir), ST.registry(spark))
+    return S.dataset_members(ST.repos(spark, sf_dir), ST.projects(spark, sf_dir), ST.registry(spark, sf_dir))
 
 
 REPO_UPSERT_SQL = """
@@ -175,7 +175,7 @@ doc_pages AS (
 EVENTS_EXPECTED_SQL = """
 ev AS (
   SELECT (idx // 40 + 1)::BIGINT AS page, (idx % 40)::BIGINT AS pos, doc_id, 'h' || CAST(doc_id AS VARCHAR) AS host,
-         CASE WHEN doc_id % 8 = 3 THEN '' ELSE substring(text, 1, 30) END AS title,
+         CASE WHEN doc_id % 8 = 3 THEN '' ELSE text END AS title,
          (CASE WHEN doc_id % 9 = 4 THEN 0 WHEN doc_id % 10 = 7 THEN 0 WHEN doc_id % 11 = 2 THEN 0
                ELSE 2018 + doc_id % 7 END)::BIGINT AS year
   FROM doc_pages WHERE doc_id % 6 <> 5)"""
@@ -228,13 +228,17 @@ req AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN
         CASE WHEN doc_id % 3 = 0 THEN '/embed' ELSE '' END AS path FROM documents)"""
 
 
-TOKEN_VOCAB = 500   # stand-in token table = embeddings.vec_id 0..499
+def token_vocab(spark, sf_dir) -> int:
+    """Size of the stand-in token table: ids 0 .. largest ``vec_id``."""
+    return table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+
+
 HIDDEN = 64
 DENSE_OUT = 16
 
 
 TOKENS_SQL = """
-toks AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER % 500 AS token_id
+toks AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER % (SELECT max(vec_id) + 1 FROM embeddings) AS token_id
          FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)),
 tc AS (SELECT doc_id, token_id, count(*) AS cnt FROM toks GROUP BY ALL),
 pooled AS (SELECT t.doc_id, u.pos - 1 AS pos, sum(t.cnt * u.val::DOUBLE * 8.0) / sum(t.cnt) AS m
@@ -271,7 +275,7 @@ def _bench_queries(spark, sf_dir):
 
 
 MEMBER_INDEX_SQL = """
-mi AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY id) - 1 AS idx FROM members)"""
+mi AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY stars DESC NULLS LAST, id) - 1 AS idx FROM members)"""
 
 
 BENCH_QD_SQL = """
@@ -302,7 +306,7 @@ qcat AS (SELECT q.k AS query_id, c.idx AS cat, list_cosine_similarity(q.vec, c.v
 TEXT_REQ_SQL = """
 treq AS (SELECT conv_id * 1000 + turn AS query_id, text,
                 CASE conv_id % 4 WHEN 0 THEN 'github' WHEN 1 THEN 'src1' WHEN 2 THEN 'src3/2023' END AS dataset
-         FROM conversations WHERE role = 'user'),
+         FROM conversations),
 tcheck AS (SELECT *, CASE WHEN dataset IS NULL THEN 'not found' WHEN text IS NULL THEN 'missing'
                           WHEN strlen(text) < 1 THEN 'empty' WHEN strlen(text) > 32768 THEN 'too long' END AS reason
            FROM treq),

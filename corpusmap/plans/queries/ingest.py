@@ -12,7 +12,7 @@ from corpusmap.plans.queries.base import (DOC_PAGES_SQL, EVENTS_EXPECTED_SQL, GA
 
 @register("parse_repo_listing", with_sql(DOC_PAGES_SQL) + """
 SELECT (idx // 20 + 1)::BIGINT AS page, (idx % 20)::BIGINT AS pos, source || '/' || CAST(doc_id AS VARCHAR) AS name,
-       CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN NULL ELSE substring(text, 1, 80) END AS "desc",
+       CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN NULL ELSE text END AS "desc",
        CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END::BIGINT AS stars,
        lang || ' ' || source AS topics
 FROM doc_pages WHERE NOT ((idx // 20 + 1) % 17 = 5 OR (idx // 20 + 1) % 19 = 7)""")
@@ -62,7 +62,7 @@ def q_match_events(spark, sf_dir):
 
 
 @register("parse_gallery", with_sql(GALLERY_EXPECTED_SQL) + f"""
-SELECT hackathon, page, card, id, slug, {TX.html_to_text_sql("' ' || substring(text, 1, 40) || ' &amp; co '")} AS name,
+SELECT hackathon, page, card, id, slug, {TX.html_to_text_sql("' ' || text || ' &amp; co '")} AS name,
        CASE WHEN doc_id % 13 = 4 THEN NULL ELSE lang END AS tagline,
        (CASE WHEN doc_id % 17 = 2 THEN 0 ELSE (n_chars % 500) * 7 END)::BIGINT AS likes,
        coalesce(quality = 1, false) AS winner,
@@ -80,8 +80,8 @@ gs AS (SELECT hackathon, page, cards, NOT ((page + n_items) % 7 = 0) AS ok FROM
 stops AS (SELECT hackathon, min(CASE WHEN NOT ok OR cards <= 0 THEN page END) AS first_bad,
                  max(CASE WHEN NOT ok THEN 1 END) AS any_failed FROM gs GROUP BY hackathon)""") + """
 SELECT g.hackathon, g.page, g.cards::BIGINT AS cards, g.ok,
-       g.page < coalesce(s.first_bad, 201) AS kept_prefix,
-       g.page < coalesce(s.first_bad, 201) AND s.any_failed IS NULL AS kept_whole
+       g.page < coalesce(s.first_bad, g.page + 1) AS kept_prefix,
+       g.page < coalesce(s.first_bad, g.page + 1) AND s.any_failed IS NULL AS kept_whole
 FROM gs g JOIN stops s USING (hackathon)""")
 def q_contiguous_pages(spark, sf_dir):
     from corpusmap.session import cut_lineage
@@ -161,7 +161,7 @@ pc AS (SELECT w.lo, w.hi, CASE WHEN w.hi IS NULL THEN CAST(w.lo AS VARCHAR) || '
 SELECT star_window, page::BIGINT AS page,
        'https://api.github.com/search/repositories?q=stars:' || star_window || '&sort=stars&order=desc&per_page=100&page='
        || CAST(page AS VARCHAR) AS url
-FROM (SELECT star_window, unnest(generate_series(1, greatest(least(CAST(ceil(n / 100) AS BIGINT), 10), 1))) AS page FROM pc)""")
+FROM (SELECT star_window, unnest(generate_series(1, greatest(CAST(ceil(n / 100) AS BIGINT), 1))) AS page FROM pc)""")
 def q_repo_manifest(spark, sf_dir):
     b = ST.repo_batch(spark, sf_dir).filter(F.col("ord") == 1)
     wins = [(4000, None), (2000, 3999), (0, 1999)]
@@ -175,7 +175,7 @@ def q_repo_manifest(spark, sf_dir):
 
 @register("event_manifest", with_sql(PROJECTS_SQL) + """
 SELECT host, page::BIGINT AS page, 'https://' || host || '.devpost.com/project-gallery?page=' || CAST(page AS VARCHAR) AS url
-FROM (SELECT hackathon AS host, unnest(generate_series(1, least(CAST(ceil(count(*) / 24) AS BIGINT) + 1, 200))) AS page
+FROM (SELECT hackathon AS host, unnest(generate_series(1, CAST(ceil(count(*) / 24) AS BIGINT) + 1)) AS page
       FROM projects GROUP BY hackathon)""")
 def q_event_manifest(spark, sf_dir):
     hosts = ST.projects(spark, sf_dir).groupBy(F.col("hackathon").alias("host")).agg(F.count(F.lit(1)).alias("cards"))
@@ -196,7 +196,7 @@ def q_listing_manifest(spark, sf_dir):
     first = pages.filter(F.col("page") == 1)
     listing = M.listing_manifest(first).select(F.lit("listing").alias("kind"), F.lit(None).cast("string").alias("name"),
                                                F.col("page").cast("long"), "url")
-    search = M.search_manifest(ST.registry(spark)).select(F.lit("search").alias("kind"), "name",
+    search = M.search_manifest(ST.registry(spark, sf_dir)).select(F.lit("search").alias("kind"), "name",
                                                           F.col("page").cast("long"), "url")
     return listing.unionByName(search)
 
@@ -241,7 +241,7 @@ def q_parse_dataset_path(spark, sf_dir):
     path = F.concat(F.when(doc % 9 == 0, gh).otherwise(F.concat(F.lit("/datasets/"), F.col("source"), suffix)),
                     F.when(doc % 3 == 0, F.lit("/embed")).otherwise(F.lit("")))
     req = d.select("doc_id", path.alias("path"))
-    out = S.parse_dataset_path(req, ST.registry(spark))
+    out = S.parse_dataset_path(req, ST.registry(spark, sf_dir))
     return out.select("doc_id", "path", "dataset", F.col("year").cast("long"), "found", "embed")
 
 

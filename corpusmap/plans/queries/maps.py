@@ -24,7 +24,7 @@ def q_dataset_document(spark, sf_dir):
     points, _, _ = _maps(spark, sf_dir)
     ds = points.select("dataset", "hackathon", "year").distinct() \
         .groupBy("dataset").agg(F.max("hackathon").alias("hackathon"), F.max("year").alias("year"))
-    cats = [f"label {i}" for i in range(10)]
+    cats = [r["label"] for r in ST.category_labels(spark, sf_dir).select("idx", "label").orderBy("idx").collect()]
     return STORE.dataset_lines(points.drop("unit"), ds, cats)
 
 
@@ -34,23 +34,37 @@ def q_refresh_datasets(spark, sf_dir):
     changed rows are rebuilt and get a new generation."""
     from corpusmap.session import cut_lineage
     pr = cut_lineage(_projects_after(spark, sf_dir))   # the store snapshot after the upsert
-    members = S.dataset_members(ST.repos(spark, sf_dir), pr, ST.registry(spark))
-    gens = members.select("dataset").distinct().withColumn("generation", F.lit(1).cast("long"))
+    repos, reg = ST.repos(spark, sf_dir), ST.registry(spark, sf_dir)
+    members = S.dataset_members(repos, pr, reg)
+    before = S.dataset_members(repos, ST.projects(spark, sf_dir), reg)
+    gens = before.select("dataset").distinct().withColumn("generation", F.lit(1).cast("long"))
     labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))
-    points, gen = MAPS.refresh_datasets(members, labels, 64, pr, gens, kind="project")
+    points, gen = MAPS.refresh_datasets(members, labels, 64, pr, gens, before, kind="project")
     counts = points.groupBy("dataset").agg(F.count(F.lit(1)).alias("points"))
     return gen.join(counts, "dataset", "left").select("dataset", "generation", "rebuilt",
                                                       F.coalesce("points", F.lit(0)).cast("long").alias("points"))
 
 
 ORACLE_SQL["refresh_datasets"] = PROJECT_STATE_SQL + ",\n" + ",\n".join(f.strip() for f in (
-    REPOS_SQL, REGISTRY_SQL, MEMBERS_SQL.replace("FROM projects p", "FROM projects_state p"), """
-touched AS (SELECT DISTINCT m.dataset FROM members m JOIN projects_state s ON s.id = m.id
-            WHERE m.dataset <> 'github' AND s.action IN ('insert', 'update'))""")) + """
-SELECT m.dataset, (1 + CASE WHEN t.dataset IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS generation,
+    REPOS_SQL, REGISTRY_SQL, MEMBERS_SQL.replace("FROM projects p", "FROM projects_state p"),
+    MEMBERS_SQL.replace("members AS", "old_members AS"), """
+changes AS (
+  SELECT s.id, s.hackathon AS h1, s.year AS y1, p.hackathon AS h0, p.year AS y0, s.vector IS NOT NULL AS v
+  FROM projects_state s LEFT JOIN projects p ON p.id = s.id WHERE s.action IN ('insert', 'update')),
+named AS (
+  SELECT unnest([h0, h0 || '/' || CAST(y0 AS VARCHAR), h1, h1 || '/' || CAST(y1 AS VARCHAR)]) AS dataset,
+         unnest([h0, h0, h1, h1]) AS hackathon FROM changes WHERE v),
+touched AS (SELECT DISTINCT dataset FROM named
+            WHERE dataset IS NOT NULL AND hackathon IN (SELECT hackathon FROM registry)),
+known AS (SELECT DISTINCT dataset FROM old_members),
+now AS (SELECT dataset, count(*) AS n FROM members GROUP BY dataset),
+everything AS (SELECT dataset FROM known UNION SELECT dataset FROM now)""")) + """
+SELECT e.dataset, (CASE WHEN k.dataset IS NOT NULL THEN 1 ELSE 0 END
+                   + CASE WHEN t.dataset IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS generation,
        t.dataset IS NOT NULL AS rebuilt,
-       (CASE WHEN t.dataset IS NOT NULL THEN count(*) ELSE 0 END)::BIGINT AS points
-FROM members m LEFT JOIN touched t ON t.dataset = m.dataset GROUP BY m.dataset, t.dataset"""
+       (CASE WHEN t.dataset IS NOT NULL THEN coalesce(n.n, 0) ELSE 0 END)::BIGINT AS points
+FROM everything e LEFT JOIN known k ON k.dataset = e.dataset LEFT JOIN touched t ON t.dataset = e.dataset
+     LEFT JOIN now n ON n.dataset = e.dataset"""
 
 
 @register("answer_queries")
@@ -73,14 +87,14 @@ def q_answer_documents(spark, sf_dir):
 @register("answer_text_queries")
 def q_answer_text_queries(spark, sf_dir):
     points, proj, labels = _maps(spark, sf_dir)
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    c = table(spark, sf_dir, "conversations")
     cid = F.col("conv_id") * 1000 + F.col("turn")
     path = (F.when(F.col("conv_id") % 4 == 0, F.lit("/datasets/github/embed"))
             .when(F.col("conv_id") % 4 == 1, F.lit("/datasets/src1/embed"))
             .when(F.col("conv_id") % 4 == 2, F.lit("/datasets/src3/2023/embed"))
             .otherwise(F.lit("/datasets/nowhere/embed")))
     req = c.select(cid.alias("query_id"), path.alias("path"), F.col("text").alias("description"))
-    ans, rej = MAPS.answer_text_queries(req, points, proj, labels, ST.registry(spark), dim=64)
+    ans, rej = MAPS.answer_text_queries(req, points, proj, labels, ST.registry(spark, sf_dir), dim=64)
     return (ans.select("query_id", "dataset", "rank", "nearest_id", "category", F.lit(None).cast("string").alias("reason"))
             .unionByName(rej.select("query_id", F.lit(None).cast("string").alias("dataset"),
                                     F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("nearest_id"),
@@ -104,7 +118,7 @@ def q_stream_upsert(spark, sf_dir):
 ORACLE_SQL["stream_upsert"] = with_sql(PROJECTS_SQL, GALLERY_EXPECTED_SQL, f"""
 gstatus AS (SELECT hackathon, page, NOT ((page + any_value(n_items)) % 7 = 0) AS ok FROM gcards GROUP BY hackathon, page),
 project_batch AS (
-  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || substring(c.text, 1, 40) || ' &amp; co '")} AS name,
+  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || c.text || ' &amp; co '")} AS name,
          CASE WHEN c.doc_id % 13 = 4 THEN NULL ELSE c.lang END AS tagline,
          (CASE WHEN c.doc_id % 17 = 2 THEN 0 ELSE (c.n_chars % 500) * 7 END)::BIGINT AS likes,
          ['u' || CAST(c.doc_id % 50 AS VARCHAR), 'u' || CAST(c.doc_id % 7 AS VARCHAR)] AS members,
@@ -195,7 +209,7 @@ def q_sync_pass(spark, sf_dir):
     labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))
     repos = ST.repos(spark, sf_dir)
     for half in (F.col("page") % 2 == 1, F.col("page") % 2 == 0):   # two rounds of fetched pages
-        SYNC.sync_pass(spark, root, gp.filter(half), texts, repos, ST.registry(spark), labels, dim=64)
+        SYNC.sync_pass(spark, root, gp.filter(half), texts, repos, ST.registry(spark, sf_dir), labels, dim=64)
     points, _, _ = SYNC.read_maps(spark, root)
     return points.select("dataset", "generation", "idx", F.col("id").cast("long"), "category", "similarity")
 
@@ -205,7 +219,7 @@ ORACLE_SQL["sync_pass"] = with_sql(PROJECTS_SQL, REGISTRY_SQL, REPOS_SQL, GALLER
 gstatus AS (SELECT hackathon, page, NOT ((page + any_value(n_items)) % 7 = 0) AS ok FROM gcards
             GROUP BY hackathon, page),
 gbatch AS (
-  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || substring(c.text, 1, 40) || ' &amp; co '")} AS name,
+  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || c.text || ' &amp; co '")} AS name,
          CASE WHEN c.doc_id % 13 = 4 THEN NULL ELSE c.lang END AS tagline,
          (CASE WHEN c.doc_id % 17 = 2 THEN 0 ELSE (c.n_chars % 500) * 7 END)::BIGINT AS likes,
          ['u' || CAST(c.doc_id % 50 AS VARCHAR), 'u' || CAST(c.doc_id % 7 AS VARCHAR)] AS members,
@@ -234,7 +248,7 @@ FROM ranked r LEFT JOIN second s ON s.dataset = r.dataset WHERE r.rn = 1"""
 @register("stream_upsert_repos", with_sql(REPOS_SQL, DOC_PAGES_SQL, """
 repo_batch AS (
   SELECT source || '/' || CAST(doc_id AS VARCHAR) AS name,
-         CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN NULL ELSE substring(text, 1, 80) END AS "desc",
+         CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN NULL ELSE text END AS "desc",
          (CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END)::BIGINT AS stars, [lang, source] AS topics,
          ((idx // 20 + 1) * 1000 + idx % 20)::BIGINT AS ord
   FROM doc_pages WHERE NOT ((idx // 20 + 1) % 17 = 5 OR (idx // 20 + 1) % 19 = 7))""", REPO_UPSERT_SQL) + """

@@ -81,14 +81,14 @@ def q_sync_report(spark, sf_dir):
 @register("pending_projects", with_sql(PROJECTS_SQL, REGISTRY_SQL) + """
 SELECT id, hackathon FROM projects WHERE vector IS NULL AND hackathon IN (SELECT hackathon FROM registry)""")
 def q_pending_projects(spark, sf_dir):
-    return S.pending_projects(ST.projects(spark, sf_dir), ST.registry(spark)).select("id", "hackathon")
+    return S.pending_projects(ST.projects(spark, sf_dir), ST.registry(spark, sf_dir)).select("id", "hackathon")
 
 
 @register("pending_prizes", with_sql(PROJECTS_SQL, REGISTRY_SQL) + """
 SELECT id, hackathon FROM projects
 WHERE coalesce(winner, false) AND prizes IS NULL AND hackathon IN (SELECT hackathon FROM registry)""")
 def q_pending_prizes(spark, sf_dir):
-    return S.pending_prizes(ST.projects(spark, sf_dir), ST.registry(spark)).select("id", "hackathon")
+    return S.pending_prizes(ST.projects(spark, sf_dir), ST.registry(spark, sf_dir)).select("id", "hackathon")
 
 
 @register("dataset_rows", with_sql(PROJECTS_SQL, REGISTRY_SQL) + """
@@ -96,7 +96,7 @@ SELECT p.hackathon, p.year::BIGINT AS year, count(*)::BIGINT AS points, min(p.id
 FROM projects p JOIN registry r ON p.hackathon = r.hackathon
 WHERE p.vector IS NOT NULL GROUP BY ALL""")
 def q_dataset_rows(spark, sf_dir):
-    out = S.dataset_rows_all(ST.projects(spark, sf_dir), ST.registry(spark))
+    out = S.dataset_rows_all(ST.projects(spark, sf_dir), ST.registry(spark, sf_dir))
     return out.groupBy("hackathon", F.col("year").cast("long").alias("year")).agg(
         F.count(F.lit(1)).alias("points"), F.min("id").cast("long").alias("first_id"))
 
@@ -128,7 +128,7 @@ UNION ALL
 SELECT (r.pos + 1)::BIGINT, r.hackathon, r.label, coalesce(array_to_string(y.years, ' '), '')
 FROM registry r LEFT JOIN yrs y ON r.hackathon = y.hackathon""")
 def q_catalog(spark, sf_dir):
-    c = S.catalog(ST.projects(spark, sf_dir), ST.registry(spark))
+    c = S.catalog(ST.projects(spark, sf_dir), ST.registry(spark, sf_dir))
     return c.select(F.col("pos").cast("long"), "id", "label", F.array_join("years", " ").alias("years"))
 
 
@@ -209,12 +209,13 @@ entries AS (
   UNION ALL
   SELECT r.pos + 1, r.hackathon, r.label, coalesce(y.years, []::INTEGER[])
   FROM registry r LEFT JOIN yrs y ON r.hackathon = y.hackathon)""") + """
-SELECT CAST(to_json(list({'id': id, 'label': label, 'years': years} ORDER BY pos)) AS VARCHAR) AS document
-FROM entries""")
+SELECT CAST(to_json({'github': {'label': (SELECT label FROM entries WHERE pos = 0)},
+                     'hackathons': list({'id': id, 'label': label, 'years': years} ORDER BY pos)}) AS VARCHAR) AS document
+FROM entries WHERE pos > 0""")
 def q_catalog_document(spark, sf_dir):
     """AGG-5 as the single JSON document the catalog request returns (one
     entry per registered hackathon plus github: a configuration-sized list)."""
-    c = S.catalog(ST.projects(spark, sf_dir), ST.registry(spark))
+    c = S.catalog(ST.projects(spark, sf_dir), ST.registry(spark, sf_dir))
     return S.catalog_document(c)
 
 
@@ -222,8 +223,8 @@ def q_catalog_document(spark, sf_dir):
 gp AS (SELECT hackathon, page, count_if(has_link) AS cards, NOT ((page + any_value(n_items)) % 7 = 0) AS ok
        FROM gcards GROUP BY hackathon, page),
 gstop AS (SELECT hackathon, min(CASE WHEN NOT ok OR cards <= 0 THEN page END) AS first_bad FROM gp GROUP BY hackathon),
-walk AS (SELECT g.hackathon, count_if(g.page < coalesce(s.first_bad, 201))::BIGINT AS pages_walked,
-                coalesce(sum(CASE WHEN g.page < coalesce(s.first_bad, 201) THEN g.cards END), 0)::BIGINT AS cards_found
+walk AS (SELECT g.hackathon, count_if(g.page < coalesce(s.first_bad, g.page + 1))::BIGINT AS pages_walked,
+                coalesce(sum(CASE WHEN g.page < coalesce(s.first_bad, g.page + 1) THEN g.cards END), 0)::BIGINT AS cards_found
          FROM gp g JOIN gstop s USING (hackathon) GROUP BY g.hackathon),
 emb AS (SELECT p.hackathon,
                count_if(p.vector IS NULL AND p.hackathon IN (SELECT hackathon FROM registry)
@@ -248,7 +249,7 @@ def q_pass_report(spark, sf_dir):
     walk = M.contiguous_pages(pages, "hackathon", "keep_prefix")
     before = ST.projects(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    pending = S.pending_projects(before, ST.registry(spark)).select("id")
+    pending = S.pending_projects(before, ST.registry(spark, sf_dir)).select("id")
     vecs = E.hashing_vectors(d.join(pending, "id", "left_semi"), "id", "text")
     after = U.write_vectors(before, vecs)
     return S.pass_report(walk, before, after)

@@ -103,16 +103,19 @@ def q_nearest_points(spark, sf_dir):
 
 
 @register("point_index", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL) + """
-SELECT dataset, id::BIGINT AS id, (row_number() OVER (PARTITION BY dataset ORDER BY id) - 1)::BIGINT AS idx
+SELECT dataset, id::BIGINT AS id, (row_number() OVER (PARTITION BY dataset ORDER BY stars DESC NULLS LAST, id) - 1)::BIGINT AS idx
 FROM members""")
 def q_point_index(spark, sf_dir):
     return S.point_index(_members(spark, sf_dir)).select("dataset", F.col("id").cast("long"), "idx")
 
 
 @register("dataset_membership", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL) + """
-SELECT dataset, count(*)::BIGINT AS points, min(id)::BIGINT AS min_id, max(id)::BIGINT AS max_id
+SELECT dataset, count(*)::BIGINT AS points, min(id)::BIGINT AS min_id, max(id)::BIGINT AS max_id,
+       md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS ids
 FROM members GROUP BY dataset""")
 def q_dataset_membership(spark, sf_dir):
     m = _members(spark, sf_dir)
     return m.groupBy("dataset").agg(F.count(F.lit(1)).alias("points"), F.min("id").cast("long").alias("min_id"),
-                                    F.max("id").cast("long").alias("max_id"))
+                                    F.max("id").cast("long").alias("max_id"),
+                                    F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("id")),
+                                                                   lambda i: i.cast("string")), ",")).alias("ids"))

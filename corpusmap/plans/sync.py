@@ -10,7 +10,8 @@ pass and:
 3. rebuilds the maps of the datasets holding a row changed in 1 or 2 and
    publishes them as a new generation of the snapshot tables
    ``points``, ``projection`` and ``unit_vectors`` (partitioned by
-   ``dataset, generation``; readers take the newest generation per dataset).
+   ``dataset, generation``); "changed" covers the membership before and after,
+   and the table ``generations`` names the newest generation of each dataset.
 
 Everything runs against the store on shared storage; nothing is held on the
 driver beyond counters.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from corpusmap.operators.encoders import hashing_vectors
 from corpusmap.operators.selection import dataset_members, pending_projects
 from corpusmap.operators.upsert import upsert_into_store, write_vectors_into_store
-from corpusmap.plans.maps import build_maps, latest_generation
+from corpusmap.plans.maps import build_maps, touched_datasets
 from corpusmap.session import cut_lineage
 from corpusmap.sources.store import PROJECTS_SCHEMA, ensure_columns
 from corpusmap.streaming.ingest import gallery_batch_to_projects
@@ -45,13 +46,20 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def read_generations(spark: SparkSession, root: str) -> DataFrame | None:
+    """(dataset, generation): the newest published generation of every dataset
+    ever served; a dataset that became empty has one without points."""
+    df = _read_or_none(spark, f"{root}/maps/generations")
+    return None if df is None else df.groupBy("dataset").agg(F.max("generation").alias("generation"))
+
+
 def read_maps(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """The newest generation of every dataset's snapshot tables."""
-    out = []
-    for name in ("points", "projection", "unit_vectors"):
-        df = _read_or_none(spark, f"{root}/maps/{name}")
-        out.append(latest_generation(df) if df is not None else None)
-    return tuple(out)
+    newest = read_generations(spark, root)
+    if newest is None:
+        return None, None, None
+    return tuple(spark.read.parquet(f"{root}/maps/{name}").join(newest, ["dataset", "generation"], "left_semi")
+                 for name in ("points", "projection", "unit_vectors"))
 
 
 def sync_pass(spark: SparkSession, root: str, responses: DataFrame, texts: DataFrame, repos: DataFrame,
@@ -62,6 +70,8 @@ def sync_pass(spark: SparkSession, root: str, responses: DataFrame, texts: DataF
     matrix (or table). Returns the pass counters."""
     store = f"{root}/projects"
     batch = cut_lineage(gallery_batch_to_projects(responses), "batch")
+    before = cut_lineage(dataset_members(repos, spark.read.parquet(store), registry).select("dataset", "kind", "id"),
+                         "before")
     upserted = upsert_into_store(store, batch)                                  # step 1
 
     projects = spark.read.parquet(store)
@@ -71,18 +81,16 @@ def sync_pass(spark: SparkSession, root: str, responses: DataFrame, texts: DataF
 
     projects = spark.read.parquet(store)
     members = cut_lineage(dataset_members(repos, projects, registry), "members")
-    changed = batch.select("id").unionByName(vecs.select("id")).distinct()
-    touched = (members.filter(F.col("kind") == "project").join(changed, "id", "left_semi")
-               .select("dataset").distinct())
-    old = _read_or_none(spark, f"{root}/maps/projection")
-    never_built = members.select("dataset").distinct()
-    if old is not None:
-        never_built = never_built.join(old.select("dataset").distinct(), "dataset", "left_anti")
+    changed = (batch.select("id").unionByName(vecs.select("id")).distinct()
+               .select(F.lit("project").alias("kind"), "id"))
+    touched = touched_datasets(changed, before, members)
+    gens = read_generations(spark, root)
+    if gens is None:
+        gens = spark.createDataFrame([], "dataset string, generation long")
+    never_built = members.select("dataset").distinct().join(gens, "dataset", "left_anti")
     touched = cut_lineage(touched.unionByName(never_built).distinct(), "touched")
-    gens = (old.groupBy("dataset").agg(F.max("generation").alias("g")) if old is not None
-            else spark.createDataFrame([], "dataset string, g long"))
-    new_gen = (touched.join(gens, "dataset", "left")
-               .select("dataset", (F.coalesce(F.col("g"), F.lit(0)) + 1).cast("long").alias("generation")))
+    new_gen = cut_lineage(touched.join(gens, "dataset", "left").select(
+        "dataset", (F.coalesce(F.col("generation"), F.lit(0)) + 1).cast("long").alias("generation")), "generations")
 
     points, proj, quarantine = build_maps(members.join(touched, "dataset", "left_semi"), labels, dim)  # step 3
     points = points.join(new_gen, "dataset")
@@ -94,5 +102,8 @@ def sync_pass(spark: SparkSession, root: str, responses: DataFrame, texts: DataF
      .partitionBy("dataset", "generation").parquet(f"{root}/maps/unit_vectors"))
     (proj.write.mode("overwrite").options(**w).partitionBy("dataset", "generation")
      .parquet(f"{root}/maps/projection"))
+    # Last, so that readers only see generations whose tables are written; a dataset that lost all
+    # its rows gets one without points.
+    new_gen.write.mode("append").parquet(f"{root}/maps/generations")
     return {"upsert": upserted, "embedded": embedded, "vectors_written": vecs.count(),
             "datasets_rebuilt": touched.count(), "quarantined": quarantine.count()}

@@ -125,24 +125,18 @@ def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
     """``row_number() - 1 + start`` within ``group_cols`` ordered by ``order_cols``,
     computed without gathering a group into one task.
 
-    Only the key columns are numbered: they are range-partitioned by
-    ``group_cols + order_cols`` (a hot group spans many tasks), sorted, and
-    each key gets its partition id and position in one pass that is written to
-    the shared checkpoint folder -- so positions and the per-(partition, group)
-    count table (at most partitions x groups rows) come from the same pass.
-    The offsets are summed over that small table and the index is joined back
-    to the rows on the keys. ``group_cols + order_cols`` must be unique.
-
-    With ``whole_rows`` the full rows are numbered and written instead (for a
-    caller that would materialise them anyway): the result reads that table
-    and only the tiny count table is joined, no join on the keys.
+    The rows are written once to the shared checkpoint folder, range-partitioned
+    by ``group_cols + order_cols`` (a hot group spans many tasks) and sorted,
+    with their partition and position. The offsets are summed over the small
+    (partition, group) count table, which is joined back; rows are never joined
+    on their keys, so equal keys get consecutive numbers and no row is
+    multiplied. ``whole_rows=False`` first writes the input, so that it is not
+    computed again for the range bounds.
     """
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
-    # As many range partitions as the input has (scan splits follow the data
-    # size), never fewer than the task slots.
-    n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
-    numbered = ((df if whole_rows else df.select(*keys)).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    rows = df if whole_rows else cut_lineage(df, "rows")
+    numbered = (rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mono", F.monotonically_increasing_id()))
     numbered = cut_lineage(numbered, "index")
@@ -155,12 +149,8 @@ def dense_index(df: DataFrame, order_cols: list, group_cols: list | None = None,
                        "_off", "_first")
     cond = [numbered["_pid"] == cj["_c_pid"]] + [numbered[g].eqNullSafe(cj[f"_c_{g}"]) for g in group_cols]
     pos = (F.col("_off") + F.col("_mono") - F.col("_first") + F.lit(start)).cast("long")
-    if whole_rows:
-        return (numbered.join(cj, cond).withColumn(name, pos)
-                .drop("_pid", "_mono", "_c_pid", *[f"_c_{g}" for g in group_cols], "_off", "_first"))
-    idx = numbered.join(cj, cond).select(*[numbered[k].alias(f"_k_{k}") for k in keys], pos.alias(name))
-    cond = [df[k].eqNullSafe(idx[f"_k_{k}"]) for k in keys]      # NULL group values keep their rows
-    return df.join(idx, cond, "inner").drop(*[f"_k_{k}" for k in keys])
+    return (numbered.join(cj, cond).withColumn(name, pos)
+            .drop("_pid", "_mono", "_c_pid", *[f"_c_{g}" for g in group_cols], "_off", "_first"))
 
 
 def spread_small_input(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:

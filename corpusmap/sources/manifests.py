@@ -19,9 +19,7 @@ EVENT_SEARCH_URL = EVENT_LISTING_URL + "&search=%s"
 GALLERY_URL = "https://%s.devpost.com/project-gallery?page=%d"
 PROJECT_URL = "https://devpost.com/software/%s"
 STAR_WINDOWS = [(50000, None), (40000, 49999), (30000, 39999)]
-SEARCH_PAGE_CAP = 10        # 1,000 results per window, 100 per page
 EVENT_PAGE_SIZE = 40
-GALLERY_PAGE_CAP = 200
 GALLERY_CARDS_PER_PAGE = 24
 
 
@@ -35,11 +33,13 @@ def windows_frame(spark, windows=STAR_WINDOWS) -> DataFrame:
     return spark.createDataFrame([(lo, hi) for lo, hi in windows], "lo long, hi long")
 
 
-def repo_manifest(windows: DataFrame) -> DataFrame:
+def repo_manifest(windows: DataFrame, cap: int | None = None) -> DataFrame:
     """SRC-10: ``windows(lo, hi, page_count)`` -> one row per search page
-    ``1 .. min(page_count, 10)`` with its URL."""
+    ``1 .. page_count`` with its URL; ``cap`` is the host's limit on pages of
+    one search (the public search serves 10 pages of 100), none by default."""
     w = windows.withColumn("window", star_range(F.col("lo"), F.col("hi")))
-    pages = F.sequence(F.lit(1), F.greatest(F.least(F.col("page_count"), F.lit(SEARCH_PAGE_CAP)), F.lit(1)))
+    pages = F.sequence(F.lit(1), F.greatest(F.col("page_count") if cap is None else F.least(F.col("page_count"), F.lit(cap)),
+                                          F.lit(1)))
     return (w.select("window", "lo", "hi", F.explode(pages).alias("page"))
             .withColumn("url", F.format_string(REPO_SEARCH_URL, F.col("window"), F.col("page"))))
 
@@ -66,11 +66,12 @@ def project_urls(projects: DataFrame) -> DataFrame:
     return projects.select("id", "slug", F.format_string(PROJECT_URL, F.col("slug")).alias("url"))
 
 
-def gallery_manifest(hosts: DataFrame, cap: int = GALLERY_PAGE_CAP) -> DataFrame:
-    """SRC-11: ``hosts(host, cards)`` -> gallery pages ``1 .. min(ceil(cards/24)+1, cap)``
-    (the walk reads one page past the end, which comes back empty)."""
+def gallery_manifest(hosts: DataFrame, cap: int | None = None) -> DataFrame:
+    """SRC-11: ``hosts(host, cards)`` -> gallery pages ``1 .. ceil(cards/24)+1``
+    (the walk reads one page past the end, which comes back empty), at most
+    ``cap`` if the caller sets one."""
     n = (F.ceil(F.col("cards") / F.lit(GALLERY_CARDS_PER_PAGE)) + 1).cast("int")
-    pages = F.sequence(F.lit(1), F.least(n, F.lit(cap)))
+    pages = F.sequence(F.lit(1), n if cap is None else F.least(n, F.lit(cap)))
     return (hosts.select("host", F.explode(pages).alias("page"))
             .withColumn("url", F.format_string(GALLERY_URL, F.col("host"), F.col("page"))))
 
@@ -104,12 +105,12 @@ def limit_events(events: DataFrame, max_hackathons: int, order_cols: list[str])
 
 
 def contiguous_pages(pages: DataFrame, group_col: str = "host", policy: str = "keep_prefix",
-                     cap: int = GALLERY_PAGE_CAP) -> DataFrame:
+                     cap: int | None = None) -> DataFrame:
     """SRC-13: which fetched pages count.
 
     ``pages(group, page, ok, cards)``. A walk starts at page 1 and stops at the
     first failed page, the first page with no cards, the first missing page
-    number, or past ``cap``. ``keep_prefix`` keeps the pages before the stop;
+    number, or past ``cap`` (none by default). ``keep_prefix`` keeps the pages before the stop;
     ``all_or_nothing`` drops a group whole when any of its pages failed.
 
     Computed with aggregates and one anti join (no per-group window), so a
@@ -124,9 +125,9 @@ def contiguous_pages(pages: DataFrame, group_col: str = "host", policy: str = "k
     missing = (nxt.join(present, [group_col, "page"], "left_anti")
                .groupBy(group_col).agg(F.min("page").alias("first_gap")))
     stops = first_bad.join(missing, group_col, "left")
-    stop = F.least(F.coalesce(F.col("first_bad"), F.lit(cap + 1)),
-                   F.coalesce(F.col("first_gap"), F.lit(cap + 1)),
-                   F.lit(cap + 1))
+    beyond = F.lit((1 << 62) if cap is None else cap + 1).cast("long")
+    stop = F.least(F.coalesce(F.col("first_bad").cast("long"), beyond), F.coalesce(F.col("first_gap").cast("long"), beyond),
+                   beyond)
     stop = F.when(F.col("first_page") != 1, F.lit(1)).otherwise(stop)
     j = pages.join(stops.select(group_col, stop.alias("stop_page"), "any_failed"), group_col)
     keep = F.col("page") < F.col("stop_page")

@@ -10,15 +10,12 @@ row gets (a synthetic edit), never whether a row is read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# The hackathon registry (id, label) in registry order.
-REGISTRY = [("src0", "Source 0"), ("src1", "Source 1"), ("src2", "Source 2"), ("src3", "Source 3")]
-
 INSERT_ID_OFFSET = 1_000_000
 
 
@@ -31,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "embeddings")
-    return (d.join(e, d.doc_id == e.vec_id, "inner")
+    return (d.join(e, d.doc_id == e.vec_id, "left")
             .select(d.doc_id.cast("long").alias("id"),
                     F.concat(d.source, F.lit("/"), d.doc_id.cast("string")).alias("name"),
-                    F.substring(d.text, 1, 80).alias("desc"),
+                    d.text.alias("desc"),
                     d.n_chars.cast("long").alias("stars"),
                     F.array(d.lang, d.source).alias("topics"),
                     e.embedding.alias("vector")))
@@ -43,9 +40,9 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPOS_SQL = """
 repos AS (
   SELECT d.doc_id::BIGINT AS id, d.source || '/' || CAST(d.doc_id AS VARCHAR) AS name,
-         substring(d.text, 1, 80) AS "desc", d.n_chars::BIGINT AS stars,
+         d.text AS "desc", d.n_chars::BIGINT AS stars,
          [d.lang, d.source] AS topics, e.embedding AS vector
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 
 def repo_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +52,7 @@ def repo_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     base = d.select(
         F.concat(d.source, F.lit("/"), d.doc_id.cast("string")).alias("name"),
-        F.when(d.doc_id % 4 == 0, F.lit(None).cast("string")).otherwise(F.substring(d.text, 1, 80)).alias("desc"),
+        F.when(d.doc_id % 4 == 0, F.lit(None).cast("string")).otherwise(d.text).alias("desc"),
         (d.n_chars + d.doc_id % 3).cast("long").alias("stars"),
         F.when(d.doc_id % 5 == 0, F.array(d.source, d.lang)).otherwise(F.array(d.lang, d.source)).alias("topics"),
         d.doc_id.alias("_doc"))
@@ -68,7 +65,7 @@ def repo_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPO_BATCH_SQL = """
 repo_base AS (
   SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) AS name,
-         CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE substring(d.text, 1, 80) END AS "desc",
+         CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE d.text END AS "desc",
          (d.n_chars + d.doc_id % 3)::BIGINT AS stars,
          CASE WHEN d.doc_id % 5 = 0 THEN [d.source, d.lang] ELSE [d.lang, d.source] END AS topics,
          d.doc_id AS doc
@@ -90,7 +87,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         d.doc_id.cast("long").alias("id"),
         F.concat(F.lit("p-"), d.doc_id.cast("string")).alias("slug"),
-        F.substring(d.text, 1, 40).alias("name"),
+        d.text.alias("name"),
         d.lang.alias("tagline"),
         (d.n_chars % 500).cast("long").alias("likes"),
         F.array(F.concat(F.lit("u"), (d.doc_id % 50).cast("string")),
@@ -106,7 +103,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROJECTS_SQL = """
 projects AS (
   SELECT d.doc_id::BIGINT AS id, 'p-' || CAST(d.doc_id AS VARCHAR) AS slug,
-         substring(d.text, 1, 40) AS name, d.lang AS tagline, (d.n_chars % 500)::BIGINT AS likes,
+         d.text AS name, d.lang AS tagline, (d.n_chars % 500)::BIGINT AS likes,
          ['u' || CAST(d.doc_id % 50 AS VARCHAR), 'u' || CAST(d.doc_id % 7 AS VARCHAR)] AS members,
          e.embedding AS vector, d.source AS hackathon, (2020 + d.doc_id % 5)::INTEGER AS year,
          (l.quality = 1) AS winner,
@@ -125,7 +122,7 @@ def project_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = j.select(
         d.doc_id.cast("long").alias("id"),
         F.concat(F.lit("p-"), d.doc_id.cast("string")).alias("slug"),
-        F.substring(d.text, 1, 40).alias("name"),
+        d.text.alias("name"),
         d.lang.alias("tagline"),
         (d.n_chars % 500 + d.doc_id % 2).cast("long").alias("likes"),
         F.array(F.concat(F.lit("u"), (d.doc_id % 50).cast("string")),
@@ -155,7 +152,7 @@ def project_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROJECT_BATCH_SQL = f"""
 project_base AS (
   SELECT d.doc_id::BIGINT AS id, 'p-' || CAST(d.doc_id AS VARCHAR) AS slug,
-         substring(d.text, 1, 40) AS name, d.lang AS tagline,
+         d.text AS name, d.lang AS tagline,
          (d.n_chars % 500 + d.doc_id % 2)::BIGINT AS likes,
          ['u' || CAST(d.doc_id % 50 AS VARCHAR), 'u' || CAST(d.doc_id % 7 AS VARCHAR)] AS members,
          CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE d.source END AS hackathon,
@@ -177,13 +174,24 @@ project_batch AS (
 
 # ---------------------------------------------------------------- registry, labels
 
-def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, hid, label) for i, (hid, label) in enumerate(REGISTRY)],
-                                 "pos int, hackathon string, label string")
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source but the last in name order, which stays unregistered so
+    that the registry's filter has something to drop."""
+    w = Window.orderBy("source")                 # one row per source
+    names = (table(spark, sf_dir, "documents").select("source").filter(F.col("source").isNotNull()).distinct()
+             .withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+             .withColumn("last", F.lead("source").over(w).isNull()))
+    return names.filter(~F.col("last")).select(
+        "pos", F.col("source").alias("hackathon"),
+        F.concat(F.lit("Source "), F.regexp_replace("source", "^src", "")).alias("label"))
 
 
-REGISTRY_SQL = "registry AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{hid}', '{label}')" for i, (hid, label) in enumerate(REGISTRY)) + ") t(pos, hackathon, label))"
+REGISTRY_SQL = """
+registry AS (
+  SELECT (rn - 1)::INTEGER AS pos, source AS hackathon, 'Source ' || regexp_replace(source, '^src', '') AS label
+  FROM (SELECT source, row_number() OVER (ORDER BY source) AS rn, count(*) OVER () AS n
+        FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))
+  WHERE rn < n)"""
 
 
 def category_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +254,7 @@ def repo_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``items``."""
     d = table(spark, sf_dir, "documents")
     desc = F.when(d.doc_id % 4 == 0, F.lit("null")).when(d.doc_id % 9 == 0, d.doc_id.cast("string")) \
-        .otherwise(_js(F.substring(d.text, 1, 80)))
+        .otherwise(_js(d.text))
     stars = F.when(d.doc_id % 10 == 0, F.lit('"n/a"')).otherwise(d.n_chars.cast("string"))
     topics = F.when(d.doc_id % 6 == 0, F.concat(F.lit("["), _js(d.lang), F.lit(",7,"), _js(d.source), F.lit("]"))) \
         .otherwise(F.to_json(F.array(d.lang, d.source)))
@@ -270,7 +278,7 @@ def event_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.concat(F.lit("h"), d.doc_id.cast("string"))
     url = F.when(d.doc_id % 6 == 5, F.concat(F.lit("https://"), host, F.lit(".example/"))) \
         .otherwise(F.concat(F.lit("https://"), host, F.lit(".devpost.com/")))
-    title = F.when(d.doc_id % 8 == 3, F.lit("null")).otherwise(_js(F.substring(d.text, 1, 30)))
+    title = F.when(d.doc_id % 8 == 3, F.lit("null")).otherwise(_js(d.text))
     year_txt = (F.lit(2018) + d.doc_id % 7).cast("string")
     dates = (F.when(d.doc_id % 9 == 4, F.lit('"TBA"'))
              .when(d.doc_id % 10 == 7, F.lit("null"))
@@ -299,7 +307,7 @@ def gallery_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('<a href="https://devpost.com/software/p-'), doc.cast("string"), F.lit('">')))
     card = F.concat(
         F.lit('<div data-software-id="'), doc.cast("string"), F.lit('">'), link,
-        F.lit("<h5> "), F.substring(d.text, 1, 40), F.lit(" &amp; co </h5>"),
+        F.lit("<h5> "), d.text, F.lit(" &amp; co </h5>"),
         F.when(doc % 13 == 4, F.lit("")).otherwise(
             F.concat(F.lit('<p class="small tagline"> <b>'), d.lang, F.lit("</b> </p>"))),
         F.when(lab.quality == 1, F.lit('<img class="winner">')).otherwise(F.lit("")),

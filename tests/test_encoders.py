@@ -34,7 +34,9 @@ def test_encoder_plug_failures_stay_pending(spark):
     ok = {r.id: r.vector for r in E.encode_with(df.filter("id = 1"), "id", "text", _Flaky, 4).collect()}
     assert ok[1] == [2.0, 1.0, 0.0, 0.0]
     out = {r.id: r.vector for r in E.encode_with(df, "id", "text", _Flaky, 4).collect()}
-    assert set(out) == {1, 2} and out[2] is None    # failed batch -> NULL (retried next pass); empty text skipped
+    assert out == {1: [2.0, 1.0, 0.0, 0.0], 2: None}   # only the bad text stays pending; empty text skipped
+    errors = {r.id: r.error for r in E.encode_with(df, "id", "text", _Flaky, 4).collect()}
+    assert errors == {1: None, 2: "RuntimeError: model failed"}
     bad_dim = {r.id: r.vector for r in E.encode_with(df.filter("id = 1"), "id", "text", _Flaky, 5).collect()}
     assert bad_dim[1] is None                       # wrong dimension is not stored
 

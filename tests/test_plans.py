@@ -13,6 +13,8 @@ from corpusmap.plans.registry import QUERIES
 from corpusmap.session import cut_lineage, dense_index
 from corpusmap.sources.manifests import limit_events
 
+from corpusmap.sources.standins import repos
+
 from .conftest import SF_SMALL
 
 
@@ -122,7 +124,7 @@ def test_dataset_paths(spark):
         "/other/github": (None, None, False, False), "/datasets/src1/embed/embed": (None, None, False, False),
     }
     df = spark.createDataFrame([(p,) for p in cases], "path string")
-    got = {r.path: (r.dataset, r.year, r.found, r.embed) for r in parse_dataset_path(df, registry(spark)).collect()}
+    got = {r.path: (r.dataset, r.year, r.found, r.embed) for r in parse_dataset_path(df, registry(spark, SF_SMALL)).collect()}
     assert got == cases
 
 
@@ -147,8 +149,9 @@ def test_dataset_document_sink(spark):
     head, pts = json.loads(doc[0]), [json.loads(x) for x in doc[1:]]
     assert head["dataset"] == "github" and "categories" in head
     assert len(pts) == lines.filter("dataset = 'github' AND idx >= 0").count()
+    stars = {r.id: r.stars for r in repos(spark, SF_SMALL).select("id", "stars").collect()}
     ids = [p["id"] for p in pts]
-    assert ids == sorted(ids)                                   # served order: by index (= by id)
+    assert ids == sorted(ids, key=lambda i: (-stars[i], i))             # served order: by stars, then id
 
 
 def test_spread_small_input(spark):

@@ -18,7 +18,7 @@ def test_two_passes(spark):
     gp = ST.gallery_pages(spark, SF_SMALL).select("hackathon", "page", "status", "html")
     texts = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     labels = SIM.label_matrix(ST.category_labels(spark, SF_SMALL))
-    repos, reg = ST.repos(spark, SF_SMALL), ST.registry(spark)
+    repos, reg = ST.repos(spark, SF_SMALL), ST.registry(spark, SF_SMALL)
 
     first = SYNC.sync_pass(spark, root, gp.filter("hackathon = 'src1'"), texts, repos, reg, labels, 64)
     points, proj, units = SYNC.read_maps(spark, root)

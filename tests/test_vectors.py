@@ -125,15 +125,15 @@ def test_build_maps_and_answers(spark):
     assert ans[0].category == p[11].category
 
 
-def test_small_and_large_fits_agree(spark):
+def test_fit_matches_svd(spark):
     rng = np.random.default_rng(11)
     m = rng.normal(size=(50, 7)).astype(np.float32) * np.arange(1, 8, dtype=np.float32)
     df = _points(spark, {"d": m}).repartition(4)
-    small = P.fit_projection(df, small_rows=100).first()      # rows + SVD
-    large = P.fit_projection(df, small_rows=10).first()       # partial Gram + eigh
-    assert np.allclose(small.mean, large.mean)
-    assert np.allclose(small.eigenvalues, large.eigenvalues)
-    assert np.allclose(np.array(small.basis), np.array(large.basis), atol=1e-8)
+    fit = P.fit_projection(df).first()
+    x = m.astype(np.float64)
+    _, sv, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(fit.mean, x.mean(axis=0)) and np.allclose(fit.eigenvalues, sv[:3] ** 2)
+    assert np.allclose(np.abs(np.array(fit.basis) @ vt[:3].T), np.eye(3), atol=1e-8)
 
 
 def test_gram_flush_bound(spark):
@@ -144,11 +144,11 @@ def test_gram_flush_bound(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")   # many batches in the one task
     try:
-        flushed = {r.dataset: r for r in P.fit_projection(df, small_rows=0, max_open=2).collect()}
+        flushed = {r.dataset: r for r in P.fit_projection(df, max_open=2).collect()}
         partial = df.select("dataset", "vector").mapInPandas(lambda it: P._partial_gram(it, 2), schema=P._GRAM_SCHEMA)
         assert partial.filter("i = 0").groupBy("dataset").count().agg(F.max("count")).first()[0] > 1  # re-opened
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    plain = {r.dataset: r for r in P.fit_projection(df, small_rows=0).collect()}
+    plain = {r.dataset: r for r in P.fit_projection(df).collect()}
     for k in mats:
         assert np.allclose(flushed[k].eigenvalues, plain[k].eigenvalues)
