@@ -23,11 +23,11 @@ def prepare(spark: SparkSession) -> None:
     """Make the package importable on executors, and Arrow batches small."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+    for key, most, unit in (("maxRecordsPerBatch", BATCH_ROWS, ""), ("maxBytesPerBatch", BATCH_BYTES, "b")):
         key = f"spark.sql.execution.arrow.{key}"
-        now = int("".join(c for c in spark.conf.get(key, "0") if c.isdigit()))
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+        now = spark.conf.get(key, "0").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, f"{most}{unit}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
