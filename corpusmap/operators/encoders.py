@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from corpusmap.functions.text import truncate_bytes
 from corpusmap.functions.vectors import is_valid, l2_normalize
-from corpusmap.session import bounded_rows, spread_small_input
+from corpusmap.session import spread_small_input
 
 HASH_DIM = 64
 WORD_PATTERN = "[a-z]+"
@@ -131,7 +131,7 @@ def encode_with(df: DataFrame, key: str, text_col: str, encoder_factory, dim: in
 # A token table is part of the model: its size is fixed (vocabulary x hidden),
 # known before the job starts. Up to this many cells it is broadcast once and
 # looked up per document in Arrow batches; beyond it the native join is used.
-MAX_BROADCAST_TOKEN_CELLS = 256 * 1024 * 1024   # 1 GiB of float32
+MAX_BROADCAST_TOKEN_CELLS = 64 * 1024 * 1024    # 256 MB of float32
 MAX_BROADCAST_TOKEN_ROWS = 1 << 20
 
 
@@ -169,10 +169,12 @@ def pool_token_vectors(doc_tokens: DataFrame, token_table: DataFrame, key: str,
 
 
 def _pool_broadcast(doc_tokens: DataFrame, token_table: DataFrame, key: str, factor: float) -> DataFrame:
-    rows = bounded_rows(token_table.select("token_id", "vector"), MAX_BROADCAST_TOKEN_ROWS, "token table")
-    rows = sorted(rows, key=lambda r: r["token_id"])
-    ids = np.asarray([r["token_id"] for r in rows], dtype=np.int64)        # sorted token ids
-    table = np.asarray([r["vector"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    got = token_table.select("token_id", "vector").orderBy("token_id").limit(MAX_BROADCAST_TOKEN_ROWS + 1).toArrow()
+    if got.num_rows > MAX_BROADCAST_TOKEN_ROWS:
+        raise ValueError("token table: too many rows to broadcast")
+    ids = got["token_id"].to_numpy().astype(np.int64)                      # sorted token ids
+    flat = got["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    table = flat.astype(np.float32).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0), np.float32)
     bc = doc_tokens.sparkSession.sparkContext.broadcast((ids, table))
     schema = T.StructType([doc_tokens.schema[key], T.StructField("pooled", T.ArrayType(T.DoubleType(), False))])
 
@@ -190,7 +192,7 @@ def _pool_broadcast(doc_tokens: DataFrame, token_table: DataFrame, key: str, fac
                 if len(pos) == 0:
                     continue
                 keys.append(k)
-                out.append(tab[pos].mean(axis=0) * factor)
+                out.append(tab[pos].astype(np.float64).mean(axis=0) * factor)
             if keys:
                 yield pd.DataFrame({key: keys, "pooled": out})
 

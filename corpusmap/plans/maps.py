@@ -125,11 +125,12 @@ def answer_documents(answers: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 
 def answer_text_queries(requests: DataFrame, points: DataFrame, projection: DataFrame, labels,
-                        registry: DataFrame, dim: int, k: int = NEAREST_K) -> tuple[DataFrame, DataFrame]:
+                        registry: DataFrame, dim: int, k: int = NEAREST_K, embed=None) -> tuple[DataFrame, DataFrame]:
     """STR-5: ``requests(query_id, path, description)`` -> answers + rejects.
 
     FIL-1 resolves the path (must be an ``/embed`` path of a known dataset),
-    FIL-7 validates the text, EMB-2 embeds it (hashing encoder), VEC-8 answers.
+    FIL-7 validates the text, EMB-2 embeds it (``embed(df, key, text_col)``, the
+    hashing encoder by default), VEC-8 answers.
     """
     parsed = parse_dataset_path(requests, registry)
     checked = validate_queries(parsed, "description")
@@ -138,7 +139,8 @@ def answer_text_queries(requests: DataFrame, points: DataFrame, projection: Data
     tagged = checked.withColumn("reason", reason)
     rejects = tagged.filter(F.col("reason").isNotNull()).select("query_id", "path", "reason")
     good = tagged.filter(F.col("reason").isNull())
-    vecs = hashing_vectors(good, "query_id", "description", dim)
+    vecs = (embed(good, "query_id", "description") if embed
+            else hashing_vectors(good, "query_id", "description", dim)).select("query_id", "vector")
     q = good.select("query_id", "path", "dataset").join(vecs, "query_id", "left")
     empty = (q.filter(F.col("vector").isNull())        # the encoder found nothing to embed
              .select("query_id", "path", F.lit("nothing to embed").alias("reason")))

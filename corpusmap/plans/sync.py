@@ -63,11 +63,12 @@ def read_maps(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFra
 
 
 def sync_pass(spark: SparkSession, root: str, responses: DataFrame, texts: DataFrame, repos: DataFrame,
-              registry: DataFrame, labels, dim: int) -> dict:
+              registry: DataFrame, labels, dim: int, embed=None) -> dict:
     """Run one pass; ``responses(hackathon, page, status, html)`` are the
     gallery pages fetched since the last pass, ``texts(id, text)`` the
     write-ups, ``repos`` the repo store, ``labels`` the category label
-    matrix (or table). Returns the pass counters."""
+    matrix (or table), ``embed(df, key, text_col)`` another encoder than the
+    hashing one. Returns the pass counters."""
     store = f"{root}/projects"
     batch = cut_lineage(gallery_batch_to_projects(responses), "batch")
     before = cut_lineage(dataset_members(repos, spark.read.parquet(store), registry).select("dataset", "kind", "id"),
@@ -76,7 +77,9 @@ def sync_pass(spark: SparkSession, root: str, responses: DataFrame, texts: DataF
 
     projects = spark.read.parquet(store)
     pending = pending_projects(projects, registry).select("id")
-    vecs = cut_lineage(hashing_vectors(texts.join(pending, "id", "left_semi"), "id", "text", dim), "vectors")
+    chosen = texts.join(pending, "id", "left_semi")
+    vecs = embed(chosen, "id", "text") if embed else hashing_vectors(chosen, "id", "text", dim)
+    vecs = cut_lineage(vecs.select("id", "vector"), "vectors")
     embedded = write_vectors_into_store(store, vecs)                            # step 2
 
     projects = spark.read.parquet(store)

@@ -56,7 +56,7 @@ def test_refresh_rebuilds_only_touched(spark):
     state = spark.createDataFrame([(3, "update"), (4, "unchanged"), (105, "unchanged")], "id long, action string")
     gens = spark.createDataFrame([("a", 5), ("b", 2)], "dataset string, generation long")
     labels = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]]
-    points, gen = MAPS.refresh_datasets(members, labels, 4, state, gens)
+    points, gen = MAPS.refresh_datasets(members, labels, 4, state, gens, members)
     g = {r.dataset: (r.generation, r.rebuilt) for r in gen.collect()}
     assert g == {"a": (6, True), "b": (2, False)}
     assert {r.dataset for r in points.select("dataset").distinct().collect()} == {"a"}
@@ -72,7 +72,46 @@ def test_documents_are_json(spark):
     docs = [json.loads(r.document) for r in QUERIES["answer_documents"](spark, SF_SMALL).collect()]
     assert docs and all(len(d["nearest"]) <= 8 and len(d["position"]) == 3 for d in docs)
     cat = json.loads(QUERIES["catalog_document"](spark, SF_SMALL).first().document)
-    assert cat[0]["id"] == "github" and [c["id"] for c in cat[1:]] == ["src0", "src1", "src2", "src3"]
+    every = sorted({r.source for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("source").collect()})
+    assert cat["github"] == {"label": "GitHub"} and [h["id"] for h in cat["hackathons"]] == every[:-1]
+    assert set(cat["hackathons"][0]) == {"id", "label", "years"}
+
+
+def test_refresh_after_moves(spark):
+    """A project that changes hackathon touches both; an emptied dataset gets a
+    generation without points."""
+    def member(rows):
+        return spark.createDataFrame([(ds, "project", i, [float(i), 1.0, 0.5, 0.0]) for ds, i in rows],
+                                     "dataset string, kind string, id long, vector array<float>")
+    before = member([("a", 1), ("a", 2), ("b", 3), ("c", 4), ("d", 5)])
+    after = member([("a", 1), ("b", 2), ("b", 3), ("d", 4), ("d", 5), ("e", 6)])
+    state = spark.createDataFrame([(1, "unchanged"), (2, "update"), (3, "unchanged"), (4, "update"), (5, "unchanged"),
+                                   (6, "insert")], "id long, action string")
+    gens = spark.createDataFrame([(d, 1) for d in "abcd"], "dataset string, generation long")
+    labels = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]]
+    points, gen = MAPS.refresh_datasets(after, labels, 4, state, gens, before)
+    assert {r.dataset: r.generation for r in gen.collect()} == {"a": 2, "b": 2, "c": 2, "d": 2, "e": 1}
+    assert sorted((r.dataset, r.id) for r in points.collect()) == [("a", 1), ("b", 2), ("b", 3), ("d", 4), ("d", 5), ("e", 6)]
+
+
+def test_dense_index_repeated_keys(spark):
+    df = spark.createDataFrame([("q", 1), ("q", 1), ("q", 2), (None, 1), (None, 1)], "g string, id long")
+    got = sorted(((r.g or "", r.idx) for r in dense_index(df, ["id"], ["g"], name="idx").collect()))
+    assert got == [("", 0), ("", 1), ("q", 0), ("q", 1), ("q", 2)]
+
+
+def test_query_on_a_dataset_without_points(spark):
+    vec = "query_id long, dataset string, vector array<float>"
+    pts = spark.createDataFrame([("a", "project", i, [float(i), 1.0, 0.0, 0.0]) for i in range(5)],
+                                "dataset string, kind string, id long, vector array<float>")
+    labels = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]]
+    points, proj, _ = MAPS.build_maps(pts, labels, 4)
+    q = spark.createDataFrame([(1, "a", [1.0, 0.0, 0.0, 0.0]), (2, "empty", [0.0, 1.0, 0.0, 0.0])], vec)
+    got = MAPS.answer_queries(q, points, proj, labels).filter("query_id = 2").collect()
+    assert [(r.x, r.y, r.z, r.category, r.nearest_id) for r in got] == [(0.0, 0.0, 0.0, 1, None)]
+    docs = MAPS.answer_documents(MAPS.answer_queries(q, points, proj, labels),
+                                 spark.createDataFrame([(1, "x"), (2, "y")], "query_id long, description string"))
+    assert json.loads(docs.filter("query_id = 2").first().document)["nearest"] == []
 
 
 def test_cut_lineage_reads_back(spark):

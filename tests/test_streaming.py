@@ -27,6 +27,19 @@ def test_stream_upsert_equals_batch(spark):
     assert sum(b["accepted"] for b in res["batches"]) == gp.filter("status = 200").count()
 
 
+def test_restart_keeps_the_store(spark):
+    root = scratch_root(spark, "test-restart")
+    gp = ST.gallery_pages(spark, SF_SMALL).select("hackathon", "page", "status", "html")
+    src, store = f"{root}/incoming", ST.projects(spark, SF_SMALL)
+    gp.coalesce(1).write.parquet(src)
+    cols = ["id", "slug", "name", "likes", "winner"]
+    first = stream_upsert(spark, src, gp.schema, store, root)
+    a = sorted(tuple(r) for r in spark.read.parquet(first["path"]).select(*cols).collect())
+    again = stream_upsert(spark, src, gp.schema, store, root)          # nothing new to read
+    assert again["batches"] == []
+    assert sorted(tuple(r) for r in spark.read.parquet(again["path"]).select(*cols).collect()) == a
+
+
 def test_stream_upsert_repos_buckets(spark):
     from corpusmap.streaming.ingest import stream_upsert_repos
     root = scratch_root(spark, "test-repos")
