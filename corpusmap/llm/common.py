@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
     for key, most, unit in (("maxRecordsPerBatch", BATCH_ROWS, ""), ("maxBytesPerBatch", BATCH_BYTES, "b")):
         key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, "0").removesuffix("b")
+        now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, f"{most}{unit}")
 
