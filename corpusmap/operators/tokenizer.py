@@ -2,10 +2,11 @@
 
 Rules: every space becomes U+2581; the text is split into code points; the
 adjacent pair with the lowest merge rank is merged repeatedly (leftmost pair on
-equal rank), using a heap with stale-entry checks (O(n log n)); each final
-symbol maps to its vocabulary id, or -- when absent -- to one ``<0xXX>`` id per
+equal rank); each final symbol maps to its vocabulary id, or -- when absent -- to one ``<0xXX>`` id per
 UTF-8 byte (the unknown id when that byte token is missing too); bos/eos wrap
-the sequence when enabled. No pre-tokenisation: merges may cross spaces.
+the sequence when enabled. No pre-tokenisation: merges may cross spaces. But a
+merge only joins symbols whose touching characters some rule joins, so the text
+is first cut where no rule can, and each distinct segment is merged once.
 
 The corpus job is a ``mapInPandas`` over Arrow batches; the model is shipped
 to each Python worker once through a broadcast variable.
@@ -13,7 +14,6 @@ to each Python worker once through a broadcast variable.
 
 from __future__ import annotations
 
-import heapq
 import json
 import string
 from typing import Protocol
@@ -28,6 +28,9 @@ from corpusmap.functions.text import truncate_bytes
 from corpusmap.session import spread_small_input
 
 SPACE = "▁"
+CODE_BITS = 21              # a code point
+NO_MERGE = 1 << 62
+MEMO_LIMIT = 500_000        # distinct segments a worker remembers
 
 
 class Tokenizer(Protocol):
@@ -44,6 +47,9 @@ class BpeModel:
         self.rank = {(a, b): r for r, (a, b) in enumerate(merges)}
         self.bos_id, self.eos_id, self.unk_id = vocab[bos], vocab[eos], vocab[unk]
         self.add_bos, self.add_eos = add_bos, add_eos
+        # Character pairs that some merge joins, as sorted keys: only across these can symbols meet.
+        self.joins = np.unique(np.array([(ord(a[-1]) << CODE_BITS) | ord(b[0]) for a, b in merges], dtype=np.int64))
+        self.memo: dict[str, list[int]] = {}
         self.byte_id = [vocab.get(f"<0x{b:02X}>", self.unk_id) for b in range(256)]
 
     @classmethod
@@ -58,45 +64,43 @@ class BpeModel:
         return cls(tj["model"]["vocab"], merges, cfg.get("bos_token", "<bos>"), cfg.get("eos_token", "<eos>"),
                    cfg.get("unk_token", "<unk>"), cfg.get("add_bos_token", True), cfg.get("add_eos_token", True))
 
+    def segments(self, text: str) -> list[str]:
+        """The text cut between characters that no merge can join."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        if len(codes) < 2 or not len(self.joins):
+            return list(text)
+        pair = (codes[:-1] << CODE_BITS) | codes[1:]
+        at = np.minimum(np.searchsorted(self.joins, pair), len(self.joins) - 1)
+        cuts = [0, *(np.flatnonzero(self.joins[at] != pair) + 1).tolist(), len(text)]
+        return [text[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def segment_ids(self, segment: str) -> list[int]:
+        """Merge one segment: always the leftmost pair of lowest rank."""
+        syms, get = list(segment), self.rank.get
+        ranks = [get(p, NO_MERGE) for p in zip(syms, syms[1:])]
+        while ranks and (best := min(ranks)) != NO_MERGE:
+            i = ranks.index(best)
+            syms[i:i + 2] = [syms[i] + syms[i + 1]]
+            del ranks[i]
+            for k in (i - 1, i):
+                if 0 <= k < len(ranks):
+                    ranks[k] = get((syms[k], syms[k + 1]), NO_MERGE)
+        ids: list[int] = []
+        for sym in syms:
+            tok = self.vocab.get(sym)
+            ids += [tok] if tok is not None else [self.byte_id[b] for b in sym.encode("utf-8")]
+        return ids
+
     def encode(self, text: str) -> list[int]:
-        syms = list(text.replace(" ", SPACE))
-        n = len(syms)
-        nxt = list(range(1, n)) + [-1]
-        prv = list(range(-1, n - 1))
-        alive = [True] * n
-        heap: list = []
-        rank = self.rank
-
-        def push(i):
-            j = nxt[i]
-            if j != -1:
-                r = rank.get((syms[i], syms[j]))
-                if r is not None:
-                    heapq.heappush(heap, (r, i, j, syms[i], syms[j]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            r, i, j, a, b = heapq.heappop(heap)
-            if not alive[i] or not alive[j] or nxt[i] != j or syms[i] != a or syms[j] != b:
-                continue  # stale: one side changed since this pair was queued
-            syms[i] = a + b
-            alive[j] = False
-            nxt[i] = nxt[j]
-            if nxt[j] != -1:
-                prv[nxt[j]] = i
-            push(i)
-            if prv[i] != -1:
-                push(prv[i])
+        memo = self.memo
         ids = [self.bos_id] if self.add_bos else []
-        i = 0 if n else -1
-        while i != -1:
-            tok = self.vocab.get(syms[i])
-            if tok is not None:
-                ids.append(tok)
-            else:
-                ids.extend(self.byte_id[b] for b in syms[i].encode("utf-8"))
-            i = nxt[i]
+        for seg in self.segments(text.replace(" ", SPACE)):
+            got = memo.get(seg)
+            if got is None:
+                if len(memo) >= MEMO_LIMIT:
+                    memo.clear()
+                got = memo[seg] = self.segment_ids(seg)
+            ids += got
         if self.add_eos:
             ids.append(self.eos_id)
         return ids
