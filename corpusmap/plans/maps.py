@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusmap.functions.vectors import invalid_reason, is_valid, l2_normalize
 from corpusmap.operators.encoders import hashing_vectors
 from corpusmap.operators.projection import fit_projection, project
-from corpusmap.operators.selection import parse_dataset_path, point_index, validate_queries
+from corpusmap.operators.selection import parse_dataset_path, point_columns, point_index, validate_queries
 from corpusmap.operators.similarity import NEAREST_K, categorize, nearest
 from corpusmap.session import cut_lineage
 
@@ -56,6 +56,17 @@ def build_maps(members: DataFrame, labels, dim: int,
     return points, proj, quarantine
 
 
+def with_point_fields(points: DataFrame, repos: DataFrame, projects: DataFrame) -> DataFrame:
+    """STR-4: what is served about each point besides its place -- the stored
+    columns of its kind (PRJ-1) as a struct ``repo`` or ``project``. Joined when
+    served, so that the map tables stay narrow."""
+    def fields(df: DataFrame, kind: str) -> DataFrame:
+        cols = [c for c in point_columns(df).columns if c not in ("id", "hackathon", "year")]
+        return point_columns(df).select(F.lit(kind).alias("kind"), "id", F.struct(*sorted(cols)).alias(kind))
+    return (points.join(fields(repos, "repo"), ["kind", "id"], "left")
+            .join(fields(projects, "project"), ["kind", "id"], "left"))
+
+
 def touched_datasets(changed: DataFrame, *memberships: DataFrame) -> DataFrame:
     """STR-3: datasets that hold, or held before, one of the rows
     ``changed(kind, id)``. Pass the membership before and after the upsert: a

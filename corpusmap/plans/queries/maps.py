@@ -25,7 +25,30 @@ def q_dataset_document(spark, sf_dir):
     ds = points.select("dataset", "hackathon", "year").distinct() \
         .groupBy("dataset").agg(F.max("hackathon").alias("hackathon"), F.max("year").alias("year"))
     cats = [r["label"] for r in ST.category_labels(spark, sf_dir).select("idx", "label").orderBy("idx").collect()]
-    return STORE.dataset_lines(points.drop("unit"), ds, cats)
+    points = MAPS.with_point_fields(points.drop("unit"), ST.repos(spark, sf_dir), ST.projects(spark, sf_dir))
+    return STORE.dataset_lines(points, ds, cats)
+
+
+@register("dataset_points", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, MEMBER_INDEX_SQL) + """
+SELECT m.dataset, m.idx::BIGINT AS idx, m.id::BIGINT AS id, coalesce(r.name, p.slug) AS name,
+       md5(coalesce(r."desc", p.name)) AS text_md5, coalesce(r.stars, p.likes)::BIGINT AS score,
+       array_to_string(coalesce(r.topics, p.members), ' ') AS tags, p.tagline,
+       CASE WHEN p.id IS NOT NULL THEN coalesce(p.winner, false) END AS winner,
+       CASE WHEN p.id IS NOT NULL THEN array_to_string(coalesce(p.prizes, []), ',') END AS prizes
+FROM mi m LEFT JOIN repos r ON m.dataset = 'github' AND r.id = m.id
+     LEFT JOIN projects p ON m.dataset <> 'github' AND p.id = m.id""")
+def q_dataset_points(spark, sf_dir):
+    """STR-4: every point in served order with the stored fields of its kind."""
+    from corpusmap.operators.selection import point_index
+    repos, projects = ST.repos(spark, sf_dir), ST.projects(spark, sf_dir)
+    members = S.dataset_members(repos, projects, ST.registry(spark, sf_dir))
+    p = MAPS.with_point_fields(point_index(members.drop("vector")), repos, projects)
+    return p.select("dataset", "idx", "id", F.coalesce("repo.name", "project.slug").alias("name"),
+                    F.md5(F.coalesce("repo.desc", "project.name")).alias("text_md5"),
+                    F.coalesce("repo.stars", "project.likes").alias("score"),
+                    F.array_join(F.coalesce("repo.topics", "project.members"), " ").alias("tags"),
+                    F.col("project.tagline").alias("tagline"), F.col("project.winner").alias("winner"),
+                    F.array_join("project.prizes", ",").alias("prizes"))
 
 
 @register("refresh_datasets")
