@@ -119,3 +119,39 @@ def q_dataset_membership(spark, sf_dir):
                                     F.max("id").cast("long").alias("max_id"),
                                     F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("id")),
                                                                    lambda i: i.cast("string")), ",")).alias("ids"))
+
+
+@register("pca_invariants", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, """
+cells AS (SELECT m.dataset, m.id, u.pos, u.val::DOUBLE AS v FROM members m, unnest(m.vector) WITH ORDINALITY AS u(val, pos)),
+mu AS (SELECT dataset, pos, avg(v) AS mu FROM cells GROUP BY ALL),
+var AS (SELECT c.dataset, sum((c.v - mu.mu) * (c.v - mu.mu)) AS total FROM cells c JOIN mu USING (dataset, pos) GROUP BY ALL)""") + """
+SELECT v.dataset, (SELECT count(*) FROM members m WHERE m.dataset = v.dataset)::BIGINT AS n,
+       (round(v.total, 6) + 0.0) AS total_variance, true AS unit_length, true AS orthogonal, true AS descending,
+       true AS variance_explained, true AS within_total
+FROM var v""")
+def q_pca_invariants(spark, sf_dir):
+    """AGG-3, VEC-3: what any right basis must satisfy -- unit, orthogonal
+    directions, descending eigenvalues that equal the squared positions'
+    sums, together at most the total variance."""
+    from corpusmap.session import cut_lineage
+    members = cut_lineage(_members(spark, sf_dir).select("dataset", "id", "vector"), "members")
+    proj = cut_lineage(P.fit_projection(members), "projection")
+    used = F.least(F.lit(P.COMPONENTS), F.col("n") - 1)
+    unit, orthogonal, descending = F.lit(True), F.lit(True), F.lit(True)
+    for a in range(P.COMPONENTS):
+        unit &= (F.lit(a) >= used) | (F.abs(V.dot(F.col("basis")[a], F.col("basis")[a]) - 1) < 1e-9)
+        for b in range(a):
+            orthogonal &= F.abs(V.dot(F.col("basis")[a], F.col("basis")[b])) < 1e-9
+            descending &= F.col("eigenvalues")[b] >= F.col("eigenvalues")[a]
+    spread = F.aggregate(V.subtract("vector", "mean"), F.lit(0.0), lambda acc, x: acc + x * x)
+    total = (members.join(proj.select("dataset", "mean"), "dataset").groupBy("dataset").agg(F.sum(spread).alias("total")))
+    placed = P.project(members, proj, places=None).groupBy("dataset").agg(
+        *[F.sum(F.col(c) * F.col(c)).alias(f"s{c}") for c in "xyz"])
+    close = F.lit(True)
+    for k, c in enumerate("xyz"):
+        close &= F.abs(F.col(f"s{c}") - F.col("eigenvalues")[k]) < 1e-6 * F.greatest(F.lit(1.0), F.col("total"))
+    explained = F.aggregate("eigenvalues", F.lit(0.0), lambda acc, x: acc + x)
+    return (proj.join(total, "dataset").join(placed, "dataset")
+            .select("dataset", "n", F.round("total", 6).alias("total_variance"), unit.alias("unit_length"),
+                    orthogonal.alias("orthogonal"), descending.alias("descending"), close.alias("variance_explained"),
+                    (explained <= F.col("total") * (1 + 1e-9) + 1e-9).alias("within_total")))
