@@ -253,3 +253,11 @@ FROM conversations""")
 def q_validate_queries(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return S.validate_queries(c, "text").select("conv_id", "turn", "valid", "reason")
+
+
+@register("limit_events", with_sql(DOC_PAGES_SQL, EVENTS_EXPECTED_SQL) + """
+SELECT page, pos, host FROM ev ORDER BY page, pos LIMIT 100""")
+def q_limit_events(spark, sf_dir):
+    """TOP-4: the first 100 events of the listing (the limit is the feature)."""
+    hosts, _, _ = L.parse_event_listing(ST.event_listing_pages(spark, sf_dir), keys=["page"])
+    return M.limit_events(hosts, 100, ["page", "pos"]).select("page", "pos", "host")

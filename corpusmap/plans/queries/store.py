@@ -253,3 +253,20 @@ def q_pass_report(spark, sf_dir):
     vecs = E.hashing_vectors(d.join(pending, "id", "left_semi"), "id", "text")
     after = U.write_vectors(before, vecs)
     return S.pass_report(walk, before, after)
+
+
+@register("selection_rows", with_sql(REPOS_SQL, PROJECTS_SQL) + """
+SELECT 'github' AS selection, id FROM (
+  SELECT id FROM repos WHERE vector IS NOT NULL ORDER BY stars DESC NULLS LAST, id LIMIT 1000)
+UNION ALL SELECT 'src1', id FROM projects WHERE vector IS NOT NULL AND hackathon = 'src1'
+UNION ALL SELECT 'src2/2023', id FROM projects WHERE vector IS NOT NULL AND hackathon = 'src2' AND year = 2023""")
+def q_selection_rows(spark, sf_dir):
+    """FIL-6 one selection at a time: top repos, a hackathon, a hackathon's year."""
+    repos, projects = ST.repos(spark, sf_dir), ST.projects(spark, sf_dir)
+    parts = {"github": S.dataset_rows(repos, None), "src1": S.dataset_rows(None, projects, "src1"),
+             "src2/2023": S.dataset_rows(None, projects, "src2", 2023)}
+    out = None
+    for name, rows in parts.items():
+        part = rows.select(F.lit(name).alias("selection"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
