@@ -290,11 +290,10 @@ def similar_classes(classes: DataFrame, texts: DataFrame, n: int, percent: int)
     small = rows.filter(F.col("m") <= SMALL_BUCKET)
     more = pairs_of(small, small).join(pairs, ["a", "b"], "left_anti")
     links = links.union(cut_lineage(_links(more, sets, percent), "links"))
-    labels = connected(links)
-    large = cut_lineage(still_open(rows.filter(F.col("m") > SMALL_BUCKET).drop("comp"), labels), "open")
-    if large.isEmpty():
-        return labels
-    return connected(links.union(cut_lineage(_block_links(large, sets, percent), "links")))
+    large = rows.filter(F.col("m") > SMALL_BUCKET)
+    if not large.isEmpty():
+        links = links.union(cut_lineage(_block_links(large, sets, percent), "links"))
+    return connected(links)
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
