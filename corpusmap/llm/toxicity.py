@@ -35,12 +35,12 @@ MAX_CHARS = 40_000
 #: Size of the hashed feature space, and lengths of word beginnings used as features.
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
-EPOCHS = 40
+EPOCHS = 60
 RATE = 0.3
-DECAY = 2.0
+DECAY = 1.0
 #: A bucket takes part if it occurs in so many training documents.
 MIN_DOCS = 5
-FIRST_BIAS = -4.0
+FIRST_BIAS = -8.0
 NAN = float("nan")
 MEMO_LIMIT = 500_000
 
