@@ -7,22 +7,22 @@ the discount frees is the weight of the arc to the shorter context.
 
 The automaton's states are the stored n-grams. Reading a word in a state
 follows the arc of the longest stored n-gram; where there is none, the failure
-arc to the state's suffix is taken and its backoff weight is added. One
-traversal from left to right carries the state and sums the log probabilities;
-here all positions of a batch of texts advance level by level in numpy, which
-gives the same states.
-
-All training texts are counted. What is broadcast has a bound that does not
-depend on the corpus: words are *frequent* if their share of the training
-tokens is ``WORD_SHARE`` or more, so there are at most ``1 / WORD_SHARE`` of
-them, and an n-gram becomes a state if its share is ``GRAM_SHARE`` or more.
-Since an n-gram is never more frequent than its parts, it is only counted where
-its parts are states. Occurrences of all other words go through a join with the
-table of counts, so every token's count is exact.
+arc to the state's suffix is taken and its backoff weight is added. So a text's
+score is the sum of its words' unigram parts and, for each longer n-gram in it,
+either what its arc adds to the arc of its suffix or the backoff weight of its
+context.
+
+All training texts are counted and every n-gram is a state (``GRAM_SHARE`` is
+the least share of the training tokens, 0). Counts, arcs and backoff weights
+are written tables by 64-bit hash; the n-grams of the texts are joined to them.
+Only what is frequent is broadcast, to keep frequent keys out of the joins, and
+that has a bound that does not depend on the corpus: words of a share of
+``WORD_SHARE`` or more, and n-grams and contexts of ``HOT_SHARE`` or more, so
+at most ``1 / HOT_SHARE`` of them. It never decides what is counted.
 
 Null and empty texts are one end token. Without any training text the counts
 are 0. Rows repeat as they come; a null id never trains. Words are told apart
-by a 64-bit hash.
+by a 64-bit hash, and so are n-grams.
 """
 
 from __future__ import annotations
@@ -34,16 +34,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmap.llm.common import WordHash, id_text, prepare
+from corpusmap.llm.common import MIX1, WordHash, id_text, mix, prepare
 from corpusmap.session import cut_lineage
 
 ORDER = 3
 ADD = 0.1
 DISCOUNT = 0.75
 WORD_SHARE = 2e-7
-GRAM_SHARE = 1e-5
-#: More than the number of frequent words and of states of one order.
-WIDTH = 1 << 23
+#: Least share of an n-gram that is kept: all are.
+GRAM_SHARE = 0.0
+#: Least share of an n-gram or context that is broadcast.
+HOT_SHARE = 1e-5
 #: Distinct keys a task holds before it hands its counts on.
 HELD_KEYS = 2_000_000
 #: No word contains a line feed.
@@ -106,89 +107,43 @@ def look_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-class Automaton:
-    """Level 1: frequent words by hash. Level n: keys ``state of the first
-    n - 1 words * WIDTH + word``, sorted; a state is a position in its level."""
+class Words:
+    """Unigram parts of the frequent words, by sorted hash."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, scale: float):
         order = np.argsort(words)
         self.words = words[order]
-        self.total, self.scale = total, total + ADD * (distinct + 1)
-        self.keys = [np.arange(len(words), dtype=np.int64)]
-        self.counts = [counts[order]]
-        self.last = [np.arange(len(words), dtype=np.int64)]
-        self.log_p = [np.log10((self.counts[0] + ADD) / self.scale)]
-        self.backoff: list[np.ndarray] = []
-        self.part = self.counts[0] >= GRAM_SHARE * total          # words that longer states can hold
-
-    def add_level(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(float)
-        context, word = keys // WIDTH, keys % WIDTH
-        if len(self.keys) == 1:
-            shorter = word
-        else:
-            # The suffix of the context is the state of its last words one level below.
-            shorter = look_up(self.keys[-1], self.suffix[context] * WIDTH + word)
-        within = self.counts[-1][context]
-        p = (counts - DISCOUNT) / within
-        n = len(self.keys[-1])
-        left = 1 - np.bincount(context, p, n)
-        lower = 1 - np.bincount(context, 10 ** self.log_p[-1][shorter], n)
-        self.backoff.append(np.where(np.bincount(context, minlength=n) > 0,
-                                     np.log10(np.maximum(left, 1e-9) / np.maximum(lower, 1e-9)), 0.0))
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.log_p.append(np.log10(p))
-        self.suffix = shorter
-
-    def states(self, word: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Per level, the state after each position (-1: none). ``first`` marks
-        the first token of a text."""
-        out = [word]
-        able = np.where(word >= 0, self.part[word] if len(self.part) else False, False)
-        reach = np.where(able, word, -1)
-        for n in range(1, len(self.keys)):
-            before = np.where(first, -1, np.concatenate([[-1], reach[:-1]]))
-            usable = np.flatnonzero((before >= 0) & (reach >= 0))
-            found = np.full(len(word), -1, dtype=np.int64)
-            found[usable] = look_up(self.keys[n], before[usable] * WIDTH + word[usable])
-            out.append(found)
-            reach = found
-        return out
+        self.log_p = np.log10((counts[order] + ADD) / scale)
+
+    def score(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, rare): 0 for words that are not frequent."""
+        word = look_up(self.words, hashes)
+        return np.where(word < 0, 0.0, self.log_p[word] if len(self.words) else 0.0), word < 0
+
+
+def gram_keys(hashes: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n-grams that end at the positions ``last``; of one word, its hash."""
+    if n == 1:
+        return hashes[last].astype(np.int64)
+    out = np.full(len(last), n, dtype=np.uint64)
+    for j in range(n):
+        out = out * MIX1 + hashes[last - n + 1 + j]
+    return mix(out).astype(np.int64)
+
 
-    def grams(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Keys of the n-grams one longer than the last level, whose parts are states."""
-        word, first = look_up(self.words, hashes), starts(sizes)
-        reach = self.states(word, first)[-1]
-        if len(self.keys) == 1:
-            reach = np.where(word >= 0, np.where(self.part[word], word, -1), -1) if len(self.part) else word
-        before = np.where(first, -1, np.concatenate([[-1], reach[:-1]]))
-        usable = (before >= 0) & (reach >= 0)
-        return before[usable] * WIDTH + word[usable]
-
-    def score(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(base, score, rare): per position the log10 probabilities, without
-        the unigram part where the word is not frequent, which ``rare`` marks."""
-        word, first = look_up(self.words, hashes), starts(sizes)
-        states = self.states(word, first)
-        rare = word < 0
-        base = np.where(rare, 0.0, self.log_p[0][word] if len(self.words) else 0.0)
-        total = base.copy()
-        for n in range(1, len(self.keys)):
-            before = np.where(first, -1, np.concatenate([[-1], states[n - 1][:-1]]))
-            weight = np.where(before >= 0, self.backoff[n - 1][before] if len(self.backoff[n - 1]) else 0.0, 0.0)
-            found = states[n] >= 0
-            total = np.where(found, self.log_p[n][states[n]] if len(self.log_p[n]) else 0.0, total + weight)
-        return base, total, rare
-
-
-def starts(sizes: np.ndarray) -> np.ndarray:
-    first = np.zeros(int(sizes.sum()), dtype=bool)
-    first[np.cumsum(sizes)[:-1]] = True
-    if len(first):
-        first[0] = True
-    return first
+def occurrences(rows: DataFrame, n: int) -> DataFrame:
+    """(row, key, context, suffix) of every n-gram. ``rows``: row, hashes."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            sizes = np.array([len(h) for h in b["hashes"]])
+            hashes = np.concatenate(b["hashes"].tolist()).astype(np.uint64)
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            last = np.flatnonzero(place >= n - 1)
+            yield pd.DataFrame({"row": np.repeat(b["row"].to_numpy(), sizes)[last], "key": gram_keys(hashes, last, n),
+                                "context": gram_keys(hashes, last - 1, n - 1), "suffix": gram_keys(hashes, last, n - 1)})
+    return rows.select("row", "hashes").mapInPandas(cut, "row long, key long, context long, suffix long")
 
 
 def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -197,19 +152,42 @@ def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t["key"].to_numpy(), t["c"].to_numpy()
 
 
-def train(texts: DataFrame, order: int = ORDER) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the table (key, c) of all word counts."""
-    spark = texts.sparkSession
-    counts = cut_lineage(count_keys(texts, lambda hashes, sizes: hashes), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    automaton = Automaton(*arrays(counts.filter(F.col("c") >= WORD_SHARE * total)), total, distinct)
-    for _ in range(order - 1):
-        if not len(automaton.keys[-1]):
-            break
-        shared = spark.sparkContext.broadcast(automaton)
-        grams = count_keys(texts, lambda hashes, sizes, a=shared: a.value.grams(hashes, sizes))
-        automaton.add_level(*arrays(grams.filter(F.col("c") >= GRAM_SHARE * total)))
-    return automaton, counts
+def find(df: DataFrame, on: str, states: DataFrame, value: Column, name: str, total: int) -> DataFrame:
+    """``df`` with the ``value`` of the state whose key is in ``on``, null if
+    there is none. ``states``: key, c; frequent ones are broadcast."""
+    wanted = states.select(F.col("key").alias(on), "c", value.alias(name))
+    hot = F.broadcast(wanted.filter(F.col("c") >= HOT_SHARE * total).drop("c"))
+    cold = wanted.filter(F.col("c") < HOT_SHARE * total).drop("c")
+    return df.join(hot, on).unionByName(df.join(hot, on, "left_anti").join(cold, on, "left"))
+
+
+def level(occurring: DataFrame, lower: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(states, backoff) of one order: key, c, p, low (the probability in the
+    suffix's state) and key, c, weight (log10, by context). ``lower`` are the
+    states one order below."""
+    grams = (occurring.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.first("context").alias("context"),
+                                          F.first("suffix").alias("suffix"))
+             .filter(F.col("c") >= GRAM_SHARE * total))
+    grams = cut_lineage(grams, "grams")
+    within = find(grams, "context", lower, F.col("c"), "within", total)
+    states = cut_lineage(find(within, "suffix", lower, F.col("p"), "low", total)
+                         .select("key", "context", "c", ((F.col("c") - DISCOUNT) / F.col("within")).alias("p"), "low"),
+                         "states")
+    left, rest = (F.greatest(1 - F.sum(x), F.lit(1e-9)) for x in ("p", "low"))
+    backoff = states.groupBy(F.col("context").alias("key")).agg(F.sum("c").alias("c"), F.log10(left / rest).alias("weight"))
+    return states, cut_lineage(backoff, "backoff")
+
+
+def gains(occurring: DataFrame, states: DataFrame, backoff: DataFrame, total: int) -> DataFrame:
+    """(row, gain): what the n-grams of one order add to a row's score."""
+    met = find(occurring.select("row", "key", "context"), "key", states, F.log10(F.col("p") / F.col("low")), "gain", total)
+    # One row for the arcs of a text, and one for each context whose failure arc is taken.
+    met = cut_lineage(met.withColumn("context", F.when(F.col("gain").isNull(), F.col("context")))
+                      .groupBy("row", "context").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("n")), "arcs")
+    failed = find(met.filter(F.col("context").isNotNull()).select("row", "context", "n"), "context", backoff,
+                  F.col("weight"), "weight", total)
+    return (met.filter(F.col("context").isNull()).select("row", "gain")
+            .union(failed.select("row", F.coalesce(F.col("weight") * F.col("n"), F.lit(0.0)))))
 
 
 def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -219,33 +197,43 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     prepare(spark)
     rows = id_text(docs, id_col, text_col)
-    automaton, counts = train(rows.filter(train_rows), order)
-    total, scale = int(automaton.total), float(automaton.scale)
-    shared = spark.sparkContext.broadcast(automaton)
+    counts = cut_lineage(count_keys(rows.filter(train_rows), lambda hashes, sizes: hashes), "word-counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    total, scale = int(total), float(total + ADD * (distinct + 1))
+    shared = spark.sparkContext.broadcast(Words(*arrays(counts.filter(F.col("c") >= WORD_SHARE * total)), scale))
 
     def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, a = WordHash(), shared.value
+        words, frequent = WordHash(), shared.value
         for b in batches:
             if not len(b):
                 continue
             hashes, sizes = token_hashes(b["text"].tolist(), words)
-            base, score, rare = a.score(hashes, sizes)
+            base, rare = frequent.score(hashes)
             cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             n_rare = np.add.reduceat(rare.astype(np.int64), cuts)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": sizes, "n_known": sizes - n_rare,
-                                "base": np.add.reduceat(base, cuts), "model": np.add.reduceat(score, cuts),
+            yield pd.DataFrame({"doc_id": b["doc_id"], "trains": b["trains"], "n_tokens": sizes,
+                                "n_known": sizes - n_rare, "base": np.add.reduceat(base, cuts),
+                                "hashes": np.split(hashes, cuts[1:]),
                                 "rare": np.split(hashes[rare], np.cumsum(n_rare)[:-1])})
 
-    scored = cut_lineage(rows.mapInPandas(traverse, "doc_id long, n_tokens long, n_known long, base double, "
-                                                    "model double, rare array<long>")
+    scored = cut_lineage(rows.withColumn("trains", F.coalesce(train_rows, F.lit(False)))
+                         .mapInPandas(traverse, "doc_id long, trains boolean, n_tokens long, n_known long, base double, "
+                                                "hashes array<long>, rare array<long>")
                          .withColumn("row", F.monotonically_increasing_id()), "scored")
     # Dealt by row before the sums: a row's rare words come from all over the count table.
     rest = (scored.select("row", F.explode("rare").alias("key")).join(counts, "key", "left")
             .select("row", F.coalesce("c", F.lit(0)).alias("c")).repartition("row")
             .groupBy("row").agg(F.sum(F.log10((F.col("c") + ADD) / scale)).alias("rest"),
                                 F.sum((F.col("c") > 0).cast("long")).alias("known")))
-    rest_sum = F.coalesce("rest", F.lit(0.0))
-    return (scored.select("row", "doc_id", "n_tokens", "n_known", "base", "model").join(rest, "row", "left")
+    lower = counts.withColumn("p", (F.col("c") + ADD) / scale)
+    longer = spark.createDataFrame([], "row long, gain double")
+    for n in range(2, order + 1):
+        lower, backoff = level(occurrences(scored.filter("trains"), n), lower, total)
+        longer = longer.union(gains(occurrences(scored, n), lower, backoff, total))
+    longer = longer.groupBy("row").agg(F.sum("gain").alias("gain"))
+    base_score = F.col("base") + F.coalesce("rest", F.lit(0.0))
+    return (scored.select("row", "doc_id", "n_tokens", "n_known", "base").join(rest, "row", "left")
+            .join(longer, "row", "left")
             .select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-                    F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + rest_sum).alias("base_score"),
-                    (F.col("model") + rest_sum).alias("score")))
+                    F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"),
+                    (base_score + F.coalesce("gain", F.lit(0.0))).alias("score")))

@@ -83,3 +83,16 @@ def test_empty_table_and_no_training_rows(no_docs, make_docs):
     assert M.score_texts(no_docs, F.lit(True)).count() == 0
     (r,) = M.score_texts(make_docs([(1, "a b")]), F.lit(False)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == pytest.approx(0)
+
+
+def test_every_gram_is_a_state_at_any_size(make_docs, monkeypatch):
+    """Pairs that occur once or twice in more than 1e5 tokens count as well."""
+    texts = [" ".join(f"w{(7 * i + k) % 5003}" for k in range(4000)) for i in range(60)] + ["odd pair here", "odd pair here"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in M.score_texts(make_docs(rows + [(900, "odd pair w1 w2")]), F.col("doc_id") < 900).collect()}
+    monkeypatch.setattr(M, "GRAM_SHARE", 0)
+    want = Plain(texts, M.ORDER)
+    for i, t in ((0, texts[0]), (60, "odd pair here"), (900, "odd pair w1 w2")):
+        ts = tokens(t)
+        model = sum(math.log10(want.p(tuple(ts[max(0, k - M.ORDER + 1):k]), w)) for k, w in enumerate(ts))
+        assert want.n > 2e5 and got[i].score == pytest.approx(model, rel=1e-9)
