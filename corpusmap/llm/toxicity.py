@@ -3,19 +3,24 @@
 Labels say whether a document is toxic, not where. A document is a bag of
 sentences; each sentence gets a probability from a logistic model over its
 words and word beginnings, and the bag's probability is the noisy-or
-1 - prod(1 - p). The weights are trained from document labels by gradient
+1 - prod(1 - p). In a document of n sentences the log odds z of each are less by
+a learned multiple, at least 1, of log(n) times the probability 1 - p(z) that it is
+harmless: so harmless sentences do not add up, however many there are, and a
+sentence that is toxic by itself counts in a document of any length. The weights are trained from document labels by gradient
 ascent through the noisy-or (AdaGrad, L2); afterwards the same sentence scores locate the
 offending sentences.
 
 The model is fitted on at most ``max_docs`` labelled documents (those with the
-smallest hash of their id) of at most ``max_chars`` characters; it is applied
-to every whole text. A text without words has the score of the bias
-alone. Rows with a null label or id never train. Without any
-training row every score is the prior of the bias.
+smallest hash of their id) of any length, in that order up to the one that
+reaches ``total_chars`` characters; it is applied to every whole text. A text
+without words has the score of the bias alone. Rows with a null label or id
+never train. Without any training row every score is at most about the prior of
+the bias, whatever the length.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -23,15 +28,15 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from corpusmap.llm.common import id_text, prepare
 
-#: Bounds of the training sample (documents, characters of one document).
+#: Bounds of the training sample (documents, characters of all).
 MAX_DOCS = 6000
-MAX_CHARS = 40_000
+TOTAL_CHARS = 24_000_000
 #: Size of the hashed feature space, and lengths of word beginnings used as features.
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
@@ -41,6 +46,8 @@ DECAY = 1.0
 #: A bucket takes part if it occurs in so many training documents.
 MIN_DOCS = 5
 FIRST_BIAS = -8.0
+#: Least and first multiple of log(sentences) that a harmless sentence loses.
+LEAST_SLOPE = 1.0
 NAN = float("nan")
 MEMO_LIMIT = 500_000
 
@@ -48,6 +55,19 @@ MEMO_LIMIT = 500_000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 
 
+class Bias(float):
+    """Bias of a sentence, and the multiple of log(sentences) that a harmless
+    one loses (none for a plain number)."""
+
+    slope = 0.0
+
+    @classmethod
+    def with_slope(cls, value: float, slope: float) -> Bias:
+        out = cls(value)
+        out.slope = slope
+        return out
+
+
 def lowered(text: str) -> str:
     """Lower-cased, keeping every character's place."""
     low = text.lower()
@@ -104,7 +124,7 @@ class WordScores(dict):
         return s
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, Bias]:
     """Weights by bucket and bias, from whole texts and their labels."""
     memo: dict[str, int] = {}
     flat, n_feats, word_of, sent_of, doc_of = (array("i") for _ in range(5))
@@ -122,10 +142,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.n
     n_words, n_sent = len(memo), len(doc_of)
     del memo
     weights = np.zeros(BUCKETS)
-    bias = FIRST_BIAS
+    bias, slope = FIRST_BIAS, LEAST_SLOPE
     y = np.asarray(labels, dtype=bool)
     if not n_words:
-        return weights, bias
+        return weights, Bias.with_slope(bias, slope)
     flat, n_feats, word_of, sent_of, doc_of = (np.frombuffer(x, dtype=np.intc)
                                                for x in (flat, n_feats, word_of, sent_of, doc_of))
     owner = np.repeat(np.arange(n_words, dtype=np.intc), n_feats)
@@ -133,14 +153,17 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.n
     docs_with = np.bincount(flat, np.bincount(pairs % n_words, minlength=n_words)[owner], BUCKETS)
     del pairs
     used = docs_with >= MIN_DOCS
-    square, square_bias = np.full(BUCKETS, 1e-6), 1e-6
+    log_n = np.log(np.bincount(doc_of, minlength=len(y)))[doc_of]
+    square, square_bias, square_slope = np.full(BUCKETS, 1e-6), 1e-6, 1e-6
     for _ in range(epochs):
         per_word = np.bincount(owner, weights[flat], n_words)
         z = bias + np.bincount(sent_of, per_word[word_of], n_sent)
-        p = probability(z)
+        alone = probability(z)
+        p = probability(z - slope * log_n * (1 - alone))
         log_clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))
         up = p * (np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-12))[doc_of]
-        grad_z = np.where(y[doc_of], up, -p)
+        grad_p = np.where(y[doc_of], up, -p)
+        grad_z = grad_p * (1 + slope * log_n * alone * (1 - alone))
         grad_word = np.bincount(word_of, grad_z[sent_of], n_words)
         grad = np.where(used, np.bincount(flat, grad_word[owner], BUCKETS) - DECAY * weights, 0)
         square += grad * grad
@@ -148,10 +171,13 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.n
         g = grad_z.sum()
         square_bias += g * g
         bias += RATE * g / np.sqrt(square_bias)
-    return weights, float(bias)
+        g = -(grad_p * log_n * (1 - alone)).sum()
+        square_slope += g * g
+        slope = max(LEAST_SLOPE, slope + RATE * g / np.sqrt(square_slope))
+    return weights, Bias.with_slope(float(bias), float(slope))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int, train: Column) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int, total_chars: int, train: Column) -> DataFrame:
     """(toxic, text) of the labelled training rows with the smallest id hash.
     ``train`` is a condition on the column ``doc_id``. An id labelled both ways
     counts as toxic."""
@@ -159,15 +185,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars
            .dropna().filter(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     # The chosen ids are at most max_docs rows, so they may be broadcast.
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = docs.filter((F.length("text") > 0) & (F.length("text") <= max_chars))
-    return (texts.join(F.broadcast(chosen), "doc_id")
-            .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_docs).select("toxic", "text"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"))
+    rows = (docs.filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
+            .orderBy(*order).limit(max_docs).select("doc_id", "toxic", "text"))
+    # At most max_docs rows are left, so one window over all is bounded.
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+            .filter(F.col("before") < total_chars).select("toxic", "text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, max_docs: int = MAX_DOCS,
-          max_chars: int = MAX_CHARS) -> tuple[np.ndarray, float]:
+          total_chars: int = TOTAL_CHARS) -> tuple[np.ndarray, Bias]:
     """Fit on the bounded sample. ``docs`` has the columns doc_id and text."""
-    rows = training_sample(docs, labels, max_docs, max_chars, train_rows).collect()
+    rows = training_sample(docs, labels, max_docs, total_chars, train_rows).collect()
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
@@ -184,8 +214,8 @@ def score_text(text: str, scores: WordScores, bias: float, at: float = 0.5) -> t
     of = np.cumsum(ends)[~ends]
     if len(of) == 0:
         return float(probability(np.array(bias))), []
-    z = bias + np.bincount(of, s[~ends])
-    p = probability(z[np.bincount(of) > 0])
+    z = bias + np.bincount(of, s[~ends])[np.bincount(of) > 0]
+    p = probability(z - getattr(bias, "slope", 0.0) * math.log(len(z)) * (1 - probability(z)))
     doc = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
     if p.max() < at:
         return doc, []
@@ -210,11 +240,11 @@ def score_column(text: Column, weights: np.ndarray, bias: float, spark, at: floa
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "doc_id",
-                   text_col: str = "text", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> DataFrame:
+                   text_col: str = "text", max_docs: int = MAX_DOCS, total_chars: int = TOTAL_CHARS) -> DataFrame:
     """Per row: score, predicted, and the spans of its offending sentences."""
     prepare(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)
-    weights, bias = train(rows, labels, train_rows, max_docs, max_chars)
+    weights, bias = train(rows, labels, train_rows, max_docs, total_chars)
     scored = score_column(F.col("text"), weights, bias, docs.sparkSession)
     return (rows.select("doc_id", scored.alias("s")).select("doc_id", "s.score", "s.sentences")
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))

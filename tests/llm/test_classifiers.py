@@ -79,3 +79,26 @@ def test_noisy_or():
     one, _ = toxicity.score_text("a", scores, -2.0)
     two, _ = toxicity.score_text("a. b", scores, -2.0)
     assert two == pytest.approx(1 - (1 - one) ** 2)
+
+
+def test_long_harmless_documents_stay(spark, make_docs):
+    """With and without labels, however many harmless sentences; long toxic ones are still found."""
+    clean = [(i, f"A fine day number {i}. We walk to the sea.") for i in range(100)]
+    toxic = [(100 + i, f"A fine day number {i}. You grumblefuck {i}! We walk to the sea.") for i in range(100)]
+    long_clean = [(300 + i, "A fine day again. We walk to the sea. " * 6_000) for i in range(6)]
+    long_toxic = [(400, "A fine day. " * 200 + "You grumblefuck! " + "We walk. " * 200)]
+    docs = make_docs(clean + toxic + long_clean + long_toxic)
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in range(200)] + [(i, 0) for i, _ in long_clean], "doc_id long, toxic int")
+    for given in (labels, labels.filter("doc_id < 200")):
+        got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, given, trained()).collect()}
+        assert got == {i: int(100 <= i < 200 or i == 400) for i in got}
+    got = toxicity.score_toxicity(docs, labels.limit(0), trained()).collect()
+    assert {r.predicted for r in got} == {0} and max(r.score for r in got) < 0.01
+
+
+def test_long_documents_train(spark, make_docs):
+    docs = make_docs([(i, "word " * (20_000 if i < 3 else 5)) for i in range(20)]).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels, 100, toxicity.TOTAL_CHARS, F.lit(True)).collect()
+    assert sum(len(r.text) > 40_000 for r in sample) == 3 and len(sample) == 20
+    assert toxicity.training_sample(docs, labels, 100, 60, F.lit(True)).count() in (1, 2, 3)
