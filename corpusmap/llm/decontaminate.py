@@ -6,14 +6,17 @@ placeholders, other words are lower-cased, punctuation goes. Windows of
 ``width`` template tokens with enough literal words are hashed; document
 windows are joined to benchmark windows by hash. Along one alignment of a
 document and an item the slots must be consistent: one value of the item always
-stands for one value of the document. Exact copies and questions with other
-parameters both pass, chance hits do not add up. A document is contaminated by
-an item of which consistent windows cover ``coverage`` or more.
+stands for one value of the document, so that questions with other parameters
+pass and chance hits do not add up. With ``verbatim`` windows of lower-cased
+tokens without placeholders, whatever they are, go through the same join, so
+that exact copies in any case pass as well. A document is contaminated by an
+item of which consistent windows of one sort cover ``coverage`` or more.
 
 A document window is only sent to the join if its bit is set in a bit map of
 fixed size (2 MB whatever the benchmark) of the benchmark's hashes; the join
 decides exactly. Items shorter than a window are one window of their length.
-Items without a window of enough literal words match nothing. Null and empty
+Without ``verbatim``, items without a window of enough literal words match
+nothing. Null and empty
 texts match nothing; rows that repeat with the same id and text count as one.
 """
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 from zlib import crc32
 
 import numpy as np
@@ -48,6 +52,8 @@ UNITS = frozenset(
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,]\d+)*|[.!?\n]+")
 LITERAL, CAPITAL, NUMBER, END, UNIT = range(5)
 KIND = np.uint64(7)
+#: Start of the hash of a window without placeholders.
+VERBATIM = 1 << 32
 NAME_CODE, NUMBER_CODE, UNIT_CODE = (np.uint64(8 * (crc32(w) + 1)) for w in (b"<name>", b"<number>", b"<unit>"))
 SCHEMA = "hash long, doc_id long, text_key long, pos int, slots array<string>"
 
@@ -82,34 +88,39 @@ class Batch:
         kind = (code & KIND).astype(np.int8)
         before = np.concatenate([[END], kind[:-1]]) if len(kind) else kind
         before = np.where(np.diff(doc, prepend=-1) != 0, END, before)
-        template = code & ~KIND
+        plain = template = code & ~KIND
         slot = ((kind == CAPITAL) & (before != END)) | (kind == NUMBER) | ((kind == UNIT) & (before == NUMBER))
         template = np.where(slot, np.where(kind == CAPITAL, NAME_CODE, np.where(kind == NUMBER, NUMBER_CODE, UNIT_CODE)),
                             template)
         self.at = np.flatnonzero(kind != END)                # token number of each template token
         self.doc, self.template, self.slot = doc[self.at], template[self.at], slot[self.at]
+        self.plain = plain[self.at]
         self.first = np.searchsorted(self.doc, np.arange(len(texts)))
         self.size = np.bincount(self.doc, minlength=len(texts)) if len(self.doc) else np.zeros(len(texts), int)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of the windows with enough literal words."""
+    def windows(self, width: int, verbatim: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of the windows with enough literal words, or of all
+        windows without placeholders."""
         n = len(self.template) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
-        start = np.flatnonzero((self.doc[width - 1:] == self.doc[:n])
-                               & (slots[width:] - slots[:n] <= width * (1 - LITERAL_SHARE)))
-        h = np.full(len(start), width, dtype=np.uint64)
+        inside = self.doc[width - 1:] == self.doc[:n]
+        if not verbatim:
+            slots = np.concatenate([[0], np.cumsum(self.slot)])
+            inside &= slots[width:] - slots[:n] <= width * (1 - LITERAL_SHARE)
+        start = np.flatnonzero(inside)
+        h = np.full(len(start), width + VERBATIM * verbatim, dtype=np.uint64)
+        of = self.plain if verbatim else self.template
         for j in range(width):
-            h = h * MIX1 + self.template[start + j]
+            h = h * MIX1 + of[start + j]
         return start, mix(h)
 
     def slots(self, start: int, width: int) -> list[str]:
         return [self.tokens[self.at[i]].lower() for i in range(start, start + width) if self.slot[i]]
 
 
-def item_windows(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item_id, item_pos, item_slots, n_windows, width) of every item."""
+def item_windows(benchmark: DataFrame, width: int, id_col: str, text_col: str, sorts: list[bool]) -> DataFrame:
+    """(hash, item_id, item_pos, item_slots, n_windows, width, verbatim) of every item."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = Codes()
         for b in batches:
@@ -118,15 +129,16 @@ def item_windows(benchmark: DataFrame, width: int, id_col: str, text_col: str) -
                 w = min(width, len(t.template))
                 if w == 0:
                     continue
-                start, h = t.windows(w)
-                if not len(start):
-                    continue
-                yield pd.DataFrame({"hash": h.astype(np.int64), "item_id": item, "item_pos": start.astype(np.int32),
-                                    "item_slots": [t.slots(int(s), w) for s in start], "n_windows": len(start),
-                                    "width": w})
+                for verbatim in sorts:
+                    start, h = t.windows(w, verbatim)
+                    if not len(start):
+                        continue
+                    yield pd.DataFrame({"hash": h.astype(np.int64), "item_id": item, "item_pos": start.astype(np.int32),
+                                        "item_slots": [[] if verbatim else t.slots(int(s), w) for s in start],
+                                        "n_windows": len(start), "width": w, "verbatim": verbatim})
     rows = id_text(benchmark, id_col, text_col).filter(F.col("doc_id").isNotNull()).distinct()
     return rows.mapInPandas(cut, "hash long, item_id long, item_pos int, item_slots array<string>, "
-                                 "n_windows int, width int")
+                                 "n_windows int, width int, verbatim boolean")
 
 
 def bit_map(items: DataFrame) -> np.ndarray:
@@ -140,15 +152,15 @@ def bit_map(items: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def document_windows(rows: DataFrame, widths: list[int], bits) -> DataFrame:
+def document_windows(rows: DataFrame, widths: list[int], bits, sorts: list[bool]) -> DataFrame:
     """Windows of the documents whose bit is set. ``rows``: doc_id, text_key, text."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, words = Codes(), bits.value
         for b in batches:
             t = Batch(b["text"].tolist(), codes)
             ids, keys = b["doc_id"].to_numpy(dtype=object, na_value=None), b["text_key"].to_numpy()
-            for w in widths:
-                start, h = t.windows(w)
+            for w, verbatim in product(widths, sorts):
+                start, h = t.windows(w, verbatim)
                 at = h % np.uint64(MAP_BITS)
                 hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
                 start, h = start[hit], h[hit]
@@ -157,7 +169,7 @@ def document_windows(rows: DataFrame, widths: list[int], bits) -> DataFrame:
                 doc = t.doc[start]
                 yield pd.DataFrame({"hash": h.astype(np.int64), "doc_id": pd.array(ids[doc], dtype="Int64"),
                                     "text_key": keys[doc], "pos": (start - t.first[doc]).astype(np.int32),
-                                    "slots": [t.slots(int(s), w) for s in start]})
+                                    "slots": [[] if verbatim else t.slots(int(s), w) for s in start]})
     return rows.mapInPandas(cut, SCHEMA)
 
 
@@ -167,29 +179,33 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH,
-                  coverage: float = COVERAGE) -> DataFrame:
+                  coverage: float = COVERAGE, verbatim: bool = False) -> DataFrame:
     """(doc_id, text_key, item_id, coverage, n_matched, first_pos, exact) of
     every contaminated document and the item found in it; ``text_key`` is
-    xxhash64 of the text, and tells rows with the same id apart."""
+    xxhash64 of the text, and tells rows with the same id apart. ``exact`` is up
+    to case. Figures are those of the template windows if they are enough."""
     spark = docs.sparkSession
     prepare(spark)
-    items = cut_lineage(item_windows(benchmark, width, item_id_col, item_text_col), "benchmark-windows")
+    sorts = [False, True] if verbatim else [False]
+    items = cut_lineage(item_windows(benchmark, width, item_id_col, item_text_col, sorts), "benchmark-windows")
     widths = sorted(r.width for r in items.select("width").distinct().collect())    # at most ``width`` of them
     bits = spark.sparkContext.broadcast(bit_map(items))
-    hits = document_windows(keyed_rows(docs, id_col, text_col), widths, bits)
+    hits = document_windows(keyed_rows(docs, id_col, text_col), widths, bits, sorts)
     pairs = F.expr("transform(arrays_zip(item_slots, slots), s -> struct(s.item_slots AS a, s.slots AS b))")
     aligned = (hits.join(items, "hash")
-               .groupBy("doc_id", "text_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+               .groupBy("doc_id", "text_key", "item_id", "verbatim", (F.col("pos") - F.col("item_pos")).alias("shift"))
                .agg(F.collect_set("item_pos").alias("places"), F.min("pos").alias("first_pos"),
                     F.max("n_windows").alias("n_windows"),
                     F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")))
     consistent = F.size("slots") == F.size(F.array_distinct(F.col("slots.a")))
     same = F.forall("slots", lambda s: s["a"] == s["b"])
-    return (aligned.filter(consistent)
-            .groupBy("doc_id", "text_key", "item_id")
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
-                 F.max("n_windows").alias("n_windows"), F.min("first_pos").cast("long").alias("first_pos"),
-                 F.bool_and(same).alias("exact"))
-            .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-            .filter(F.col("coverage") >= coverage)
-            .select("doc_id", "text_key", "item_id", "coverage", "n_matched", "first_pos", "exact"))
+    found = (aligned.filter(consistent)
+             .groupBy("doc_id", "text_key", "item_id", "verbatim")
+             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
+                  F.max("n_windows").alias("n_windows"), F.min("first_pos").cast("long").alias("first_pos"),
+                  F.bool_and(same).alias("exact"))
+             .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+             .filter(F.col("coverage") >= coverage))
+    best = F.min(F.struct("verbatim", "coverage", "n_matched", "first_pos", "exact")).alias("best")
+    return (found.groupBy("doc_id", "text_key", "item_id").agg(best)
+            .select("doc_id", "text_key", "item_id", "best.coverage", "best.n_matched", "best.first_pos", "best.exact"))

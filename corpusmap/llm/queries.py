@@ -73,7 +73,8 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_decontaminate")
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmap.llm.decontaminate import contamination
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                         verbatim=True).drop("text_key")
 
 
 @register("op7_jaccard_join")

@@ -111,6 +111,19 @@ def test_leaks(make_docs, items, edge_rows):
     assert all(0.5 <= r.coverage <= 1 for r in got)
 
 
+def test_verbatim_leaks(spark, make_docs):
+    """Exact copies in any case, of items dense in numbers or names, and of short ones."""
+    texts = [ITEM, "Compute 3 * 7 + 2 and 9 * 4 + 18", "War And Peace By Leo Tolstoy In Ten Short Volumes",
+             "What is the capital of France?"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(10 * i + k, t) for i, x in enumerate(texts)
+            for k, t in enumerate([x, x.upper(), x.lower(), f"Well, they said: {x} So it was."])]
+    rows += [(90, "Nothing of it stands in this one."), (91, ITEM[:30]), (92, "It cost 3 and then 7 and 2.")]
+    got = decontaminate.contamination(make_docs(rows), items, verbatim=True).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == Counter((d, d // 10) for d, _ in rows if d < 90)
+    assert all(r.exact and r.coverage >= 0.5 for r in got)
+
+
 def test_leaks_empty_tables(no_docs, items, edge_docs):
     assert decontaminate.contamination(no_docs, items).count() == 0
     assert decontaminate.contamination(edge_docs, items.limit(0)).count() == 0
