@@ -56,7 +56,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item (or the item with other parameters) go."""
-    leaks = (decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), verbatim=True)
+    leaks = (decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), verbatim=True, excerpts=True)
              .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))
     return _keyed(docs).join(leaks, same, "left_anti").select(*COLUMNS)

@@ -10,7 +10,10 @@ stands for one value of the document, so that questions with other parameters
 pass and chance hits do not add up. With ``verbatim`` windows of lower-cased
 tokens without placeholders, whatever they are, go through the same join, so
 that exact copies in any case pass as well. A document is contaminated by an
-item of which consistent windows of one sort cover ``coverage`` or more.
+item of which consistent windows of one sort cover ``coverage`` or more. With
+``excerpts`` a run of ``RUN`` tokens without placeholders is enough as well, and
+a slot that is not consistent takes only the windows that hold it from its
+alignment, not the whole alignment.
 
 A document window is only sent to the join if its bit is set in a bit map of
 fixed size (2 MB whatever the benchmark) of the benchmark's hashes; the join
@@ -40,6 +43,8 @@ WIDTH = 8
 #: Share of a window's tokens that must be literal words.
 LITERAL_SHARE = 0.5
 COVERAGE = 0.5
+#: Tokens of an item in a row that are an excerpt.
+RUN = 13
 MAP_BITS = 1 << 24
 MEMO_LIMIT = 500_000
 
@@ -179,11 +184,11 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH,
-                  coverage: float = COVERAGE, verbatim: bool = False) -> DataFrame:
+                  coverage: float = COVERAGE, verbatim: bool = False, excerpts: bool = False) -> DataFrame:
     """(doc_id, text_key, item_id, coverage, n_matched, first_pos, exact) of
     every contaminated document and the item found in it; ``text_key`` is
     xxhash64 of the text, and tells rows with the same id apart. ``exact`` is up
-    to case. Figures are those of the template windows if they are enough."""
+    to case. ``excerpts`` needs ``verbatim``. Figures are those of the template windows if they are enough."""
     spark = docs.sparkSession
     prepare(spark)
     sorts = [False, True] if verbatim else [False]
@@ -194,18 +199,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = F.expr("transform(arrays_zip(item_slots, slots), s -> struct(s.item_slots AS a, s.slots AS b))")
     aligned = (hits.join(items, "hash")
                .groupBy("doc_id", "text_key", "item_id", "verbatim", (F.col("pos") - F.col("item_pos")).alias("shift"))
-               .agg(F.collect_set("item_pos").alias("places"), F.min("pos").alias("first_pos"),
-                    F.max("n_windows").alias("n_windows"),
-                    F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")))
+               .agg(F.collect_set(F.struct("item_pos", "pos", pairs.alias("pairs"))).alias("windows"),
+                    F.max("n_windows").alias("n_windows"), F.max("width").alias("width"))
+               .withColumn("slots", F.expr("array_distinct(flatten(windows.pairs))")))
     consistent = F.size("slots") == F.size(F.array_distinct(F.col("slots.a")))
-    same = F.forall("slots", lambda s: s["a"] == s["b"])
-    found = (aligned.filter(consistent)
+    if excerpts:
+        several = F.expr("filter(array_distinct(slots.a), x -> size(filter(slots, s -> s.a = x)) > 1)")
+        kept = F.expr("filter(windows, w -> NOT arrays_overlap(w.pairs.a, several))")
+        aligned = (aligned.withColumn("several", several).withColumn("consistent", consistent)
+                   .withColumn("windows", F.when(consistent, F.col("windows")).otherwise(kept))
+                   .filter(F.size("windows") > 0).withColumn("slots", F.expr("array_distinct(flatten(windows.pairs))")))
+    else:
+        aligned = aligned.filter(consistent).withColumn("consistent", F.lit(True))
+    same = F.col("consistent") & F.forall("slots", lambda s: s["a"] == s["b"])
+    aligned = aligned.withColumn("places", F.array_sort(F.array_distinct("windows.item_pos")))
+    # Windows in a row: (last place, length of the run that ends there, longest run).
+    run = F.aggregate("places", F.expr("named_struct('last', -2, 'now', 0, 'most', 0)"), lambda acc, x: F.struct(
+        x.alias("last"), F.when(x == acc["last"] + 1, acc["now"] + 1).otherwise(1).alias("now"),
+        F.greatest(acc["most"], F.when(x == acc["last"] + 1, acc["now"] + 1).otherwise(1)).alias("most")),
+        lambda acc: acc["most"])
+    excerpt = F.lit(excerpts) & F.col("verbatim") & (F.col("run") + F.col("width") - 1 >= RUN)
+    found = (aligned.withColumn("run", run)
              .groupBy("doc_id", "text_key", "item_id", "verbatim")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
-                  F.max("n_windows").alias("n_windows"), F.min("first_pos").cast("long").alias("first_pos"),
-                  F.bool_and(same).alias("exact"))
+                  F.max("n_windows").alias("n_windows"), F.min(F.array_min("windows.pos")).cast("long").alias("first_pos"),
+                  F.bool_and(same).alias("exact"), F.bool_or(excerpt).alias("excerpt"))
              .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-             .filter(F.col("coverage") >= coverage))
+             .filter((F.col("coverage") >= coverage) | F.col("excerpt")))
     best = F.min(F.struct("verbatim", "coverage", "n_matched", "first_pos", "exact")).alias("best")
     return (found.groupBy("doc_id", "text_key", "item_id").agg(best)
             .select("doc_id", "text_key", "item_id", "best.coverage", "best.n_matched", "best.first_pos", "best.exact"))

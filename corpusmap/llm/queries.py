@@ -74,7 +74,7 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmap.llm.decontaminate import contamination
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
-                         verbatim=True).drop("text_key")
+                         verbatim=True, excerpts=True).drop("text_key")
 
 
 @register("op7_jaccard_join")

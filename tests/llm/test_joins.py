@@ -124,6 +124,25 @@ def test_verbatim_leaks(spark, make_docs):
     assert all(r.exact and r.coverage >= 0.5 for r in got)
 
 
+def test_excerpts(spark, make_docs):
+    """Runs of a long item, and copies in which one repeated number was changed."""
+    rnd = random.Random(9)
+    long = " ".join(f"word{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}{chr(97 + i % 26)}" for i in range(300))
+    words = long.split()
+    items = spark.createDataFrame([(1, long), (2, ITEM), (3, "short item of six words here")], "item_id long, text string")
+    rows = [(1, "before " + " ".join(words[100:200]) + " after"), (2, " ".join(words[40:53])), (3, " ".join(words[40:52])),
+            (4, " ".join(words[40:48] + ["other"] + words[50:58] + ["more"] + words[80:88])),
+            (5, ITEM.replace("at 9 hours.", "at 7 hours.")), (6, ITEM[:30]), (7, " ".join(words[60:73]).upper())]
+    got = decontaminate.contamination(make_docs(rows), items, verbatim=True, excerpts=True).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == Counter([(1, 1), (2, 1), (5, 2), (7, 1)])
+    # Where no window without placeholders helps, the consistent ones of an alignment still count.
+    item = "on day 3 the old farmer counts sheep and then rests near the river until the day 3 bell rings"
+    changed = "on day 5 the young farmer counts sheep and then rests near the river until the day 6 bell rings"
+    one = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (r,) = decontaminate.contamination(make_docs([(1, changed)]), one, coverage=0.4, verbatim=True, excerpts=True).collect()
+    assert r.item_id == 1 and r.coverage < 1
+
+
 def test_leaks_empty_tables(no_docs, items, edge_docs):
     assert decontaminate.contamination(no_docs, items).count() == 0
     assert decontaminate.contamination(edge_docs, items.limit(0)).count() == 0
