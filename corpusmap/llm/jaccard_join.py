@@ -46,8 +46,9 @@ PERCENT = 90
 CELLS = 3
 #: Buckets of at most so many classes are finished by pairs, others by blocks.
 SMALL_BUCKET = 16
-#: Elements in one block of classes.
+#: Elements and classes in one block, about (classes are dealt by hash).
 BLOCK_ELEMENTS = 200_000
+BLOCK_CLASSES = 2_000
 
 
 def element_hashes(text: str, words: WordHash, n: int) -> np.ndarray:
@@ -198,46 +199,51 @@ def _forest(sides: list[tuple[int, int, np.ndarray]], percent: int) -> list[tupl
     code, uniques = pd.factorize(elements)
     shared = np.bincount(code) > 1
     code, owner = (np.cumsum(shared) - 1)[code][shared[code]], owner[shared[code]]
-    common = np.zeros((len(sides), len(sides)), dtype=np.float32)
-    width = 1 << 14                                          # columns of the incidence matrix at a time
+    n = len(sides)
+    common = np.zeros((n, n), dtype=np.float32)
+    width = 1 << 12                                          # columns of the incidence matrix at a time
     for lo in range(0, int(shared.sum()), width):
         part = (code >= lo) & (code < lo + width)
-        has = np.zeros((len(sides), width), dtype=np.float32)
+        has = np.zeros((n, width), dtype=np.float32)
         has[owner[part], code[part] - lo] = 1
         common += has @ has.T
     size = np.array([len(e) for _, _, e in sides])
-    common = common.astype(np.int64)
-    similar = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-    top = {c: c for _, c, _ in sides}
-
-    def root(x):
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
+    comp = pd.factorize(np.array([c for _, c, _ in sides]))[0]
     out = []
-    for i, j in zip(*np.nonzero(np.triu(similar, 1))):
-        x, y = root(sides[i][1]), root(sides[j][1])
-        if x != y:
-            top[x] = y
-            out.append((sides[i][0], sides[j][0]))
+    for i in range(n - 1):
+        both = common[i, i + 1:].astype(np.int64)
+        similar = i + 1 + np.flatnonzero(100 * both >= percent * (size[i] + size[i + 1:] - both))
+        for j in similar[comp[similar] != comp[i]]:
+            if comp[j] != comp[i]:
+                comp[comp == comp[j]] = comp[i]
+                out.append((sides[i][0], sides[j][0]))
     return out
 
 
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (cluster, node, size) with their block, a number within the
+    cluster that grows with the size. Sizes are counted, so no task reads a
+    cluster; in the place of its size a class is dealt by hash."""
+    load = F.col("n") / BLOCK_CLASSES + F.col("n") * F.col("size") / BLOCK_ELEMENTS
+    smaller = Window.partitionBy("cluster").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    loads = (nodes.groupBy("cluster", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("load", load)
+             .withColumn("start", F.coalesce(F.sum("load").over(smaller), F.lit(0.0))).drop("n"))
+    dealt = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / (1 << 20)
+    return (nodes.join(loads, ["cluster", "size"])
+            .withColumn("block", F.floor(F.col("start") + F.col("load") * dealt)).drop("load", "start"))
+
+
 def _block_links(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components inside large buckets. Buckets that overlap form
-    a cluster; its classes, by size, are dealt into blocks of at most
-    ``BLOCK_ELEMENTS`` elements, and every two blocks of compatible sizes are
+    a cluster; its classes, by size, are dealt into blocks of about
+    ``BLOCK_ELEMENTS`` elements or ``BLOCK_CLASSES`` classes at most, and every two blocks of compatible sizes are
     compared in one task, which returns a spanning forest only."""
     first = Window.partitionBy("sig")
     cluster = connected(open_rows.select("node", F.min("node").over(first).alias("lead"))
                         .select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    by_size = Window.partitionBy("cluster").orderBy("size", "node")
     nodes = (open_rows.select("node", "size", "comp").distinct()
-             .join(cluster.select("node", F.col("comp").alias("cluster")), "node")
-             .withColumn("block", F.floor(F.sum("size").over(by_size) / BLOCK_ELEMENTS)))
-    nodes = cut_lineage(nodes, "blocks")
+             .join(cluster.select("node", F.col("comp").alias("cluster")), "node"))
+    nodes = cut_lineage(_blocks(cut_lineage(nodes, "clusters")), "blocks")
     blocks = nodes.groupBy("cluster", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     other = blocks.select("cluster", F.col("block").alias("other"), F.col("least").alias("o_least"))
     meets = (blocks.join(other, "cluster")

@@ -59,6 +59,47 @@ def test_components(make_docs, edge_rows, monkeypatch, seed, small):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_blocks_are_bounded_by_classes_and_elements(spark):
+    """Also where one cluster has very many short classes."""
+    nodes = spark.range(30_000).selectExpr("id % 2 AS cluster", "id AS node", "IF(id % 10 = 0, 11 + id % 90, 11) AS size")
+    blocks = (jaccard_join._blocks(nodes.union(spark.range(40).selectExpr("2", "100000 + id", "50000")))
+              .groupBy("cluster", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"),
+                                               F.min("size").alias("lo"), F.max("size").alias("hi")).collect())
+    assert sum(b.n for b in blocks) == 30_040
+    assert max(b.n for b in blocks) <= 1.2 * jaccard_join.BLOCK_CLASSES
+    assert max(b.elements for b in blocks) <= 2.5 * jaccard_join.BLOCK_ELEMENTS
+    for c in range(3):
+        row = sorted((b.block, b.lo, b.hi) for b in blocks if b.cluster == c)
+        assert all(x[2] <= y[1] for x, y in zip(row, row[1:]))
+
+
+def test_forest():
+    rnd = random.Random(6)
+    base = list(range(40))
+    sides = [(i, rnd.randrange(30), np.array([x if rnd.random() > 0.03 else 1000 + rnd.randrange(9) for x in base])) for i in range(60)]
+    sides = [(i, c, np.unique(e)) for i, c, e in sides]
+
+    def parts(links):
+        top = {}
+        for a, b in links:
+            while a in top: a = top[a]  # noqa: E701
+            while b in top: b = top[b]  # noqa: E701
+            if a != b:
+                top[a] = b
+        def root(x):
+            while x in top: x = top[x]  # noqa: E701
+            return x
+        return root
+
+    comp = {i: ("c", c) for i, c, _ in sides}
+    similar = [(i, j) for i, _, e in sides for j, _, f in sides if i < j
+               and 100 * len(np.intersect1d(e, f)) >= 90 * len(np.union1d(e, f))]
+    got = jaccard_join._forest(sides, 90)
+    assert set(got) <= set(similar)
+    one, two = (parts([(i, c) for i, c in comp.items()] + links) for links in (got, similar))
+    assert all((one(i) == one(j)) == (two(i) == two(j)) for i in comp for j in comp)
+
+
 def test_similar_sets_share_a_signature():
     rnd = np.random.default_rng(3)
     for size in (1, 2, 8, 9, 10, 11, 19, 20, 40, 137, 500, 3000):
