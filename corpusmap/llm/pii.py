@@ -41,7 +41,8 @@ PATTERNS = {
                      r"[a-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[a-z0-9-]{1,63}){1,4}",
 }
 #: A text without this cannot match the pattern; the cheap test comes first.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "local_phone": None, "spelled_email": "at"}
+NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+NEEDS_MATCH = {"card": "[0-9]", "local_phone": "[0-9]", "spelled_email": r"(?i)[\[(]at[\])]"}
 
 #: Gazetteers.
 TOP_LEVEL = ("com|org|net|edu|gov|mil|int|info|biz|io|de|fr|es|uk|it|nl|be|at|ch|pl|pt|se|no|fi|dk|ie|eu|us|ca|mx|"
@@ -80,7 +81,7 @@ def matches(text: Column, kind: str) -> Column:
 
     empty = F.array().cast(SPAN)
     found = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), empty.alias("out")), add, lambda acc: acc["out"])
-    can = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9]")
+    can = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(NEEDS_MATCH[kind])
     return F.when(can, found).otherwise(empty)
 
 

@@ -85,3 +85,10 @@ def test_plan_has_no_python(make_docs, edge_rows):
     df = make_docs(edge_rows).select(pii.candidates(F.col("text")).alias("c")).select(pii.accepted(F.col("c"), {}).alias("s"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_spelled_email_in_any_case(spark):
+    texts = ["JOHN [AT] EXAMPLE [DOT] COM", "Joe (At) x (Dot) org", "joe [at] x [dot] com", "AT EXAMPLE DOT COM"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.m for r in df.select(pii.matches(F.col("text"), "spelled_email").alias("m")).collect()]
+    assert [[s.m for s in m] for m in got] == [texts[:1], texts[1:2], texts[2:3], []]
