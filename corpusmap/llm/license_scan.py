@@ -112,7 +112,14 @@ class Scanner:
         found = []
         for notice, stretches in self.windows(norm).items():
             for lo, hi in stretches:
-                for m in self.fuzzy[notice].finditer(norm, max(0, lo), min(len(norm), hi)):
+                # The best match of a part, then what is left before and after it.
+                parts = [(max(0, lo), min(len(norm), hi))]
+                while parts:
+                    a, b = parts.pop()
+                    m = self.fuzzy[notice].search(norm, a, b)
+                    if m is None:
+                        continue
+                    parts += [(a, m.start()), (m.end(), b)]
                     edits = sum(m.fuzzy_counts)
                     found.append((m.start(), m.end(), self.labels[notice], edits, 1 - edits / len(notice)))
         kept: list[tuple[int, int, str, int, float]] = []

@@ -70,3 +70,10 @@ def test_pieces_cover_a_notice_and_one_survives():
 
 def test_empty_table(no_docs):
     assert L.scan_licenses(no_docs).count() == 0
+
+
+def test_worse_copy_before_a_better_one(make_docs):
+    text = "licensed under the mit lisense and licensed under the mit license and licensed under the mit licence"
+    (r,) = L.scan_licenses(make_docs([(1, text)])).collect()
+    assert [(m.label, m.edits) for m in r.matches] == [("mit", 1), ("mit", 0), ("mit", 1)]
+    assert [text[m.start:m.end].strip() for m in r.matches] == text.split(" and ")
