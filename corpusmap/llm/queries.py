@@ -122,3 +122,14 @@ WHERE rank <= 20"""
 def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmap.llm.topk import top_k
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+SHARDS = 24
+
+
+@register("op13_sharding")
+def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.sharding import shard_documents
+    return shard_documents(table(spark, sf_dir, "documents"), SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
