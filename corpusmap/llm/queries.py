@@ -133,3 +133,59 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Every level by recursion; crc32 of the id's digits bit by bit.
+MERKLE_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars,
+         COALESCE(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || COALESCE(strlen(source) || ':' || source, '-')
+           || COALESCE(strlen(lang) || ':' || lang, '-') AS before,
+         COALESCE(strlen(text) || ':' || text, '-') AS after,
+         xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)],
+               [CAST(ascii(x) AS UBIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+             LAMBDA a, b: list_reduce(list_concat([xor(a, b)], CAST(range(8) AS UBIGINT[])),
+               LAMBDA u, k: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END)), 4294967295) AS crc
+  FROM documents),
+h AS (
+  SELECT doc_id, lang, sha256(before || COALESCE(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || after) AS leaf,
+         CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN sha256(before || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':'
+              || (n_chars + 1) || after) END AS changed FROM d),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS n FROM h),
+up AS (
+  SELECT tree, 0 AS lvl, r, leaf AS digest, n FROM l
+  UNION ALL
+  SELECT tree, lvl + 1, r // 2, sha256(string_agg(digest, '' ORDER BY r)), (n + 1) // 2
+  FROM up WHERE n > 1 GROUP BY tree, lvl, r // 2, n),
+tops AS (SELECT tree AS r, digest, (SELECT count(DISTINCT tree) FROM l) AS n FROM up WHERE n = 1),
+over AS (
+  SELECT 0 AS lvl, r, digest, n FROM tops
+  UNION ALL
+  SELECT lvl + 1, r // 2, sha256(string_agg(digest, '' ORDER BY r)), (n + 1) // 2
+  FROM over WHERE n > 1 GROUP BY lvl, r // 2, n),
+walk AS (
+  SELECT tree, r AS rank, 0 AS lvl, r, n, COALESCE(changed, leaf) AS cur, '' AS sibs FROM l
+  UNION ALL
+  SELECT w.tree, rank, w.lvl + 1, w.r // 2, (w.n + 1) // 2,
+         sha256(CASE WHEN w.r % 2 = 1 THEN u.digest || cur ELSE cur || COALESCE(u.digest, '') END), sibs || COALESCE(u.digest, '')
+  FROM walk w LEFT JOIN up u ON u.tree = w.tree AND u.lvl = w.lvl AND u.r = xor(w.r, 1) WHERE w.n > 1),
+more AS (
+  SELECT tree, rank, 0 AS lvl, tree AS r, (SELECT count(*) FROM tops) AS n, cur, sibs FROM walk WHERE n = 1
+  UNION ALL
+  SELECT w.tree, rank, w.lvl + 1, w.r // 2, (w.n + 1) // 2,
+         sha256(CASE WHEN w.r % 2 = 1 THEN u.digest || cur ELSE cur || COALESCE(u.digest, '') END), sibs || COALESCE(u.digest, '')
+  FROM more w LEFT JOIN over u ON u.lvl = w.lvl AND u.r = xor(w.r, 1) WHERE w.n > 1)
+SELECT l.doc_id, l.leaf, tops.digest AS subroot, top.digest AS root, sha256(m.sibs) AS proof_sha256,
+       m.cur AS folded_root, m.cur = top.digest AS verified
+FROM l JOIN tops ON tops.r = l.tree JOIN more m ON m.n = 1 AND m.tree = l.tree AND m.rank = l.r
+CROSS JOIN (SELECT digest FROM over WHERE n = 1) top"""
+
+
+@register("op12_merkle_manifest", MERKLE_SQL)
+def merkle_manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.manifest import manifest
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest(table(spark, sf_dir, "documents"), tampered).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
