@@ -189,3 +189,10 @@ def merkle_manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     return manifest(table(spark, sf_dir, "documents"), tampered).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@register("op11_importance_resampling")
+def importance_resampling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmap.llm.resample import resample
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
