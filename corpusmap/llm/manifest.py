@@ -158,7 +158,7 @@ def attach(nodes: DataFrame, parents: DataFrame, level: int, levels: int) -> Dat
 
 def proofs_of_leaves(leaves: DataFrame, parents: DataFrame, levels: int, with_path: bool) -> DataFrame:
     """The containment join of the lowest bucket, with the proofs and the folded roots."""
-    schema = "tree long, lo long, doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
+    schema = "tree long, lo long, doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
     schema += ", path array<string>" if with_path else ""
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -173,9 +173,10 @@ def proofs_of_leaves(leaves: DataFrame, parents: DataFrame, levels: int, with_pa
         out = out.assign(proof_sha256=[proof_hash(x) for x in path], folded_root=[fold(d, x) for d, x in zip(now, path)])
         return (out.assign(path=path) if with_path else out)[names]
 
-    left = leaves.select("tree", "n", "lo", "hi", "digest", F.col("doc_id").cast("long"), "changed").groupBy("tree", block_of(0, levels))
+    left = leaves.select("tree", "n", "lo", "hi", "digest", F.col("doc_id").cast("string"), "changed").groupBy("tree", block_of(0, levels))
     right = parents.select("tree", "lo", "path", "subroot", "root").groupBy("tree", block_of(0, levels))
-    return left.cogroup(right).applyInPandas(run, schema)
+    # ids pass as text: pandas has no null integers, and doubles do not hold all of them
+    return left.cogroup(right).applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def up_to_roots(nodes: DataFrame, most: int, levels: int) -> list[DataFrame]:

@@ -93,7 +93,7 @@ def test_edge_cases(spark, edge_docs, no_docs):
 
 def test_null_fields_and_largest_counts(spark):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "s", None, 3, ""), (14, "s", "ß", 2**63 - 1, "x"),
-            (2, "s", "z", 2**63 - 1, "x"), (3, "s", "", 0, "-"), (4, "", "é", 0, "1:-")]
+            (2**53 + 1, "s", "z", 2**63 - 1, "x"), (None, "s", "z", 1, "x"), (3, "s", "", 0, "-"), (4, "", "é", 0, "1:-")]
     rows += [(i, "s", "z", 2**63 - 1, "y") for i in range(20, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
     assert found(M.manifest(docs, tampered())) == expected(rows)
