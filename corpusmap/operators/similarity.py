@@ -1,58 +1,86 @@
 """Zero-shot category (VEC-6) and exact k-nearest points (VEC-7).
 
-``categorize`` compares every point with a handful of label vectors. The label
-table is fixed by configuration (8 labels in the original service), so it is
-checked against ``MAX_LABELS`` and inlined as a literal matrix: no join at all,
-the work is one native projection next to the scan.
-
-``nearest`` is exact top-k by cosine. The query block (at most
-``QUERY_BLOCK`` rows, checked) is shipped to every task; each task multiplies
-its Arrow batches of unit points by the block and keeps only the running top-k
-per query (ties at the cut are kept), so the shuffle carries at most
-``k x partitions`` rows per query whatever the corpus size. A final window over
-``query`` (bounded by the same number) picks the global top-k with the rule
-"higher cosine first, lower key on ties". Larger query sets run block by block.
+``categorize`` multiplies Arrow batches of unit vectors by the label matrix.
+The labels are configuration, a part of the model like its weights: the matrix
+is taken once and sent to every worker once, and is walked in blocks of
+``LABEL_BLOCK`` rows, so any number of labels fits. No join and no shuffle.
+
+``nearest`` is exact top-k by cosine as a block join, with neither side on the
+driver nor broadcast. The queries of a group (e.g. a dataset) are hashed into
+blocks of about ``QUERY_BLOCK`` rows and its points into shards of about
+``POINT_SHARD`` rows; points are copied once per block, queries once per shard,
+and each (group, block, shard) meets in one task, which multiplies the two
+small matrices and keeps the top k of every query. A group that holds a third
+of all points is many shards. Of the candidates, Spark limits each query's
+rows to k in every task before they are shuffled (window group limit), and one
+window picks the result: "higher cosine first, lower key on ties" (cosines are
+compared after rounding to ``COMPARED`` places, since the sums of equal vectors
+can differ in the last bit with their place in a matrix).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmap.functions.vectors import dot, l2_normalize
-from corpusmap.session import bounded_rows, dense_index
+from corpusmap.session import cut_lineage
 
-MAX_LABELS = 1024
-QUERY_BLOCK = 4096
+LABEL_BLOCK = 1024
+QUERY_BLOCK = 2048
+POINT_SHARD = 16_384
+MULTIPLIED = 256            # queries of a block multiplied at once
+COMPARED = 12
 NEAREST_K = 8
 NORM_FLOOR = 1e-12
 
 
-def label_matrix(labels: DataFrame, vec_col: str = "vector") -> list[list[float]]:
-    rows = bounded_rows(labels.select("idx", vec_col).orderBy("idx"), MAX_LABELS, "category labels")
-    idx = [r["idx"] for r in rows]
-    if idx != list(range(len(idx))):
+def label_matrix(labels: DataFrame, vec_col: str = "vector") -> np.ndarray:
+    """The configured label vectors as one matrix, in the order of ``idx``."""
+    got = labels.select("idx", F.col(vec_col).cast("array<double>").alias("v")).orderBy("idx").toArrow()
+    if got["idx"].to_pylist() != list(range(got.num_rows)):
         raise ValueError("category label indexes must be 0..n-1")
-    return [[float(x) for x in r[vec_col]] for r in rows]
+    return np.array(got["v"].to_pylist(), dtype=np.float64).reshape(got.num_rows, -1)
 
 
-def categorize(points: DataFrame, labels, vec_col: str = "vector",
-               unit_col: str | None = None, places: int = 4) -> DataFrame:
+def _best_label(unit: np.ndarray, labels: np.ndarray):
+    """Index and cosine of each row's most similar label, the lowest on ties."""
+    best = np.full(len(unit), -np.inf)
+    at = np.full(len(unit), -1, dtype=np.int64)
+    for lo in range(0, len(labels), LABEL_BLOCK):
+        sims = np.round(unit @ labels[lo:lo + LABEL_BLOCK].T, COMPARED)
+        k = sims.argmax(axis=1)
+        v = sims[np.arange(len(unit)), k]
+        better = v > best
+        best[better], at[better] = v[better], k[better] + lo
+    return at, best
+
+
+def categorize(points: DataFrame, labels, vec_col: str = "vector", places: int = 4) -> DataFrame:
     """Adds ``category`` (index of the most similar label, lowest index on ties)
     and ``similarity`` (that cosine, rounded). Labels must be unit vectors;
     ``labels`` is the label table or a matrix already taken from it with
-    ``label_matrix`` (so one job can categorise several frames)."""
-    mat = labels if isinstance(labels, list) else label_matrix(labels)
-    lit = F.array(*[F.array(*[F.lit(v) for v in row]) for row in mat])
-    u = F.col(unit_col) if unit_col else l2_normalize(vec_col)
-    out = points.withColumn("_u", u).withColumn("_sims", F.transform(lit, lambda l: dot("_u", l)))
-    best = F.array_max("_sims")
-    return (out.withColumn("category", (F.array_position("_sims", best) - 1).cast("long"))
-            .withColumn("similarity", F.round(best, places))
-            .drop("_u", "_sims"))
+    ``label_matrix`` (so one job can categorise several frames). A null vector,
+    or a set without labels, gives nulls."""
+    mat = label_matrix(labels) if isinstance(labels, DataFrame) else np.asarray(labels, dtype=np.float64)
+    sent = points.sparkSession.sparkContext.broadcast(mat)
+
+    @F.pandas_udf("category long, similarity double")
+    def best(vectors: pd.Series) -> pd.DataFrame:
+        here, matrix = vectors.notna().to_numpy(), sent.value
+        out = pd.DataFrame({"category": pd.array([None] * len(vectors), dtype="Int64"),
+                            "similarity": pd.array([None] * len(vectors), dtype="Float64")})
+        if here.any() and len(matrix):
+            at, sim = _best_label(_matrix(vectors[here]), matrix)
+            out.loc[here, "category"], out.loc[here, "similarity"] = at, sim
+        return out
+
+    best = best.asNondeterministic()    # not moved below a union, where Spark evaluates it for one side only
+    return (points.withColumn("_best", best(vec_col))
+            .withColumn("category", F.col("_best.category"))
+            .withColumn("similarity", F.round("_best.similarity", places)).drop("_best"))
 
 
 def _unit_rows(mat: np.ndarray) -> np.ndarray:
@@ -60,108 +88,76 @@ def _unit_rows(mat: np.ndarray) -> np.ndarray:
     return mat / np.maximum(n, NORM_FLOOR)
 
 
-def _topk_keep_ties(sims: np.ndarray, keys: np.ndarray, k: int):
-    """For each column, the rows within the top k (ties at the cut kept)."""
-    m = sims.shape[0]
-    if m <= k:
-        return [np.arange(m)] * sims.shape[1]
-    part = np.partition(sims, m - k, axis=0)[m - k]  # k-th largest per column
-    return [np.nonzero(sims[:, j] >= part[j])[0] for j in range(sims.shape[1])]
-
-
-def _make_topk(qblock_bc, k: int, key_col: str, group_col: str | None, extra: list[str]):
-    """Build the per-partition function; the broadcast ``qblock_bc`` maps
-    group -> (query ids, unit query matrix)."""
-
-    def run(batches):
-        qblock = qblock_bc.value
-        state: dict = {}  # group -> (sims[m, q], rows DataFrame)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            groups = pdf.groupby(group_col, sort=False) if group_col else [(None, pdf)]
-            for g, grp in groups:
-                if g not in qblock:
-                    continue
-                qids, qmat = qblock[g]
-                pts = _unit_rows(np.stack(grp["_vec"].to_numpy()).astype(np.float64))
-                sims = pts @ qmat.T
-                rows = grp[[key_col, *extra]].reset_index(drop=True)
-                if g in state:
-                    old_sims, old_rows = state[g]
-                    sims = np.vstack([old_sims, sims])
-                    rows = pd.concat([old_rows, rows], ignore_index=True)
-                keep = _topk_keep_ties(sims, rows[key_col].to_numpy(), k)
-                union = np.unique(np.concatenate(keep)) if keep else np.arange(0)
-                state[g] = (sims[union], rows.iloc[union].reset_index(drop=True))
-        for g, (sims, rows) in state.items():
-            qids, _ = qblock[g]
-            keep = _topk_keep_ties(sims, rows[key_col].to_numpy(), k)
-            parts = []
-            for j, sel in enumerate(keep):
-                if len(sel) == 0:
-                    continue
-                part = rows.iloc[sel].copy()
-                part["query_id"] = qids[j]
-                part["cosine"] = sims[sel, j]
-                if group_col:
-                    part[group_col] = g
-                parts.append(part)
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return _unit_rows(np.stack(vectors.to_numpy()).astype(np.float64))
 
+
+def _top_rows(sims: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each column's k largest values; of equal values the first rows."""
+    m = len(sims)
+    if m <= k:
+        return sims > -np.inf
+    cut = np.partition(sims, m - k, axis=0)[m - k]              # k-th largest per column
+    above, level = sims > cut, sims == cut
+    return (above | (level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0)))) & (sims > -np.inf)
+
+
+def _local_top(k: int, key_col: str, names: list[str]):
+    """Top k of every query of a block within one shard of points."""
+    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if points.empty or queries.empty:
+            return pd.DataFrame(columns=names)
+        points = points.sort_values(key_col, kind="stable").reset_index(drop=True)
+        unit, parts = _matrix(points["_vec"]), []
+        for at in range(0, len(queries), MULTIPLIED):
+            some = queries.iloc[at:at + MULTIPLIED]
+            sims = np.round(unit @ _matrix(some["_vec"]).T, COMPARED)
+            sims[np.isnan(sims)] = -np.inf
+            row, col = np.nonzero(_top_rows(sims, k))
+            part = points.iloc[row].drop(columns="_vec").reset_index(drop=True)
+            part["query_id"] = some["query_id"].to_numpy()[col]
+            part["cosine"] = sims[row, col]
+            parts.append(part)
+        return pd.concat(parts, ignore_index=True)[names]
     return run
 
 
-def _block_from_rows(rows, qvec: str, group_col: str | None):
-    block: dict = {}
-    for r in rows:
-        g = r[group_col] if group_col else None
-        block.setdefault(g, ([], []))
-        block[g][0].append(r["query_id"])
-        block[g][1].append(np.asarray(r[qvec], dtype=np.float64))
-    return {g: (np.asarray(ids), _unit_rows(np.stack(vs))) for g, (ids, vs) in block.items()}
+def _parts(n: Column, size: int) -> Column:
+    return F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int = NEAREST_K, key_col: str = "id",
             vec_col: str = "vector", qvec: str = "vector", group_col: str | None = None,
-            extra: list[str] | None = None, places: int = 4) -> DataFrame:
+            extra: list[str] | None = None, places: int = 4, written: bool = False) -> DataFrame:
     """Top-k points per query: ``(query_id, [group], rank, key, *extra, similarity)``.
 
     ``queries`` needs ``query_id`` and a vector; with ``group_col`` a query is
-    only compared with points of its own group (e.g. dataset).
+    only compared with points of its own group (e.g. dataset). Query vectors
+    are written once (they are counted and then joined); say ``written`` if they
+    come from a written table. Null vectors and null groups take no part.
     """
     extra = list(extra or [])
-    cols = ["query_id", qvec] + ([group_col] if group_col else [])
-    first = queries.select(*cols).limit(QUERY_BLOCK + 1).collect()
-    if len(first) <= QUERY_BLOCK:          # the usual case: one block, one job
-        blocks = [first]
-    else:                                  # block by block, each block checked
-        indexed = dense_index(queries.select(*cols), ["query_id"], name="_qpos")
-        nq = indexed.count()
-        blocks = [bounded_rows(indexed.filter((F.col("_qpos") / QUERY_BLOCK).cast("long") == b).drop("_qpos"),
-                               QUERY_BLOCK, "query block")
-                  for b in range((nq + QUERY_BLOCK - 1) // QUERY_BLOCK)]
-    pts = points.select(key_col, *extra, *([group_col] if group_col else []), F.col(vec_col).alias("_vec"))
-    key_type = points.schema[key_col].dataType
-    fields = [T.StructField(key_col, key_type)]
-    fields += [points.schema[c] for c in extra]
-    fields += [T.StructField("query_id", queries.schema["query_id"].dataType),
-               T.StructField("cosine", T.DoubleType())]
-    if group_col:
-        fields.append(points.schema[group_col])
-    schema = T.StructType(fields)
-    cands = None
-    for rows in blocks:
-        if not rows:
-            continue
-        block = points.sparkSession.sparkContext.broadcast(_block_from_rows(rows, qvec, group_col))
-        part = pts.mapInPandas(_make_topk(block, k, key_col, group_col, extra), schema=schema)
-        cands = part if cands is None else cands.unionByName(part)
-    if cands is None:
-        return points.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0)) \
-            .withColumn("similarity", F.col("cosine"))
-    parts = ["query_id"] + ([group_col] if group_col else [])
-    w = Window.partitionBy(*parts).orderBy(F.desc("cosine"), F.asc(key_col))
+    group = [group_col] if group_col else []
+    qs = queries.select("query_id", *group, F.col(qvec).alias("_vec")).filter(F.col("_vec").isNotNull())
+    qs = qs if written else cut_lineage(qs, "queries")
+    pts = points.select(key_col, *extra, *group, F.col(vec_col).alias("_vec")).filter(F.col("_vec").isNotNull())
+    if group:
+        dealt = (qs.groupBy(*group).agg(_parts(F.count(F.lit(1)), QUERY_BLOCK).alias("_blocks"))
+                 .join(pts.groupBy(*group).agg(_parts(F.count(F.lit(1)), POINT_SHARD).alias("_shards")), group))
+        pts, qs = pts.join(dealt, group), qs.join(dealt, group)
+    else:
+        sizes = [_parts(F.lit(qs.count()), QUERY_BLOCK).alias("_blocks"), _parts(F.lit(pts.count()), POINT_SHARD).alias("_shards")]
+        pts, qs = pts.select("*", *sizes), qs.select("*", *sizes)
+    zero = F.lit(0)
+    pts = (pts.withColumn("_shard", F.pmod(F.xxhash64(key_col), F.col("_shards")).cast("int"))
+           .withColumn("_block", F.explode(F.sequence(zero, F.col("_blocks") - 1))).drop("_blocks", "_shards"))
+    qs = (qs.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int"))
+          .withColumn("_shard", F.explode(F.sequence(zero, F.col("_shards") - 1))).drop("_blocks", "_shards"))
+    schema = T.StructType([points.schema[c] for c in [key_col, *extra, *group]]
+                          + [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("cosine", T.DoubleType())])
+    meet = [*group, "_block", "_shard"]
+    cands = (pts.groupBy(*meet).cogroup(qs.groupBy(*meet))
+             .applyInPandas(_local_top(k, key_col, schema.names), schema))
+    w = Window.partitionBy("query_id", *group).orderBy(F.desc("cosine"), F.asc(key_col))
     ranked = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.withColumn("similarity", F.round("cosine", places))

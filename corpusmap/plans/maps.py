@@ -47,12 +47,8 @@ def build_maps(members: DataFrame, labels, dim: int,
     if materialize:
         proj = cut_lineage(proj)
     placed = project(indexed, proj)
-    # one normalisation: the category uses the unit vector in double, the
-    # stored unit vector is its float32 copy
-    unit = placed.withColumn("_unit", l2_normalize("vector"))
-    points = (categorize(unit, labels, unit_col="_unit")
-              .withColumn("unit", F.transform("_unit", lambda x: x.cast("float")))
-              .drop("vector", "_unit"))
+    points = (categorize(placed, labels)
+              .withColumn("unit", F.transform(l2_normalize("vector"), lambda x: x.cast("float"))).drop("vector"))
     return points, proj, quarantine
 
 
@@ -113,11 +109,11 @@ def answer_queries(queries: DataFrame, points: DataFrame, projection: DataFrame,
     (``nearest_similarity`` is the cosine of that neighbour). A query on a
     dataset without points is answered too: at the origin, with its category
     and no neighbour."""
-    placed = project(queries.select("query_id", "dataset", "vector"), projection, how="left")
+    queries = cut_lineage(queries.select("query_id", "dataset", "vector"), "queries")
+    placed = project(queries, projection, how="left")
     cat = categorize(placed, labels)
-    nn = nearest(points.select("dataset", "id", "idx", F.col("unit").alias("vector")),
-                 queries.select("query_id", "dataset", "vector"), k=k, key_col="id",
-                 group_col="dataset", extra=["idx"])
+    nn = nearest(points.select("dataset", "id", "idx", F.col("unit").alias("vector")), queries, k=k, key_col="id",
+                 group_col="dataset", extra=["idx"], written=True)
     nn = nn.select("query_id", "dataset", "rank", F.col("idx").alias("nearest_idx"),
                    F.col("id").alias("nearest_id"), F.col("similarity").alias("nearest_similarity"))
     return cat.drop("vector").join(nn, ["query_id", "dataset"], "left")

@@ -48,7 +48,8 @@ def test_text_work_is_one_projection(spark):
     assert _shuffles(plan) == 0 and _read_columns(plan) == [["html", "page_id"]]
 
 
-def test_nearest_shuffles_only_candidates(spark):
+def test_nearest_is_a_block_join(spark):
     plan = _plan(spark, "nearest_points")
-    # one window shuffle over at most k candidates per (task, query); the points never move
-    assert _shuffles(plan) == 1 and "MapInPandas" in plan
+    # points and query blocks meet once, then the limited candidates; nothing is broadcast or taken to the driver
+    assert _shuffles(plan) == 3 and "FlatMapCoGroupsInPandas" in plan and "WindowGroupLimit" in plan
+    assert "Broadcast" not in plan

@@ -30,16 +30,67 @@ def test_dense_index_hot_group(spark):
     assert got.filter("grp = 'hot'").select(F.max("idx")).first()[0] == 2999
 
 
-def test_nearest_block_by_block(spark, monkeypatch):
+def _vectors(spark, mat, key):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(mat)], f"{key} long, vector array<float>")
+
+
+def _brute(pts, qs, k):
+    p, q = (m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True) for m in (pts, qs))
+    out = {}
+    for j, v in enumerate(q):
+        for rank, i in enumerate(np.argsort(-np.round(p @ v, SIM.COMPARED), kind="stable")[:k], 1):
+            out[j, rank] = int(i)
+    return out
+
+
+def test_nearest_in_blocks_and_shards(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    pts = rng.normal(size=(80, 6)).astype(np.float32)
-    qs = rng.normal(size=(10, 6)).astype(np.float32)
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(pts)], "id long, vector array<float>")
-    q = spark.createDataFrame([(j, [float(x) for x in v]) for j, v in enumerate(qs)], "query_id long, vector array<float>")
-    one = {(r.query_id, r.rank): r.id for r in SIM.nearest(df, q, k=5).collect()}
+    pts, qs = rng.normal(size=(80, 6)).astype(np.float32), rng.normal(size=(10, 6)).astype(np.float32)
+    df, q = _vectors(spark, pts, "id"), _vectors(spark, qs, "query_id")
+    one = {(r.query_id, r["rank"]): r.id for r in SIM.nearest(df, q, k=5).collect()}
     monkeypatch.setattr(SIM, "QUERY_BLOCK", 3)
-    many = {(r.query_id, r.rank): r.id for r in SIM.nearest(df, q, k=5).collect()}
-    assert one == many and len(one) == 50
+    monkeypatch.setattr(SIM, "POINT_SHARD", 11)
+    many = {(r.query_id, r["rank"]): r.id for r in SIM.nearest(df, q, k=5).collect()}
+    assert one == many == _brute(pts, qs, 5)
+
+
+def test_nearest_of_many_queries(spark):
+    """20,000 queries, several blocks, equal points (ties go to the lower key)."""
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(300, 8)).astype(np.float32)
+    pts[100:200] = pts[:100]
+    qs = rng.normal(size=(20_000, 8)).astype(np.float32)
+    got = {(r.query_id, r["rank"]): r.id for r in SIM.nearest(_vectors(spark, pts, "id"), _vectors(spark, qs, "query_id"), k=4).collect()}
+    assert got == _brute(pts, qs, 4)
+
+
+def test_nearest_hot_group_and_copies(spark, monkeypatch):
+    """One group holds most points, many of them copies of one; null vectors and groups take no part."""
+    monkeypatch.setattr(SIM, "POINT_SHARD", 50)
+    rows = [("hot", i, [1.0, 0.0] if i % 2 else [float(i), 1.0]) for i in range(600)] + [("cold", 1, [0.0, 1.0])]
+    rows += [("hot", 9_999, None), (None, 5, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "dataset string, id long, vector array<float>")
+    q = spark.createDataFrame([(1, "hot", [2.0, 0.0]), (2, "cold", [1.0, 1.0]), (3, "none", [1.0, 1.0]), (4, None, [1.0, 1.0])],
+                              "query_id long, dataset string, vector array<float>")
+    got = sorted((r.query_id, r["rank"], r.id) for r in SIM.nearest(df, q, k=3, group_col="dataset").collect())
+    assert got == [(1, 1, 1), (1, 2, 3), (1, 3, 5), (2, 1, 1)]
+    assert SIM.nearest(df, q.limit(0), k=3, group_col="dataset").count() == 0
+    assert SIM.nearest(df.limit(0), q, k=3).count() == 0
+
+
+def test_many_labels(spark):
+    rng = np.random.default_rng(6)
+    lab = rng.normal(size=(5_000, 6))
+    lab /= np.linalg.norm(lab, axis=1, keepdims=True)
+    lab[4_000:4_100] = lab[:100]                                     # equal labels in another block: the lower index counts
+    pts = rng.normal(size=(200, 6)).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(lab)], "idx long, vector array<double>")
+    df = _vectors(spark, pts, "id").unionByName(spark.createDataFrame([(999, None)], "id long, vector array<float>"))
+    got = {r.id: (r.category, r.similarity) for r in SIM.categorize(df, rows).collect()}
+    sims = np.round(pts.astype(np.float64) / np.linalg.norm(pts.astype(np.float64), axis=1, keepdims=True) @ lab.T, SIM.COMPARED)
+    assert got.pop(999) == (None, None)
+    assert {i: c for i, (c, _) in got.items()} == dict(enumerate(sims.argmax(axis=1).tolist()))
+    assert all(abs(s - sims[i].max()) < 1e-4 for i, (_, s) in got.items())
 
 
 def test_limit_events(spark):
