@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from corpusmap.functions.vectors import invalid_reason, is_valid, l2_normalize
 from corpusmap.operators.encoders import hashing_vectors
-from corpusmap.operators.projection import fit_projection, project
+from corpusmap.operators.projection import changed_statistics, fit_projection, merge_statistics, project
 from corpusmap.operators.selection import parse_dataset_path, point_columns, point_index, validate_queries
 from corpusmap.operators.similarity import NEAREST_K, categorize, nearest
 from corpusmap.session import cut_lineage
 
 
-def build_maps(members: DataFrame, labels, dim: int,
-               materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_maps(members: DataFrame, labels, dim: int, materialize: bool = True,
+               projection: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns ``(points, projection, quarantine)``.
 
     points: ``(dataset, idx, id, x, y, z, category, similarity, unit)`` plus the
@@ -37,13 +37,14 @@ def build_maps(members: DataFrame, labels, dim: int,
     the same pass (AGG-7) -- to the shared checkpoint folder, which also cuts
     the lineage of the joins that produced them; the projection (one small row
     per dataset) is written right after the fit, so every later reader --
-    positions now, query answers later -- reuses it instead of refitting.
+    positions now, query answers later -- reuses it instead of refitting. A
+    ``projection`` fitted elsewhere (from stored statistics) is used as it is.
     """
     ok = is_valid("vector", dim)
     good = members.filter(ok)
     quarantine = members.filter(~ok).withColumn("reason", invalid_reason("vector", dim))
     indexed = point_index(good, whole_rows=materialize)
-    proj = fit_projection(indexed.drop("idx"))
+    proj = fit_projection(indexed.drop("idx")) if projection is None else projection
     if materialize:
         proj = cut_lineage(proj)
     placed = project(indexed, proj)
@@ -75,6 +76,29 @@ def touched_datasets(changed: DataFrame, *memberships: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def refresh_statistics(stored: DataFrame, gone: DataFrame, members: DataFrame, changed: DataFrame,
+                       known: DataFrame) -> DataFrame:
+    """STR-3: bring stored statistics ``(dataset, i, row, s, n)`` up to date.
+
+    ``gone`` are rows as they were, ``members`` the touched datasets as they are
+    (both ``(dataset, kind, id, vector)``, valid vectors only), ``changed(kind,
+    id)`` the rows that may differ; ``gone`` has every one of them that was there. In the ``known`` datasets only changed rows
+    are folded, and of those only the ones whose place or vector differs; a
+    dataset without a stored statistic is folded whole."""
+    come = members.select("dataset", "kind", "id", "vector")
+    rows = come.join(known, "dataset", "left_semi").join(changed, ["kind", "id"], "left_semi")
+    gone = gone.select("dataset", "kind", "id", "vector").join(known, "dataset", "left_semi")
+
+    def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+        key = ["dataset", "kind", "id"]
+        return (a.withColumn("v", F.xxhash64("vector"))
+                .join(b.select(*key, F.xxhash64("vector").alias("v")), [*key, "v"], "left_anti").select("dataset", "vector"))
+
+    come = differing(rows, gone).unionByName(come.join(known, "dataset", "left_anti").select("dataset", "vector"))
+    change = changed_statistics(differing(gone, rows), come)
+    return merge_statistics(stored, change)
+
+
 def refresh_datasets(members: DataFrame, labels, dim: int, state: DataFrame, generations: DataFrame,
                      before: DataFrame, kind: str = "project") -> tuple[DataFrame, DataFrame]:
     """STR-3: rebuild only the maps whose rows changed; bump their generation.

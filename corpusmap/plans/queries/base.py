@@ -193,6 +193,24 @@ gcards AS (
   FROM gdocs)"""
 
 
+# the pages that a gallery walk reaches: those before the first failed page or page without a card (SRC-13)
+GALLERY_BATCH_SQL = f"""
+gwalk AS (SELECT hackathon, page, NOT ((page + any_value(n_items)) % 7 = 0) AS ok, count_if(has_link) AS cards
+          FROM gcards GROUP BY hackathon, page),
+gend AS (SELECT hackathon, min(CASE WHEN NOT ok OR cards = 0 THEN page END) AS stop,
+                arg_min(CASE WHEN NOT ok THEN 'failed' ELSE 'empty' END, page) FILTER (WHERE NOT ok OR cards = 0) AS ended,
+                max(page) AS last FROM gwalk GROUP BY hackathon),
+gbatch AS (
+  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || c.text || ' &amp; co '")} AS name,
+         CASE WHEN c.doc_id % 13 = 4 THEN NULL ELSE c.lang END AS tagline,
+         (CASE WHEN c.doc_id % 17 = 2 THEN 0 ELSE (c.n_chars % 500) * 7 END)::BIGINT AS likes,
+         ['u' || CAST(c.doc_id % 50 AS VARCHAR), 'u' || CAST(c.doc_id % 7 AS VARCHAR)] AS members,
+         c.hackathon, NULL::INTEGER AS year, coalesce(c.quality = 1, false) AS winner,
+         (c.page * 1000 + c.card)::BIGINT AS ord, c.page
+  FROM gcards c JOIN gend s USING (hackathon) WHERE c.has_link AND c.page < coalesce(s.stop, c.page + 1)),
+project_batch AS (SELECT * EXCLUDE (page) FROM gbatch)"""
+
+
 PROJECT_PAGE_SQL = """
 pp AS (
   SELECT page_id,

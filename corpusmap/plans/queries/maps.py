@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmap.plans.queries.base import (BENCH_QD_SQL, CATEGORY_LABELS_SQL, DOC_PAGES_SQL,
-                                          GALLERY_EXPECTED_SQL, MAPS, MEMBERS_SQL, MEMBER_INDEX_SQL,
+                                          GALLERY_BATCH_SQL, GALLERY_EXPECTED_SQL, MAPS, MEMBERS_SQL, MEMBER_INDEX_SQL,
                                           ORACLE_SQL, PROJECTS_SQL, PROJECT_STATE_SQL, PROJECT_UPSERT_SQL,
                                           QUERY_NEIGHBOURS_SQL, REGISTRY_SQL, REPOS_SQL, REPO_UPSERT_SQL, S,
                                           SIM, ST, STORE, TEXT_REQ_SQL, TX, WORDY_SQL, _bench_queries, _maps,
-                                          _projects_after, cut_lineage_bronze, hash_sql, register, table,
+                                          _projects_after, cut_lineage_bronze, hash_sql, register, table, E, PG, U,
                                           with_sql)  # noqa: F401
 
 
@@ -124,31 +124,63 @@ def q_answer_text_queries(spark, sf_dir):
                                     F.lit(None).cast("long").alias("category"), "reason")))
 
 
-@register("stream_upsert")
+def _pages_out_of_order(spark, sf_dir, src):
+    """The gallery pages as files in three rounds: page 2, 5, 8 ..., then 3, 6 ..., then 1, 4 ..."""
+    gp = cut_lineage_bronze(ST.gallery_pages(spark, sf_dir).select("hackathon", "page", "status", "html"))
+    for k in (2, 0, 1):
+        gp.filter(F.col("page") % 3 == k).repartition(2, "hackathon", "page").write.mode("append").parquet(src)
+    return gp.schema
+
+
+@register("stream_upsert", with_sql(PROJECTS_SQL, GALLERY_EXPECTED_SQL, GALLERY_BATCH_SQL, PROJECT_UPSERT_SQL) + """
+SELECT id, slug, name, likes, winner, vector IS NOT NULL AS has_vector FROM projects_state""")
 def q_stream_upsert(spark, sf_dir):
-    """STR-1: gallery responses land as files; the stream drains them into
-    store snapshots (upsert per micro-batch)."""
+    """STR-1, SRC-13: gallery responses land as files, out of order; the stream
+    holds pages until the walk reaches them, drops those behind a failed page,
+    and drains the others into the store (upsert per micro-batch)."""
     from corpusmap.streaming.ingest import scratch_root, stream_upsert
     root = scratch_root(spark, "stream-upsert")
-    gp = ST.gallery_pages(spark, sf_dir).select("hackathon", "page", "status", "html")
-    src = f"{root}/incoming"
-    gp.repartition(4, "hackathon").write.mode("overwrite").parquet(src)
-    res = stream_upsert(spark, src, gp.schema, ST.projects(spark, sf_dir), root, max_files_per_trigger=1)
+    schema = _pages_out_of_order(spark, sf_dir, f"{root}/incoming")
+    res = stream_upsert(spark, f"{root}/incoming", schema, ST.projects(spark, sf_dir), root, max_files_per_trigger=2)
     store = spark.read.parquet(res["path"])
     return store.select("id", "slug", "name", "likes", "winner", F.col("vector").isNotNull().alias("has_vector"))
 
 
-ORACLE_SQL["stream_upsert"] = with_sql(PROJECTS_SQL, GALLERY_EXPECTED_SQL, f"""
-gstatus AS (SELECT hackathon, page, NOT ((page + any_value(n_items)) % 7 = 0) AS ok FROM gcards GROUP BY hackathon, page),
-project_batch AS (
-  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || c.text || ' &amp; co '")} AS name,
-         CASE WHEN c.doc_id % 13 = 4 THEN NULL ELSE c.lang END AS tagline,
-         (CASE WHEN c.doc_id % 17 = 2 THEN 0 ELSE (c.n_chars % 500) * 7 END)::BIGINT AS likes,
-         ['u' || CAST(c.doc_id % 50 AS VARCHAR), 'u' || CAST(c.doc_id % 7 AS VARCHAR)] AS members,
-         c.hackathon, NULL::INTEGER AS year, coalesce(c.quality = 1, false) AS winner,
-         (c.page * 1000 + c.card)::BIGINT AS ord
-  FROM gcards c JOIN gstatus s USING (hackathon, page) WHERE c.has_link AND s.ok)""", PROJECT_UPSERT_SQL) + """
-SELECT id, slug, name, likes, winner, vector IS NOT NULL AS has_vector FROM projects_state"""
+@register("walk_progress", with_sql(GALLERY_EXPECTED_SQL, GALLERY_BATCH_SQL) + """
+SELECT hackathon, coalesce(stop, last + 1)::BIGINT AS next_page, ended FROM gend""")
+def q_walk_progress(spark, sf_dir):
+    """STR-1, SRC-13: where every gallery walk stands after four batches of pages
+    out of order: the page it waits for, or what ended it."""
+    from corpusmap.streaming.ingest import scratch_root
+    from corpusmap.streaming.walk import WalkState
+    root = scratch_root(spark, "walk")
+    walk = WalkState(spark, f"{root}/walk")
+    gp = cut_lineage_bronze(ST.gallery_pages(spark, sf_dir).select("hackathon", "page", "status", "html"))
+    for k in (3, 1, 0, 2):
+        walk.step(gp.filter(F.col("page") % 4 == k))[1]()
+    return walk.read(99)[1].select("hackathon", "next_page", "ended")
+
+
+@register("supervised_sources", with_sql(PROJECTS_SQL, GALLERY_EXPECTED_SQL, GALLERY_BATCH_SQL, PROJECT_UPSERT_SQL) + """
+SELECT 'galleries' AS source, true AS ok, 1::BIGINT AS attempts, id, likes FROM projects_state
+UNION ALL SELECT 'repos', false, 2::BIGINT, NULL, NULL""")
+def q_supervised_sources(spark, sf_dir):
+    """STR-1: one stream per source under a supervisor. The folder of the repo
+    source holds a file that cannot be read: that stream fails, is started again
+    and given up; the gallery source drains all its files meanwhile."""
+    from corpusmap.streaming.ingest import scratch_root, start_upsert, start_upsert_repos, supervise
+    root = scratch_root(spark, "sources")
+    schema = _pages_out_of_order(spark, sf_dir, f"{root}/galleries")
+    pages = cut_lineage_bronze(ST.repo_listing_pages(spark, sf_dir))
+    pages.select(F.col("body").alias("value")).write.text(f"{root}/listings")       # not Parquet
+    repos, projects = ST.repos(spark, sf_dir), ST.projects(spark, sf_dir)
+    report = supervise({
+        "repos": lambda: start_upsert_repos(spark, f"{root}/listings", pages.schema, repos, f"{root}/a")[2],
+        "galleries": lambda: start_upsert(spark, f"{root}/galleries", schema, projects, f"{root}/b", max_files_per_trigger=2)[2]},
+        attempts=2)
+    told = spark.createDataFrame([(k, v["ok"], v["attempts"]) for k, v in report.items()], "source string, ok boolean, attempts long")
+    rows = spark.read.parquet(f"{root}/b/store").select(F.lit("galleries").alias("source"), "id", "likes")
+    return told.join(rows, "source", "left").select("source", "ok", "attempts", "id", "likes")
 
 
 @register("stream_embed")
@@ -237,37 +269,115 @@ def q_sync_pass(spark, sf_dir):
     return points.select("dataset", "generation", "idx", F.col("id").cast("long"), "category", "similarity")
 
 
-ORACLE_SQL["sync_pass"] = with_sql(PROJECTS_SQL, REGISTRY_SQL, REPOS_SQL, GALLERY_EXPECTED_SQL, CATEGORY_LABELS_SQL,
-                                   hash_sql("d", "documents", "doc_id", "text"), f"""
-gstatus AS (SELECT hackathon, page, NOT ((page + any_value(n_items)) % 7 = 0) AS ok FROM gcards
-            GROUP BY hackathon, page),
-gbatch AS (
-  SELECT c.id, c.slug, {TX.html_to_text_sql("' ' || c.text || ' &amp; co '")} AS name,
-         CASE WHEN c.doc_id % 13 = 4 THEN NULL ELSE c.lang END AS tagline,
-         (CASE WHEN c.doc_id % 17 = 2 THEN 0 ELSE (c.n_chars % 500) * 7 END)::BIGINT AS likes,
-         ['u' || CAST(c.doc_id % 50 AS VARCHAR), 'u' || CAST(c.doc_id % 7 AS VARCHAR)] AS members,
-         c.hackathon, NULL::INTEGER AS year, coalesce(c.quality = 1, false) AS winner,
-         (c.page * 1000 + c.card)::BIGINT AS ord, c.page
-  FROM gcards c JOIN gstatus s USING (hackathon, page) WHERE c.has_link AND s.ok),
-project_batch AS (SELECT * EXCLUDE (page) FROM gbatch)""", PROJECT_UPSERT_SQL, """
+EMBEDDED_SQL = """
 dvec AS (SELECT k AS id, list(val ORDER BY bucket) AS v, list(bucket ORDER BY bucket) AS b FROM d_vec GROUP BY k),
 ddense AS (SELECT id, [coalesce(v[list_position(b, i)], 0.0::FLOAT) FOR i IN range(64)] AS vec FROM dvec),
 embedded AS (
-  SELECT s.id, s.hackathon, s.year,
+  SELECT s.id, s.hackathon, s.year, s.winner, s.prizes, s.likes,
          CASE WHEN s.vector IS NOT NULL THEN s.vector
-              WHEN s.hackathon IN (SELECT hackathon FROM registry) THEN d.vec END AS vector
-  FROM projects_state s LEFT JOIN ddense d ON d.id = s.id)""",
-                                   MEMBERS_SQL.replace("FROM projects p", "FROM embedded p"), MEMBER_INDEX_SQL, """
+              WHEN s.hackathon IN (SELECT hackathon FROM registry) THEN d.vec END AS vector,
+         s.vector IS NULL AND s.hackathon IN (SELECT hackathon FROM registry) AND d.vec IS NOT NULL AS now
+  FROM projects_state s LEFT JOIN ddense d ON d.id = s.id)"""
+
+
+ORACLE_SQL["sync_pass"] = with_sql(PROJECTS_SQL, REGISTRY_SQL, REPOS_SQL, GALLERY_EXPECTED_SQL, CATEGORY_LABELS_SQL,
+                                   hash_sql("d", "documents", "doc_id", "text"), GALLERY_BATCH_SQL, PROJECT_UPSERT_SQL,
+                                   EMBEDDED_SQL, MEMBERS_SQL.replace("FROM projects p", "FROM embedded p"), MEMBER_INDEX_SQL, """
 sims AS (SELECT m.dataset, m.id, m.idx, c.idx AS cat, list_cosine_similarity(m.vector::DOUBLE[], c.vector) AS sim
          FROM mi m, cat_labels c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset, id ORDER BY sim DESC, cat) AS rn FROM sims),
 second AS (SELECT DISTINCT m.dataset FROM members m JOIN gbatch g ON g.id = m.id
-           WHERE m.dataset <> 'github' AND g.page % 2 = 0)""") + """
+           WHERE m.dataset <> 'github' AND g.page > 1)""") + """
 SELECT r.dataset, (CASE WHEN s.dataset IS NOT NULL THEN 2 ELSE 1 END)::BIGINT AS generation, r.idx::BIGINT AS idx,
        r.id::BIGINT AS id, r.cat::BIGINT AS category, (round(r.sim, 4) + 0.0) AS similarity
 FROM ranked r LEFT JOIN second s ON s.dataset = r.dataset WHERE r.rn = 1"""
 
 
+@register("incremental_scatter", PROJECT_STATE_SQL + ",\n" + ",\n".join(f.strip() for f in (
+    REGISTRY_SQL, REPOS_SQL, hash_sql("d", "documents", "doc_id", "text"), EMBEDDED_SQL,
+    MEMBERS_SQL.replace("FROM projects p", "FROM embedded p"), """
+cells AS (SELECT m.dataset, m.id, u.pos - 1 AS i, u.val::DOUBLE AS v
+          FROM members m, unnest(m.vector) WITH ORDINALITY AS u(val, pos)),
+mu AS (SELECT dataset, i, avg(v) AS mu FROM cells GROUP BY ALL),
+c AS (SELECT cells.dataset, cells.id, cells.i, cells.v - mu.mu AS cv FROM cells JOIN mu USING (dataset, i))""")) + """
+SELECT a.dataset, a.i::BIGINT AS i, b.i::BIGINT AS j, (round(sum(a.cv * b.cv), 6) + 0.0) AS value
+FROM c a JOIN c b ON a.dataset = b.dataset AND a.id = b.id GROUP BY ALL""")
+def q_incremental_scatter(spark, sf_dir):
+    """STR-3, AGG-2: the stored statistics of all maps follow two changes of the
+    store -- an upsert that moves projects between hackathons, then the
+    embedding of pending ones -- from the changed rows alone."""
+    from corpusmap.operators.projection import gram_rows, scatter_of
+    from corpusmap.session import cut_lineage
+    repos, reg = ST.repos(spark, sf_dir), ST.registry(spark, sf_dir)
+    project = F.lit("project").alias("kind")
+    stored = cut_lineage(gram_rows(S.dataset_members(repos, ST.projects(spark, sf_dir), reg)), "statistics")
+    now, old = cut_lineage(_projects_after(spark, sf_dir), "state"), ST.projects(spark, sf_dir)
+    ids = cut_lineage(now.filter("action <> 'unchanged'").select(project, "id"), "changed")
+    for step in range(2):
+        if step:
+            pending = S.pending_projects(now, reg).select("id")
+            texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+            vecs = cut_lineage(E.hashing_vectors(texts.join(pending, "id", "left_semi"), "id", "text"), "vectors")
+            old, now, ids = now, U.write_vectors(now, vecs), vecs.select(project, "id")
+        gone = S.dataset_members(repos.limit(0), old, reg).join(ids, ["kind", "id"], "left_semi")
+        come = S.dataset_members(repos, now, reg)
+        known = stored.select("dataset").distinct().unionByName(come.select("dataset").distinct()).distinct()
+        stored = cut_lineage(MAPS.refresh_statistics(stored, gone, come, ids, known), "statistics")
+    return scatter_of(stored).select("dataset", F.col("i").cast("long"), F.col("j").cast("long"),
+                                     F.round("value", 6).alias("value"))
+
+
+@register("service_pass", with_sql(PROJECTS_SQL, REGISTRY_SQL, REPOS_SQL, GALLERY_EXPECTED_SQL, DOC_PAGES_SQL, WORDY_SQL,
+                                   hash_sql("d", "documents", "doc_id", "text"), GALLERY_BATCH_SQL, PROJECT_UPSERT_SQL,
+                                   EMBEDDED_SQL, """
+repo_pages AS (SELECT *, (idx // 20 + 1) AS page, (idx // 20) // 10 AS win FROM doc_pages),
+bad_windows AS (SELECT DISTINCT win FROM repo_pages WHERE page % 17 = 5 OR page % 19 = 7),
+repo_batch AS (
+  SELECT source || '/' || CAST(doc_id AS VARCHAR) AS name,
+         CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN NULL ELSE text END AS "desc",
+         (CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END)::BIGINT AS stars, [lang, source] AS topics,
+         (page * 1000 + idx % 20)::BIGINT AS ord
+  FROM repo_pages WHERE win NOT IN (SELECT win FROM bad_windows))""", REPO_UPSERT_SQL, """
+rtop AS (SELECT * FROM repos_after ORDER BY stars DESC NULLS LAST, id LIMIT 1000),
+won AS (SELECT page_id AS id, CASE WHEN page_id % 10 = 9 OR page_id % 3 = 0 THEN ''
+               ELSE 'Prize ' || CAST(page_id AS VARCHAR) || ' & more' || chr(10) || 'Runner up' END AS prizes FROM pages)""") + """
+SELECT 'repo' AS kind, r.id, r.name, r.stars AS score,
+       r.vector IS NOT NULL OR (w.name IS NOT NULL AND r.id IN (SELECT id FROM rtop)) AS has_vector, NULL AS prizes
+FROM repos_after r LEFT JOIN wordy w ON w.name = r.name
+UNION ALL
+SELECT 'project', e.id, NULL, e.likes, e.vector IS NOT NULL,
+       CASE WHEN coalesce(e.winner, false) AND w.id IS NOT NULL
+                 AND (e.now OR (e.prizes IS NULL AND e.hackathon IN (SELECT hackathon FROM registry)))
+            THEN w.prizes ELSE array_to_string(e.prizes, chr(10)) END
+FROM embedded e LEFT JOIN won w ON w.id = e.id""")
+def q_service_pass(spark, sf_dir):
+    """STR-1..4 with all sources: repo windows (one with a bad page is dropped and
+    no repo is embedded in that pass), galleries, vectors and prizes. The second
+    pass has the whole windows only, so its pending repos are embedded. Returns
+    the stores."""
+    from corpusmap.plans import sync as SYNC
+    from corpusmap.streaming.ingest import scratch_root
+    root = scratch_root(spark, "service")
+    SYNC.init_store(ST.projects(spark, sf_dir), root, ST.repos(spark, sf_dir))
+    d = table(spark, sf_dir, "documents")
+    texts = d.select(F.col("doc_id").alias("id"), "text")
+    readmes = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("name"), "text")
+    listings = cut_lineage_bronze(ST.repo_listing_pages(spark, sf_dir)).withColumn("window", F.floor((F.col("page") - 1) / 10))
+    bad = listings.filter("page % 17 = 5 OR page % 19 = 7").select("window")
+    prizes = PG.page_prizes(ST.project_pages(spark, sf_dir)).select(F.col("page_id").cast("long").alias("id"), "prizes")
+    gp = cut_lineage_bronze(ST.gallery_pages(spark, sf_dir).select("hackathon", "page", "status", "html"))
+    labels = SIM.label_matrix(ST.category_labels(spark, sf_dir))
+    for pages, lists in ((gp, listings), (gp.limit(0), listings.join(bad, "window", "left_anti"))):
+        SYNC.sync_pass(spark, root, pages, texts, None, ST.registry(spark, sf_dir), labels, 64, listings=lists,
+                       readmes=readmes, prizes=prizes)
+    repos = spark.read.parquet(f"{root}/repos").select(
+        F.lit("repo").alias("kind"), "id", "name", F.col("stars").alias("score"), F.col("vector").isNotNull().alias("has_vector"),
+        F.lit(None).cast("string").alias("prizes"))
+    return repos.unionByName(spark.read.parquet(f"{root}/projects").select(
+        F.lit("project").alias("kind"), "id", F.lit(None).cast("string").alias("name"), F.col("likes").alias("score"),
+        F.col("vector").isNotNull().alias("has_vector"), F.array_join("prizes", "\n").alias("prizes")))
+
+
 @register("stream_upsert_repos", with_sql(REPOS_SQL, DOC_PAGES_SQL, """
 repo_batch AS (
   SELECT source || '/' || CAST(doc_id AS VARCHAR) AS name,
