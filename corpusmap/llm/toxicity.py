@@ -6,16 +6,24 @@ words and word beginnings, and the bag's probability is the noisy-or
 1 - prod(1 - p). In a document of n sentences the log odds z of each are less by
 a learned multiple, at least 1, of log(n) times the probability 1 - p(z) that it is
 harmless: so harmless sentences do not add up, however many there are, and a
-sentence that is toxic by itself counts in a document of any length. The weights are trained from document labels by gradient
-ascent through the noisy-or (AdaGrad, L2); afterwards the same sentence scores locate the
-offending sentences.
+sentence that is toxic by itself counts in a document of any length.
+
+Only features that go with the labels beyond chance take part: those whose
+log-likelihood ratio over training documents is at least ``MIN_G2`` (about one
+false one in 10^8), so the weights cannot learn single documents by heart. The
+weights are trained from document labels by gradient ascent through the
+noisy-or (AdaGrad, L2). A document's log odds are then moved by the amount that
+puts the best cut of the training scores (F1) at 0.5. In a document of score 0.5
+or more, the sentences that would reach it by themselves are the offending ones
+(at least its strongest).
 
 The model is fitted on at most ``max_docs`` labelled documents (those with the
 smallest hash of their id) of any length, in that order up to the one that
 reaches ``total_chars`` characters; it is applied to every whole text. A text
-without words has the score of the bias alone. Rows with a null label or id
-never train. Without any training row every score is at most about the prior of
-the bias, whatever the length.
+without words (null and empty texts too) has the score of the bias alone; very
+long texts are read whole; repeated rows have equal scores. Rows with a null
+label or id never train. Without any training row, or an empty table to train
+on, every score is at most about the prior of the bias, whatever the length.
 """
 
 from __future__ import annotations
@@ -39,12 +47,16 @@ MAX_DOCS = 6000
 TOTAL_CHARS = 24_000_000
 #: Size of the hashed feature space, and lengths of word beginnings used as features.
 BUCKETS = 1 << 18
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (3, 4, 5, 6, 7)
 EPOCHS = 60
 RATE = 0.3
 DECAY = 1.0
-#: A bucket takes part if it occurs in so many training documents.
+#: A feature takes part if it occurs in so many training documents, and its
+#: log-likelihood ratio with the labels is so large.
 MIN_DOCS = 5
+MIN_G2 = 33.0
+#: Bounds of the training score that becomes 0.5.
+CUTS = (0.05, 0.95)
 FIRST_BIAS = -8.0
 #: Least and first multiple of log(sentences) that a harmless sentence loses.
 LEAST_SLOPE = 1.0
@@ -56,15 +68,16 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 
 
 class Bias(float):
-    """Bias of a sentence, and the multiple of log(sentences) that a harmless
-    one loses (none for a plain number)."""
+    """Bias of a sentence, the multiple of log(sentences) that a harmless one
+    loses, and what a document's log odds are moved by (none for a plain number)."""
 
     slope = 0.0
+    shift = 0.0
 
     @classmethod
-    def with_slope(cls, value: float, slope: float) -> Bias:
+    def of(cls, value: float, slope: float, shift: float = 0.0) -> Bias:
         out = cls(value)
-        out.slope = slope
+        out.slope, out.shift = slope, shift
         return out
 
 
@@ -124,48 +137,85 @@ class WordScores(dict):
         return s
 
 
+def log_likelihood_ratio(with_toxic: np.ndarray, with_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """G2 of each feature's table of documents (with or without it, toxic or not);
+    0 for features that go with clean documents."""
+    n = toxic + clean
+
+    def part(seen, share):
+        return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(share, 1e-9))
+
+    both = with_toxic + with_clean
+    g2 = 2 * (part(with_toxic, both * toxic / n) + part(with_clean, both * clean / n)
+              + part(toxic - with_toxic, (n - both) * toxic / n) + part(clean - with_clean, (n - both) * clean / n))
+    return np.where(with_toxic * n > both * toxic, g2, 0)
+
+
+def telling_features(texts: list[str], y: np.ndarray) -> np.ndarray:
+    """Mask of the buckets that take part."""
+    counts = np.zeros((2, BUCKETS))
+    for text, label in zip(texts, y):
+        words = set(TOKEN.findall(lowered(text)))
+        found = {f for w in words if w[0] not in ".!?\n" for f in features(w)}
+        counts[int(label), list(found)] += 1
+    g2 = log_likelihood_ratio(counts[1], counts[0], int(y.sum()), int((~y).sum()))
+    return (counts.sum(axis=0) >= MIN_DOCS) & (g2 >= MIN_G2)
+
+
+def best_cut(scores: np.ndarray, y: np.ndarray) -> float:
+    """The score, within CUTS, that parts toxic from clean documents with the
+    best F1: the middle, in log odds, of the scores around it."""
+    order = np.argsort(-scores, kind="stable")
+    s, hits = scores[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
+    f1[:-1][s[:-1] == s[1:]] = -1                       # no cut between equal scores
+    k = int(np.argmax(f1))
+    if hits[-1] == 0:
+        return 0.5
+    low = s[k + 1] if k + 1 < len(s) else 0.0
+    return float(probability((log_odds(s[k]) + log_odds(low)) / 2).clip(*CUTS))
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, Bias]:
-    """Weights by bucket and bias, from whole texts and their labels."""
-    memo: dict[str, int] = {}
-    flat, n_feats, word_of, sent_of, doc_of = (array("i") for _ in range(5))
+    """Weights by bucket and bias, from whole texts and their labels. Of the
+    texts only the words with a feature that takes part are kept."""
+    weights = np.zeros(BUCKETS)
+    bias, slope = FIRST_BIAS, LEAST_SLOPE
+    y = np.asarray(labels, dtype=bool)
+    if not y.any() or y.all():
+        return weights, Bias.of(bias, slope)
+    used = telling_features(texts, y)
+    memo: dict[str, tuple[int, ...]] = {}
+    flat, sent_of, doc_of = (array("i") for _ in range(3))       # one entry a feature; one a sentence
     for d, text in enumerate(texts):
         for _, _, ws in sentences(lowered(text)) or [(0, 0, [])]:
             for w in ws:
-                if w not in memo:
-                    memo[w] = len(memo)
-                    f = features(w)
-                    flat.extend(f)
-                    n_feats.append(len(f))
-                word_of.append(memo[w])
-            sent_of.extend([len(doc_of)] * len(ws))
+                f = memo.get(w)
+                if f is None:
+                    if len(memo) >= MEMO_LIMIT:
+                        memo.clear()
+                    f = memo[w] = tuple(i for i in features(w) if used[i])
+                flat.extend(f)
+                sent_of.extend([len(doc_of)] * len(f))
             doc_of.append(d)
-    n_words, n_sent = len(memo), len(doc_of)
+    n_sent = len(doc_of)
     del memo
-    weights = np.zeros(BUCKETS)
-    bias, slope = FIRST_BIAS, LEAST_SLOPE
-    y = np.asarray(labels, dtype=bool)
-    if not n_words:
-        return weights, Bias.with_slope(bias, slope)
-    flat, n_feats, word_of, sent_of, doc_of = (np.frombuffer(x, dtype=np.intc)
-                                               for x in (flat, n_feats, word_of, sent_of, doc_of))
-    owner = np.repeat(np.arange(n_words, dtype=np.intc), n_feats)
-    pairs = np.unique(doc_of[sent_of].astype(np.int64) * n_words + word_of)
-    docs_with = np.bincount(flat, np.bincount(pairs % n_words, minlength=n_words)[owner], BUCKETS)
-    del pairs
-    used = docs_with >= MIN_DOCS
+    flat, sent_of, doc_of = (np.frombuffer(x, dtype=np.intc) if len(x) else np.empty(0, np.intc) for x in (flat, sent_of, doc_of))
     log_n = np.log(np.bincount(doc_of, minlength=len(y)))[doc_of]
     square, square_bias, square_slope = np.full(BUCKETS, 1e-6), 1e-6, 1e-6
-    for _ in range(epochs):
-        per_word = np.bincount(owner, weights[flat], n_words)
-        z = bias + np.bincount(sent_of, per_word[word_of], n_sent)
+
+    def forward():
+        z = bias + np.bincount(sent_of, weights[flat], n_sent)
         alone = probability(z)
         p = probability(z - slope * log_n * (1 - alone))
-        log_clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))
+        return alone, p, np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))
+
+    for _ in range(epochs):
+        alone, p, log_clean = forward()
         up = p * (np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-12))[doc_of]
         grad_p = np.where(y[doc_of], up, -p)
         grad_z = grad_p * (1 + slope * log_n * alone * (1 - alone))
-        grad_word = np.bincount(word_of, grad_z[sent_of], n_words)
-        grad = np.where(used, np.bincount(flat, grad_word[owner], BUCKETS) - DECAY * weights, 0)
+        grad = np.where(used, np.bincount(flat, grad_z[sent_of], BUCKETS) - DECAY * weights, 0)
         square += grad * grad
         weights += RATE * grad / np.sqrt(square)
         g = grad_z.sum()
@@ -174,7 +224,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.n
         g = -(grad_p * log_n * (1 - alone)).sum()
         square_slope += g * g
         slope = max(LEAST_SLOPE, slope + RATE * g / np.sqrt(square_slope))
-    return weights, Bias.with_slope(float(bias), float(slope))
+    cut = best_cut(-np.expm1(forward()[2]), y)
+    return weights, Bias.of(float(bias), float(slope), -float(log_odds(cut)))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int, total_chars: int, train: Column) -> DataFrame:
@@ -197,33 +248,44 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int, total_cha
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, max_docs: int = MAX_DOCS,
           total_chars: int = TOTAL_CHARS) -> tuple[np.ndarray, Bias]:
     """Fit on the bounded sample. ``docs`` has the columns doc_id and text."""
-    rows = training_sample(docs, labels, max_docs, total_chars, train_rows).collect()
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    texts, toxic = [], []
+    for r in training_sample(docs, labels, max_docs, total_chars, train_rows).collect():
+        texts.append(r.text)
+        toxic.append(r.toxic)
+    return fit(texts, toxic)
 
 
 def probability(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return np.log(p) - np.log1p(-p)
+
+
 def score_text(text: str, scores: WordScores, bias: float, at: float = 0.5) -> tuple[float, list[dict]]:
-    """Noisy-or score, and the sentences of probability ``at`` or more."""
+    """Noisy-or score, moved in log odds, and the offending sentences if it is ``at`` or more."""
+    slope, shift = getattr(bias, "slope", 0.0), getattr(bias, "shift", 0.0)
     low = lowered(text)
     tokens = TOKEN.findall(low)
     s = np.fromiter(map(scores.__getitem__, tokens), dtype=float, count=len(tokens))
     ends = np.isnan(s)
     of = np.cumsum(ends)[~ends]
-    if len(of) == 0:
-        return float(probability(np.array(bias))), []
-    z = bias + np.bincount(of, s[~ends])[np.bincount(of) > 0]
-    p = probability(z - getattr(bias, "slope", 0.0) * math.log(len(z)) * (1 - probability(z)))
-    doc = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
-    if p.max() < at:
-        return doc, []
-    return doc, [{"start": a, "end": b, "score": float(x)} for (a, b, _), x in zip(sentences(low), p) if x >= at]
+    z = bias + np.bincount(of, s[~ends])[np.bincount(of) > 0] if len(of) else np.array([float(bias)])
+    p = probability(z - slope * math.log(len(z)) * (1 - probability(z)))
+    doc = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
+    if shift:
+        doc = probability(log_odds(doc) + shift)
+    if doc < at or not len(of):
+        return float(doc), []
+    own = probability(z + shift)
+    least = min(at, own.max())
+    return float(doc), [{"start": a, "end": b, "score": float(x)} for (a, b, _), x in zip(sentences(low), own) if x >= least]
 
 
 def score_column(text: Column, weights: np.ndarray, bias: float, spark, at: float = 0.5) -> Column:
-    """Struct of ``score`` and ``sentences`` (those of probability >= ``at``)."""
+    """Struct of ``score`` and ``sentences`` (the offending ones if it is >= ``at``)."""
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))
 
     @pandas_udf("score double, sentences array<struct<start:int,end:int,score:double>>")

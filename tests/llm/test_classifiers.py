@@ -1,5 +1,7 @@
 """Language identification and toxicity: edge cases and held-out accuracy."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmap.llm import langid, toxicity
 from corpusmap.llm.common import remainder
-from tests.conftest import SF_CHECK
+from tests.conftest import SF_CHECK, SF_SMALL
 
 
 def trained():
@@ -51,7 +53,7 @@ def test_toxicity_edge_cases(spark, make_docs, edge_rows, no_docs):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert toxicity.score_toxicity(no_docs, labels, trained()).count() == 0
     plain = toxicity.score_toxicity(make_docs(edge_rows), labels.limit(0), trained()).collect()
-    assert {r.predicted for r in plain if r.doc_id != 5} == {0}          # only the bias is left, a little for each sentence
+    assert {r.predicted for r in plain} == {0}                           # only the bias is left
 
 
 def test_toxic_sentences_are_located(spark, make_docs):
@@ -71,7 +73,50 @@ def test_toxicity_on_rows_not_trained_on(spark):
     rest = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     hits = [r.predicted for r in rest if r.toxic == 1]
     false = [r.predicted for r in rest if r.toxic == 0]
-    assert np.mean(hits) > 0.55 and np.mean(false) < 0.02
+    assert np.mean(hits) >= 0.85 and np.mean(false) <= 0.02
+
+
+def plain_score(text, weights, bias):
+    """The noisy-or word by word and sentence by sentence."""
+    z = []
+    for part in re.split(r"[.!?\n]+", toxicity.lowered(text)):
+        words = re.findall(r"[^\W\d_]+", part)
+        if words:
+            z.append(bias + sum(weights[f] for w in words for f in toxicity.features(w)))
+    clean = 1.0
+    for x in z or [float(bias)]:
+        alone = 1 / (1 + math.exp(-x))
+        clean *= 1 - 1 / (1 + math.exp(-(x - bias.slope * math.log(max(1, len(z))) * (1 - alone))))
+    odds = (1 - clean) / clean * math.exp(bias.shift)
+    return odds / (1 + odds)
+
+
+def test_scores_against_a_plain_loop(spark):
+    """Value by value on whole texts, with weights of many sizes; the training on its own definition of F1."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    rng = np.random.default_rng(3)
+    weights = (rng.normal(size=toxicity.BUCKETS) * (rng.random(toxicity.BUCKETS) < 0.02)).astype(np.float32)
+    bias = toxicity.Bias.of(-5.0, 1.3, 0.8)
+    words = toxicity.WordScores(weights)
+    for t in texts:
+        assert toxicity.score_text(t, words, bias)[0] == pytest.approx(plain_score(t, weights.astype(float), bias), abs=1e-9)
+
+
+def test_best_cut():
+    scores, y = np.array([0.9, 0.8, 0.7, 0.3, 0.2, 0.1]), np.array([1, 1, 0, 1, 0, 0], dtype=bool)
+    cut = toxicity.best_cut(scores, y)
+    f1 = {c: 2 * (y & (scores >= c)).sum() / (y.sum() + (scores >= c).sum()) for c in scores}
+    assert 2 * (y & (scores >= cut)).sum() / (y.sum() + (scores >= cut).sum()) == max(f1.values())
+    assert toxicity.best_cut(scores, ~y | y) >= toxicity.CUTS[0] and toxicity.best_cut(scores, y & ~y) == 0.5
+
+
+def test_telling_features():
+    """Words of toxic documents take part; rare words, and words of clean ones, do not."""
+    texts = ["good day friend"] * 80 + ["good grumblefuck friend"] * 20 + ["seldom"] * 2
+    y = np.array([False] * 80 + [True] * 22)
+    used = toxicity.telling_features(texts, y)
+    assert all(used[f] for f in toxicity.features("grumblefuck"))
+    assert not any(used[f] for w in ("day", "good", "friend", "seldom") for f in toxicity.features(w))
 
 
 def test_noisy_or():
