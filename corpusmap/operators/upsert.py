@@ -171,28 +171,63 @@ def write_prizes(projects: DataFrame, fetched: DataFrame, only_winners: bool = T
     return j.withColumn("prizes", F.when(ok, F.col("_new")).otherwise(F.col("prizes"))).drop("_new")
 
 
-def upsert_into_store(store_path: str, batch: DataFrame, partition_col: str = "hackathon",
-                      key: str = "id", strict: bool = False) -> dict:
-    """JOIN-2 applied to a Parquet store partitioned by ``partition_col``,
-    rewriting only the partitions the batch touches: those holding a stored
-    row whose key is in the batch, plus those the batch's rows name (see
-    ``rewrite_partitions``). The upsert is idempotent, so a retried
-    micro-batch leaves the same store. With ``strict`` a batch that would
-    leave two ids claiming one slug (JOIN-7) is refused before anything is
-    written. Returns touched-partition and per-action counts."""
-    from corpusmap.sources.store import rewrite_partitions
+PARTS = 4
+
+
+def project_part(parts: int = PARTS, key: str = "id"):
+    """Part of a project within its hackathon's folder: a hash of its id. Few
+    parts suffice for small stores; the number is fixed when a store is made."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
+
+
+def _layout(store_path: str, spark, partition_col: str, parts: int) -> list[str]:
+    """The partition columns of a store: with parts, if it was written so."""
+    return [partition_col, "part"] if "part" in spark.read.parquet(store_path).columns else [partition_col]
 
-    def check(new_state: DataFrame, stored: DataFrame, touched: DataFrame) -> None:
-        # the batch's final slugs against every other row of the store: the
-        # rewritten partitions from the new state, the rest as stored
-        # (only the slug and id columns are read)
-        slugs = new_state.join(batch.select(key).distinct(), key, "left_semi").select("slug").distinct()
-        untouched = stored.join(touched, stored[partition_col].eqNullSafe(touched[partition_col]), "left_anti")
-        rows = new_state.select("slug", key).unionByName(untouched.select("slug", key))
-        assert_no_conflicts(rows.join(slugs, "slug", "left_semi"))
 
-    return rewrite_partitions(store_path, batch, lambda current: upsert_projects(current, batch),
-                              partition_col, key, extra_partitions=batch, check=check if strict else None)
+def upsert_into_store(store_path: str, batch: DataFrame, partition_col: str = "hackathon",
+                      key: str = "id", strict: bool = False, index_path: str | None = None, parts: int = PARTS) -> dict:
+    """JOIN-2 applied to a Parquet store partitioned by ``partition_col``, and by
+    ``part`` if the store was written so, rewriting only the partitions the
+    batch touches: those holding a stored row whose key is in the batch, plus
+    those the batch's rows name (see ``rewrite_partitions``). The upsert is
+    idempotent, so a retried micro-batch leaves the same store.
+
+    With ``strict`` a batch that would leave two ids claiming one slug (JOIN-7)
+    is refused before anything is written. With ``index_path`` the slug index
+    there answers that, reading only the buckets of the slugs in question, and
+    follows the change (before the store, so a retry finds the same
+    difference); without it all slugs of the store are read. Returns
+    touched-partition and per-action counts."""
+    from corpusmap.operators.slugs import check_claims, slug_changes, update_slug_index
+    from corpusmap.sources.store import rewrite_partitions
+    cols = _layout(store_path, batch.sparkSession, partition_col, parts)
+    two = len(cols) == 2
+
+    def change(current: DataFrame) -> DataFrame:
+        state = upsert_projects(current, batch)
+        return state.withColumn("part", project_part(parts, key)) if two else state
+
+    def check(new_state: DataFrame, stored: DataFrame, touched: DataFrame, current: DataFrame) -> None:
+        if index_path:
+            removed, added = slug_changes(current, new_state, key)
+            if strict:
+                check_claims(index_path, removed, added)
+            update_slug_index(index_path, removed, added)
+        elif strict:
+            # the batch's final slugs against every other row of the store: the
+            # rewritten partitions from the new state, the rest as stored
+            # (only the slug and id columns are read)
+            slugs = new_state.join(batch.select(key).distinct(), key, "left_semi").select("slug").distinct()
+            same = stored[cols[0]].eqNullSafe(touched[cols[0]])
+            for c in cols[1:]:
+                same = same & stored[c].eqNullSafe(touched[c])
+            rows = new_state.select("slug", key).unionByName(stored.join(touched, same, "left_anti").select("slug", key))
+            assert_no_conflicts(rows.join(slugs, "slug", "left_semi"))
+
+    named = batch.withColumn("part", project_part(parts, key)) if two else batch
+    return rewrite_partitions(store_path, batch, change, cols, key, extra_partitions=named, check=check,
+                              bucket=("part", project_part(parts, key), parts) if two else None)
 
 
 REPO_BUCKETS = 64
@@ -223,9 +258,23 @@ def upsert_repos_into_store(store_path: str, batch: DataFrame, buckets: int = RE
 
 
 def write_vectors_into_store(store_path: str, vectors: DataFrame, partition_col: str = "hackathon",
-                             key: str = "id") -> dict:
+                             key: str = "id", parts: int = PARTS) -> dict:
     """JOIN-3 on a partitioned store: only partitions holding a written id are
     rewritten."""
+    return write_back(store_path, vectors, None, partition_col, key, parts)
+
+
+def write_back(store_path: str, vectors: DataFrame, prizes: DataFrame | None = None, partition_col: str = "hackathon",
+               key: str = "id", parts: int = PARTS) -> dict:
+    """JOIN-3 and, with ``prizes``, JOIN-4 in one rewrite of the partitions that
+    hold a row of either."""
     from corpusmap.sources.store import rewrite_partitions
-    return rewrite_partitions(store_path, vectors, lambda current: write_vectors(current, vectors, key),
-                              partition_col, key)
+    cols = _layout(store_path, vectors.sparkSession, partition_col, parts)
+    keys = vectors.select(key) if prizes is None else vectors.select(key).unionByName(prizes.select(key))
+
+    def change(current: DataFrame) -> DataFrame:
+        state = write_vectors(current, vectors, key)
+        return state if prizes is None else write_prizes(state, prizes)
+
+    return rewrite_partitions(store_path, keys, change, cols, key,
+                              bucket=("part", project_part(parts, key), parts) if len(cols) == 2 else None)

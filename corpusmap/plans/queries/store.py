@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmap.plans.queries.base import (E, GALLERY_EXPECTED_SQL, M, PG, PROJECTS_SQL, PROJECT_STATE_SQL,
+from corpusmap.plans.queries.base import (ORACLE_SQL, E, GALLERY_EXPECTED_SQL, M, PG, PROJECTS_SQL, PROJECT_STATE_SQL,
                                           REGISTRY_SQL, REPOS_SQL, REPO_BATCH_SQL, REPO_UPSERT_SQL, S, ST,
                                           STORE, U, WORDY_SQL, _projects_after, _repos_after, register,
                                           table, with_sql)  # noqa: F401
@@ -67,6 +67,20 @@ def q_slug_conflicts(spark, sf_dir):
         "slug", F.col("n_ids").cast("long"), F.col("min_id").cast("long"), F.col("max_id").cast("long"))
 
 
+@register("slug_index_conflicts", ORACLE_SQL["slug_conflicts"])
+def q_slug_index_conflicts(spark, sf_dir):
+    """JOIN-7 from the slug index: built from the stored projects, asked only for
+    the buckets of the slugs that the upsert adds."""
+    from corpusmap.operators import slugs as SL
+    from corpusmap.streaming.ingest import scratch_root
+    path = f"{scratch_root(spark, 'slugs')}/index"
+    stored = ST.projects(spark, sf_dir)
+    SL.build_slug_index(stored, path)
+    removed, added = SL.slug_changes(stored, _projects_after(spark, sf_dir))
+    return SL.conflicting_claims(path, removed, added).select(
+        "slug", F.col("n_ids").cast("long"), F.col("min_id").cast("long"), F.col("max_id").cast("long"))
+
+
 @register("sync_report", PROJECT_STATE_SQL + """
 SELECT hackathon, count(*)::BIGINT AS rows, count_if(action = 'insert')::BIGINT AS inserted,
        count_if(action = 'update')::BIGINT AS updated, count_if(vector IS NOT NULL)::BIGINT AS with_vector,

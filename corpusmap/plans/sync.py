@@ -36,12 +36,13 @@ from corpusmap.functions.vectors import is_valid
 from corpusmap.operators.encoders import hashing_vectors
 from corpusmap.operators.projection import fit_statistics
 from corpusmap.operators.selection import TOP_REPOS, dataset_members, pending_prizes, pending_projects, pending_repos
-from corpusmap.operators.upsert import (repo_bucket, upsert_into_store, upsert_repos_into_store, write_prizes,
-                                       write_vectors, write_vectors_into_store)
+from corpusmap.operators.slugs import build_slug_index
+from corpusmap.operators.upsert import (project_part, repo_bucket, upsert_into_store, upsert_repos_into_store, write_back,
+                                       write_vectors_into_store)
 from corpusmap.plans.maps import build_maps, refresh_statistics, touched_datasets
 from corpusmap.session import cut_lineage
 from corpusmap.sources.listings import parse_repo_listing
-from corpusmap.sources.store import PROJECTS_SCHEMA, REPOS_SCHEMA, ensure_columns, rewrite_partitions
+from corpusmap.sources.store import PROJECTS_SCHEMA, REPOS_SCHEMA, ensure_columns
 from corpusmap.streaming.ingest import gallery_batch_to_projects
 from corpusmap.streaming.walk import WalkState, accepted
 
@@ -50,7 +51,9 @@ TABLES = ("points", "projection", "unit_vectors", "statistics")
 
 def init_store(store: DataFrame, root: str, repos: DataFrame | None = None) -> str:
     path = f"{root}/projects"
-    ensure_columns(store, PROJECTS_SCHEMA).write.mode("overwrite").partitionBy("hackathon").parquet(path)
+    (ensure_columns(store, PROJECTS_SCHEMA).withColumn("part", project_part())
+     .write.mode("overwrite").partitionBy("hackathon", "part").parquet(path))
+    build_slug_index(store, f"{root}/slugs")
     if repos is not None:
         (ensure_columns(repos, REPOS_SCHEMA).withColumn("bucket", repo_bucket("name"))
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/repos"))
@@ -120,12 +123,6 @@ def embed_repos(store: str, readmes: DataFrame, dim: int, embed=None, n: int = T
     return vecs
 
 
-def write_back(store: str, vectors: DataFrame, prizes: DataFrame) -> dict:
-    """JOIN-3 and JOIN-4 in one rewrite of the partitions that hold an id of either."""
-    keys = vectors.select("id").unionByName(prizes.select("id"))
-    return rewrite_partitions(store, keys, lambda now: write_prizes(write_vectors(now, vectors), prizes), "hackathon", "id")
-
-
 def sync_pass(spark: SparkSession, root: str, responses: DataFrame, texts: DataFrame, repos: DataFrame | None,
               registry: DataFrame, labels, dim: int, embed=None, listings: DataFrame | None = None,
               readmes: DataFrame | None = None, prizes: DataFrame | None = None) -> dict:
@@ -168,7 +165,7 @@ def sync_pass(spark: SparkSession, root: str, responses: DataFrame, texts: DataF
             report["repo_vectors_written"] = vecs.count()
             names = names.unionByName(vecs.select("name"))
         changed = changed.unionByName(repos_now().join(names, "name", "left_semi").select(F.lit("repo").alias("kind"), "id"))
-    report["upsert"] = upsert_into_store(store, batch)                                # step 2
+    report["upsert"] = upsert_into_store(store, batch, index_path=f"{root}/slugs")        # step 2
     walked()
 
     projects = spark.read.parquet(store)

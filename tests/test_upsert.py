@@ -114,7 +114,9 @@ def test_upsert_into_store_touches_only_its_partitions(spark):
     rows = [(i, f"s{i}", "n", "t", 1, ["u"], None, h, 2020, False, None)
             for i, h in enumerate(["a"] * 3 + ["b"] * 3 + ["c"] * 1)]
     spark.createDataFrame(rows, PSCHEMA).write.partitionBy("hackathon").parquet(path)
+    path = path.removeprefix("file:")
     files_b = sorted(glob.glob(f"{path}/hackathon=b/*.parquet"))
+    assert files_b
     mtimes_b = [os.path.getmtime(f) for f in files_b]
     # id 0 (partition a) gets more likes; id 6 (only row of c) moves to a
     batch = spark.createDataFrame([(0, "s0", "n", "t", 5, ["u"], None, None, False, 1),
@@ -172,3 +174,74 @@ def test_strict_store_upsert_refuses_slug_conflicts(spark):
     assert {r.slug for r in spark.read.parquet(path).collect()} == {"s1", "s2"}   # nothing written
     fine = spark.createDataFrame([(1, "s9", "n", "t", 1, ["u"], "a", None, False, 1)], BSCHEMA)
     assert upsert_into_store(path, fine, strict=True)["actions"]["update"] == 1
+
+
+def _files(path):
+    import glob
+    import os
+    found = {f: os.path.getmtime(f) for f in glob.glob(f"{path.removeprefix('file:')}/**/*.parquet", recursive=True)}
+    assert found
+    return found
+
+
+def test_hot_hackathon_rewrites_few_parts(spark):
+    """A store by hackathon and part: a small batch on the largest hackathon leaves most of its folders alone."""
+    from corpusmap.operators import upsert as UP
+    from corpusmap.streaming.ingest import scratch_root
+    path = f"{scratch_root(spark, 'test-parts')}/store"
+    rows = [(i, f"s{i}", "n", "t", 1, ["u"], None, "hot" if i < 180 else "cold", 2020, False, None) for i in range(200)]
+    store = spark.createDataFrame(rows, PSCHEMA)
+    store.withColumn("part", UP.project_part(16)).write.partitionBy("hackathon", "part").parquet(path)
+    before = _files(path)
+    batch = spark.createDataFrame([(0, "s0", "n", "t", 5, ["u"], "hot", None, False, 1),
+                                   (190, "s190", "n", "t", 1, ["u"], "hot", None, False, 1)], BSCHEMA)
+    res = UP.upsert_into_store(path, batch, parts=16)
+    after = _files(path)
+    untouched = [f for f in before if after.get(f) == before[f]]
+    folders = {f.rsplit("/", 1)[0] for f in before} - {f.rsplit("/", 1)[0] for f in untouched}
+    assert res["touched_partitions"] <= 4 and len(folders) <= 4 and len({f.rsplit("/", 1)[0] for f in before}) > 16
+    got = {r.id: (r.hackathon, r.likes) for r in spark.read.parquet(path).collect()}
+    assert len(got) == 200 and got[0] == ("hot", 5) and got[190] == ("hot", 1)
+    vecs = spark.createDataFrame([(3, [0.5])], "id long, vector array<float>")
+    prizes = spark.createDataFrame([(4, ["First"])], "id long, prizes array<string>")
+    state = _files(path)
+    assert UP.write_back(path, vecs, prizes, parts=16)["touched_partitions"] <= 2
+    assert len({f.rsplit("/", 1)[0] for f, t in _files(path).items() if state.get(f) != t}) <= 2
+    now = {r.id: r for r in spark.read.parquet(path).collect()}
+    assert now[3].vector == [0.5] and now[4].prizes is None and len(now) == 200     # id 4 is no winner
+
+
+def test_slug_index_follows_the_store(spark):
+    import pytest
+
+    from corpusmap.operators import slugs as SL
+    from corpusmap.operators import upsert as UP
+    from corpusmap.streaming.ingest import scratch_root
+    root = scratch_root(spark, "test-slugs")
+    path, index = f"{root}/store", f"{root}/slugs"
+    rows = [(i, f"s{i}", "n", "t", 1, ["u"], None, "a" if i % 2 else "b", 2020, False, None) for i in range(40)]
+    store = spark.createDataFrame(rows, PSCHEMA)
+    store.withColumn("part", UP.project_part()).write.partitionBy("hackathon", "part").parquet(path)
+    SL.build_slug_index(store, index)
+
+    def claims():
+        return sorted((r.slug, r.id) for r in spark.read.parquet(index).collect())
+
+    def batch(*pairs):
+        return spark.createDataFrame([(i, slug, "n", "t", 1, ["u"], "a", None, False, 1) for i, slug in pairs], BSCHEMA)
+
+    before = _files(index)
+    for strict_clash in (batch((1, "s2")), batch((50, "new"), (51, "new"))):          # taken by another id; twice in one batch
+        with pytest.raises(ValueError):
+            UP.upsert_into_store(path, strict_clash, strict=True, index_path=index)
+    assert _files(index) == before and spark.read.parquet(path).count() == 40         # nothing written
+    UP.upsert_into_store(path, batch((1, "s2"), (2, "s1")), strict=True, index_path=index)   # a swap is no conflict
+    UP.upsert_into_store(path, batch((3, "renamed"), (60, "s3")), strict=True, index_path=index)
+    want = sorted((r.slug, r.id) for r in spark.read.parquet(path).collect())
+    assert claims() == want and ("renamed", 3) in want and ("s3", 60) in want
+    untouched = [f for f, t in _files(index).items() if before.get(f) == t]
+    assert len(untouched) > len(before) // 2
+    UP.upsert_into_store(path, batch((3, "renamed"), (60, "s3")), strict=True, index_path=index)   # a retry changes nothing
+    assert claims() == want
+    plan = SL.claims(spark, index, spark.createDataFrame([("s5",)], "slug string"))._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
