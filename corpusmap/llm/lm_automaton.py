@@ -2,53 +2,64 @@
 
 Tokens are the words of a lower-cased (A-Z) text, split at ASCII white space,
 and one end per text. Unigrams are smoothed by adding ``ADD`` to every count
-(one unseen word included); longer n-grams use absolute discounting, and what
-the discount frees is the weight of the arc to the shorter context.
-
-The automaton's states are the stored n-grams. Reading a word in a state
-follows the arc of the longest stored n-gram; where there is none, the failure
-arc to the state's suffix is taken and its backoff weight is added. So a text's
-score is the sum of its words' unigram parts and, for each longer n-gram in it,
-either what its arc adds to the arc of its suffix or the backoff weight of its
-context.
-
-All training texts are counted and every n-gram is a state (``GRAM_SHARE`` is
-the least share of the training tokens, 0). Counts, arcs and backoff weights
-are written tables by 64-bit hash; the n-grams of the texts are joined to them.
-Only what is frequent is broadcast, to keep frequent keys out of the joins, and
-that has a bound that does not depend on the corpus: words of a share of
-``WORD_SHARE`` or more, and n-grams and contexts of ``HOT_SHARE`` or more, so
-at most ``1 / HOT_SHARE`` of them. It never decides what is counted.
-
-Null and empty texts are one end token. Without any training text the counts
-are 0. Rows repeat as they come; a null id never trains. Words are told apart
-by a 64-bit hash, and so are n-grams.
+(one unseen word included); bigrams and trigrams use absolute discounting, and
+what the discount frees is the weight of the failure arc to the shorter context.
+
+The automaton's states are the contexts: the empty one, every word and every
+pair of words of the training texts. A state's arcs are the words seen after it;
+reading another word takes the failure arc to the state's suffix and adds its
+weight. A text is read once from left to right: the state after two words is
+their pair, and each word adds the log probability of its arc and the weights of
+the failure arcs taken to reach one.
+
+All training texts are counted and every n-gram has an arc. The automaton is cut
+by the *middle* word b of the trigrams (a, b, c): the part of b holds the states
+(b) and (a, b) with all their arcs, so a step from (a, b) over c, with its failure
+arc to (b), never leaves the part. Each token with its two neighbours goes to the
+part of its word once -- packed with a dictionary of the words, sorted and
+compressed -- and there it is counted, the arcs and failure weights of the part
+are built, and the step is scored; sums by text come back. What a part needs from
+elsewhere is the unigram part of words c, counted before: words of a share of
+``WORD_SHARE`` or more are broadcast (at most 1 / WORD_SHARE, whatever the corpus),
+the others come by a join.
+
+A word with more than ``PART_TOKENS`` / 2 occurrences is split by the hash of a,
+which keeps every state (a, b) whole. The counts of its own arcs, (b, c), and its
+failure weight are then summed beforehand, and sent to the parts that ask for
+them.
+
+Null and empty texts are one end token. Without any training text, or in an empty
+table, the counts are 0. Rows repeat as they come; a null id never trains; very
+long texts are read whole. Words are told apart by a 64-bit hash, and rows
+with their texts too.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.llm.common import MIX1, WordHash, id_text, mix, prepare
 from corpusmap.session import cut_lineage
 
-ORDER = 3
 ADD = 0.1
 DISCOUNT = 0.75
 WORD_SHARE = 2e-7
-#: Least share of an n-gram that is kept: all are.
-GRAM_SHARE = 0.0
-#: Least share of an n-gram or context that is broadcast.
-HOT_SHARE = 1e-5
-#: Distinct keys a task holds before it hands its counts on.
+#: Tokens of a part of the automaton, about.
+PART_TOKENS = 1_000_000
+#: Distinct keys, or tokens, a task holds before it hands them on.
 HELD_KEYS = 2_000_000
+LEAST = 1e-9
 #: No word contains a line feed.
 END = b"\n"
+#: In place of a neighbour that is not there.
+NONE = np.uint64(0)
 
 
 def token_hashes(texts: list[str], words: WordHash) -> tuple[np.ndarray, np.ndarray]:
@@ -108,42 +119,19 @@ def look_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Unigram parts of the frequent words, by sorted hash."""
+    """Counts of the frequent words, by sorted hash."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, scale: float):
         order = np.argsort(words)
-        self.words = words[order]
-        self.log_p = np.log10((counts[order] + ADD) / scale)
+        self.words, self.counts, self.scale = words[order], counts[order], scale
 
-    def score(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, rare): 0 for words that are not frequent."""
-        word = look_up(self.words, hashes)
-        return np.where(word < 0, 0.0, self.log_p[word] if len(self.words) else 0.0), word < 0
+    def count(self, hashes: np.ndarray) -> np.ndarray:
+        """Training count, 0 for words that are not frequent."""
+        at = look_up(self.words, hashes.astype(np.int64))
+        return np.where(at < 0, 0, self.counts[at] if len(self.words) else 0)
 
-
-def gram_keys(hashes: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the n-grams that end at the positions ``last``; of one word, its hash."""
-    if n == 1:
-        return hashes[last].astype(np.int64)
-    out = np.full(len(last), n, dtype=np.uint64)
-    for j in range(n):
-        out = out * MIX1 + hashes[last - n + 1 + j]
-    return mix(out).astype(np.int64)
-
-
-def occurrences(rows: DataFrame, n: int) -> DataFrame:
-    """(row, key, context, suffix) of every n-gram. ``rows``: row, hashes."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            sizes = np.array([len(h) for h in b["hashes"]])
-            hashes = np.concatenate(b["hashes"].tolist()).astype(np.uint64)
-            place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            last = np.flatnonzero(place >= n - 1)
-            yield pd.DataFrame({"row": np.repeat(b["row"].to_numpy(), sizes)[last], "key": gram_keys(hashes, last, n),
-                                "context": gram_keys(hashes, last - 1, n - 1), "suffix": gram_keys(hashes, last, n - 1)})
-    return rows.select("row", "hashes").mapInPandas(cut, "row long, key long, context long, suffix long")
+    def log_p(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + ADD) / self.scale)
 
 
 def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -152,88 +140,292 @@ def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t["key"].to_numpy(), t["c"].to_numpy()
 
 
-def find(df: DataFrame, on: str, states: DataFrame, value: Column, name: str, total: int) -> DataFrame:
-    """``df`` with the ``value`` of the state whose key is in ``on``, null if
-    there is none. ``states``: key, c; frequent ones are broadcast."""
-    wanted = states.select(F.col("key").alias(on), "c", value.alias(name))
-    hot = F.broadcast(wanted.filter(F.col("c") >= HOT_SHARE * total).drop("c"))
-    cold = wanted.filter(F.col("c") < HOT_SHARE * total).drop("c")
-    return df.join(hot, on).unionByName(df.join(hot, on, "left_anti").join(cold, on, "left"))
-
-
-def level(occurring: DataFrame, lower: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """(states, backoff) of one order: key, c, p, low (the probability in the
-    suffix's state) and key, c, weight (log10, by context). ``lower`` are the
-    states one order below."""
-    grams = (occurring.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.first("context").alias("context"),
-                                          F.first("suffix").alias("suffix"))
-             .filter(F.col("c") >= GRAM_SHARE * total))
-    grams = cut_lineage(grams, "grams")
-    within = find(grams, "context", lower, F.col("c"), "within", total)
-    states = cut_lineage(find(within, "suffix", lower, F.col("p"), "low", total)
-                         .select("key", "context", "c", ((F.col("c") - DISCOUNT) / F.col("within")).alias("p"), "low"),
-                         "states")
-    left, rest = (F.greatest(1 - F.sum(x), F.lit(1e-9)) for x in ("p", "low"))
-    backoff = states.groupBy(F.col("context").alias("key")).agg(F.sum("c").alias("c"), F.log10(left / rest).alias("weight"))
-    return states, cut_lineage(backoff, "backoff")
-
-
-def gains(occurring: DataFrame, states: DataFrame, backoff: DataFrame, total: int) -> DataFrame:
-    """(row, gain): what the n-grams of one order add to a row's score."""
-    met = find(occurring.select("row", "key", "context"), "key", states, F.log10(F.col("p") / F.col("low")), "gain", total)
-    # One row for the arcs of a text, and one for each context whose failure arc is taken.
-    met = cut_lineage(met.withColumn("context", F.when(F.col("gain").isNull(), F.col("context")))
-                      .groupBy("row", "context").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("n")), "arcs")
-    failed = find(met.filter(F.col("context").isNotNull()).select("row", "context", "n"), "context", backoff,
-                  F.col("weight"), "weight", total)
-    return (met.filter(F.col("context").isNull()).select("row", "gain")
-            .union(failed.select("row", F.coalesce(F.col("weight") * F.col("n"), F.lit(0.0)))))
+def neighbours(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before and the word after each token of its text, or NONE."""
+    before, after = np.roll(hashes, 1), np.roll(hashes, -1)
+    ends = np.cumsum(sizes)
+    before[ends - sizes] = NONE
+    after[ends - 1] = NONE
+    return before, after
+
+
+def splits(counts: np.ndarray, part_tokens: int) -> np.ndarray:
+    """In how many a word of so many occurrences is split."""
+    return 1 + counts * 2 // part_tokens
+
+
+def part_of(b: np.ndarray, a: np.ndarray, split: np.ndarray, parts: int) -> np.ndarray:
+    sub = np.where(split > 1, mix(a) % split.astype(np.uint64), 0).astype(np.uint64)
+    return (mix(b * MIX1 + sub) % np.uint64(parts)).astype(np.int32)
+
+
+def narrow(index: np.ndarray, most: int) -> bytes:
+    return index.astype("<u2" if most <= 1 << 16 else "<u4").tobytes()
+
+
+def pack(a: np.ndarray, b: np.ndarray, c: np.ndarray, row: np.ndarray, trains: np.ndarray) -> bytes:
+    """One part's tokens of a task, sorted by word and text."""
+    n = len(b)
+    code, words = pd.factorize(np.concatenate([b, a, c]))
+    r, rows = pd.factorize(row)
+    order = np.lexsort((r, code[:n]))
+    flag = np.zeros(len(rows), bool)
+    flag[r] = trains
+    body = b"".join([words.astype("<u8").tobytes(), rows.astype("<i8").tobytes(), np.packbits(flag).tobytes(),
+                     *(narrow(code[k * n:(k + 1) * n][order], len(words)) for k in range(3)), narrow(r[order], len(rows))])
+    return struct.pack("<III", n, len(words), len(rows)) + zstandard.compress(body, 3)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    n, n_words, n_rows = struct.unpack_from("<III", blob)
+    body, at = zstandard.decompress(blob[12:]), 0
+
+    def take(kind: str, size: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(body, kind, size, at)
+        at += out.nbytes
+        return out
+
+    words, rows = take("<u8", n_words), take("<i8", n_rows)
+    flag = np.unpackbits(take("u1", (n_rows + 7) // 8), count=n_rows).astype(bool)
+    kind = "<u2" if n_words <= 1 << 16 else "<u4"
+    b, a, c = (words[take(kind, n)] for _ in range(3))
+    r = take("<u2" if n_rows <= 1 << 16 else "<u4", n)
+    return a, b, c, rows[r], flag[r]
+
+
+def first_places(code: np.ndarray, n: int) -> np.ndarray:
+    """The first position of each of n codes."""
+    out = np.zeros(n, np.int64)
+    out[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return out
+
+
+def failure(arcs: np.ndarray, lower: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """log10 weight of each of n states' failure arcs, from the probabilities of
+    its arcs and those of the same words in its suffix; 0 for one without arcs."""
+    left = np.maximum(1 - np.bincount(of, arcs, n), LEAST)
+    rest = np.maximum(1 - np.bincount(of, lower, n), LEAST)
+    return np.where(np.bincount(of, minlength=n) > 0, np.log10(left / rest), 0.0)
+
+
+class Part:
+    """The states and arcs of some middle words, and the steps of the texts over them.
+
+    ``frequent`` has the counts of frequent words; ``rare`` (words, counts) those
+    of others that come after the part's words; ``hot`` (b, c, count, weight) the
+    arcs of the words that are split, with the failure weight of b."""
+
+    def __init__(self, tokens: tuple[np.ndarray, ...], frequent: Words, rare: tuple[np.ndarray, np.ndarray],
+                 hot: tuple[np.ndarray, ...], part_tokens: int):
+        a, b, c, self.row, trains = tokens
+        n = len(b)
+        code, words = pd.factorize(np.concatenate([b, a, c]))
+        b_of, a_of, c_of = code[:n], code[n:2 * n], code[2 * n:]
+        size = len(words)
+        common = frequent.count(words)
+        order = np.argsort(rare[0])
+        at = look_up(rare[0][order], words.astype(np.int64))
+        known = np.where(common > 0, common, np.where(at < 0, 0, rare[1][order][at] if len(order) else 0))
+        uni = (known + ADD) / frequent.scale
+        # the state (b): how often it was entered, its arcs and its failure weight
+        entered = np.where(common > 0, common, np.bincount(b_of[trains], minlength=size))
+        self.goes = np.flatnonzero(c != NONE)
+        two, pairs = pd.factorize(b_of[self.goes].astype(np.int64) * size + c_of[self.goes])
+        n2 = np.bincount(two, trains[self.goes], len(pairs))
+        pair_b, pair_c = pairs // size, pairs % size
+        own_weight = np.zeros(size)
+        is_split = splits(common, part_tokens) > 1
+        if is_split.any():
+            given, weight = self._given(hot, words, pair_b, pair_c, size)
+            n2 = np.where(is_split[pair_b], given, n2)
+            own_weight = weight
+        seen2 = n2 > 0
+        p2 = np.where(seen2, (n2 - DISCOUNT) / np.maximum(entered[pair_b], 1), 1.0)
+        weight1 = np.where(is_split, own_weight, failure(p2[seen2], uni[pair_c[seen2]], pair_b[seen2], size))
+        # the state (a, b)
+        has_a = a != NONE
+        state, states = pd.factorize(np.where(has_a, a_of.astype(np.int64) * size + b_of, -1 - b_of))   # (b) alone at a start
+        entered2 = np.bincount(state, trains, len(states))
+        three, triples = pd.factorize(state[self.goes].astype(np.int64) * size + c_of[self.goes])
+        place = first_places(three, len(triples))
+        of, lower = state[self.goes][place], two[place]
+        with_a = has_a[self.goes][place]
+        n3 = np.where(with_a, np.bincount(three, trains[self.goes], len(triples)), 0)
+        seen3 = n3 > 0
+        p3 = np.where(seen3, (n3 - DISCOUNT) / np.maximum(entered2[of], 1), 1.0)
+        weight2 = failure(p3[seen3], p2[lower[seen3]], of[seen3], len(states))
+        # a step: over the arc of the longest state that has it, or the failure arcs down to the word alone
+        log_uni = np.log10(uni)
+        step2 = np.where(seen2, np.log10(p2) - log_uni[pair_c], weight1[pair_b])
+        self.step = np.where(seen3, np.log10(p3) - log_uni[pair_c[lower]],
+                             np.where(with_a, weight2[of], 0.0) + step2[lower])[three]
+
+    @staticmethod
+    def _given(hot, words, pair_b, pair_c, size) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the part's pairs and weights of its words, as they were sent."""
+        where = pd.Index(words)
+        b, c = (where.get_indexer(x.astype(np.uint64)) for x in hot[:2])
+        here = (b >= 0) & (c >= 0)
+        key = b[here].astype(np.int64) * size + c[here]
+        order = np.argsort(key)
+        at = look_up(key[order], pair_b * size + pair_c)
+        given = np.where(at < 0, 0, hot[2][here][order][at] if len(order) else 0)
+        weight = np.zeros(size)
+        weight[b[here]] = hot[3][here]
+        return given, weight
+
+    def sums(self) -> pd.DataFrame:
+        """(row, gain): what the steps of each text add to its words' unigram parts."""
+        r, rows = pd.factorize(self.row[self.goes])
+        return pd.DataFrame({"row": rows, "gain": np.bincount(r, self.step, len(rows))})
+
+
+def text_batches(batches: Iterator[pd.DataFrame], words: WordHash):
+    """(batch, hashes of its tokens, tokens of each text, word before, word after)."""
+    for b in batches:
+        if len(b):
+            hashes, sizes = token_hashes(b["text"].tolist(), words)
+            hashes = hashes.astype(np.uint64)
+            yield b, hashes, sizes, *neighbours(hashes, sizes)
+
+
+def outline(rows: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
+    """Per text: its tokens, its unigram part as far as the frequent words go, and
+    its rare words, each with the part of the word before it. In between, rows
+    without a text: the arcs (b, c) of split words, counted by task, with a part."""
+    schema = ("row long, doc_id string, n_tokens long, n_known long, base double, rare array<long>, rare_part array<int>, "
+              "hot array<struct<b:long,c:long,part:int,n:long>>")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def hot_row(held: list[pd.DataFrame]) -> pd.DataFrame:
+        t = pd.concat(held).groupby(["b", "c", "part"], as_index=False, sort=False)["n"].sum()
+        return pd.DataFrame([[0, None, None, 0, 0.0, [], [], t.to_dict("records")]], columns=names).astype({"n_tokens": "Int64"})
+
+    def run(batches):
+        words, frequent, held = WordHash(), shared.value, []
+        for b, hashes, sizes, before, after in text_batches(batches, words):
+            counts = frequent.count(hashes)
+            split = splits(counts, part_tokens)
+            part = part_of(hashes, before, split, parts)
+            base = np.where(counts > 0, frequent.log_p(counts), 0.0)
+            cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            rare = np.flatnonzero(counts == 0)
+            n_rare = np.add.reduceat((counts == 0).astype(np.int64), cuts)
+            first = np.isin(rare, cuts)
+            rare_part = np.where(first, -1, part[rare - 1])
+            at = np.cumsum(n_rare)[:-1]
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "n_tokens": sizes, "n_known": sizes - n_rare,
+                                "base": np.add.reduceat(base, cuts), "rare": np.split(hashes[rare].astype(np.int64), at),
+                                "rare_part": np.split(rare_part, at), "hot": [[]] * len(b)})[names]
+            of_split = np.flatnonzero((split > 1) & (after != NONE))
+            if len(of_split):
+                trains = np.repeat(b["trains"].to_numpy(dtype=np.int64), sizes)[of_split]
+                t = pd.DataFrame({"b": hashes[of_split].astype(np.int64), "c": after[of_split].astype(np.int64),
+                                  "part": part[of_split], "n": trains})
+                held.append(t.groupby(["b", "c", "part"], as_index=False, sort=False)["n"].sum())
+                if sum(map(len, held)) >= HELD_KEYS // 10:
+                    yield hot_row(held)
+                    held = []
+        if held:
+            yield hot_row(held)
+
+    return rows.mapInPandas(run, schema)
+
+
+def packed(rows: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
+    """(part, blob): every token with its neighbours, for the part of its word."""
+    def flush(held):
+        a, b, c, row, trains, part = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(part, kind="stable")
+        ends = np.flatnonzero(np.diff(part[order])) + 1
+        for some in np.split(order, ends):
+            yield int(part[some[0]]), pack(a[some], b[some], c[some], row[some], trains[some])
+
+    def run(batches):
+        words, frequent, held, size = WordHash(), shared.value, [], 0
+        for b, hashes, sizes, before, after in text_batches(batches, words):
+            part = part_of(hashes, before, splits(frequent.count(hashes), part_tokens), parts)
+            held.append((before, hashes, after, np.repeat(b["row"].to_numpy(np.int64), sizes),
+                         np.repeat(b["trains"].to_numpy(dtype=bool), sizes), part))
+            size += len(hashes)
+            if size >= HELD_KEYS:
+                yield pd.DataFrame(flush(held), columns=["part", "blob"])
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(flush(held), columns=["part", "blob"])
+
+    return rows.mapInPandas(run, "part int, blob binary")
+
+
+def steps(blobs: DataFrame, rare: DataFrame, hot: DataFrame, shared, part_tokens: int) -> DataFrame:
+    """(row, gain) by part. ``rare``: part, key, c; ``hot``: part, b, c, n, weight."""
+    def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame({"row": np.zeros(0, np.int64), "gain": np.zeros(0)})
+        tokens = tuple(np.concatenate(x) for x in zip(*map(unpack, own["blob"])))
+        is_rare = asked["weight"].isna().to_numpy()
+        few = (asked["key"].to_numpy(np.int64)[is_rare], asked["n"].to_numpy(np.int64)[is_rare])
+        many = tuple(asked[x].to_numpy()[~is_rare] for x in ("b", "key", "n", "weight"))
+        return Part(tokens, shared.value, few, many, part_tokens).sums()
+
+    sent = (rare.select("part", F.lit(0).cast("long").alias("b"), "key", F.col("c").alias("n"), F.lit(None).cast("double").alias("weight"))
+            .unionByName(hot.select("part", "b", F.col("c").alias("key"), "n", "weight")))
+    return blobs.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(run, "row long, gain double")
+
+
+def hot_arcs(outlines: DataFrame, counts: DataFrame, scale: float) -> DataFrame:
+    """(part, b, c, n, weight): the arcs of split words, for the parts that ask, with
+    the failure weight of b."""
+    asked = outlines.select(F.explode("hot").alias("h")).select("h.*")
+    # one row for each task, part and arc so far; sums before anything is joined
+    by_part = cut_lineage(asked.groupBy("b", "c", "part").agg(F.sum("n").alias("n")), "hot-arcs")
+    arcs = by_part.groupBy("b", "c").agg(F.sum("n").alias("n")).filter("n > 0")
+    uni = counts.select(F.col("key").alias("c"), ((F.col("c") + ADD) / scale).alias("uni"))
+    entered = counts.select(F.col("key").alias("b"), F.col("c").alias("entered"))
+    arcs = cut_lineage(arcs.join(uni, "c").join(entered, "b"), "hot-counts")
+    left = F.greatest(1 - F.sum((F.col("n") - DISCOUNT) / F.col("entered")), F.lit(LEAST))
+    rest = F.greatest(1 - F.sum("uni"), F.lit(LEAST))
+    weight = arcs.groupBy("b").agg(F.log10(left / rest).alias("weight"))
+    pairs = by_part.select("part", "b", "c").join(arcs.select("b", "c", "n"), ["b", "c"], "left")
+    return (pairs.join(weight, "b", "left")
+            .select("part", "b", "c", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("weight", F.lit(0.0)).alias("weight")))
 
 
 def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text",
-                order: int = ORDER) -> DataFrame:
+                word_share: float = WORD_SHARE, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row.
     ``train_rows`` is a condition on the column ``doc_id``."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = id_text(docs, id_col, text_col)
-    counts = cut_lineage(count_keys(rows.filter(train_rows), lambda hashes, sizes: hashes), "word-counts")
+    rows = id_text(docs, id_col, text_col).withColumn("trains", F.coalesce(train_rows, F.lit(False)))
+    counts = cut_lineage(count_keys(rows.filter("trains"), lambda hashes, sizes: hashes), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total, scale = int(total), float(total + ADD * (distinct + 1))
-    shared = spark.sparkContext.broadcast(Words(*arrays(counts.filter(F.col("c") >= WORD_SHARE * total)), scale))
-
-    def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, frequent = WordHash(), shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            hashes, sizes = token_hashes(b["text"].tolist(), words)
-            base, rare = frequent.score(hashes)
-            cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            n_rare = np.add.reduceat(rare.astype(np.int64), cuts)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "trains": b["trains"], "n_tokens": sizes,
-                                "n_known": sizes - n_rare, "base": np.add.reduceat(base, cuts),
-                                "hashes": np.split(hashes, cuts[1:]),
-                                "rare": np.split(hashes[rare], np.cumsum(n_rare)[:-1])})
-
-    scored = cut_lineage(rows.withColumn("trains", F.coalesce(train_rows, F.lit(False)))
-                         .mapInPandas(traverse, "doc_id long, trains boolean, n_tokens long, n_known long, base double, "
-                                                "hashes array<long>, rare array<long>")
-                         .withColumn("row", F.monotonically_increasing_id()), "scored")
-    # Dealt by row before the sums: a row's rare words come from all over the count table.
-    rest = (scored.select("row", F.explode("rare").alias("key")).join(counts, "key", "left")
-            .select("row", F.coalesce("c", F.lit(0)).alias("c")).repartition("row")
-            .groupBy("row").agg(F.sum(F.log10((F.col("c") + ADD) / scale)).alias("rest"),
+    shared = spark.sparkContext.broadcast(Words(*arrays(counts.filter(F.col("c") >= word_share * total)), scale))
+    parts = max(1, -(-total // part_tokens))
+
+    # ids pass as text: pandas has no null integers; a row is known by a hash of id and text
+    rows = rows.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").alias("row"),
+                       F.col("doc_id").cast("string").alias("doc_id"), "trains", "text")
+    outlines = cut_lineage(outline(rows, shared, parts, part_tokens).withColumn("uid", F.monotonically_increasing_id()), "outlines")
+    texts = outlines.filter("n_tokens IS NOT NULL")
+    # Dealt by text before the sums: a text's rare words come from all over the count table.
+    rest = (texts.select("uid", F.explode("rare").alias("key")).join(counts, "key", "left")
+            .select("uid", F.coalesce("c", F.lit(0)).alias("c")).repartition("uid")
+            .groupBy("uid").agg(F.sum(F.log10((F.col("c") + ADD) / scale)).alias("rest"),
                                 F.sum((F.col("c") > 0).cast("long")).alias("known")))
-    lower = counts.withColumn("p", (F.col("c") + ADD) / scale)
-    longer = spark.createDataFrame([], "row long, gain double")
-    for n in range(2, order + 1):
-        lower, backoff = level(occurrences(scored.filter("trains"), n), lower, total)
-        longer = longer.union(gains(occurrences(scored, n), lower, backoff, total))
-    longer = longer.groupBy("row").agg(F.sum("gain").alias("gain"))
+    rare = (texts.select(F.explode(F.arrays_zip("rare", "rare_part")).alias("z")).select(F.col("z.rare").alias("key"), F.col("z.rare_part").alias("part"))
+            .filter("part >= 0").distinct().join(counts, "key").select("part", "key", "c"))
+    hot = hot_arcs(outlines, counts, scale)
+    gains = steps(packed(rows, shared, parts, part_tokens), rare, hot, shared, part_tokens)
+    # equal rows have sent their steps together: each has its share
+    gains = gains.groupBy("row").agg(F.sum("gain").alias("gain"))
+    copies = texts.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     base_score = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    return (scored.select("row", "doc_id", "n_tokens", "n_known", "base").join(rest, "row", "left")
-            .join(longer, "row", "left")
-            .select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+    return (texts.select("uid", "row", "doc_id", "n_tokens", "n_known", "base").join(rest, "uid", "left")
+            .join(copies, "row", "left").join(gains, "row", "left")
+            .select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens",
+                    (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
                     F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"),
-                    (base_score + F.coalesce("gain", F.lit(0.0))).alias("score")))
+                    (base_score + F.coalesce(F.col("gain") / F.col("copies"), F.lit(0.0))).alias("score")))

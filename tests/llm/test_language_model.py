@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ class Plain:
         self.grams = {}
         for k in range(2, order + 1):
             cs = Counter(tuple(s[i:i + k]) for s in seqs for i in range(len(s) - k + 1))
-            self.grams |= {g: x for g, x in cs.items() if x >= M.GRAM_SHARE * self.n}
+            self.grams |= cs
         self.after = defaultdict(list)
         for g in self.grams:
             self.after[g[:-1]].append(g[-1])
@@ -54,18 +55,20 @@ def held(i):
     return i is None or zlib.crc32(str(i).encode()) % 10 == 0
 
 
-@pytest.mark.parametrize("share", [1e-5, 0.004])
-def test_scores(edge_docs, edge_rows, monkeypatch, share):
-    monkeypatch.setattr(M, "GRAM_SHARE", share)
-    monkeypatch.setattr(M, "WORD_SHARE", share / 2)
-    want = Plain([t for i, t in edge_rows if not held(i)], M.ORDER)
-    got = M.score_texts(edge_docs, remainder("doc_id", 10) != 0).collect()
+ORDER = 3
+
+
+@pytest.mark.parametrize("options", [{}, {"word_share": 0.002}, {"part_tokens": 2_000}, {"word_share": 0.002, "part_tokens": 500}])
+def test_scores(edge_docs, edge_rows, options):
+    """At the default settings; with words that are joined, with many parts, and with split words."""
+    want = Plain([t for i, t in edge_rows if not held(i)], ORDER)
+    got = M.score_texts(edge_docs, remainder("doc_id", 10) != 0, **options).collect()
     assert len(got) == len(edge_rows)
     expected = []
     for i, t in edge_rows:
         ts = tokens(t)
         base = sum(math.log10(want.uni(w)) for w in ts)
-        model = sum(math.log10(want.p(tuple(ts[max(0, k - M.ORDER + 1):k]), w)) for k, w in enumerate(ts))
+        model = sum(math.log10(want.p(tuple(ts[max(0, k - ORDER + 1):k]), w)) for k, w in enumerate(ts))
         expected.append((i, len(ts), sum(want.c[w] > 0 for w in ts), want.n, base, model))
     key = lambda r: (repr(r[0]), r[1], round(r[4], 3))
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key)):
@@ -74,7 +77,7 @@ def test_scores(edge_docs, edge_rows, monkeypatch, share):
 
 
 def test_probabilities_sum_to_one(edge_rows):
-    m = Plain([t for i, t in edge_rows if not held(i)], M.ORDER)
+    m = Plain([t for i, t in edge_rows if not held(i)], ORDER)
     for h in list(m.after)[:20]:
         assert sum(m.p(h, w) for w in m.c) + m.p(h, b"never seen") == pytest.approx(1, abs=1e-6)
 
@@ -85,14 +88,34 @@ def test_empty_table_and_no_training_rows(no_docs, make_docs):
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == pytest.approx(0)
 
 
-def test_every_gram_is_a_state_at_any_size(make_docs, monkeypatch):
+def test_every_gram_is_a_state_at_any_size(make_docs):
     """Pairs that occur once or twice in more than 1e5 tokens count as well."""
     texts = [" ".join(f"w{(7 * i + k) % 5003}" for k in range(4000)) for i in range(60)] + ["odd pair here", "odd pair here"]
     rows = list(enumerate(texts))
     got = {r.doc_id: r for r in M.score_texts(make_docs(rows + [(900, "odd pair w1 w2")]), F.col("doc_id") < 900).collect()}
-    monkeypatch.setattr(M, "GRAM_SHARE", 0)
-    want = Plain(texts, M.ORDER)
+    want = Plain(texts, ORDER)
     for i, t in ((0, texts[0]), (60, "odd pair here"), (900, "odd pair w1 w2")):
         ts = tokens(t)
-        model = sum(math.log10(want.p(tuple(ts[max(0, k - M.ORDER + 1):k]), w)) for k, w in enumerate(ts))
+        model = sum(math.log10(want.p(tuple(ts[max(0, k - ORDER + 1):k]), w)) for k, w in enumerate(ts))
         assert want.n > 2e5 and got[i].score == pytest.approx(model, rel=1e-9)
+
+
+def test_packing():
+    rng = np.random.default_rng(2)
+    for n, most in ((1, 2), (500, 40), (90_000, 80_000)):
+        a, b, c = (rng.integers(0, most, n).astype(np.uint64) for _ in range(3))
+        row = rng.integers(-5, most, n)
+        trains = row % 3 == 0
+        back = M.unpack(M.pack(a, b, c, row, trains))
+        key = lambda x: sorted(zip(*(y.tolist() for y in x)))
+        assert key(back) == key((a, b, c, row, trains))
+
+
+def test_a_word_of_most_tokens_is_split(make_docs):
+    """One word is nearly every other token: its parts hold a few states each, and the scores stay."""
+    rows = [(i, " ".join(f"the w{(i * 7 + k) % 90}" for k in range(40))) for i in range(60)]
+    want = Plain([t for i, t in rows if i % 5], ORDER)
+    for r in M.score_texts(make_docs(rows), F.col("doc_id") % 5 != 0, part_tokens=300).collect():
+        ts = tokens(dict(rows)[r.doc_id])
+        model = sum(math.log10(want.p(tuple(ts[max(0, k - 2):k]), w)) for k, w in enumerate(ts))
+        assert r.score == pytest.approx(model, rel=1e-9)
