@@ -65,6 +65,17 @@ def hashing_vectors(df: DataFrame, key: str, text_col: str, dim: int = HASH_DIM,
     return dense.select(key, F.transform(l2_normalize("_raw"), lambda x: x.cast("float")).alias(out))
 
 
+def embed_labels(labels: DataFrame, dim: int = HASH_DIM, embed=None) -> DataFrame:
+    """EMB-5: the category label strings ``(idx, label)`` embedded once with the
+    encoder of the points (``embed(df, key, text_col)``) and L2-normalised:
+    ``(idx, label, vector)``. A label that gives the encoder nothing is a zero
+    vector, which no point is close to; equal labels have equal vectors."""
+    vecs = embed(labels, "idx", "label") if embed else hashing_vectors(labels, "idx", "label", dim)
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return (labels.select("idx", "label").join(vecs.select("idx", l2_normalize("vector").alias("vector")), "idx", "left")
+            .withColumn("vector", F.coalesce("vector", zero)))
+
+
 class Encoder(Protocol):
     dim: int
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,21 +67,24 @@ def categorize(points: DataFrame, labels, vec_col: str = "vector", places: int =
     or a set without labels, gives nulls."""
     mat = label_matrix(labels) if isinstance(labels, DataFrame) else np.asarray(labels, dtype=np.float64)
     sent = points.sparkSession.sparkContext.broadcast(mat)
-
-    @F.pandas_udf("category long, similarity double")
-    def best(vectors: pd.Series) -> pd.DataFrame:
-        here, matrix = vectors.notna().to_numpy(), sent.value
-        out = pd.DataFrame({"category": pd.array([None] * len(vectors), dtype="Int64"),
-                            "similarity": pd.array([None] * len(vectors), dtype="Float64")})
-        if here.any() and len(matrix):
-            at, sim = _best_label(_matrix(vectors[here]), matrix)
-            out.loc[here, "category"], out.loc[here, "similarity"] = at, sim
-        return out
-
-    best = best.asNondeterministic()    # not moved below a union, where Spark evaluates it for one side only
-    return (points.withColumn("_best", best(vec_col))
-            .withColumn("category", F.col("_best.category"))
-            .withColumn("similarity", F.round("_best.similarity", places)).drop("_best"))
+    kept = [c for c in points.columns if c not in ("category", "similarity")]
+
+    def run(batches):
+        for rows in batches:
+            vectors = rows.column(kept.index(vec_col))
+            here, matrix = vectors.is_valid().to_numpy(zero_copy_only=False), sent.value
+            at, sim = np.full(len(here), -1, np.int64), np.zeros(len(here))
+            if here.any() and len(matrix):
+                dense = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(here.sum(), -1)
+                at[here], sim[here] = _best_label(_unit_rows(dense), matrix)
+            none = at < 0
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at, mask=none), pa.array(sim, mask=none)],
+                                             [*kept, "category", "similarity"])
+
+    fields = [points.schema[c] for c in kept]
+    schema = T.StructType([*fields, T.StructField("category", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    # a map over whole rows: the other columns pass as they are
+    return points.select(*kept).mapInArrow(run, schema).withColumn("similarity", F.round("similarity", places))
 
 
 def _unit_rows(mat: np.ndarray) -> np.ndarray:

@@ -51,6 +51,36 @@ def q_dataset_points(spark, sf_dir):
                     F.array_join("project.prizes", ",").alias("prizes"))
 
 
+@register("dataset_document_fields", with_sql(REPOS_SQL, PROJECTS_SQL, REGISTRY_SQL, MEMBERS_SQL, MEMBER_INDEX_SQL,
+                                              CATEGORY_LABELS_SQL, """
+sims AS (SELECT m.dataset, m.id, m.idx, c.idx AS cat, list_cosine_similarity(m.vector::DOUBLE[], c.vector) AS sim
+         FROM mi m, cat_labels c),
+best AS (SELECT *, row_number() OVER (PARTITION BY dataset, id ORDER BY sim DESC, cat) AS rn FROM sims)""") + """
+SELECT m.dataset, m.idx::BIGINT AS idx, m.id::BIGINT AS id, coalesce(r.name, p.slug) AS name,
+       coalesce(r.stars, p.likes)::BIGINT AS score, p.tagline, p.winner IS NOT NULL AND p.winner AS winner,
+       CASE WHEN p.id IS NOT NULL THEN len(coalesce(p.prizes, [])) END::BIGINT AS n_prizes, b.cat::BIGINT AS category,
+       NULL::BIGINT AS n_categories
+FROM mi m JOIN best b ON b.rn = 1 AND b.dataset = m.dataset AND b.id = m.id
+     LEFT JOIN repos r ON m.dataset = 'github' AND r.id = m.id LEFT JOIN projects p ON m.dataset <> 'github' AND p.id = m.id
+UNION ALL
+SELECT dataset, -1, NULL, max(hackathon), max(year), NULL, false, NULL, NULL, (SELECT count(*) FROM cat_labels)
+FROM members GROUP BY dataset""")
+def q_dataset_document_fields(spark, sf_dir):
+    """SRC-17: the lines of every dataset's document parsed back: the header's
+    hackathon, year and number of categories, each point's stored fields and category."""
+    lines = q_dataset_document(spark, sf_dir)
+    at = lambda path: F.get_json_object("line", path)
+    header = F.col("idx") == -1
+    prizes = F.from_json(at("$.prizes"), "array<string>")
+    return lines.select(
+        "dataset", "idx", at("$.id").cast("long").alias("id"),
+        F.when(header, at("$.hackathon")).otherwise(F.when(F.col("dataset") == "github", at("$.name")).otherwise(at("$.slug"))).alias("name"),
+        F.when(header, at("$.year")).otherwise(F.coalesce(at("$.stars"), at("$.likes"))).cast("long").alias("score"),
+        at("$.tagline").alias("tagline"), F.coalesce(at("$.winner").cast("boolean"), F.lit(False)).alias("winner"),
+        F.when(prizes.isNotNull(), F.size(prizes)).cast("long").alias("n_prizes"), at("$.category").cast("long").alias("category"),
+        F.when(header, F.size(F.from_json(at("$.categories"), "array<string>"))).cast("long").alias("n_categories"))
+
+
 @register("refresh_datasets")
 def q_refresh_datasets(spark, sf_dir):
     """STR-3: after the project upsert, only the datasets holding inserted or
