@@ -12,7 +12,7 @@ than the overlap) are encoded in one piece. Decoding concatenates the byte
 strings of the ids.
 
 Nulls and empty texts give no ids. Repeated rows give equal rows. One row out
-per row in.
+per row in, so an empty table gives an empty result.
 """
 
 from __future__ import annotations

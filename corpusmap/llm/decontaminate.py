@@ -20,7 +20,9 @@ fixed size (2 MB whatever the benchmark) of the benchmark's hashes; the join
 decides exactly. Items shorter than a window are one window of their length.
 Without ``verbatim``, items without a window of enough literal words match
 nothing. Null and empty
-texts match nothing; rows that repeat with the same id and text count as one.
+texts match nothing; rows that repeat with the same id and text count as one. Very
+long texts are read whole; a document that holds several items has a row for
+each, so there are no ties; empty tables give an empty result.
 """
 
 from __future__ import annotations

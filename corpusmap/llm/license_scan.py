@@ -9,6 +9,7 @@ matched with the regex library's bounded-error matching, which verifies the
 edits and gives the span.
 
 Null and empty texts have no words and no labels. Repeated rows give equal rows.
+Very long texts are searched whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ strings counts one without any merge, and only the others are merged (each
 distinct one once per worker, while the memo lasts).
 
 Special strings of the tokenizer inside a text count one each, as the library
-does by default. Null and empty texts have no tokens.
+does by default. Null and empty texts have no tokens, repeated rows give equal
+rows, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ play. The shards' lists are merged per query.
 Vectors that are null or hold a null or non-finite component, and rows without
 an id, take no part; missing trailing components count as 0. Rows that repeat
 an id are candidates of their own, but never of a query with that id; a query
-id that repeats is asked once (with the least of its vectors). Scores must fit
-64 bits.
+id that repeats is asked once (with the least of its vectors). Equal scores go to
+the smaller id, in the shards and when their lists are merged. Scores must fit
+64 bits. An empty table gives an empty result.
 """
 
 from __future__ import annotations
