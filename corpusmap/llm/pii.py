@@ -1,20 +1,22 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Regular expressions propose spans. The four base kinds keep every match that
-passes its rule (parts, Luhn, number of digits); looser patterns propose local
-phone numbers and spelled-out addresses. Each proposed span is voted on by
+passes its rule (parts, Luhn, number of digits) and drop every other one: a match
+that fails is no span of any kind, nor is a piece of it. Looser patterns propose
+local phone numbers and spelled-out addresses. Each proposed span is voted on by
 labelers that say personal (1), not personal (0) or nothing (-1): the rule of
 its kind, a second shape test, a gazetteer (top-level domains, country codes,
 issuer digits, reserved address ranges), the words before it, and its
 neighbour characters. Expectation-maximisation over the counts of vote
 patterns estimates how reliable each labeler is and how likely each pattern is
 personal; a logistic classifier over kind, votes and length is trained on those
-probabilities and decides about the spans that are no base spans.
+probabilities and decides about the spans of the looser kinds.
 
 Only counts by (kind, votes, length bucket) reach the driver: at most 6 x 3^5 x
 3 rows, whatever the corpus. Spans are code points, end exclusive. Null and
-empty texts have no spans; without any span nothing is learned. One row out per
-row in; repeated rows give equal rows.
+empty texts have no spans; without any span, or in an empty table, nothing is
+learned; very long texts are read whole. One row out per row in; repeated rows
+give equal rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "local_phone": r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    # with dots only in groups of 3, 3 and 4 digits: other dotted numbers are versions and dates
+    "local_phone": r"(?<![0-9+.])(?:(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})"
+                   r"(?![0-9])(?!\.[0-9])",
     "spelled_email": r"(?i)(?<![a-z0-9._-])[a-z0-9][a-z0-9._-]{0,63} ?[\[(]at[\])] ?"
                      r"[a-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[a-z0-9-]{1,63}){1,4}",
 }
@@ -227,11 +231,14 @@ def probability(c: Column, weights: dict[str, float]) -> Column:
 
 
 def accepted(found: Column, weights: dict[str, float], threshold: float = 0.5) -> Column:
-    """Base spans, and others that the classifier takes and no base span
-    overlaps, by start, then kind."""
+    """Base spans, and those of the looser kinds that the classifier takes, by
+    start, then kind. A looser span gives way to a base span it overlaps, and to a
+    failed match of a base kind that reaches beyond it."""
     base = F.filter(found, lambda c: c["base"])
-    more = F.filter(found, lambda c: ~c["base"] & (probability(c, weights) >= threshold)
-                    & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    first = F.filter(found, lambda c: c["kind"] < len(BASE_KINDS))
+    more = F.filter(found, lambda c: (c["kind"] >= len(BASE_KINDS)) & (probability(c, weights) >= threshold)
+                    & ~F.exists(first, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
+                                & (b["base"] | (b["start"] < c["start"]) | (b["end"] > c["end"]))))
     return F.array_sort(F.transform(F.concat(base, more), lambda c: F.struct(
         c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"))))
 

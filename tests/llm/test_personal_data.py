@@ -92,3 +92,17 @@ def test_spelled_email_in_any_case(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [r.m for r in df.select(pii.matches(F.col("text"), "spelled_email").alias("m")).collect()]
     assert [[s.m for s in m] for m in got] == [texts[:1], texts[1:2], texts[2:3], []]
+
+
+def test_failed_matches_stay_out(make_docs):
+    """Numbers that fail a base rule, versions, dates and ids are no spans, with and without cue words; loose kinds come in."""
+    bad = ["1.2.3.400", "999.10.10.1", "+1 23 45", "4111 1111 1111 1112", "12.345.6789", "version 3.141.5926", "2024-01-17",
+           "17.01.2024", "1.22.333.4444", "order 4111-1111-1111-1112-99"]
+    good = [("call (017) 555-7713 today", "local_phone"), ("phone: 555 123 4567", "local_phone"), ("tel 555.123.4567", "local_phone"),
+            ("write joe [at] example [dot] com", "spelled_email"), ("mail a.b@c.org", "email"), ("card 4111 1111 1111 1111", "card")]
+    rows = [(i, t) for i, t in enumerate(bad)] + [(100 + i, f"please call {t} or mail") for i, t in enumerate(bad)]
+    rows += [(200 + i, t) for i, (t, _) in enumerate(good)] * 5
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(make_docs(rows)).collect()}
+    assert all(not got[i] for i in range(len(bad))) and all(not got[100 + i] for i in range(len(bad)))
+    for i, (t, kind) in enumerate(good):
+        assert [pii.KINDS[s.kind] for s in got[200 + i]] == [kind], t
