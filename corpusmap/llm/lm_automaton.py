@@ -16,14 +16,14 @@ All training texts are counted and every n-gram has an arc. The automaton is cut
 by the *middle* word b of the trigrams (a, b, c): the part of b holds the states
 (b) and (a, b) with all their arcs, so a step from (a, b) over c, with its failure
 arc to (b), never leaves the part. Each token with its two neighbours goes to the
-part of its word once -- packed with a dictionary of the words, sorted and
+part of its word once -- packed, frequent words as their ranks, sorted and
 compressed -- and there it is counted, the arcs and failure weights of the part
 are built, and the step is scored; sums by text come back. What a part needs from
 elsewhere is the unigram part of words c, counted before: words of a share of
 ``WORD_SHARE`` or more are broadcast (at most 1 / WORD_SHARE, whatever the corpus),
 the others come by a join.
 
-A word with more than ``PART_TOKENS`` / 2 occurrences is split by the hash of a,
+A word with more than ``PART_TOKENS`` occurrences is split by the hash of a,
 which keeps every state (a, b) whole. The counts of its own arcs, (b, c), and its
 failure weight are then summed beforehand, and sent to the parts that ask for
 them.
@@ -36,6 +36,7 @@ with their texts too.
 
 from __future__ import annotations
 
+import gc
 import struct
 from collections.abc import Iterator
 
@@ -124,6 +125,16 @@ class Words:
     def __init__(self, words: np.ndarray, counts: np.ndarray, scale: float):
         order = np.argsort(words)
         self.words, self.counts, self.scale = words[order], counts[order], scale
+        #: Places of the words, the most frequent first.
+        self.by_rank = np.argsort(-self.counts, kind="stable").astype(np.int32)
+
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        """Rank by count, -1 for words that are not frequent."""
+        if not hasattr(self, "rank"):
+            self.rank = np.empty(len(self.words), np.int32)
+            self.rank[self.by_rank] = np.arange(len(self.words), dtype=np.int32)
+        at = look_up(self.words, hashes.astype(np.int64))
+        return np.where(at < 0, -1, self.rank[at] if len(self.words) else -1)
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
         """Training count, 0 for words that are not frequent."""
@@ -151,7 +162,7 @@ def neighbours(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def splits(counts: np.ndarray, part_tokens: int) -> np.ndarray:
     """In how many a word of so many occurrences is split."""
-    return 1 + counts * 2 // part_tokens
+    return 1 + counts // part_tokens
 
 
 def part_of(b: np.ndarray, a: np.ndarray, split: np.ndarray, parts: int) -> np.ndarray:
@@ -159,25 +170,33 @@ def part_of(b: np.ndarray, a: np.ndarray, split: np.ndarray, parts: int) -> np.n
     return (mix(b * MIX1 + sub) % np.uint64(parts)).astype(np.int32)
 
 
-def narrow(index: np.ndarray, most: int) -> bytes:
-    return index.astype("<u2" if most <= 1 << 16 else "<u4").tobytes()
-
-
-def pack(a: np.ndarray, b: np.ndarray, c: np.ndarray, row: np.ndarray, trains: np.ndarray) -> bytes:
-    """One part's tokens of a task, sorted by word and text."""
-    n = len(b)
-    code, words = pd.factorize(np.concatenate([b, a, c]))
-    r, rows = pd.factorize(row)
-    order = np.lexsort((r, code[:n]))
-    flag = np.zeros(len(rows), bool)
-    flag[r] = trains
-    body = b"".join([words.astype("<u8").tobytes(), rows.astype("<i8").tobytes(), np.packbits(flag).tobytes(),
-                     *(narrow(code[k * n:(k + 1) * n][order], len(words)) for k in range(3)), narrow(r[order], len(rows))])
-    return struct.pack("<III", n, len(words), len(rows)) + zstandard.compress(body, 3)
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, n_words, n_rows = struct.unpack_from("<III", blob)
+def planes(codes: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, all lowest first: small numbers leave planes of zeros."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def pack(ranks: tuple[np.ndarray, ...], hashes: tuple[np.ndarray, ...], text: np.ndarray, row: np.ndarray, trains: np.ndarray,
+         known: int) -> bytes:
+    """One part's tokens of a task, sorted by the middle word's rank: ranks and
+    hashes of the words (b, a, c), numbers of their texts (which ``row`` and
+    ``trains`` are about). A frequent word is its rank, any other (rank -1) a place
+    behind the ``known`` ranks in the blob's own list."""
+    n = len(text)
+    code = np.concatenate(ranks).astype(np.int64)
+    other = np.flatnonzero(code < 0)
+    place, own = pd.factorize(np.concatenate(hashes)[other])
+    code[other] = place + known
+    order = np.argsort(code[:n], kind="stable")             # nearly sorted: only the own words, first so far, move
+    b, a, c = (code[k * n:(k + 1) * n][order] for k in range(3))
+    texts, r = np.unique(text, return_inverse=True)
+    step = np.diff(r[order].astype(np.int64), prepend=0)      # texts ascend within a word
+    body = b"".join([own.astype("<u8").tobytes(), row[texts].astype("<i8").tobytes(), np.packbits(trains[texts]).tobytes(),
+                     planes(np.diff(b, prepend=0)), planes(a), planes(c), planes(step << 1 ^ step >> 63)])
+    return struct.pack("<III", n, len(own), len(texts)) + zstandard.compress(body, 1)
+
+
+def unpack(blob: bytes, frequent: Words) -> tuple[np.ndarray, ...]:
+    n, n_own, n_rows = struct.unpack_from("<III", blob)
     body, at = zstandard.decompress(blob[12:]), 0
 
     def take(kind: str, size: int) -> np.ndarray:
@@ -186,12 +205,23 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         at += out.nbytes
         return out
 
-    words, rows = take("<u8", n_words), take("<i8", n_rows)
+    def numbers() -> np.ndarray:
+        return np.ascontiguousarray(take("u1", 4 * n).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+    own, rows = take("<u8", n_own), take("<i8", n_rows)
     flag = np.unpackbits(take("u1", (n_rows + 7) // 8), count=n_rows).astype(bool)
-    kind = "<u2" if n_words <= 1 << 16 else "<u4"
-    b, a, c = (words[take(kind, n)] for _ in range(3))
-    r = take("<u2" if n_rows <= 1 << 16 else "<u4", n)
-    return a, b, c, rows[r], flag[r]
+    b, a, c = np.cumsum(numbers()), numbers(), numbers()
+    step, known = numbers(), len(frequent.words)
+    r = np.cumsum(step >> 1 ^ -(step & 1))
+
+    def hashes(code: np.ndarray) -> np.ndarray:
+        out = np.empty(n, np.uint64)
+        is_own = code >= known
+        out[is_own] = own[code[is_own] - known]
+        out[~is_own] = frequent.words[frequent.by_rank[code[~is_own]]].view(np.uint64)
+        return out
+
+    return hashes(a), hashes(b), hashes(c), rows[r], flag[r]
 
 
 def first_places(code: np.ndarray, n: int) -> np.ndarray:
@@ -281,13 +311,27 @@ class Part:
         return pd.DataFrame({"row": rows, "gain": np.bincount(r, self.step, len(rows))})
 
 
-def text_batches(batches: Iterator[pd.DataFrame], words: WordHash):
-    """(batch, hashes of its tokens, tokens of each text, word before, word after)."""
-    for b in batches:
-        if len(b):
-            hashes, sizes = token_hashes(b["text"].tolist(), words)
-            hashes = hashes.astype(np.uint64)
-            yield b, hashes, sizes, *neighbours(hashes, sizes)
+class Read:
+    """A batch's tokens: hashes, tokens of each text, words before and after, and
+    the counts and ranks of the words (looked up once for each distinct one)."""
+
+    def __init__(self, texts: list[str], words: WordHash, frequent: Words):
+        hashes, self.sizes = token_hashes(texts, words)
+        self.hashes = hashes.astype(np.uint64)
+        self.before, self.after = neighbours(self.hashes, self.sizes)
+        self.code, self.distinct = pd.factorize(self.hashes)
+        self.count_of = frequent.count(self.distinct)
+        self.counts = self.count_of[self.code]
+
+    def parts(self, parts: int, part_tokens: int, at: np.ndarray | None = None) -> np.ndarray:
+        """The part of each token, or of those ``at`` some places."""
+        code, before = (self.code, self.before) if at is None else (self.code[at], self.before[at])
+        split = splits(self.count_of, part_tokens)
+        whole = part_of(self.distinct, self.distinct, np.ones_like(split), parts)
+        out, cut = whole[code], np.flatnonzero(split[code] > 1)
+        if len(cut):
+            out[cut] = part_of(self.distinct[code[cut]], before[cut], split[code[cut]], parts)
+        return out
 
 
 def outline(rows: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
@@ -304,26 +348,25 @@ def outline(rows: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
 
     def run(batches):
         words, frequent, held = WordHash(), shared.value, []
-        for b, hashes, sizes, before, after in text_batches(batches, words):
-            counts = frequent.count(hashes)
-            split = splits(counts, part_tokens)
-            part = part_of(hashes, before, split, parts)
-            base = np.where(counts > 0, frequent.log_p(counts), 0.0)
-            cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            rare = np.flatnonzero(counts == 0)
-            n_rare = np.add.reduceat((counts == 0).astype(np.int64), cuts)
-            first = np.isin(rare, cuts)
-            rare_part = np.where(first, -1, part[rare - 1])
+        for b in batches:
+            if not len(b):
+                continue
+            t = Read(b["text"].tolist(), words, frequent)
+            cuts = np.cumsum(t.sizes) - t.sizes
+            base = np.where(t.count_of > 0, frequent.log_p(t.count_of), 0.0)[t.code]
+            rare = np.flatnonzero(t.counts == 0)
+            n_rare = np.add.reduceat((t.counts == 0).astype(np.int64), cuts)
+            rare_part = np.where(np.isin(rare, cuts), -1, t.parts(parts, part_tokens, rare - 1))
             at = np.cumsum(n_rare)[:-1]
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "n_tokens": sizes, "n_known": sizes - n_rare,
-                                "base": np.add.reduceat(base, cuts), "rare": np.split(hashes[rare].astype(np.int64), at),
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "n_tokens": t.sizes, "n_known": t.sizes - n_rare,
+                                "base": np.add.reduceat(base, cuts), "rare": np.split(t.hashes[rare].view(np.int64), at),
                                 "rare_part": np.split(rare_part, at), "hot": [[]] * len(b)})[names]
-            of_split = np.flatnonzero((split > 1) & (after != NONE))
+            of_split = np.flatnonzero((splits(t.count_of, part_tokens) > 1)[t.code] & (t.after != NONE))
             if len(of_split):
-                trains = np.repeat(b["trains"].to_numpy(dtype=np.int64), sizes)[of_split]
-                t = pd.DataFrame({"b": hashes[of_split].astype(np.int64), "c": after[of_split].astype(np.int64),
-                                  "part": part[of_split], "n": trains})
-                held.append(t.groupby(["b", "c", "part"], as_index=False, sort=False)["n"].sum())
+                trains = np.repeat(b["trains"].to_numpy(dtype=np.int64), t.sizes)[of_split]
+                arcs = pd.DataFrame({"b": t.hashes[of_split].view(np.int64), "c": t.after[of_split].view(np.int64),
+                                     "part": t.parts(parts, part_tokens, of_split), "n": trains})
+                held.append(arcs.groupby(["b", "c", "part"], as_index=False, sort=False)["n"].sum())
                 if sum(map(len, held)) >= HELD_KEYS // 10:
                     yield hot_row(held)
                     held = []
@@ -335,25 +378,33 @@ def outline(rows: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
 
 def packed(rows: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
     """(part, blob): every token with its neighbours, for the part of its word."""
-    def flush(held):
-        a, b, c, row, trains, part = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(part, kind="stable")
-        ends = np.flatnonzero(np.diff(part[order])) + 1
-        for some in np.split(order, ends):
-            yield int(part[some[0]]), pack(a[some], b[some], c[some], row[some], trains[some])
+    def flush(held, known):
+        part, b, a, c, hb, ha, hc, sizes, row, trains = (np.concatenate(x) for x in zip(*held))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(part.astype(np.int64) << 32 | (b.astype(np.int64) + 1), kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            yield int(part[some[0]]), pack((b[some], a[some], c[some]), (hb[some], ha[some], hc[some]), text[some], row, trains, known)
 
     def run(batches):
         words, frequent, held, size = WordHash(), shared.value, [], 0
-        for b, hashes, sizes, before, after in text_batches(batches, words):
-            part = part_of(hashes, before, splits(frequent.count(hashes), part_tokens), parts)
-            held.append((before, hashes, after, np.repeat(b["row"].to_numpy(np.int64), sizes),
-                         np.repeat(b["trains"].to_numpy(dtype=bool), sizes), part))
-            size += len(hashes)
+        known = len(frequent.words)
+        for b in batches:
+            if not len(b):
+                continue
+            t = Read(b["text"].tolist(), words, frequent)
+            rank = frequent.ranks(t.distinct)[t.code].astype(np.int32)
+            ends = np.cumsum(t.sizes)
+            before, after = np.roll(rank, 1), np.roll(rank, -1)
+            before[ends - t.sizes] = -1             # NONE is in no list of words
+            after[ends - 1] = -1
+            held.append((t.parts(parts, part_tokens), rank, before, after, t.hashes, t.before, t.after, t.sizes,
+                         b["row"].to_numpy(np.int64), b["trains"].to_numpy(dtype=bool)))
+            size += len(rank)
             if size >= HELD_KEYS:
-                yield pd.DataFrame(flush(held), columns=["part", "blob"])
+                yield pd.DataFrame(flush(held, known), columns=["part", "blob"])
                 held, size = [], 0
         if held:
-            yield pd.DataFrame(flush(held), columns=["part", "blob"])
+            yield pd.DataFrame(flush(held, known), columns=["part", "blob"])
 
     return rows.mapInPandas(run, "part int, blob binary")
 
@@ -363,7 +414,7 @@ def steps(blobs: DataFrame, rare: DataFrame, hot: DataFrame, shared, part_tokens
     def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
             return pd.DataFrame({"row": np.zeros(0, np.int64), "gain": np.zeros(0)})
-        tokens = tuple(np.concatenate(x) for x in zip(*map(unpack, own["blob"])))
+        tokens = tuple(np.concatenate(x) for x in zip(*(unpack(x, shared.value) for x in own["blob"])))
         is_rare = asked["weight"].isna().to_numpy()
         few = (asked["key"].to_numpy(np.int64)[is_rare], asked["n"].to_numpy(np.int64)[is_rare])
         many = tuple(asked[x].to_numpy()[~is_rare] for x in ("b", "key", "n", "weight"))
@@ -392,6 +443,13 @@ def hot_arcs(outlines: DataFrame, counts: DataFrame, scale: float) -> DataFrame:
             .select("part", "b", "c", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("weight", F.lit(0.0)).alias("weight")))
 
 
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of plans that are written and gone: it
+    does so when the driver's JVM has collected them, else after half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text",
                 word_share: float = WORD_SHARE, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row.
@@ -401,6 +459,7 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
     rows = id_text(docs, id_col, text_col).withColumn("trains", F.coalesce(train_rows, F.lit(False)))
     counts = cut_lineage(count_keys(rows.filter("trains"), lambda hashes, sizes: hashes), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    release(spark)
     total, scale = int(total), float(total + ADD * (distinct + 1))
     shared = spark.sparkContext.broadcast(Words(*arrays(counts.filter(F.col("c") >= word_share * total)), scale))
     parts = max(1, -(-total // part_tokens))
@@ -410,17 +469,19 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
                        F.col("doc_id").cast("string").alias("doc_id"), "trains", "text")
     outlines = cut_lineage(outline(rows, shared, parts, part_tokens).withColumn("uid", F.monotonically_increasing_id()), "outlines")
     texts = outlines.filter("n_tokens IS NOT NULL")
+    rare = (texts.select(F.explode(F.arrays_zip("rare", "rare_part")).alias("z")).select(F.col("z.rare").alias("key"), F.col("z.rare_part").alias("part"))
+            .filter("part >= 0").distinct().join(counts, "key").select("part", "key", "c"))
+    hot = cut_lineage(hot_arcs(outlines, counts, scale), "hot")
+    release(spark)
+    # equal rows have sent their steps together: each has its share
+    gains = steps(packed(rows, shared, parts, part_tokens), rare, hot, shared, part_tokens)
+    gains = cut_lineage(gains.groupBy("row").agg(F.sum("gain").alias("gain")), "gains")
+    release(spark)
     # Dealt by text before the sums: a text's rare words come from all over the count table.
     rest = (texts.select("uid", F.explode("rare").alias("key")).join(counts, "key", "left")
             .select("uid", F.coalesce("c", F.lit(0)).alias("c")).repartition("uid")
             .groupBy("uid").agg(F.sum(F.log10((F.col("c") + ADD) / scale)).alias("rest"),
                                 F.sum((F.col("c") > 0).cast("long")).alias("known")))
-    rare = (texts.select(F.explode(F.arrays_zip("rare", "rare_part")).alias("z")).select(F.col("z.rare").alias("key"), F.col("z.rare_part").alias("part"))
-            .filter("part >= 0").distinct().join(counts, "key").select("part", "key", "c"))
-    hot = hot_arcs(outlines, counts, scale)
-    gains = steps(packed(rows, shared, parts, part_tokens), rare, hot, shared, part_tokens)
-    # equal rows have sent their steps together: each has its share
-    gains = gains.groupBy("row").agg(F.sum("gain").alias("gain"))
     copies = texts.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     base_score = F.col("base") + F.coalesce("rest", F.lit(0.0))
     return (texts.select("uid", "row", "doc_id", "n_tokens", "n_known", "base").join(rest, "uid", "left")

@@ -103,12 +103,17 @@ def test_every_gram_is_a_state_at_any_size(make_docs):
 def test_packing():
     rng = np.random.default_rng(2)
     for n, most in ((1, 2), (500, 40), (90_000, 80_000)):
-        a, b, c = (rng.integers(0, most, n).astype(np.uint64) for _ in range(3))
-        row = rng.integers(-5, most, n)
+        a, b, c = (rng.integers(0, most, n).astype(np.uint64) * np.uint64(2**63 // 40_000) for _ in range(3))
+        text = np.sort(rng.integers(0, most, n))
+        row = rng.integers(-2**62, 2**62, most)
         trains = row % 3 == 0
-        back = M.unpack(M.pack(a, b, c, row, trains))
-        key = lambda x: sorted(zip(*(y.tolist() for y in x)))
-        assert key(back) == key((a, b, c, row, trains))
+        for known in (0, most // 2):
+            words = np.arange(known, dtype=np.uint64) * np.uint64(2**63 // 40_000)
+            frequent = M.Words(words.view(np.int64), rng.integers(1, 50, known), 10.0)
+            ranks = tuple(frequent.ranks(x).astype(np.int32) for x in (b, a, c))
+            back = M.unpack(M.pack(ranks, (b, a, c), text, row, trains, known), frequent)
+            key = lambda x: sorted(zip(*(y.tolist() for y in x)))
+            assert key(back) == key((a, b, c, row[text], trains[text]))
 
 
 def test_a_word_of_most_tokens_is_split(make_docs):
