@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmap.llm.common import id_text, prepare, remainder, table
@@ -89,9 +89,11 @@ def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmap.session import cut_lineage
     found = find_personal_data(table(spark, sf_dir, "documents"), keep=lambda df: cut_lineage(df, "proposed-spans"))
     base = F.filter("spans", lambda s: s["base"])
-    count = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}")
-             for k, name in enumerate(BASE_KINDS)]
-    return found.select("doc_id", *count, F.sha2(listing(base), 256).alias("base_sha256"),
+
+    def count(k: int) -> Column:        # a second argument of the lambda would be the span's position
+        return F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{BASE_KINDS[k]}")
+
+    return found.select("doc_id", *map(count, range(len(BASE_KINDS))), F.sha2(listing(base), 256).alias("base_sha256"),
                         listing(F.col("spans")).alias("spans"))
 
 
