@@ -31,7 +31,8 @@ def build_slug_index(projects: DataFrame, path: str, buckets: int = SLUG_BUCKETS
 def slug_changes(before: DataFrame, after: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """The claims ``(slug, id)`` that go and come between two states of the same
     partitions. A slug that stays with its id is in neither."""
-    a, b = (df.select("slug", F.col(key).alias("id")).filter("slug IS NOT NULL AND id IS NOT NULL").distinct() for df in (before, after))
+    a, b = (cut_lineage(df.select("slug", F.col(key).alias("id")).filter("slug IS NOT NULL AND id IS NOT NULL").distinct(), name)
+            for df, name in ((before, "slugs-before"), (after, "slugs-after")))       # each state is computed once
     return (cut_lineage(a.join(b, ["slug", "id"], "left_anti"), "slugs-gone"),
             cut_lineage(b.join(a, ["slug", "id"], "left_anti"), "slugs-come"))
 

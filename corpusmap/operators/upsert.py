@@ -35,11 +35,17 @@ def _differs(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def _all_equal_to(col: str, stored: Column, only_non_null: bool = False) -> Column:
+def _short(c: Column, text: bool) -> Column:
+    """A text of 64 or more characters as its sha256 (64 characters, which no
+    shorter text equals): comparisons then carry no long texts."""
+    return F.when(F.length(c) >= 64, F.sha2(c, 256)).otherwise(c) if text else c
+
+
+def _all_equal_to(col: str, stored: Column, only_non_null: bool = False, text: bool = False) -> Column:
     """Aggregate: every incoming (``ord > 0``) value of ``col`` equals ``stored``
     null-safely (or, with ``only_non_null``, every non-null incoming value)."""
     inc = F.col("_inc")
-    v = F.when(inc, F.col(col))
+    v, stored = F.when(inc, _short(F.col(col), text)), _short(stored, text)
     n_in = F.count_if(inc)
     n_nn = F.count(v)
     same_val = (F.min(v).eqNullSafe(stored)) & (F.max(v).eqNullSafe(stored))
@@ -62,29 +68,30 @@ def upsert_repos(stored: DataFrame, batch: DataFrame, refresh_on_change: bool =
                  F.lit(None).cast(stored.schema["vector"].dataType).alias("vector"),
                  F.col("ord").cast("long")))
     u = s.unionByName(b).withColumn("_inc", F.col("ord") > 0)
-    old = F.max_by(F.struct("id", *REPO_FIELDS, "vector"), F.when(~F.col("_inc"), F.lit(1)))
-    last = F.max_by(F.struct(*REPO_FIELDS), F.when(F.col("_inc"), F.col("ord")))
-    g = u.groupBy("name").agg(old.alias("old"), last.alias("last"),
+    # one aggregate a column, so that the numbering of new names moves no texts
+    old = {c: F.max_by(c, F.when(~F.col("_inc"), F.lit(1))) for c in ["id", *REPO_FIELDS, "vector"]}
+    last = {c: F.max_by(c, F.when(F.col("_inc"), F.col("ord"))) for c in REPO_FIELDS}
+    g = u.groupBy("name").agg(*[v.alias(f"_old_{c}") for c, v in old.items()], *[v.alias(f"_last_{c}") for c, v in last.items()],
                               F.min(F.when(F.col("_inc"), F.col("ord"))).alias("_first_ord"),
                               F.count_if(~F.col("_inc")).alias("n_old"), F.count_if("_inc").alias("n_new"))
-    fields = {f: F.when(F.col("n_new") > 0, F.col("last")[f]).otherwise(F.col("old")[f]) for f in REPO_FIELDS}
+    fields = {f: F.when(F.col("n_new") > 0, F.col(f"_last_{f}")).otherwise(F.col(f"_old_{f}")) for f in REPO_FIELDS}
     changed = F.lit(False)
     for f in REPO_FIELDS:
-        changed = changed | _differs(F.col("old")[f], F.col("last")[f])
+        changed = changed | _differs(F.col(f"_old_{f}"), F.col(f"_last_{f}"))
     action = (F.when(F.col("n_old") == 0, "insert")
               .when((F.col("n_new") > 0) & changed, "update").otherwise("unchanged"))
-    vector = F.col("old")["vector"]
+    vector = F.col("_old_vector")
     if refresh_on_change:
         vector = F.when(action != "update", vector)
-    state = g.select("name", F.col("old")["id"].alias("id"), *[c.alias(f) for f, c in fields.items()],
-                     vector.alias("vector"), action.alias("action"), "_first_ord")
+    state = g.select("name", F.col("_old_id").alias("id"), *[c.alias(f) for f, c in fields.items()],
+                     vector.alias("vector"), action.alias("action"))
     if max_id is None:
         max_id = stored.agg(F.max("id")).first()[0] or 0
-    inserts = dense_index(state.filter(F.col("action") == "insert").drop("id"), ["_first_ord", "name"],
-                          name="id", start=int(max_id) + 1)
-    kept = state.filter(F.col("action") != "insert")
-    cols = ["id", "name", *REPO_FIELDS, "vector", "action"]
-    return kept.select(*cols).unionByName(inserts.select(*cols)), rejects
+    # new names are not null and stand once in g, so they can be looked up
+    new = g.filter(F.col("n_old") == 0).select("name", "_first_ord")
+    ids = dense_index(new, ["_first_ord", "name"], name="_new_id", start=int(max_id) + 1).select("name", "_new_id")
+    state = state.join(ids, "name", "left").withColumn("id", F.when(F.col("action") == "insert", F.col("_new_id")).otherwise(F.col("id")))
+    return state.select("id", "name", *REPO_FIELDS, "vector", "action"), rejects
 
 
 def upsert_projects(stored: DataFrame, batch: DataFrame, refresh_on_change: bool = False) -> DataFrame:
@@ -101,38 +108,41 @@ def upsert_projects(stored: DataFrame, batch: DataFrame, refresh_on_change: bool
                      F.col("ord").cast("long"))
     u = s.unionByName(b).withColumn("_inc", F.col("ord") > 0)
     inc = F.col("_inc")
-    old = F.max_by(F.struct(*PROJECT_SCALARS, "hackathon", "year", "vector", "prizes"),
-                   F.when(~inc, F.lit(1)))
-    last = F.max_by(F.struct(*PROJECT_SCALARS), F.when(inc, F.col("ord")))
+    # one aggregate a column, so that a reader of few columns moves no others;
+    # all follow the same order, so they take their values from the same row
+    fields = PROJECT_SCALARS + ["hackathon", "year", "vector", "prizes"]
+    stored_of = {c: F.max_by(c, F.when(~inc, F.lit(1))) for c in fields}
+    last = {c: F.max_by(c, F.when(inc, F.col("ord"))) for c in PROJECT_SCALARS}
     last_h = F.max_by("hackathon", F.when(inc & F.col("hackathon").isNotNull(), F.col("ord")))
     last_y = F.max_by("year", F.when(inc & F.col("year").isNotNull(), F.col("ord")))
     # Per-column "every incoming value equals the stored one": the stored value
     # is itself an aggregate, so compare min/max of incoming values against the
     # stored row's value taken with max_by.
-    stored_of = {c: F.max_by(c, F.when(~inc, F.lit(1))) for c in PROJECT_SCALARS + ["hackathon", "year"]}
+    texts = {f.name for f in s.schema.fields if f.dataType.simpleString() == "string"}
     same = F.lit(True)
     for c in PROJECT_SCALARS:
-        same = same & _all_equal_to(c, stored_of[c])
+        same = same & _all_equal_to(c, stored_of[c], text=c in texts)
     for c in ("hackathon", "year"):
-        same = same & _all_equal_to(c, stored_of[c], only_non_null=True)
+        same = same & _all_equal_to(c, stored_of[c], only_non_null=True, text=c in texts)
     g = u.groupBy("id").agg(
-        old.alias("old"), last.alias("last"), last_h.alias("last_h"), last_y.alias("last_y"),
+        *[v.alias(f"_old_{c}") for c, v in stored_of.items()], *[v.alias(f"_last_{c}") for c, v in last.items()], last_h.alias("last_h"), last_y.alias("last_y"),
         F.count_if(~inc).alias("n_old"), F.count_if(inc).alias("n_new"),
         F.coalesce(F.bool_and(F.when(inc, F.coalesce(F.col("winner"), F.lit(False)))), F.lit(True)).alias("all_win"),
         same.alias("no_diff"))
     has_new = F.col("n_new") > 0
-    out = {c: F.when(has_new, F.col("last")[c]).otherwise(F.col("old")[c]) for c in PROJECT_SCALARS}
-    out["hackathon"] = F.coalesce(F.col("last_h"), F.col("old")["hackathon"])
-    out["year"] = F.coalesce(F.col("last_y"), F.col("old")["year"])
-    out["vector"] = F.col("old")["vector"]
+    out = {c: F.when(has_new, F.col(f"_last_{c}")).otherwise(F.col(f"_old_{c}")) for c in PROJECT_SCALARS}
+    out["hackathon"] = F.coalesce(F.col("last_h"), F.col("_old_hackathon"))
+    out["year"] = F.coalesce(F.col("last_y"), F.col("_old_year"))
+    out["vector"] = F.col("_old_vector")
     keep_prizes = (~has_new) | F.col("all_win") | F.col("no_diff")
-    out["prizes"] = F.when((F.col("n_old") > 0) & keep_prizes, F.col("old")["prizes"])
-    sel = g.select("id", *[c.alias(k) for k, c in out.items()], "n_old", "n_new", "old")
+    out["prizes"] = F.when((F.col("n_old") > 0) & keep_prizes, F.col("_old_prizes"))
+    compared = PROJECT_SCALARS + ["hackathon", "year", "prizes"]
+    sel = g.select("id", *[c.alias(k) for k, c in out.items()], "n_old", *[f"_old_{c}" for c in compared])
     changed = F.lit(False)
-    for c in PROJECT_SCALARS + ["hackathon", "year", "prizes"]:
-        changed = changed | _differs(F.col(c), F.col("old")[c])
+    for c in compared:
+        changed = changed | _differs(F.col(c), F.col(f"_old_{c}"))
     action = F.when(F.col("n_old") == 0, "insert").when(changed, "update").otherwise("unchanged")
-    out_df = sel.withColumn("action", action).drop("n_old", "n_new", "old")
+    out_df = sel.withColumn("action", action).drop("n_old", *[f"_old_{c}" for c in compared])
     if refresh_on_change:
         out_df = out_df.withColumn("vector", F.when(F.col("action") != "update", F.col("vector")))
     return out_df
