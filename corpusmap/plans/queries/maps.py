@@ -158,8 +158,9 @@ def _pages_out_of_order(spark, sf_dir, src):
     """The gallery pages as files in three rounds: page 2, 5, 8 ..., then 3, 6 ..., then 1, 4 ..."""
     gp = cut_lineage_bronze(ST.gallery_pages(spark, sf_dir).select("hackathon", "page", "status", "html"))
     for k in (2, 0, 1):
-        gp.filter(F.col("page") % 3 == k).repartition(2, "hackathon", "page").write.mode("append").parquet(src)
-    return gp.schema
+        gp.filter(F.col("page") % 3 == k).write.mode("append").parquet(src)
+    files = len(spark.read.schema(gp.schema).parquet(src).inputFiles())
+    return gp.schema, max(1, -(-files // 3))                # and the files of a round
 
 
 @register("stream_upsert", with_sql(PROJECTS_SQL, GALLERY_EXPECTED_SQL, GALLERY_BATCH_SQL, PROJECT_UPSERT_SQL) + """
@@ -170,8 +171,8 @@ def q_stream_upsert(spark, sf_dir):
     and drains the others into the store (upsert per micro-batch)."""
     from corpusmap.streaming.ingest import scratch_root, stream_upsert
     root = scratch_root(spark, "stream-upsert")
-    schema = _pages_out_of_order(spark, sf_dir, f"{root}/incoming")
-    res = stream_upsert(spark, f"{root}/incoming", schema, ST.projects(spark, sf_dir), root, max_files_per_trigger=2)
+    schema, files = _pages_out_of_order(spark, sf_dir, f"{root}/incoming")
+    res = stream_upsert(spark, f"{root}/incoming", schema, ST.projects(spark, sf_dir), root, max_files_per_trigger=files)
     store = spark.read.parquet(res["path"])
     return store.select("id", "slug", "name", "likes", "winner", F.col("vector").isNotNull().alias("has_vector"))
 
@@ -200,13 +201,13 @@ def q_supervised_sources(spark, sf_dir):
     and given up; the gallery source drains all its files meanwhile."""
     from corpusmap.streaming.ingest import scratch_root, start_upsert, start_upsert_repos, supervise
     root = scratch_root(spark, "sources")
-    schema = _pages_out_of_order(spark, sf_dir, f"{root}/galleries")
+    schema, files = _pages_out_of_order(spark, sf_dir, f"{root}/galleries")
     pages = cut_lineage_bronze(ST.repo_listing_pages(spark, sf_dir))
     pages.select(F.col("body").alias("value")).write.text(f"{root}/listings")       # not Parquet
     repos, projects = ST.repos(spark, sf_dir), ST.projects(spark, sf_dir)
     report = supervise({
         "repos": lambda: start_upsert_repos(spark, f"{root}/listings", pages.schema, repos, f"{root}/a")[2],
-        "galleries": lambda: start_upsert(spark, f"{root}/galleries", schema, projects, f"{root}/b", max_files_per_trigger=2)[2]},
+        "galleries": lambda: start_upsert(spark, f"{root}/galleries", schema, projects, f"{root}/b", max_files_per_trigger=files)[2]},
         attempts=2)
     told = spark.createDataFrame([(k, v["ok"], v["attempts"]) for k, v in report.items()], "source string, ok boolean, attempts long")
     rows = spark.read.parquet(f"{root}/b/store").select(F.lit("galleries").alias("source"), "id", "likes")
@@ -426,10 +427,13 @@ def q_stream_upsert_repos(spark, sf_dir):
     pages = cut_lineage_bronze(ST.repo_listing_pages(spark, sf_dir))
     src = f"{root}/incoming"
     n = pages.agg(F.max("page")).first()[0] or 0
-    for lo in range(0, n, max(1, -(-n // 3))):             # three files, written one after another
+    res, known = None, 0
+    for lo in range(0, n, max(1, -(-n // 3))):             # three rounds, one after another; a round is one micro-batch
         hi = lo + max(1, -(-n // 3))
-        pages.filter((F.col("page") > lo) & (F.col("page") <= hi)).coalesce(1).write.mode("append").parquet(src)
-    res = stream_upsert_repos(spark, src, pages.schema, ST.repos(spark, sf_dir), root, max_files_per_trigger=1)
+        pages.filter((F.col("page") > lo) & (F.col("page") <= hi)).write.mode("append").parquet(src)
+        files = len(spark.read.schema(pages.schema).parquet(src).inputFiles())
+        res = stream_upsert_repos(spark, src, pages.schema, ST.repos(spark, sf_dir), root, max_files_per_trigger=max(1, files - known))
+        known = files
     store = spark.read.parquet(res["path"])
     before = ST.repos(spark, sf_dir).select("name", F.col("desc").alias("_d0"), F.col("stars").alias("_s0"),
                                             F.col("topics").alias("_t0"), F.lit(True).alias("_was"))

@@ -240,7 +240,7 @@ def _pages_of(items, key: str, page_rows: int, group_cols=()):
     """Concatenate item strings into pages of ``page_rows`` (by ``key`` order).
     A page holds a fixed number of items, so each group is bounded."""
     from corpusmap.session import dense_index
-    idx = dense_index(items, [key], list(group_cols), name="_i")
+    idx = dense_index(items, [key], list(group_cols), name="_i", whole_rows=True)
     paged = idx.withColumn("page", (F.floor(F.col("_i") / page_rows) + 1).cast("long"))
     return (paged.groupBy(*group_cols, "page")
             .agg(F.sort_array(F.collect_list(F.struct(key, "item"))).alias("_items"),
