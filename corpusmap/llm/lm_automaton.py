@@ -15,13 +15,20 @@ the failure arcs taken to reach one.
 All training texts are counted and every n-gram has an arc. The automaton is cut
 by the *middle* word b of the trigrams (a, b, c): the part of b holds the states
 (b) and (a, b) with all their arcs, so a step from (a, b) over c, with its failure
-arc to (b), never leaves the part. Each token with its two neighbours goes to the
-part of its word once -- packed, frequent words as their ranks, sorted and
-compressed -- and there it is counted, the arcs and failure weights of the part
-are built, and the step is scored; sums by text come back. What a part needs from
-elsewhere is the unigram part of words c, counted before: words of a share of
-``WORD_SHARE`` or more are broadcast (at most 1 / WORD_SHARE, whatever the corpus),
-the others come by a join.
+arc to (b), never leaves the part.
+
+Texts are read once, into chunks of about ``CHUNK_TOKENS`` tokens: a list of words and
+the texts as places in it. A chunk asks each part for the steps its texts take, every
+distinct one once, with the number of training texts' steps behind it -- packed, frequent
+words as their ranks, sorted and compressed. The part sums what all chunks ask, builds
+its arcs and failure weights from that, some middle words at a time (``SLICE_STEPS``), and
+answers each chunk with the log probabilities of its steps, in the order asked. The chunk
+then walks its texts from left to right over the answers. Neither an ask nor an answer
+names a text, so what is sent does not grow with the number of parts.
+
+What a part needs from elsewhere is the unigram part of words c, counted before: words
+of a share of ``WORD_SHARE`` or more are broadcast (at most 1 / WORD_SHARE, whatever the
+corpus), the counts of others come to the chunks by a join, and go on with what they ask.
 
 A word with more than ``PART_TOKENS`` occurrences is split by the hash of a,
 which keeps every state (a, b) whole. The counts of its own arcs, (b, c), and its
@@ -30,8 +37,7 @@ them.
 
 Null and empty texts are one end token. Without any training text, or in an empty
 table, the counts are 0. Rows repeat as they come; a null id never trains; very
-long texts are read whole. Words are told apart by a 64-bit hash, and rows
-with their texts too.
+long texts are read whole. Words are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -42,20 +48,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmap.llm.common import MIX1, WordHash, id_text, mix, prepare
+from corpusmap.llm.common import MIX1, id_text, mix, prepare
 from corpusmap.session import cut_lineage
+from corpusmap.session import release as forget
 
 ADD = 0.1
 DISCOUNT = 0.75
 WORD_SHARE = 2e-7
 #: Tokens of a part of the automaton, about.
 PART_TOKENS = 1_000_000
-#: Distinct keys, or tokens, a task holds before it hands them on.
-HELD_KEYS = 2_000_000
+#: Tokens of a chunk of texts, about; a text is never cut.
+CHUNK_TOKENS = 1_500_000
+#: Steps of a part that are worked on at once, about: those of one middle word stay together.
+SLICE_STEPS = 250_000
 LEAST = 1e-9
 #: No word contains a line feed.
 END = b"\n"
@@ -63,52 +73,76 @@ END = b"\n"
 NONE = np.uint64(0)
 
 
-def token_hashes(texts: list[str], words: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens, number of tokens of each text)."""
-    tokens = [t.encode().lower().split() for t in texts]
-    flat: list[bytes] = []
-    for ts in tokens:
-        flat += ts
-        flat.append(END)
-    return words.of(flat).astype(np.int64), np.array([len(ts) + 1 for ts in tokens])
+def box(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, compressed: the first bytes of all numbers, then the second ones, and so on."""
+    head = b"".join(struct.pack("<2sI", x.dtype.str[1:].encode(), len(x)) for x in arrays)
+    body = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays)
+    return struct.pack("<B", len(arrays)) + head + zstandard.compress(body, 1)
 
 
-class Tally:
-    """Counts of integer keys, merged now and then."""
+def unbox(blob: bytes) -> list[np.ndarray]:
+    kinds = [struct.unpack_from("<2sI", blob, 1 + 6 * k) for k in range(blob[0])]
+    body, at, out = np.frombuffer(zstandard.decompress(blob[1 + 6 * len(kinds):]), np.uint8), 0, []
+    for kind, size in kinds:
+        kind = np.dtype(kind.decode())
+        out.append(np.ascontiguousarray(body[at:at + size * kind.itemsize].reshape(kind.itemsize, size).T).view(kind).ravel())
+        at += size * kind.itemsize
+    return out
 
-    def __init__(self):
-        self.keys, self.counts, self.waiting, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.waiting.append(keys)
-        self.size += len(keys)
-        if self.size >= HELD_KEYS:
-            self.merge()
+class Codes(dict):
+    """Numbers the words it is asked for, from 0."""
 
-    def merge(self) -> None:
-        if self.waiting:
-            code, uniques = pd.factorize(np.concatenate([self.keys, *self.waiting]))
-            weight = np.concatenate([self.counts, np.ones(self.size, np.int64)])
-            self.keys, self.counts = uniques, np.bincount(code, weight, len(uniques)).astype(np.int64)
-            self.waiting, self.size = [], 0
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-    def flush(self) -> pd.DataFrame:
-        self.merge()
-        out = pd.DataFrame({"key": self.keys, "n": self.counts})
-        self.__init__()
-        return out
 
+def read_chunks(rows: DataFrame) -> DataFrame:
+    """texts: ids, which are null, which train, tokens of each; codes: the words of
+    all tokens as places in words; words: their hashes and counts in training texts,
+    the most frequent first."""
+    def chunk(held: list[tuple[np.ndarray, ...]], found: Codes) -> pd.DataFrame:
+        ids, no_id, trains, sizes, codes = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(-np.bincount(codes, minlength=len(found)), kind="stable")
+        place = np.empty(len(found), np.int32)
+        place[order] = np.arange(len(found), dtype=np.int32)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))[order]
+        codes = place[codes]
+        counts = np.bincount(codes, np.repeat(trains, sizes), len(found)).astype(np.int64)
+        return pd.DataFrame({"texts": [box(ids, no_id, trains, sizes)], "codes": [box(codes)], "words": [box(hashes, counts)]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, found, size = [], Codes(), 0
+        for b in batches:
+            if not len(b):
+                continue
+            flat, sizes = [], np.empty(len(b), np.int32)
+            for k, text in enumerate(b["text"]):
+                words = text.encode().lower().split()
+                sizes[k] = len(words) + 1
+                flat += words
+                flat.append(END)
+            held.append((b["id"].to_numpy(np.int64), b["no_id"].to_numpy(bool), b["trains"].to_numpy(bool), sizes,
+                         np.fromiter(map(found.__getitem__, flat), np.int32, len(flat))))
+            size += len(flat)
+            if size >= CHUNK_TOKENS:
+                yield chunk(held, found)
+                held, found, size = [], Codes(), 0
+        if held:
+            yield chunk(held, found)
+
+    return rows.mapInPandas(run, "texts binary, codes binary, words binary")
 
-def count_keys(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, c): how often ``keys_of(hashes, sizes)`` gives each key in all texts."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, tally = WordHash(), Tally()
+
+def count_words(chunks: DataFrame) -> DataFrame:
+    """(key, c): how often each word is in training texts."""
+    def run(batches):
         for b in batches:
-            tally.add(keys_of(*token_hashes(b["text"].tolist(), words)))
-            if len(tally.keys) >= HELD_KEYS:
-                yield tally.flush()
-        yield tally.flush()
-    return texts.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+            for words in b["words"]:
+                hashes, counts = unbox(words)
+                yield pd.DataFrame({"key": hashes.view(np.int64)[counts > 0], "n": counts[counts > 0]})
+    return chunks.select("words").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
 
 
 def look_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -151,15 +185,6 @@ def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t["key"].to_numpy(), t["c"].to_numpy()
 
 
-def neighbours(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before and the word after each token of its text, or NONE."""
-    before, after = np.roll(hashes, 1), np.roll(hashes, -1)
-    ends = np.cumsum(sizes)
-    before[ends - sizes] = NONE
-    after[ends - 1] = NONE
-    return before, after
-
-
 def splits(counts: np.ndarray, part_tokens: int) -> np.ndarray:
     """In how many a word of so many occurrences is split."""
     return 1 + counts // part_tokens
@@ -176,26 +201,28 @@ def planes(codes: np.ndarray) -> bytes:
 
 
 def pack(ranks: tuple[np.ndarray, ...], hashes: tuple[np.ndarray, ...], text: np.ndarray, row: np.ndarray, trains: np.ndarray,
-         known: int) -> bytes:
-    """One part's tokens of a task, sorted by the middle word's rank: ranks and
-    hashes of the words (b, a, c), numbers of their texts (which ``row`` and
-    ``trains`` are about). A frequent word is its rank, any other (rank -1) a place
-    behind the ``known`` ranks in the blob's own list."""
+         known: int, counts: tuple[np.ndarray, ...] | None = None) -> bytes:
+    """One part's steps, sorted by the middle word's rank: ranks and hashes of the words
+    (b, a, c), and a number of each (which ``row`` and ``trains`` are about). A frequent
+    word is its rank, any other (rank -1) a place behind the ``known`` ranks in the blob's
+    own list, which has their ``counts`` too."""
     n = len(text)
     code = np.concatenate(ranks).astype(np.int64)
     other = np.flatnonzero(code < 0)
     place, own = pd.factorize(np.concatenate(hashes)[other])
+    own_counts = np.concatenate(counts)[other][first_places(place, len(own))] if counts else np.zeros(len(own))
     code[other] = place + known
     order = np.argsort(code[:n], kind="stable")             # nearly sorted: only the own words, first so far, move
     b, a, c = (code[k * n:(k + 1) * n][order] for k in range(3))
     texts, r = np.unique(text, return_inverse=True)
     step = np.diff(r[order].astype(np.int64), prepend=0)      # texts ascend within a word
-    body = b"".join([own.astype("<u8").tobytes(), row[texts].astype("<i8").tobytes(), np.packbits(trains[texts]).tobytes(),
+    body = b"".join([own.astype("<u8").tobytes(), planes(own_counts), row[texts].astype("<i8").tobytes(), np.packbits(trains[texts]).tobytes(),
                      planes(np.diff(b, prepend=0)), planes(a), planes(c), planes(step << 1 ^ step >> 63)])
     return struct.pack("<III", n, len(own), len(texts)) + zstandard.compress(body, 1)
 
 
-def unpack(blob: bytes, frequent: Words) -> tuple[np.ndarray, ...]:
+def unpack(blob: bytes, frequent: Words, rare: list | None = None) -> tuple[np.ndarray, ...]:
+    """(a, b, c, row, trains); the blob's own words and their counts are added to ``rare``."""
     n, n_own, n_rows = struct.unpack_from("<III", blob)
     body, at = zstandard.decompress(blob[12:]), 0
 
@@ -205,10 +232,12 @@ def unpack(blob: bytes, frequent: Words) -> tuple[np.ndarray, ...]:
         at += out.nbytes
         return out
 
-    def numbers() -> np.ndarray:
-        return np.ascontiguousarray(take("u1", 4 * n).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    def numbers(size: int = n) -> np.ndarray:
+        return np.ascontiguousarray(take("u1", 4 * size).reshape(4, size).T).view("<u4").ravel().astype(np.int64)
 
-    own, rows = take("<u8", n_own), take("<i8", n_rows)
+    own, own_counts, rows = take("<u8", n_own), numbers(n_own), take("<i8", n_rows)
+    if rare is not None:
+        rare.append((own.view(np.int64), own_counts))
     flag = np.unpackbits(take("u1", (n_rows + 7) // 8), count=n_rows).astype(bool)
     b, a, c = np.cumsum(numbers()), numbers(), numbers()
     step, known = numbers(), len(frequent.words)
@@ -240,29 +269,27 @@ def failure(arcs: np.ndarray, lower: np.ndarray, of: np.ndarray, n: int) -> np.n
 
 
 class Part:
-    """The states and arcs of some middle words, and the steps of the texts over them.
+    """The states and arcs of some middle words, and the steps over them.
 
-    ``frequent`` has the counts of frequent words; ``rare`` (words, counts) those
-    of others that come after the part's words; ``hot`` (b, c, count, weight) the
-    arcs of the words that are split, with the failure weight of b."""
+    A step (a, b, c) was taken ``n`` times in training texts; the same one may come again.
+    ``frequent`` has the counts of frequent words; ``rare`` (words ascending, counts) those
+    of others; ``hot`` (b, c, count, weight) the arcs of the words that are split, with the
+    failure weight of b."""
 
-    def __init__(self, tokens: tuple[np.ndarray, ...], frequent: Words, rare: tuple[np.ndarray, np.ndarray],
+    def __init__(self, step: tuple[np.ndarray, ...], frequent: Words, rare: tuple[np.ndarray, np.ndarray],
                  hot: tuple[np.ndarray, ...], part_tokens: int):
-        a, b, c, self.row, trains = tokens
+        a, b, c, times = step
         n = len(b)
         code, words = pd.factorize(np.concatenate([b, a, c]))
         b_of, a_of, c_of = code[:n], code[n:2 * n], code[2 * n:]
         size = len(words)
         common = frequent.count(words)
-        order = np.argsort(rare[0])
-        at = look_up(rare[0][order], words.astype(np.int64))
-        known = np.where(common > 0, common, np.where(at < 0, 0, rare[1][order][at] if len(order) else 0))
-        uni = (known + ADD) / frequent.scale
+        at = look_up(rare[0], words.astype(np.int64))
+        uni = (np.where(common > 0, common, np.where(at < 0, 0, rare[1][at] if len(rare[1]) else 0)) + ADD) / frequent.scale
         # the state (b): how often it was entered, its arcs and its failure weight
-        entered = np.where(common > 0, common, np.bincount(b_of[trains], minlength=size))
-        self.goes = np.flatnonzero(c != NONE)
-        two, pairs = pd.factorize(b_of[self.goes].astype(np.int64) * size + c_of[self.goes])
-        n2 = np.bincount(two, trains[self.goes], len(pairs))
+        entered = np.where(common > 0, common, np.bincount(b_of, times, size))
+        two, pairs = pd.factorize(b_of.astype(np.int64) * size + c_of)
+        n2 = np.bincount(two, times, len(pairs))
         pair_b, pair_c = pairs // size, pairs % size
         own_weight = np.zeros(size)
         is_split = splits(common, part_tokens) > 1
@@ -276,20 +303,18 @@ class Part:
         # the state (a, b)
         has_a = a != NONE
         state, states = pd.factorize(np.where(has_a, a_of.astype(np.int64) * size + b_of, -1 - b_of))   # (b) alone at a start
-        entered2 = np.bincount(state, trains, len(states))
-        three, triples = pd.factorize(state[self.goes].astype(np.int64) * size + c_of[self.goes])
+        entered2 = np.bincount(state, times, len(states))
+        three, triples = pd.factorize(state.astype(np.int64) * size + c_of)
         place = first_places(three, len(triples))
-        of, lower = state[self.goes][place], two[place]
-        with_a = has_a[self.goes][place]
-        n3 = np.where(with_a, np.bincount(three, trains[self.goes], len(triples)), 0)
+        of, lower, with_a = state[place], two[place], has_a[place]
+        n3 = np.where(with_a, np.bincount(three, times, len(triples)), 0)
         seen3 = n3 > 0
         p3 = np.where(seen3, (n3 - DISCOUNT) / np.maximum(entered2[of], 1), 1.0)
         weight2 = failure(p3[seen3], p2[lower[seen3]], of[seen3], len(states))
         # a step: over the arc of the longest state that has it, or the failure arcs down to the word alone
-        log_uni = np.log10(uni)
-        step2 = np.where(seen2, np.log10(p2) - log_uni[pair_c], weight1[pair_b])
-        self.step = np.where(seen3, np.log10(p3) - log_uni[pair_c[lower]],
-                             np.where(with_a, weight2[of], 0.0) + step2[lower])[three]
+        step2 = np.where(seen2, np.log10(p2), weight1[pair_b] + np.log10(uni)[pair_c])
+        #: log10 probability of each step
+        self.log_p = np.where(seen3, np.log10(p3), np.where(with_a, weight2[of], 0.0) + step2[lower])[three]
 
     @staticmethod
     def _given(hot, words, pair_b, pair_c, size) -> tuple[np.ndarray, np.ndarray]:
@@ -305,131 +330,200 @@ class Part:
         weight[b[here]] = hot[3][here]
         return given, weight
 
-    def sums(self) -> pd.DataFrame:
-        """(row, gain): what the steps of each text add to its words' unigram parts."""
-        r, rows = pd.factorize(self.row[self.goes])
-        return pd.DataFrame({"row": rows, "gain": np.bincount(r, self.step, len(rows))})
-
-
-class Read:
-    """A batch's tokens: hashes, tokens of each text, words before and after, and
-    the counts and ranks of the words (looked up once for each distinct one)."""
-
-    def __init__(self, texts: list[str], words: WordHash, frequent: Words):
-        hashes, self.sizes = token_hashes(texts, words)
-        self.hashes = hashes.astype(np.uint64)
-        self.before, self.after = neighbours(self.hashes, self.sizes)
-        self.code, self.distinct = pd.factorize(self.hashes)
-        self.count_of = frequent.count(self.distinct)
-        self.counts = self.count_of[self.code]
-
-    def parts(self, parts: int, part_tokens: int, at: np.ndarray | None = None) -> np.ndarray:
-        """The part of each token, or of those ``at`` some places."""
-        code, before = (self.code, self.before) if at is None else (self.code[at], self.before[at])
-        split = splits(self.count_of, part_tokens)
-        whole = part_of(self.distinct, self.distinct, np.ones_like(split), parts)
-        out, cut = whole[code], np.flatnonzero(split[code] > 1)
-        if len(cut):
-            out[cut] = part_of(self.distinct[code[cut]], before[cut], split[code[cut]], parts)
-        return out
-
 
-def outline(rows: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
-    """Per text: its tokens, its unigram part as far as the frequent words go, and
-    its rare words, each with the part of the word before it. In between, rows
-    without a text: the arcs (b, c) of split words, counted by task, with a part."""
-    schema = ("row long, doc_id string, n_tokens long, n_known long, base double, rare array<long>, rare_part array<int>, "
-              "hot array<struct<b:long,c:long,part:int,n:long>>")
-    names = [x.split()[0] for x in schema.split(", ")]
+class Chunk:
+    """Texts whose words' counts are known, by the most frequent words first."""
+
+    def __init__(self, texts: bytes, codes: bytes, words: bytes, frequent: Words, parts: int, part_tokens: int):
+        self.ids, self.no_id, self.trains, self.sizes = unbox(texts)
+        self.codes, = unbox(codes)
+        self.ranks, self.hashes, self.counts = self.vocabulary(words, frequent)
+        self.split = splits(self.counts, part_tokens)
+        self.parts = parts
+        self.whole = part_of(self.hashes, self.hashes, np.ones_like(self.split), parts)
+        # steps: all tokens but the end of a text, with the word before (at -1: none) and the one after
+        ends = np.cumsum(self.sizes)
+        self.starts = ends - self.sizes
+        goes = np.ones(len(self.codes), bool)
+        goes[ends - 1] = False
+        self.at = np.flatnonzero(goes)
+        before = np.roll(self.codes, 1)
+        before[self.starts] = -1
+        self.a, self.b, self.c = (x.astype(np.int64) for x in (before[self.at], self.codes[self.at], self.codes[self.at + 1]))
 
-    def hot_row(held: list[pd.DataFrame]) -> pd.DataFrame:
-        t = pd.concat(held).groupby(["b", "c", "part"], as_index=False, sort=False)["n"].sum()
-        return pd.DataFrame([[0, None, None, 0, 0.0, [], [], t.to_dict("records")]], columns=names).astype({"n_tokens": "Int64"})
+    @staticmethod
+    def vocabulary(words: bytes, frequent: Words) -> tuple[np.ndarray, ...]:
+        """Ranks, hashes and counts of the words, and at -1 of none."""
+        steps, hashes, counts = unbox(words)
+        ranks = np.cumsum(steps)
+        common = frequent.by_rank[ranks]
+        return (np.concatenate([ranks, np.full(len(hashes) + 1, -1)]),
+                np.concatenate([frequent.words[common].view(np.uint64), hashes, [NONE]]).astype(np.uint64),
+                np.concatenate([frequent.counts[common], counts, [0]]).astype(np.int64))
+
+    def text_of_step(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)[self.at]
+
+    def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, cut = self.whole[b], np.flatnonzero(self.split[b] > 1)
+        if len(cut):
+            out[cut] = part_of(self.hashes[b[cut]], self.hashes[a[cut]], self.split[b[cut]], self.parts)
+        return out
 
+    def split_arcs(self) -> tuple[np.ndarray, ...]:
+        """b, c, part, n: the arcs (b, c) of split words, as places in the list of words, with
+        the parts that need them and the training texts' steps."""
+        at = np.flatnonzero(self.split[self.b] > 1)
+        a, b, c, size = self.a[at], self.b[at], self.c[at], len(self.hashes)
+        pair, pairs = pd.factorize(b * size + c)
+        key, keys = pd.factorize(pair * np.int64(self.parts) + self.part(a, b))
+        n = np.bincount(key, self.trains[self.text_of_step()[at]], len(keys))
+        b, c = np.divmod(pairs[keys // self.parts], size)
+        return b.astype(np.int32), c.astype(np.int32), (keys % self.parts).astype(np.int32), n.astype(np.int64)
+
+    def steps(self) -> tuple[np.ndarray, ...]:
+        """a, b, c and part of each distinct step, by part and word b, and which one each step is."""
+        size = np.int64(len(self.hashes))
+        state, states = self.b * size + self.a + 1, None
+        if size >= 1 << 21:                                     # three places are too many for 64 bits
+            states, state = np.unique(state, return_inverse=True)
+        distinct, which = np.unique(state * size + self.c, return_inverse=True)
+        state, c = np.divmod(distinct, size)
+        b, a = np.divmod(state if states is None else states[state], size)
+        part = self.part(a - 1, b)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return a[order] - 1, b[order], c[order], part[order], place[which]
+
+    def asks(self, known: int) -> Iterator[tuple[int, bytes]]:
+        a, b, c, part, which = self.steps()
+        times = np.bincount(which, self.trains[self.text_of_step()], len(part)).astype(np.int64)
+        values, number = np.unique(times, return_inverse=True)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        for some in map(slice, cuts[:-1], cuts[1:]):
+            bac = b[some], a[some], c[some]
+            of = lambda x: tuple(x[k] for k in bac)
+            yield int(part[some.start]), pack(of(self.ranks), of(self.hashes), number[some], values, values > 0, known, of(self.counts))
+
+    def scores(self, log_p: np.ndarray, frequent: Words) -> pd.DataFrame:
+        """The texts, walked over the log probabilities of the distinct steps."""
+        which, n = self.steps()[-1], len(self.sizes)
+        text = np.repeat(np.arange(n), self.sizes)
+        alone = frequent.log_p(self.counts)
+        return pd.DataFrame({
+            "id": self.ids, "no_id": self.no_id, "n_tokens": self.sizes.astype(np.int64),
+            "n_known": np.bincount(text, self.counts[self.codes] > 0, n).astype(np.int64),
+            "base_score": np.bincount(text, alone[self.codes], n),
+            "score": alone[self.codes[self.starts]] + np.bincount(text[self.at], log_p[which], n)})
+
+
+def rare_words(chunks: DataFrame, shared) -> DataFrame:
+    """(chunk, at, key): the words that are not frequent."""
     def run(batches):
-        words, frequent, held = WordHash(), shared.value, []
-        for b in batches:
-            if not len(b):
-                continue
-            t = Read(b["text"].tolist(), words, frequent)
-            cuts = np.cumsum(t.sizes) - t.sizes
-            base = np.where(t.count_of > 0, frequent.log_p(t.count_of), 0.0)[t.code]
-            rare = np.flatnonzero(t.counts == 0)
-            n_rare = np.add.reduceat((t.counts == 0).astype(np.int64), cuts)
-            rare_part = np.where(np.isin(rare, cuts), -1, t.parts(parts, part_tokens, rare - 1))
-            at = np.cumsum(n_rare)[:-1]
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "n_tokens": t.sizes, "n_known": t.sizes - n_rare,
-                                "base": np.add.reduceat(base, cuts), "rare": np.split(t.hashes[rare].view(np.int64), at),
-                                "rare_part": np.split(rare_part, at), "hot": [[]] * len(b)})[names]
-            of_split = np.flatnonzero((splits(t.count_of, part_tokens) > 1)[t.code] & (t.after != NONE))
-            if len(of_split):
-                trains = np.repeat(b["trains"].to_numpy(dtype=np.int64), t.sizes)[of_split]
-                arcs = pd.DataFrame({"b": t.hashes[of_split].view(np.int64), "c": t.after[of_split].view(np.int64),
-                                     "part": t.parts(parts, part_tokens, of_split), "n": trains})
-                held.append(arcs.groupby(["b", "c", "part"], as_index=False, sort=False)["n"].sum())
-                if sum(map(len, held)) >= HELD_KEYS // 10:
-                    yield hot_row(held)
-                    held = []
-        if held:
-            yield hot_row(held)
-
-    return rows.mapInPandas(run, schema)
-
-
-def packed(rows: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
-    """(part, blob): every token with its neighbours, for the part of its word."""
-    def flush(held, known):
-        part, b, a, c, hb, ha, hc, sizes, row, trains = (np.concatenate(x) for x in zip(*held))
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(part.astype(np.int64) << 32 | (b.astype(np.int64) + 1), kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            yield int(part[some[0]]), pack((b[some], a[some], c[some]), (hb[some], ha[some], hc[some]), text[some], row, trains, known)
-
+        frequent = shared.value
+        for batch in batches:
+            for chunk, words in zip(batch["chunk"], batch["words"]):
+                hashes, _ = unbox(words)
+                at = np.flatnonzero(frequent.ranks(hashes) < 0)
+                yield pd.DataFrame({"chunk": chunk, "at": at.astype(np.int32), "key": hashes[at].view(np.int64)})
+    return chunks.select("chunk", "words").mapInPandas(run, "chunk long, at int, key long")
+
+
+def learn_counts(chunks: DataFrame, rare: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
+    """The chunks with the counts of their words, ordered by rank, and the arcs of split
+    words they need. ``rare``: chunk, at, c."""
+    def run(own: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        frequent, out = shared.value, []
+        for row in own.itertuples():
+            (hashes, _), (codes,) = unbox(row.words), unbox(row.codes)
+            ranks, counts = frequent.ranks(hashes).astype(np.int64), np.zeros(len(hashes), np.int64)
+            counts[counted["at"].to_numpy(np.int64)] = counted["c"].to_numpy(np.int64)
+            order = np.argsort(np.where(ranks < 0, len(frequent.words), ranks), kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            few = order[ranks[order] < 0]
+            steps = np.diff(ranks[order][:len(order) - len(few)], prepend=0).astype(np.int32)
+            codes, words = box(place[codes]), box(steps, hashes[few], counts[few])
+            arcs = Chunk(row.texts, codes, words, frequent, parts, part_tokens).split_arcs()
+            out.append((row.chunk, row.texts, codes, words, box(*arcs)))
+        return pd.DataFrame(out, columns=["chunk", "texts", "codes", "words", "arcs"])
+
+    return (chunks.groupBy("chunk").cogroup(rare.groupBy("chunk"))
+            .applyInPandas(run, "chunk long, texts binary, codes binary, words binary, arcs binary"))
+
+
+def asks(chunks: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
+    """(part, chunk, blob): the distinct steps of a chunk, for the part of their words."""
     def run(batches):
-        words, frequent, held, size = WordHash(), shared.value, [], 0
-        known = len(frequent.words)
-        for b in batches:
-            if not len(b):
-                continue
-            t = Read(b["text"].tolist(), words, frequent)
-            rank = frequent.ranks(t.distinct)[t.code].astype(np.int32)
-            ends = np.cumsum(t.sizes)
-            before, after = np.roll(rank, 1), np.roll(rank, -1)
-            before[ends - t.sizes] = -1             # NONE is in no list of words
-            after[ends - 1] = -1
-            held.append((t.parts(parts, part_tokens), rank, before, after, t.hashes, t.before, t.after, t.sizes,
-                         b["row"].to_numpy(np.int64), b["trains"].to_numpy(dtype=bool)))
-            size += len(rank)
-            if size >= HELD_KEYS:
-                yield pd.DataFrame(flush(held, known), columns=["part", "blob"])
-                held, size = [], 0
-        if held:
-            yield pd.DataFrame(flush(held, known), columns=["part", "blob"])
-
-    return rows.mapInPandas(run, "part int, blob binary")
-
-
-def steps(blobs: DataFrame, rare: DataFrame, hot: DataFrame, shared, part_tokens: int) -> DataFrame:
-    """(row, gain) by part. ``rare``: part, key, c; ``hot``: part, b, c, n, weight."""
-    def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        frequent = shared.value
+        for batch in batches:
+            for row in batch.itertuples():
+                chunk = Chunk(row.texts, row.codes, row.words, frequent, parts, part_tokens)
+                for part, blob in chunk.asks(len(frequent.words)):
+                    yield pd.DataFrame({"part": [part], "chunk": [row.chunk], "blob": [blob]})
+    return chunks.select("chunk", "texts", "codes", "words").mapInPandas(run, "part int, chunk long, blob binary")
+
+
+def slices(b: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the steps of some middle words at a time."""
+    code, words = pd.factorize(b)
+    n = np.bincount(code, minlength=len(words))
+    number = ((np.cumsum(n) - n) // SLICE_STEPS)[code]
+    order = np.argsort(number, kind="stable")
+    return iter(np.split(order, np.flatnonzero(np.diff(number[order])) + 1))
+
+
+def answers(asked: DataFrame, hot: DataFrame, shared, part_tokens: int) -> DataFrame:
+    """(chunk, part, blob): the log probabilities of the steps that were asked for.
+    ``hot``: part, b, c, n, weight."""
+    def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
-            return pd.DataFrame({"row": np.zeros(0, np.int64), "gain": np.zeros(0)})
-        tokens = tuple(np.concatenate(x) for x in zip(*(unpack(x, shared.value) for x in own["blob"])))
-        is_rare = asked["weight"].isna().to_numpy()
-        few = (asked["key"].to_numpy(np.int64)[is_rare], asked["n"].to_numpy(np.int64)[is_rare])
-        many = tuple(asked[x].to_numpy()[~is_rare] for x in ("b", "key", "n", "weight"))
-        return Part(tokens, shared.value, few, many, part_tokens).sums()
-
-    sent = (rare.select("part", F.lit(0).cast("long").alias("b"), "key", F.col("c").alias("n"), F.lit(None).cast("double").alias("weight"))
-            .unionByName(hot.select("part", "b", F.col("c").alias("key"), "n", "weight")))
-    return blobs.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(run, "row long, gain double")
-
-
-def hot_arcs(outlines: DataFrame, counts: DataFrame, scale: float) -> DataFrame:
+            return pd.DataFrame({"chunk": np.zeros(0, np.int64), "part": np.zeros(0, np.int32), "blob": []})
+        frequent, rare = shared.value, []
+        step = [x[:4] for x in (unpack(blob, frequent, rare) for blob in own["blob"])]
+        ends = np.cumsum([len(x[0]) for x in step])
+        step = tuple(np.concatenate(x) for x in zip(*step))
+        few, first = np.unique(np.concatenate([x for x, _ in rare]), return_index=True)
+        rare = few, np.concatenate([x for _, x in rare])[first]
+        many = tuple(given[x].to_numpy() for x in ("b", "c", "n", "weight"))
+        log_p = np.empty(len(step[0]))
+        for some in slices(step[1]):
+            log_p[some] = Part(tuple(x[some] for x in step), frequent, rare, many, part_tokens).log_p
+        blobs = []
+        for x in np.split(log_p, ends[:-1]):
+            number, values = pd.factorize(x)
+            blobs.append(box(values, number.astype(np.int32)))
+        return pd.DataFrame({"chunk": own["chunk"], "part": own["part"], "blob": blobs})
+
+    return (asked.groupBy("part").cogroup(hot.select("part", "b", "c", "n", "weight").groupBy("part"))
+            .applyInPandas(run, "chunk long, part int, blob binary"))
+
+
+def walk(chunks: DataFrame, answered: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
+    """The scores of the chunks' texts."""
+    def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        log_p = [values[number] for values, number in map(unbox, given.sort_values("part")["blob"])]
+        (row,) = own.itertuples()
+        chunk = Chunk(row.texts, row.codes, row.words, shared.value, parts, part_tokens)
+        return chunk.scores(np.concatenate([*log_p, np.zeros(0)]), shared.value)
+
+    return (chunks.select("chunk", "texts", "codes", "words").groupBy("chunk").cogroup(answered.groupBy("chunk"))
+            .applyInPandas(run, "id long, no_id boolean, n_tokens long, n_known long, base_score double, score double"))
+
+
+def hot_arcs(chunks: DataFrame, counts: DataFrame, shared, scale: float) -> DataFrame:
     """(part, b, c, n, weight): the arcs of split words, for the parts that ask, with
     the failure weight of b."""
-    asked = outlines.select(F.explode("hot").alias("h")).select("h.*")
-    # one row for each task, part and arc so far; sums before anything is joined
+    def run(batches):
+        for batch in batches:
+            for words, arcs in zip(batch["words"], batch["arcs"]):
+                b, c, part, n = unbox(arcs)
+                _, hashes, _ = Chunk.vocabulary(words, shared.value)
+                yield pd.DataFrame({"b": hashes[b].view(np.int64), "c": hashes[c].view(np.int64), "part": part, "n": n})
+
+    asked = chunks.select("words", "arcs").mapInPandas(run, "b long, c long, part int, n long")
+    # one row for each chunk, part and arc so far; sums before anything is joined
     by_part = cut_lineage(asked.groupBy("b", "c", "part").agg(F.sum("n").alias("n")), "hot-arcs")
     arcs = by_part.groupBy("b", "c").agg(F.sum("n").alias("n")).filter("n > 0")
     uni = counts.select(F.col("key").alias("c"), ((F.col("c") + ADD) / scale).alias("uni"))
@@ -457,36 +551,25 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     prepare(spark)
     rows = id_text(docs, id_col, text_col).withColumn("trains", F.coalesce(train_rows, F.lit(False)))
-    counts = cut_lineage(count_keys(rows.filter("trains"), lambda hashes, sizes: hashes), "word-counts")
+    # pandas has no null integers
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "trains", "text")
+    read = cut_lineage(read_chunks(rows).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    counts = cut_lineage(count_words(read), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     release(spark)
     total, scale = int(total), float(total + ADD * (distinct + 1))
     shared = spark.sparkContext.broadcast(Words(*arrays(counts.filter(F.col("c") >= word_share * total)), scale))
     parts = max(1, -(-total // part_tokens))
 
-    # ids pass as text: pandas has no null integers; a row is known by a hash of id and text
-    rows = rows.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").alias("row"),
-                       F.col("doc_id").cast("string").alias("doc_id"), "trains", "text")
-    outlines = cut_lineage(outline(rows, shared, parts, part_tokens).withColumn("uid", F.monotonically_increasing_id()), "outlines")
-    texts = outlines.filter("n_tokens IS NOT NULL")
-    rare = (texts.select(F.explode(F.arrays_zip("rare", "rare_part")).alias("z")).select(F.col("z.rare").alias("key"), F.col("z.rare_part").alias("part"))
-            .filter("part >= 0").distinct().join(counts, "key").select("part", "key", "c"))
-    hot = cut_lineage(hot_arcs(outlines, counts, scale), "hot")
+    rare = rare_words(read, shared).join(counts, "key").select("chunk", "at", "c")
+    chunks = cut_lineage(learn_counts(read, rare, shared, parts, part_tokens), "counted-chunks")
+    forget(read)
+    release(spark)
+    hot = cut_lineage(hot_arcs(chunks, counts, shared, scale), "hot")
     release(spark)
-    # equal rows have sent their steps together: each has its share
-    gains = steps(packed(rows, shared, parts, part_tokens), rare, hot, shared, part_tokens)
-    gains = cut_lineage(gains.groupBy("row").agg(F.sum("gain").alias("gain")), "gains")
+    answered = answers(asks(chunks, shared, parts, part_tokens), hot, shared, part_tokens)
+    scores = cut_lineage(walk(chunks, answered, shared, parts, part_tokens), "scores")
+    forget(chunks, counts, hot)
     release(spark)
-    # Dealt by text before the sums: a text's rare words come from all over the count table.
-    rest = (texts.select("uid", F.explode("rare").alias("key")).join(counts, "key", "left")
-            .select("uid", F.coalesce("c", F.lit(0)).alias("c")).repartition("uid")
-            .groupBy("uid").agg(F.sum(F.log10((F.col("c") + ADD) / scale)).alias("rest"),
-                                F.sum((F.col("c") > 0).cast("long")).alias("known")))
-    copies = texts.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    base_score = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    return (texts.select("uid", "row", "doc_id", "n_tokens", "n_known", "base").join(rest, "uid", "left")
-            .join(copies, "row", "left").join(gains, "row", "left")
-            .select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens",
-                    (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-                    F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"),
-                    (base_score + F.coalesce(F.col("gain") / F.col("copies"), F.lit(0.0))).alias("score")))
+    return scores.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_tokens", "n_known",
+                         F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
