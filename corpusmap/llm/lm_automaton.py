@@ -66,6 +66,8 @@ PART_TOKENS = 1_000_000
 CHUNK_TOKENS = 1_500_000
 #: Steps of a part that are worked on at once, about: those of one middle word stay together.
 SLICE_STEPS = 250_000
+#: With fewer words in a chunk, a step's three places fit 64 bits.
+PLACED_WORDS = 1 << 21
 LEAST = 1e-9
 #: No word contains a line feed.
 END = b"\n"
@@ -268,6 +270,12 @@ def failure(arcs: np.ndarray, lower: np.ndarray, of: np.ndarray, n: int) -> np.n
     return np.where(np.bincount(of, minlength=n) > 0, np.log10(left / rest), 0.0)
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct keys, in 32 bits, and the keys."""
+    number, distinct = pd.factorize(keys)
+    return number.astype(np.int32), distinct
+
+
 class Part:
     """The states and arcs of some middle words, and the steps over them.
 
@@ -280,7 +288,7 @@ class Part:
                  hot: tuple[np.ndarray, ...], part_tokens: int):
         a, b, c, times = step
         n = len(b)
-        code, words = pd.factorize(np.concatenate([b, a, c]))
+        code, words = numbered(np.concatenate([b, a, c]))
         b_of, a_of, c_of = code[:n], code[n:2 * n], code[2 * n:]
         size = len(words)
         common = frequent.count(words)
@@ -288,9 +296,10 @@ class Part:
         uni = (np.where(common > 0, common, np.where(at < 0, 0, rare[1][at] if len(rare[1]) else 0)) + ADD) / frequent.scale
         # the state (b): how often it was entered, its arcs and its failure weight
         entered = np.where(common > 0, common, np.bincount(b_of, times, size))
-        two, pairs = pd.factorize(b_of.astype(np.int64) * size + c_of)
+        two, pairs = numbered(b_of.astype(np.int64) * size + c_of)
         n2 = np.bincount(two, times, len(pairs))
         pair_b, pair_c = pairs // size, pairs % size
+        del pairs
         own_weight = np.zeros(size)
         is_split = splits(common, part_tokens) > 1
         if is_split.any():
@@ -302,19 +311,35 @@ class Part:
         weight1 = np.where(is_split, own_weight, failure(p2[seen2], uni[pair_c[seen2]], pair_b[seen2], size))
         # the state (a, b)
         has_a = a != NONE
-        state, states = pd.factorize(np.where(has_a, a_of.astype(np.int64) * size + b_of, -1 - b_of))   # (b) alone at a start
-        entered2 = np.bincount(state, times, len(states))
-        three, triples = pd.factorize(state.astype(np.int64) * size + c_of)
-        place = first_places(three, len(triples))
+        key = a_of.astype(np.int64)
+        key *= size
+        key += b_of
+        key[~has_a] = -1 - b_of[~has_a]                         # (b) alone at a start
+        state, key = numbered(key)
+        n_states = len(key)
+        entered2 = np.bincount(state, times, n_states)
+        key = state.astype(np.int64)
+        key *= size
+        key += c_of
+        del code, a_of, b_of, c_of
+        three, key = numbered(key)
+        n_arcs = len(key)
+        del key
+        place = first_places(three, n_arcs)
         of, lower, with_a = state[place], two[place], has_a[place]
-        n3 = np.where(with_a, np.bincount(three, times, len(triples)), 0)
+        del place, state, two
+        n3 = np.where(with_a, np.bincount(three, times, n_arcs), 0)
         seen3 = n3 > 0
         p3 = np.where(seen3, (n3 - DISCOUNT) / np.maximum(entered2[of], 1), 1.0)
-        weight2 = failure(p3[seen3], p2[lower[seen3]], of[seen3], len(states))
+        del n3
+        weight2 = failure(p3[seen3], p2[lower[seen3]], of[seen3], n_states)
         # a step: over the arc of the longest state that has it, or the failure arcs down to the word alone
         step2 = np.where(seen2, np.log10(p2), weight1[pair_b] + np.log10(uni)[pair_c])
+        log_p = np.log10(p3, out=p3)
+        some = np.flatnonzero(~seen3)
+        log_p[some] = np.where(with_a[some], weight2[of[some]], 0.0) + step2[lower[some]]
         #: log10 probability of each step
-        self.log_p = np.where(seen3, np.log10(p3), np.where(with_a, weight2[of], 0.0) + step2[lower])[three]
+        self.log_p = log_p[three]
 
     @staticmethod
     def _given(hot, words, pair_b, pair_c, size) -> tuple[np.ndarray, np.ndarray]:
@@ -346,10 +371,10 @@ class Chunk:
         self.starts = ends - self.sizes
         goes = np.ones(len(self.codes), bool)
         goes[ends - 1] = False
-        self.at = np.flatnonzero(goes)
+        self.at = np.flatnonzero(goes).astype(np.int32)
         before = np.roll(self.codes, 1)
         before[self.starts] = -1
-        self.a, self.b, self.c = (x.astype(np.int64) for x in (before[self.at], self.codes[self.at], self.codes[self.at + 1]))
+        self.a, self.b, self.c = before[self.at], self.codes[self.at], self.codes[self.at + 1]
 
     @staticmethod
     def vocabulary(words: bytes, frequent: Words) -> tuple[np.ndarray, ...]:
@@ -361,8 +386,9 @@ class Chunk:
                 np.concatenate([frequent.words[common].view(np.uint64), hashes, [NONE]]).astype(np.uint64),
                 np.concatenate([frequent.counts[common], counts, [0]]).astype(np.int64))
 
-    def text_of_step(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.sizes)), self.sizes)[self.at]
+    def trained(self) -> np.ndarray:
+        """Which steps are of training texts."""
+        return np.repeat(self.trains, self.sizes)[self.at]
 
     def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out, cut = self.whole[b], np.flatnonzero(self.split[b] > 1)
@@ -375,31 +401,45 @@ class Chunk:
         the parts that need them and the training texts' steps."""
         at = np.flatnonzero(self.split[self.b] > 1)
         a, b, c, size = self.a[at], self.b[at], self.c[at], len(self.hashes)
-        pair, pairs = pd.factorize(b * size + c)
+        pair, pairs = pd.factorize(b.astype(np.int64) * size + c)
         key, keys = pd.factorize(pair * np.int64(self.parts) + self.part(a, b))
-        n = np.bincount(key, self.trains[self.text_of_step()[at]], len(keys))
+        n = np.bincount(key[self.trained()[at]], minlength=len(keys))
         b, c = np.divmod(pairs[keys // self.parts], size)
         return b.astype(np.int32), c.astype(np.int32), (keys % self.parts).astype(np.int32), n.astype(np.int64)
 
     def steps(self) -> tuple[np.ndarray, ...]:
         """a, b, c and part of each distinct step, by part and word b, and which one each step is."""
-        size = np.int64(len(self.hashes))
-        state, states = self.b * size + self.a + 1, None
-        if size >= 1 << 21:                                     # three places are too many for 64 bits
-            states, state = np.unique(state, return_inverse=True)
-        distinct, which = np.unique(state * size + self.c, return_inverse=True)
-        state, c = np.divmod(distinct, size)
-        b, a = np.divmod(state if states is None else states[state], size)
-        part = self.part(a - 1, b)
-        order = np.argsort(part, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return a[order] - 1, b[order], c[order], part[order], place[which]
+        size, states = len(self.hashes), None
+        key = self.b.astype(np.int64)
+        key *= size
+        key += self.a
+        key += 1
+        if size >= PLACED_WORDS:
+            states, key = np.unique(key, return_inverse=True)
+        key *= size
+        key += self.c
+        order = np.argsort(key)
+        key = key[order]
+        new = np.diff(key, prepend=-1) > 0
+        which = np.empty(len(key), np.int32)
+        which[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        key = key[new]
+        c = (key % size).astype(np.int32)
+        key //= size
+        if states is not None:
+            key = states[key]
+        b, a = (key // size).astype(np.int32), (key % size - 1).astype(np.int32)
+        del key
+        part = self.part(a, b)
+        order = np.argsort(part, kind="stable").astype(np.int32)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return a[order], b[order], c[order], part[order], place[which]
 
     def asks(self, known: int) -> Iterator[tuple[int, bytes]]:
         a, b, c, part, which = self.steps()
-        times = np.bincount(which, self.trains[self.text_of_step()], len(part)).astype(np.int64)
-        values, number = np.unique(times, return_inverse=True)
+        number, values = pd.factorize(np.bincount(which[self.trained()], minlength=len(part)))
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for some in map(slice, cuts[:-1], cuts[1:]):
             bac = b[some], a[some], c[some]
@@ -408,14 +448,13 @@ class Chunk:
 
     def scores(self, log_p: np.ndarray, frequent: Words) -> pd.DataFrame:
         """The texts, walked over the log probabilities of the distinct steps."""
-        which, n = self.steps()[-1], len(self.sizes)
-        text = np.repeat(np.arange(n), self.sizes)
-        alone = frequent.log_p(self.counts)
-        return pd.DataFrame({
-            "id": self.ids, "no_id": self.no_id, "n_tokens": self.sizes.astype(np.int64),
-            "n_known": np.bincount(text, self.counts[self.codes] > 0, n).astype(np.int64),
-            "base_score": np.bincount(text, alone[self.codes], n),
-            "score": alone[self.codes[self.starts]] + np.bincount(text[self.at], log_p[which], n)})
+        which = self.steps()[-1]
+        of_token = frequent.log_p(self.counts)[self.codes]
+        base = np.add.reduceat(of_token, self.starts)
+        of_token[self.at + 1] = log_p[which]
+        known = np.add.reduceat((self.counts > 0)[self.codes], self.starts, dtype=np.int64)
+        return pd.DataFrame({"id": self.ids, "no_id": self.no_id, "n_tokens": self.sizes.astype(np.int64), "n_known": known,
+                             "base_score": base, "score": np.add.reduceat(of_token, self.starts)})
 
 
 def rare_words(chunks: DataFrame, shared) -> DataFrame:
@@ -467,10 +506,10 @@ def asks(chunks: DataFrame, shared, parts: int, part_tokens: int) -> DataFrame:
 
 def slices(b: np.ndarray) -> Iterator[np.ndarray]:
     """Places of the steps of some middle words at a time."""
-    code, words = pd.factorize(b)
+    code, words = numbered(b)
     n = np.bincount(code, minlength=len(words))
-    number = ((np.cumsum(n) - n) // SLICE_STEPS)[code]
-    order = np.argsort(number, kind="stable")
+    number = ((np.cumsum(n) - n) // SLICE_STEPS).astype(np.int32)[code]
+    order = np.argsort(number, kind="stable").astype(np.int32)
     return iter(np.split(order, np.flatnonzero(np.diff(number[order])) + 1))
 
 
@@ -481,9 +520,11 @@ def answers(asked: DataFrame, hot: DataFrame, shared, part_tokens: int) -> DataF
         if own.empty:
             return pd.DataFrame({"chunk": np.zeros(0, np.int64), "part": np.zeros(0, np.int32), "blob": []})
         frequent, rare = shared.value, []
-        step = [x[:4] for x in (unpack(blob, frequent, rare) for blob in own["blob"])]
-        ends = np.cumsum([len(x[0]) for x in step])
-        step = tuple(np.concatenate(x) for x in zip(*step))
+        ends = np.cumsum([struct.unpack_from("<I", blob)[0] for blob in own["blob"]])
+        step = tuple(np.empty(ends[-1], kind) for kind in (np.uint64, np.uint64, np.uint64, np.int64))
+        for blob, end in zip(own["blob"], ends):
+            for x, of_blob in zip(step, unpack(blob, frequent, rare)):
+                x[end - len(of_blob):end] = of_blob
         few, first = np.unique(np.concatenate([x for x, _ in rare]), return_index=True)
         rare = few, np.concatenate([x for _, x in rare])[first]
         many = tuple(given[x].to_numpy() for x in ("b", "c", "n", "weight"))

@@ -2,10 +2,13 @@
 
 import functools
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,85 @@ def test_a_word_of_most_tokens_is_split(make_docs):
         ts = tokens(dict(rows)[r.doc_id])
         model = sum(math.log10(want.p(tuple(ts[max(0, k - 2):k]), w)) for k, w in enumerate(ts))
         assert r.score == pytest.approx(model, rel=1e-9)
+
+
+class Table:
+    """Stands for a table and keeps the function that its tasks would run."""
+
+    def __getattr__(self, name):
+        return lambda *args: self
+
+    def mapInPandas(self, run, schema):
+        self.run = run
+        return self
+
+    applyInPandas = mapInPandas
+
+
+def task(operator, *args):
+    return operator(*(Table() if x is None else x for x in args)).run
+
+
+NO_ARCS = pd.DataFrame({"b": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "weight": np.zeros(0)})
+
+
+def by_tasks(rows, parts, least):
+    """The scores of (id, text, trains), by the functions of the tasks; and the steps asked."""
+    batches = (pd.DataFrame([(i, False, trains, t)], columns=["id", "no_id", "trains", "text"]) for i, t, trains in rows)
+    read = pd.concat(list(task(M.read_chunks, None)(batches)), ignore_index=True)
+    read["chunk"] = np.arange(len(read)) * 7
+    counts = pd.concat(list(task(M.count_words, None)(iter([read])))).groupby("key")["n"].sum()
+    often = counts[counts >= least]
+    shared = SimpleNamespace(value=M.Words(often.index.to_numpy(), often.to_numpy(), float(counts.sum() + M.ADD * (len(counts) + 1))))
+    rare = pd.concat(list(task(M.rare_words, None, shared)(iter([read]))))
+    rare = rare.assign(c=rare["key"].map(counts)).dropna()
+    learn = task(M.learn_counts, None, None, shared, parts, 10**9)
+    chunks = pd.concat([learn(read[read["chunk"] == k], rare[rare["chunk"] == k]) for k in read["chunk"]], ignore_index=True)
+    asked = pd.concat(list(task(M.asks, None, shared, parts, 10**9)(iter([chunks]))))
+    answer = task(M.answers, None, None, shared, 10**9)
+    answered = pd.concat([answer(own, NO_ARCS) for _, own in asked.groupby("part")]).sample(frac=1, random_state=3)
+    walk = task(M.walk, None, None, shared, parts, 10**9)
+    scores = pd.concat([walk(chunks[chunks["chunk"] == k], answered[answered["chunk"] == k]) for k in chunks["chunk"]])
+    steps = sum(len(M.unpack(blob, shared.value)[0]) for blob in asked["blob"])
+    return len(chunks), steps, scores.set_index("id")
+
+
+@pytest.mark.parametrize("parts, chunk_tokens, slice_steps, placed", [(1, 10**6, 10**6, 2**21), (9, 10**6, 10**6, 2**21), (200, 10**6, 50, 2**21),
+                                                                      (9, 300, 20, 2**21), (9, 300, 20, 5)])
+def test_chunks_parts_and_slices(spark, edge_rows, monkeypatch, parts, chunk_tokens, slice_steps, placed):
+    """The scores stay, and a chunk asks for its distinct steps once, in however many parts."""
+    monkeypatch.setattr(M, "CHUNK_TOKENS", chunk_tokens)
+    monkeypatch.setattr(M, "SLICE_STEPS", slice_steps)
+    monkeypatch.setattr(M, "PLACED_WORDS", placed)
+    texts = [t or "" for _, t in edge_rows]
+    want = Plain([t for i, t in enumerate(texts) if i % 4], ORDER)
+    chunks, steps, got = by_tasks([(i, t, i % 4 > 0) for i, t in enumerate(texts)], parts, 3)
+    assert len(got) == len(texts) and (chunks > 3) == (chunk_tokens == 300)
+    distinct = {tuple(ts[max(0, k - 2):k + 1]) + (k == 1,) for ts in map(tokens, texts) for k in range(1, len(ts))}
+    assert steps == len(distinct) if chunks == 1 else steps > len(distinct)
+    for i, t in enumerate(texts):
+        ts = tokens(t)
+        assert (got.n_tokens[i], got.n_known[i]) == (len(ts), sum(want.c[w] > 0 for w in ts))
+        assert got.base_score[i] == pytest.approx(sum(math.log10(want.uni(w)) for w in ts), rel=1e-9)
+        assert got.score[i] == pytest.approx(sum(math.log10(want.p(tuple(ts[max(0, k - 2):k]), w)) for k, w in enumerate(ts)), rel=1e-9)
+
+
+def test_memory_of_a_part():
+    """A part of a million steps is worked on within 150 MB (when it was held in one piece, as many tokens took 258)."""
+    rng = np.random.default_rng(5)
+    words = np.sort(rng.integers(1, 2**62, 60_000))
+    frequent = M.Words(words, rng.integers(20, 900, len(words)), 4e7)
+    blobs = []
+    for _ in range(20):
+        b, a, c = (np.sort(rng.integers(0, len(words), 50_000)) if k == 0 else rng.integers(0, len(words), 50_000) for k in range(3))
+        ranks = tuple(x.astype(np.int32) for x in (b, a, c))
+        hashes = tuple(words[frequent.by_rank[x]].view(np.uint64) for x in ranks)
+        blobs.append(M.pack(ranks, hashes, np.zeros(50_000, np.int64), np.array([1]), np.array([True]), len(words)))
+    own = pd.DataFrame({"part": 0, "chunk": np.arange(20), "blob": blobs})
+    run = task(M.answers, None, None, SimpleNamespace(value=frequent), 10**6)
+    tracemalloc.start()
+    out = run(own, NO_ARCS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(M.unbox(x)[1]) for x in out["blob"]) == 1_000_000
+    assert peak < 150e6, peak
