@@ -63,7 +63,7 @@ WORD_SHARE = 2e-7
 #: Tokens of a part of the automaton, about.
 PART_TOKENS = 1_000_000
 #: Tokens of a chunk of texts, about; a text is never cut.
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
 #: Steps of a part that are worked on at once, about: those of one middle word stay together.
 SLICE_STEPS = 250_000
 #: With fewer words in a chunk, a step's three places fit 64 bits.
