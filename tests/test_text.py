@@ -123,3 +123,16 @@ def test_split_lines_and_query_form(spark):
     assert df.select(TX.split_lines("s").alias("x")).first().x == ["a", "b"]
     df = spark.createDataFrame([("Hack The North",)], "s string")
     assert df.select(TX.query_form("s").alias("x")).first().x == "hack+the+north"
+
+
+def test_raw_bodies_of_one_row_group_are_written_by_all_tasks(spark):
+    from corpusmap.sources.store import read_raw_bodies, write_raw_bodies
+    from corpusmap.streaming.ingest import scratch_root
+    root = scratch_root(spark, "test-raw")
+    rows = spark.range(24).selectExpr("id", "concat(id, '\n', repeat('body ', 40000 + id), '\n\n') AS text")
+    rows.coalesce(1).write.parquet(f"{root}/in")
+    write_raw_bodies(spark.read.parquet(f"{root}/in"), f"{root}/bodies", "id", "text")
+    bodies = read_raw_bodies(spark, f"{root}/bodies", "id")
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f in bodies.inputFiles()}) > 1
+    assert len(bodies.inputFiles()) == 24                         # one file a body
+    assert {r.id: r.body for r in bodies.collect()} == {r.id: r.text for r in rows.collect()}
